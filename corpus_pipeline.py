@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import mixing, packing
+from tallyloom.llm import mixing, packing, pii, quality
 from tallyloom.llm.common import table, written
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, fitted on the input's own labelled rows, accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with surrogates for its personal data."""
+    return pii.surrogate(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its sources takes it."""
     return mixing.mixed(docs)
@@ -18,7 +28,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("mix", mix), ("pack", pack)]
+STAGES = [("quality", classify), ("pii", surrogates), ("mix", mix), ("pack", pack)]
 
 ORACLE_SQL = None
 

@@ -20,6 +20,8 @@ from .common import table, words_count, written
 WEIGHTS = (1, 2, 3)
 CAP = 3
 INTERVALS = 4096
+#: A plan of at most so many sources (a row of five numbers each) is broadcast; a longer one is joined by shuffle.
+SMALL_SOURCES = 50_000
 SEED = "mix-1"
 JUNK = "#$%&*!|"
 
@@ -112,6 +114,9 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 def _taken(sized: DataFrame, plan: DataFrame, source: str) -> DataFrame:
     plan = plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("epochs").alias("mix_epochs"), F.col("cut").alias("mix_cut"))
     times = F.col("mix_epochs") + F.coalesce(F.col("mix_key") <= F.col("mix_cut"), F.lit(False)).cast("long")
+    plan = written(plan, "mix-plan")
+    if plan.count() <= SMALL_SOURCES:
+        plan = F.broadcast(plan)  # a hot source's rows then stay where they are
     out = sized.join(plan, sized[source].eqNullSafe(plan["mix_source"])).withColumn("mix_times", times).withColumn("mix_taken", times * F.col("mix_size"))
     return out.drop("mix_source", "mix_epochs", "mix_cut", "mix_key")
 
