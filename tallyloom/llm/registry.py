@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality
+from . import licences, mixing, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
         "op4_quality_classifier": quality.op4,
+        "op6_license_scan": licences.op6,
         "op7_pack_best_fit": packing.op7,
         "op10_pii_surrogates": pii.op10,
     }
