@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, packing, pii, quality
+from . import imatch, licences, mixing, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
+        "op2_imatch_fingerprints": imatch.op2,
         "op4_quality_classifier": quality.op4,
         "op6_license_scan": licences.op6,
         "op7_pack_best_fit": packing.op7,
