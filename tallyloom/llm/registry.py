@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, licences, mixing, packing, pii, quality
+from . import imatch, jaccard, licences, mixing, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1,
         "op2_imatch_fingerprints": imatch.op2,
         "op4_quality_classifier": quality.op4,
+        "op5_jaccard_join": jaccard.op5,
         "op6_license_scan": licences.op6,
         "op7_pack_best_fit": packing.op7,
         "op10_pii_surrogates": pii.op10,
