@@ -5,8 +5,10 @@ Jaccard distance is a metric, so a pivot's distances bound those between other d
 1. Documents that share nothing lie at distance 1 of each other and of every pivot, so no pivot tells them apart. They
    are separated first, exactly: of a document's shingles, in an order common to all documents, the first
    n - ceil(0.85 n) + 1 must meet those of every document that it links with. The order puts shingles of rare words
-   first, by a count of words over all documents in a table of fixed size, so that only kin meet. A shingle's least
-   document stands for it (a star, not all pairs), and the components of these stars are families.
+   first, by a count of words over all documents in a table of fixed size, so that mostly kin meet. Those that meet at a
+   shingle are compared by histograms of their sets: shingles hashed to bins, a map under which the L1 distance never
+   exceeds the symmetric difference, so it clears no pair that links. A pivot's neighbours become a star, not all pairs, and
+   the components of the stars are families.
 2. A family joins in metric space. Pivots are drawn among its documents; each document goes to its nearest pivot's Voronoi region
    and, as a pair within eps can only part where a document is nearly as close to another pivot, also to each region whose
    pivot is at most 2 eps further. Regions join recursively with new pivots, and small ones exactly, pair by pair.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import partitions, table, written
 from .graph import components
 
 SHINGLE = 4
@@ -43,6 +45,8 @@ SMALL_REGION = 48
 #: Class lists up to this length (16 bytes each) are broadcast to fetch sets.
 MOST_BROADCAST = 2_000_000
 CHUNK_BYTES = 1 << 21
+#: Bins of the histogram of a set, and of one of LONG shingles or more.
+BINS, LONG_BINS, LONG = 64, 512, 1000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,16 +105,21 @@ def class_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63
 
 
+def histogram(own: np.ndarray) -> bytes:
+    bins = LONG_BINS if len(own) >= LONG else BINS
+    return np.minimum(np.bincount((own >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins), 65535).astype("<u2").tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text) -> written (doc_id, n, c), c null where n is 0; and the rarity of each slot of word hashes."""
+    """(doc_id, text) -> written (doc_id, n, c, bins), c and bins null where n is 0; and the rarity of each slot of word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SLOT_BITS, np.int64)
-        names = ["doc_id", "n", "c", "counts"]
+        names = ["doc_id", "n", "c", "bins", "counts"]
         empty = pa.list_(pa.int64())
         for batch in batches:
             ids = batch.column(0)
@@ -118,14 +127,14 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 words, ends = word_hashes(texts)
                 seen += np.bincount((words >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(seen))
                 sets = [np.unique(shingles(words[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(texts), empty)], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([seen.tolist()], empty)], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(texts), empty)], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tolist()], empty)], names)
 
-    out = written(docs.mapInArrow(run, "doc_id long, n long, c long, counts array<long>"), "classes")
+    out = written(docs.mapInArrow(run, "doc_id long, n long, c long, bins binary, counts array<long>"), "classes")
     slots = out.filter("counts is not null").select(F.posexplode("counts")).filter("col > 0").groupBy("pos").agg(F.sum("col").alias("n")).toPandas()  # 2 ** SLOT_BITS rows at most
     counts = np.zeros(1 << SLOT_BITS)
     counts[slots["pos"]] = slots["n"]
-    return out.filter("counts is null").select("doc_id", "n", "c"), np.round(16 * np.log2(counts + 1)).astype(np.int32)
+    return out.filter("counts is null").select("doc_id", "n", "c", "bins"), np.round(16 * np.log2(counts + 1)).astype(np.int32)
 
 
 def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
@@ -161,6 +170,57 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     return written(docs.mapInArrow(run, "h long, c long"), "prefixes")
 
 
+def near_by_bins(bins: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """For documents that meet at a shingle: the least place each is connected with through pairs whose histograms allow a link.
+
+    A pair links only if 185 * |symmetric difference| <= 15 * (sum of sizes), and the L1 distance of histograms is no more.
+    """
+    width = min(len(b) for b in bins) // 2
+    table = np.stack([np.frombuffer(b, "<u2").astype(np.int32).reshape(-1, width).sum(axis=0) for b in bins])
+    root = np.arange(len(bins))
+    for p in range(len(bins) - 1):
+        rest = np.flatnonzero(root != root[p])
+        if not len(rest):
+            break
+        if len(rest := rest[rest > p]):
+            near = rest[185 * np.abs(table[rest] - table[p]).sum(axis=1) <= 15 * (sizes[rest] + sizes[p])]
+            for r in np.unique(root[near]):
+                low, high = min(root[p], r), max(root[p], r)
+                root[root == high] = low
+    return root
+
+
+def _stars_of(met: DataFrame) -> DataFrame:
+    """(h, c, n, bins), rows of an h together -> (a, b): each class and one that stands for those it may link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                _, c, n, bins = zip(*held, strict=True)
+                root = near_by_bins(list(bins), np.array(n))
+                out.extend((c[i], c[r]) for i, r in enumerate(root.tolist()) if r != i)
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "n", "bins")), strict=True):
+                if held and held[0][0] != row[0]:
+                    close()
+                held.append(row)
+            yield flush()
+        close()
+        yield flush()
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, text), (doc_id, c, family) -> (family, c, n, own): each class's sorted set as bytes."""
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
@@ -340,8 +400,16 @@ def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int) ->
 def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, text) and their classes -> (a, b): links between classes, enough of them to connect all that links connect."""
     prefixes = _prefixes(docs, rarity)
-    least = prefixes.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("h", "p")
-    stars = written(prefixes.join(least, "h").filter("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct(), "stars")
+    least = prefixes.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("h")
+    met = written(prefixes.join(least, "h").distinct(), "met")
+    # the shingles of one passage bring the same documents together: one of them is enough
+    who = F.xxhash64("c", F.lit(1)), F.xxhash64("c", F.lit(2))
+    groups = met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(who[0]).alias("x"), F.bit_xor(who[1]).alias("y"))
+    groups = groups.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h")
+    bins = classes.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    spark = docs.sparkSession
+    dealt = met.join(groups, "h").join(bins, "c").repartition(partitions(spark), "h").sortWithinPartitions("h", "c")
+    stars = written(_stars_of(dealt).distinct(), "stars")
     families = written(components(stars).select(F.col("node").alias("c"), F.col("root").alias("family")), "families")
     reps = classes.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     sets = written(_sets(docs, written(reps.join(families, "c"), "wanted")), "sets")
