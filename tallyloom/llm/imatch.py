@@ -6,9 +6,10 @@ fingerprint: one of the whole lexicon and one of each randomised sub-lexicon. Su
 chains of falling RATES, so that documents of any length have some in which they keep one or two terms; for two
 documents, the share of equal hashes among the sub-lexicons of such a rate follows the share of lexicon terms they share.
 
-Shape of the job: words are counted with map-side aggregates. A lexicon has at most (mean distinct terms a document) *
-exp(highest idf) terms, whatever the corpus, and its size is checked before it is broadcast. Texts are shuffled once,
-by id; term rows never are: the grouping by document reuses that partitioning.
+Shape of the job: terms are hashed to SLOTS slots for their document frequencies (map-side aggregates of at most SLOTS
+rows a task), and the lexicon is the set of slots in the band, one row with a bit a slot: its size never depends on the
+corpus. With it a text's fingerprint is an expression over its own row. Texts are shuffled once, by id, to meet the head of
+the next one; nothing else of their size moves.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ FAMILIES = 12
 RATES = (2, 8, 32, 128, 512)
 #: A rate counts in a comparison if so many of its sub-lexicons meet either document.
 LEAST_MET = 3
-#: Larger lexicons than this are joined by shuffle instead of broadcast (16 bytes a term).
-MOST_BROADCAST = 4_000_000
+#: Slots of the document frequencies; a power of two.
+SLOTS = 1 << 18
 
 NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -35,59 +36,73 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
 
 
+def _slot(term: Column) -> Column:
+    return term.bitwiseAND(SLOTS - 1)
+
+
 def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(text) -> (term): the hashes of the terms whose inverse document frequency lies in the band; a written table."""
+    """(text) -> one written row (bits): for each slot of term hashes, in longs of 64, whether its inverse document frequency lies in the band."""
     n = texts.count()
-    counts = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    return written(counts.filter(idf.between(*band)).select("term"), "lexicon")
+    slots = texts.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), _slot))).alias("slot"))
+    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
+    within = F.log(F.lit(float(max(n, 1))) / F.col("df")).between(*band)
+    words = counts.filter(within).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    every = texts.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")  # SLOTS / 64 rows, whatever the corpus
+    listed = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return written(every.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")), "lexicon")
+
 
+def _kept(text: Column) -> Column:
+    """The sorted distinct terms of a text whose slot is set in the column bits."""
 
-def _kept(rows: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, text), dealt by a key -> (keys, kept): sorted distinct lexicon terms; documents without any are left out."""
-    terms = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
-    return rows.select(*keys, F.explode(term_hashes(F.col("text"))).alias("term")).join(terms, "term").groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("kept"))
+    def known(term: Column) -> Column:
+        word = F.get("bits", F.shiftright(_slot(term), 6).cast("int"))
+        return F.getbit(word, _slot(term).bitwiseAND(63).cast("int")) == 1
 
+    return F.array_sort(F.filter(term_hashes(text), known))
 
-def _family(j: int):
-    return F.transform("kept", lambda t: F.xxhash64(t, F.lit(j))).alias(f"f{j}")
 
+def _hash32(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.xxhash64(values).bitwiseAND(0xFFFFFFFF).cast("long"))
 
-def _thinned(j: int, rate: int) -> Column:
-    return F.filter(f"f{j}", lambda v: v.bitwiseAND(rate - 1) == 0).alias(f"f{j}")
 
+def _family(kept: str, j: int) -> Column:
+    return F.transform(kept, lambda t: F.xxhash64(t, F.lit(j)))
 
-def _hash32(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.xxhash64(values).bitwiseAND(0xFFFFFFFF))
+
+def _thinned(values: str, rate: int) -> Column:
+    return F.filter(values, lambda v: v.bitwiseAND(rate - 1) == 0)
 
 
-def _hashes(kept: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kept) -> keys, whole (hash of all kept terms) and parts: a hash or null for each rate and family."""
-    df = kept.select(*keys, F.xxhash64("kept").alias("whole"), *[_family(j) for j in range(FAMILIES)])
+def _with_print(df: DataFrame, text: str, whole: str, parts: str, plain: str) -> DataFrame:
+    """df with the hashes of a text: whole (null if no term is in the lexicon), parts (for each rate and family, or null), plain (of all terms)."""
+    columns = df.columns
+    df = df.withColumn("kept_", _kept(F.col(text))).withColumn(plain, plain_hash(F.col(text)))
+    df = df.select(*columns, plain, F.when(F.size("kept_") > 0, F.xxhash64("kept_")).alias(whole), *[_family("kept_", j).alias(f"f{j}_") for j in range(FAMILIES)])
     done: list[str] = []
     for rate in RATES:
-        df = df.select(*keys, "whole", *done, *[_thinned(j, rate) for j in range(FAMILIES)])
-        new = [f"h{rate}_{j}" for j in range(FAMILIES)]
-        df = df.select(*keys, "whole", *done, *[f"f{j}" for j in range(FAMILIES)], *[_hash32(F.col(f"f{j}")).alias(h) for j, h in enumerate(new)])
+        df = df.select(*columns, plain, whole, *done, *[_thinned(f"f{j}_", rate).alias(f"f{j}_") for j in range(FAMILIES)])
+        new = [f"h{rate}_{j}_" for j in range(FAMILIES)]
+        df = df.select(*columns, plain, whole, *done, *[f"f{j}_" for j in range(FAMILIES)], *[_hash32(F.col(f"f{j}_")).alias(h) for j, h in enumerate(new)])
         done += new
-    return df.select(*keys, "whole", F.array(*done).alias("parts"))
+    return df.select(*columns, plain, whole, F.array(*done).alias(parts))
 
 
 def fingerprint_string(whole: Column, parts: Column, plain: Column) -> Column:
     """Hexadecimal: the whole hash, then the parts, '-' for a sub-lexicon that has no term of the text. plain stands in where no term is in the lexicon."""
-    listed = F.concat_ws("", F.transform(parts, lambda v: F.coalesce(F.lpad(F.lower(F.hex(v)), 8, "0"), F.lit("-"))))
+    listed = F.concat_ws("", F.transform(parts, lambda v: F.coalesce(F.lower(F.lpad(F.hex(v.cast("long") + F.lit(2**31)), 8, "0")), F.lit("-"))))
     return F.when(whole.isNull(), F.concat(F.lit("="), F.lower(F.hex(plain)))).otherwise(F.concat(F.lower(F.lpad(F.hex(whole), 16, "0")), F.lit(":"), listed))
 
 
-def likeness(a_print: Column, a: Column, b_print: Column, b: Column) -> Column:
-    """1 for equal fingerprints; else the largest share, over rates with LEAST_MET sub-lexicons that meet either document, of those with equal hashes."""
+def likeness(same: Column, a: Column, b: Column) -> Column:
+    """1 if all hashes are the same; else the largest share, over rates with LEAST_MET sub-lexicons that meet either document, of those with equal hashes."""
     shares = []
     for r in range(len(RATES)):
         x, y = (F.slice(c, r * FAMILIES + 1, FAMILIES) for c in (a, b))
         met = F.size(F.filter(F.zip_with(x, y, lambda u, v: u.isNotNull() | v.isNotNull()), lambda z: z))
-        same = F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda z: z))
-        shares.append(F.when(met >= LEAST_MET, same / met).otherwise(F.lit(0.0)))
-    return F.when(a_print == b_print, F.lit(1.0)).otherwise(F.coalesce(F.greatest(*shares), F.lit(0.0)))
+        alike = F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda z: z))
+        shares.append(F.when(met >= LEAST_MET, alike / met).otherwise(F.lit(0.0)))
+    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.greatest(*shares), F.lit(0.0)))
 
 
 def plain_hash(text: Column) -> Column:
@@ -95,16 +110,11 @@ def plain_hash(text: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint. A null text is empty; equal texts have equal fingerprints.
-
-    Rows are told apart by id and text; rows that repeat both are one document to the lexicon's use but keep their number.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text", F.lit(7)))
-    terms = lexicon(rows.select("text"), band)
-    unique = rows.repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key"])
-    hashes = _hashes(_kept(unique, terms, ["key"]), ["key"])
-    prints = unique.join(hashes, "key", "left").select("key", fingerprint_string(F.col("whole"), F.col("parts"), plain_hash(F.col("text"))).alias("fingerprint"))
-    return rows.select("doc_id", "key").join(prints, "key").select("doc_id", "fingerprint")
+    """One row for each row of docs: doc_id, fingerprint. A null text is empty; equal texts have equal fingerprints; repeated rows stay."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.crossJoin(F.broadcast(lexicon(rows.select("text"), band)))  # one row
+    rows = _with_print(rows, "text", "whole", "parts", "plain")
+    return rows.select("doc_id", fingerprint_string(F.col("whole"), _ints("parts"), F.col("plain")).alias("fingerprint"))
 
 
 def following(ids: DataFrame, order: list[str]) -> DataFrame:
@@ -124,32 +134,37 @@ def following(ids: DataFrame, order: list[str]) -> DataFrame:
     return out.select(*ids.columns, *[F.col(f"after.{c}").alias(f"next_{c}") for c in order])
 
 
+def _ints(parts: str) -> Column:
+    """32-bit hashes in four bytes."""
+    return F.transform(parts, lambda v: (v - F.lit(2**31)).cast("int"))
+
+
+#: Stands for a null doc_id: before all others.
+NO_ID = -(2**63)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    terms = lexicon(docs.select("text"))
-    # copies of an id are numbered, so that each row has a key; this deals the texts by id, once
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    bits = F.broadcast(lexicon(docs.select("text")))  # one row
+    # rows of one id are numbered, so that each row has a key; this deals the texts by id, once
     numbered = docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
     ids = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"))
     ids = ids.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).drop("h")
     order = written(following(ids, ["doc_id", "copy"]).withColumn("need", F.floor(F.col("n_chars") / 4).cast("int")), "next")
-    nexts = order.select(F.col("doc_id").alias("cur_id"), F.col("copy").alias("cur_copy"), "next_doc_id", "next_copy", "need")
+    nexts = order.select(F.col("doc_id").alias("cur_id"), F.col("copy").alias("cur_copy"), "n_chars", F.col("next_doc_id").alias("next_id"), "next_copy", "need")
     # the copies are compared outside the keys: both sides then stay dealt by id alone
-    heads = numbered.join(nexts, (F.col("doc_id").eqNullSafe(F.col("next_doc_id"))) & (F.abs(F.col("copy") - F.col("next_copy")) < 1))
-    heads = heads.select("cur_id", "cur_copy", "need", F.expr("substring(text, 1, need)").alias("head"))
-    both = numbered.join(heads, (F.col("doc_id").eqNullSafe(F.col("cur_id"))) & (F.abs(F.col("copy") - F.col("cur_copy")) < 1))
-    both = both.select("doc_id", "copy", "text", F.concat(F.expr("substring(text, 1, length(text) - need)"), "head").alias("edited"))
-    plain = both.select("doc_id", "copy", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), plain_hash(F.col("text")).alias("p0"), plain_hash(F.col("edited")).alias("p1"))
-    texts = both.select("doc_id", "copy", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    prints = written(_hashes(_kept(texts, terms, ["doc_id", "copy", "which"]), ["doc_id", "copy", "which"]), "prints")
-    keys = ["doc_id", "copy"]
-    own = prints.filter("which = 0").select(*keys, F.col("whole").alias("w0"), F.col("parts").alias("a0"))
-    edited = prints.filter("which = 1").select(*keys, F.col("whole").alias("w1"), F.col("parts").alias("a1"))
-    rows = written(order.join(plain, keys).join(own, keys, "left").join(edited, keys, "left"), "rows")
-    rows = rows.withColumn("fingerprint", fingerprint_string(F.col("w0"), F.col("a0"), F.col("p0"))).withColumn("edited_fingerprint", fingerprint_string(F.col("w1"), F.col("a1"), F.col("p1")))
-    after = rows.select(F.col("doc_id").alias("next_doc_id"), F.col("copy").alias("next_copy"), F.col("fingerprint").alias("f2"), F.col("a0").alias("a2"))
-    out = rows.join(after, ["next_doc_id", "next_copy"])
+    heads = numbered.join(nexts, (F.col("doc_id") == F.col("next_id")) & (F.abs(F.col("copy") - F.col("next_copy")) < 1)).crossJoin(bits)
+    heads = _with_print(heads.select("cur_id", "cur_copy", "n_chars", "need", F.expr("substring(text, 1, need)").alias("head"), "text", "bits"), "text", "w2", "a2", "p2")
+    heads = heads.select("cur_id", "cur_copy", "n_chars", "need", "head", "w2", _ints("a2").alias("a2"), "p2")
+    both = numbered.join(heads, (F.col("doc_id") == F.col("cur_id")) & (F.abs(F.col("copy") - F.col("cur_copy")) < 1)).crossJoin(bits)
+    both = both.select("doc_id", "n_chars", "text", F.concat(F.expr("substring(text, 1, n_chars - need)"), "head").alias("edited"), "bits", "w2", F.col("a2"), "p2")
+    both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = _with_print(_with_print(both, "text", "w0", "a0", "p0").drop("text"), "edited", "w1", "a1", "p1").drop("edited", "bits")
+    both = both.withColumn("a0", _ints("a0")).withColumn("a1", _ints("a1"))
+    prints = [fingerprint_string(F.col(f"w{k}"), F.col(f"a{k}"), F.col(f"p{k}")) for k in (0, 1)]
+    out = both.select("*", prints[0].alias("fingerprint"), prints[1].alias("edited_fingerprint"))
+    same = [F.col("w0").eqNullSafe(F.col(f"w{k}")) & (F.col("w0").isNotNull() | (F.col("p0") == F.col(f"p{k}"))) for k in (1, 2)]
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("a0"), F.col("edited_fingerprint"), F.col("a1")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("a0"), F.col("f2"), F.col("a2")).alias("near_next"),
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(same[0], F.col("a0"), F.col("a1")).alias("near_edited"), likeness(same[1], F.col("a0"), F.col("a2")).alias("near_next"),
     )
