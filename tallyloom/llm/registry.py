@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard, licences, mixing, packing, pii, quality, suffixes
+from . import imatch, jaccard, licences, mixing, nearest, packing, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": jaccard.op5,
         "op6_license_scan": licences.op6,
         "op7_pack_best_fit": packing.op7,
+        "op8_cross_polytope": nearest.op8,
         "op9_suffix_dedup": suffixes.op9,
         "op10_pii_surrogates": pii.op10,
     }
