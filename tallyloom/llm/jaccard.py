@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, table, written
@@ -45,8 +45,8 @@ SMALL_REGION = 48
 #: Class lists up to this length (16 bytes each) are broadcast to fetch sets.
 MOST_BROADCAST = 2_000_000
 CHUNK_BYTES = 1 << 21
-#: Bins of the histogram of a set, and of one of LONG shingles or more.
-BINS, LONG_BINS, LONG = 64, 512, 1000
+#: (least shingles, bins) of a set's histogram: enough bins that sets which share little differ by more than links may.
+BINS = ((2500, 2048), (500, 256), (0, 64))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,7 +106,7 @@ def class_of(own: np.ndarray) -> int:
 
 
 def histogram(own: np.ndarray) -> bytes:
-    bins = LONG_BINS if len(own) >= LONG else BINS
+    bins = next(b for n, b in BINS if len(own) >= n)
     return np.minimum(np.bincount((own >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins), 65535).astype("<u2").tobytes()
 
 
@@ -175,18 +175,22 @@ def near_by_bins(bins: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
     A pair links only if 185 * |symmetric difference| <= 15 * (sum of sizes), and the L1 distance of histograms is no more.
     """
-    width = min(len(b) for b in bins) // 2
-    table = np.stack([np.frombuffer(b, "<u2").astype(np.int32).reshape(-1, width).sum(axis=0) for b in bins])
+    order = np.argsort(sizes, kind="stable")
+    folded: dict[int, np.ndarray] = {}
     root = np.arange(len(bins))
-    for p in range(len(bins) - 1):
-        rest = np.flatnonzero(root != root[p])
+    for k, p in enumerate(order[:-1]):
+        rest = order[k + 1 :]
+        rest = rest[(root[rest] != root[p]) & (100 * sizes[p] >= PERCENT * sizes[rest])]
         if not len(rest):
-            break
-        if len(rest := rest[rest > p]):
-            near = rest[185 * np.abs(table[rest] - table[p]).sum(axis=1) <= 15 * (sizes[rest] + sizes[p])]
-            for r in np.unique(root[near]):
-                low, high = min(root[p], r), max(root[p], r)
-                root[root == high] = low
+            continue
+        # larger sets have as many bins or more, and fold to fewer
+        if (width := len(bins[p]) // 2) not in folded:
+            folded[width] = np.stack([np.frombuffer(b, "<u2").astype(np.int32).reshape(-1, width).sum(axis=0) if len(b) >= 2 * width else np.zeros(width, np.int32) for b in bins])
+        table = folded[width]
+        near = rest[185 * np.abs(table[rest] - table[p]).sum(axis=1) <= 15 * (sizes[rest] + sizes[p])]
+        for r in np.unique(root[near]):
+            low, high = min(root[p], r), max(root[p], r)
+            root[root == high] = low
     return root
 
 
@@ -401,12 +405,17 @@ def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int =
     """(doc_id, text) and their classes -> (a, b): links between classes, enough of them to connect all that links connect."""
     prefixes = _prefixes(docs, rarity)
     least = prefixes.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("h")
-    met = written(prefixes.join(least, "h").distinct(), "met")
+    sizes = classes.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"))
+    met = prefixes.join(least, "h").distinct().join(sizes, "c")
+    # only sizes within PERCENT of each other link
+    by_size = Window.partitionBy("h").orderBy("n", "c")
+    alone = (F.coalesce(100 * F.lag("n").over(by_size), F.lit(0)) < PERCENT * F.col("n")) & (F.coalesce(100 * F.col("n") < PERCENT * F.lead("n").over(by_size), F.lit(True)))
+    met = written(met.withColumn("alone", alone).filter("not alone").drop("alone"), "met")
     # the shingles of one passage bring the same documents together: one of them is enough
     who = F.xxhash64("c", F.lit(1)), F.xxhash64("c", F.lit(2))
     groups = met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(who[0]).alias("x"), F.bit_xor(who[1]).alias("y"))
     groups = groups.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h")
-    bins = classes.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    bins = classes.filter("c is not null").groupBy("c").agg(F.first("bins").alias("bins"))
     spark = docs.sparkSession
     dealt = met.join(groups, "h").join(bins, "c").repartition(partitions(spark), "h").sortWithinPartitions("h", "c")
     stars = written(_stars_of(dealt).distinct(), "stars")
