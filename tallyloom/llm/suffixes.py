@@ -35,8 +35,6 @@ GRAM = 32
 MOST_CONTEXTS = 20_000
 #: A run is sent off when it holds so many bytes.
 RUN_BYTES = 16 << 20
-#: Tables that go to the texts are broadcast up to so many bytes, by their own count; larger ones are joined by shuffle.
-MOST_BROADCAST = 32 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -323,11 +321,6 @@ def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return strings.join(twice, "string").select("h", "g", "start", (F.col("start") + SPAN).alias("end"))
 
 
-def _small(df: DataFrame, bytes_each) -> DataFrame:
-    size = df.agg(F.sum(bytes_each)).first()[0] or 0
-    return F.broadcast(df) if size <= MOST_BROADCAST else df
-
-
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(key, text) -> written (key, ranges): byte ranges [start, end) of each row's text that repeat; rows without any are left out."""
     spark = docs.sparkSession
@@ -344,7 +337,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     listed = F.collect_list(F.struct("h", "g", "first", "width", "before", "times")).alias("list")
     sorted_ = contexts.join(F.broadcast(hot), "h", "left_anti").groupBy("key").agg(listed)  # at most (all contexts) / MOST_CONTEXTS rows
     sorted_ = written(sorted_, "wanted")
-    runs = _runs(docs, _small(sorted_, F.size("list") * 44 + 24), parts=2 * partitions(spark))
+    runs = _runs(docs, sorted_, parts=2 * partitions(spark))
     shared = runs.groupBy("part").applyInArrow(_merge_part, "h long, g long, start int, end int")
     if not hot.isEmpty():
         shared = shared.unionByName(_counted(docs, contexts.join(F.broadcast(hot), "h").groupBy("key").agg(listed)))
@@ -386,7 +379,6 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """
     few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text_")).withColumn("key", F.xxhash64("doc_id", "text_"))
     ranges = repeated_ranges(few.select("key", F.col("text_").alias("text")).filter("text is not null"))
-    ranges = _small(ranges, F.size("ranges") * 16 + 24)
     joined = few.join(ranges, "key", "left").select("doc_id", "text_", "ranges")
     return _cut(joined, ["doc_id"], keep_text)
 
