@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, packing, pii, quality
+from tallyloom.llm import jaccard, mixing, packing, pii, quality
 from tallyloom.llm.common import table, written
 
 
@@ -13,9 +14,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least id, of each group of the n-gram Jaccard join."""
+    return jaccard.one_of_each(docs)
+
+
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates for its personal data."""
-    return pii.surrogate(docs)
+    return pii.surrogate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality", classify), ("pii", surrogates), ("mix", mix), ("pack", pack)]
+STAGES = [("quality", classify), ("near duplicates", near_duplicates), ("pii", surrogates), ("mix", mix), ("pack", pack)]
 
 ORACLE_SQL = None
 
@@ -38,5 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            docs = written(docs, f"stage-{k}")
     return docs

@@ -469,9 +469,12 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs whose doc_id is the least of its group; of rows that repeat an id and a text, one."""
     columns = docs.columns
-    groups = similar_groups(docs, text=text, doc_id=doc_id).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    kept = docs.join(groups, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)) == F.col("kept_"), "left_semi")
-    return kept.dropDuplicates([doc_id, text]).select(*[F.col(f"`{c}`") for c in columns])
+    groups = written(similar_groups(docs, text=text, doc_id=doc_id), "groups")
+    least = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
+    kept = docs.join(least, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)) == F.col("kept_"), "left_semi")
+    if not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, text])
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard, licences, mixing, nearest, packing, pii, quality, suffixes
+from . import htmltext, imatch, jaccard, licences, mixing, nearest, packing, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
         "op2_imatch_fingerprints": imatch.op2,
+        "op3_html_blocks": htmltext.op3,
         "op4_quality_classifier": quality.op4,
         "op5_jaccard_join": jaccard.op5,
         "op6_license_scan": licences.op6,
