@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import partitions, table, written
 
 IDF_BAND = (1.0, 7.6)
-FAMILIES = 12
+FAMILIES = 10
 RATES = (2, 8, 32, 128, 512)
 #: A rate counts in a comparison if so many of its sub-lexicons meet either document.
 LEAST_MET = 3
@@ -32,8 +32,7 @@ NO_WORD = r"[^\p{L}\p{N}]+"
 
 def term_hashes(text: Column) -> Column:
     """The distinct terms of a text, as 64-bit hashes: runs of letters and digits, lower-cased."""
-    terms = F.filter(F.split(F.lower(text), NO_WORD), lambda t: t != "")
-    return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(text), NO_WORD), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def _slot(term: Column) -> Column:
@@ -52,37 +51,36 @@ def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
     return written(every.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")), "lexicon")
 
 
-def _kept(text: Column) -> Column:
-    """The sorted distinct terms of a text whose slot is set in the column bits."""
+def _kept(terms: Column) -> Column:
+    """Those of the terms whose slot is set in the column bits."""
 
     def known(term: Column) -> Column:
         word = F.get("bits", F.shiftright(_slot(term), 6).cast("int"))
         return F.getbit(word, _slot(term).bitwiseAND(63).cast("int")) == 1
 
-    return F.array_sort(F.filter(term_hashes(text), known))
+    return F.filter(terms, known)
 
 
 def _hash32(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.xxhash64(values).bitwiseAND(0xFFFFFFFF).cast("long"))
 
 
-def _family(kept: str, j: int) -> Column:
-    return F.transform(kept, lambda t: F.xxhash64(t, F.lit(j)))
-
-
-def _thinned(values: str, rate: int) -> Column:
-    return F.filter(values, lambda v: v.bitwiseAND(rate - 1) == 0)
+def _thinned(terms: str, j: int, rate: int) -> Column:
+    """Those of the terms that sub-lexicon j of a rate has."""
+    return F.filter(terms, lambda t: F.xxhash64(t, F.lit(j)).bitwiseAND(rate - 1) == 0)
 
 
 def _with_print(df: DataFrame, text: str, whole: str, parts: str, plain: str) -> DataFrame:
     """df with the hashes of a text: whole (null if no term is in the lexicon), parts (for each rate and family, or null), plain (of all terms)."""
     columns = df.columns
-    df = df.withColumn("kept_", _kept(F.col(text))).withColumn(plain, plain_hash(F.col(text)))
-    df = df.select(*columns, plain, F.when(F.size("kept_") > 0, F.xxhash64("kept_")).alias(whole), *[_family("kept_", j).alias(f"f{j}_") for j in range(FAMILIES)])
+    df = df.withColumn("terms_", F.sort_array(term_hashes(F.col(text))))
+    df = df.select(*columns, F.xxhash64("terms_", F.lit(-1)).alias(plain), _kept(F.col("terms_")).alias("kept_"))
+    df = df.select(*columns, plain, F.when(F.size("kept_") > 0, F.xxhash64("kept_")).alias(whole), "kept_")
     done: list[str] = []
-    for rate in RATES:
-        df = df.select(*columns, plain, whole, *done, *[_thinned(f"f{j}_", rate).alias(f"f{j}_") for j in range(FAMILIES)])
+    for k, rate in enumerate(RATES):
+        chain = [_thinned(f"f{j}_" if k else "kept_", j, rate).alias(f"f{j}_") for j in range(FAMILIES)]
         new = [f"h{rate}_{j}_" for j in range(FAMILIES)]
+        df = df.select(*columns, plain, whole, *done, *chain)
         df = df.select(*columns, plain, whole, *done, *[f"f{j}_" for j in range(FAMILIES)], *[_hash32(F.col(f"f{j}_")).alias(h) for j, h in enumerate(new)])
         done += new
     return df.select(*columns, plain, whole, F.array(*done).alias(parts))
@@ -105,10 +103,6 @@ def likeness(same: Column, a: Column, b: Column) -> Column:
     return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.greatest(*shares), F.lit(0.0)))
 
 
-def plain_hash(text: Column) -> Column:
-    return F.xxhash64(F.array_sort(term_hashes(text)), F.lit(-1))
-
-
 def fingerprint(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", band: tuple[float, float] = IDF_BAND) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint. A null text is empty; equal texts have equal fingerprints; repeated rows stay."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
