@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# Tax rates in percent.
-SLABS = [0.0, 0.1, 0.25, 1.0, 1.5, 3.0, 5.0, 6.0, 7.5, 9.0, 12.0, 14.0, 18.0, 28.0, 40.0]
+# Tax slabs, in percent and as fractions.
+SLABS = [0.0, 5.0, 12.0, 18.0, 28.0, 0.05, 0.12, 0.18, 0.28]
 MATCH, TOLERANCE, REPEAT, SLAB_SHARE, SLAB_MOST, LEAST_ROWS, LEAST_INVOICES = 0.90, 0.01, 0.90, 0.90, 6, 5, 2
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..fields import MEASURES, TIME_DIMENSIONS
 from ..functions import numbers, text
-from ..operators import charts, derive, evidence, forecast, ingest, insights, inventory, reports, slicing
+from ..operators import charts, derive, evidence, extras, forecast, headers, ingest, insights, inventory, reports, slicing
 from ..operators.slicing import AnalysisQuery, build_slice
 from ..sources.register import ROW_ORDER, star_register
+from ..streaming import events
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,7 +212,37 @@ def _functions() -> None:
     add("fn17_customer_keys", whole(lambda r: r.select("customer").distinct().select("customer", F.sha2("customer", 256).alias("digest"))), BASE + "SELECT DISTINCT customer, sha256(customer) AS digest FROM cur")
 
 
-for _register in (_charts, _slices, _reports, _inventory, _insights, _forecast, _ingest, _evidence, _functions):
+GOLDEN = [
+    ("date", "Date"), ("Voucher Date", "Date"), ("item group", "Category"), ("Particulars", "Item"), ("Qty.", "Quantity"), ("Rate/Unit", "Selling Price"), ("Net Amount", "Line Total"), ("Closing Stock", "Stock On Hand"), ("Cashier Name", "Salesperson"),
+    ("Customer Phone", "none"), ("Notes", "none"), ("Total", "ambiguous"), ("Net Tax Amount", "Tax"), ("Colour", "Colour"), ("Store Code", "Branch"), ("date", "Date"),
+]
+
+
+def _headers() -> None:
+    rows = ", ".join(f"({i}, '{h}')" for i, (h, _) in enumerate(GOLDEN))
+    aliases = ", ".join(f"('{a}', '{f}')" for f, names in headers.ALIASES.items() for a in names)
+    words = " ".join(f"WHEN contains(k, '{k}') THEN '{f}'" for k, f in headers.KEYWORDS)
+    personal = "|".join(headers.PERSONAL_TOKENS)
+    guess = f"""WITH h AS (SELECT * FROM (VALUES {rows}) t(ordinal, header)), a AS (SELECT * FROM (VALUES {aliases}) t(alias, alias_field)), n AS (SELECT ordinal, header, lower(trim(header)) AS k FROM h),
+ j AS (SELECT ordinal, header, k, alias_field FROM n LEFT JOIN a ON alias = k), g AS (SELECT ordinal, header, alias_field, CASE WHEN regexp_matches(k, '(^|[^a-z0-9])({personal})([^a-z0-9]|$)') THEN NULL ELSE COALESCE(alias_field, CASE {words} END) END AS field FROM j),
+ q AS (SELECT ordinal, header, field, CASE WHEN field IS NULL THEN 'none' WHEN alias_field IS NOT NULL THEN 'exact' ELSE 'fuzzy' END AS confidence FROM g)
+"""
+    table = lambda s: headers.header_table(s, [h for h, _ in GOLDEN])
+    add("map05_guessed_headers", lambda s, d: headers.guessed(table(s)), guess + "SELECT CAST(ordinal AS INTEGER) AS ordinal, header, field, confidence FROM q")
+    keep = "field IS NULL OR row_number() OVER (PARTITION BY field ORDER BY ordinal) = 1"
+    add("map06_suggested_headers", lambda s, d: headers.suggested(table(s)), guess + f", k AS (SELECT *, {keep} AS keep FROM q) SELECT CAST(ordinal AS INTEGER) AS ordinal, header, CASE WHEN keep THEN field END AS field, CASE WHEN keep THEN confidence ELSE 'none' END AS confidence FROM k")
+    add("set07_colliding_headers", lambda s, d: headers.colliding(table(s)), guess + "SELECT lower(trim(header)) AS key, COUNT(*) AS n FROM q GROUP BY 1 HAVING COUNT(*) > 1")
+    expected = ", ".join(f"({i}, '{e}')" for i, (_, e) in enumerate(GOLDEN))
+    share = lambda k: f"AVG(CASE WHEN confidence = '{k}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {k}_share"
+    right = "COALESCE(field, 'none') = expected"
+    add("map20_header_evaluation", lambda s, d: headers.evaluation(headers.guessed(table(s)).join(s.createDataFrame([(i, e) for i, (_, e) in enumerate(GOLDEN)], "ordinal int, expected string"), "ordinal").withColumnRenamed("field", "predicted")), guess + f", e AS (SELECT * FROM (VALUES {expected}) t(o, expected)), z AS (SELECT * FROM q JOIN e ON o = ordinal) SELECT COUNT(*) AS n, AVG(CASE WHEN expected <> 'ambiguous' THEN CASE WHEN {right} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS accuracy, {share('exact')}, {share('fuzzy')}, {share('none')}, COUNT(*) FILTER (WHERE expected <> 'ambiguous' AND field IS NOT NULL AND NOT ({right})) AS false_mappings FROM z")
+    add("sch01_capabilities", whole(lambda r: extras.capabilities(r.drop("colour")).select("kind", "name", "available")), "SELECT * FROM (VALUES " + ", ".join([f"('measure', '{m}', TRUE)" for m in MEASURES] + [f"('dimension', '{x}', {x != 'colour'})".upper().replace("DIMENSION", "dimension").replace(x.upper(), x) for x in ("category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "colour", "invoice_no", "day", "weekday", "month")]) + ") t(kind, name, available)")
+    read = lambda s, d: s.read.parquet(f"{d}/events.parquet")
+    add("stream_tumbling_days", lambda s, d: events.tumbling(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, COUNT(*) AS n, {sql.s('value')} AS total FROM events GROUP BY 1, 2")
+    add("stream_sessions", lambda s, d: events.sessions(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM k GROUP BY user_id, k")
+
+
+for _register in (_headers, _charts, _slices, _reports, _inventory, _insights, _forecast, _ingest, _evidence, _functions):
     _register()
 
 
