@@ -471,7 +471,7 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     columns = docs.columns
     groups = written(similar_groups(docs, text=text, doc_id=doc_id), "groups")
     least = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    kept = docs.join(least, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)) == F.col("kept_"), "left_semi")
+    kept = docs.join(least, F.coalesce(docs[doc_id].cast("long"), F.lit(-1)) == least["kept_"], "left_semi")
     if not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id, text])
     return kept.select(*[F.col(f"`{c}`") for c in columns])

@@ -272,12 +272,16 @@ def surrogate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", ke
     """
     found = written(_occurrences(docs.select(F.col(doc_id).cast("string"), F.col(text)), key), "occurrences")
     moved = _moved(found, key)
-    by_doc = (
-        found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "s"))).alias("pii_moved"))
-    )
-    kept = [c for c in docs.columns if c not in (kinds,)]
-    joined = docs.join(by_doc.withColumnRenamed("doc_id", "pii_doc"), docs[doc_id].cast("string").eqNullSafe(F.col("pii_doc")), "left").drop("pii_doc") if not moved.isEmpty() else docs.withColumn("pii_moved", F.lit(None).cast("map<string,string>"))
-    out = joined.select(*[F.col(f"`{c}`") for c in kept], "pii_moved")
+    kept, extra = [c for c in docs.columns if c != kinds], "pii_moved"
+    while extra in docs.columns:
+        extra += "_"
+    moves = F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "s"))).alias(extra)
+    by_doc = found.join(moved, ["kind", "value"]).groupBy(F.col("doc_id").alias(extra + "_id")).agg(moves)
+    if moved.isEmpty():
+        joined = docs.withColumn(extra, F.lit(None).cast("map<string,string>"))
+    else:
+        joined = docs.join(by_doc, docs[doc_id].cast("string").eqNullSafe(by_doc[extra + "_id"]), "left")
+    out = joined.select(*[F.col(f"`{c}`") for c in kept], extra)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + ([f"`{kinds}` array<string>"] if kinds else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

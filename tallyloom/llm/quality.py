@@ -152,9 +152,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "tex
 
 def accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold."""
-    columns = docs.columns
-    out = scored(docs, fit(docs, labels, text=text, doc_id=doc_id, label=label), text=text, score="quality_score_")
-    return out.filter(F.col("quality_score_") >= threshold).select(*[F.col(f"`{c}`") for c in columns])
+    columns, score = docs.columns, "quality_score"
+    while score in columns:
+        score += "_"
+    out = scored(docs, fit(docs, labels, text=text, doc_id=doc_id, label=label), text=text, score=score)
+    return out.filter(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
