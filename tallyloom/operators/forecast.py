@@ -15,7 +15,11 @@ MIN_DAYS, SEASON_DAYS, HALF_LIFE = 14, 21, 14
 SEASON = (0.3, 3.0)
 Z80 = 1.2816
 BACKTEST, SPARSE, FLAT = 7, 0.25, 0.01
-ALL = Window.partitionBy()
+
+
+def everything():
+    """The window of all rows of a frame that is already an aggregate."""
+    return Window.partitionBy()
 
 
 def _six(x: Column) -> Column:
@@ -28,8 +32,8 @@ def fitted(series: DataFrame, seasonal_from: int = SEASON_DAYS) -> DataFrame:
     Weights halve every 14 days of age; sums are centred. The index of a weekday is the median of revenue over fit, over the mean
     of these medians, within bounds; it is 1 for short series.
     """
-    s = series.withColumn("n", F.count(F.lit(1)).over(ALL)).filter(F.col("n") >= MIN_DAYS)
-    s = s.withColumn("x", F.datediff("day", F.min("day").over(ALL)).cast("double")).withColumn("w", F.pow(F.lit(0.5), (F.col("n") - 1 - F.col("x")) / HALF_LIFE))
+    s = series.withColumn("n", F.count(F.lit(1)).over(everything())).filter(F.col("n") >= MIN_DAYS)
+    s = s.withColumn("x", F.datediff("day", F.min("day").over(everything())).cast("double")).withColumn("w", F.pow(F.lit(0.5), (F.col("n") - 1 - F.col("x")) / HALF_LIFE))
     means = s.agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("revenue")) / F.sum("w")).alias("my"))
     s = s.crossJoin(F.broadcast(means))  # one row
     dx, dy = F.col("x") - F.col("mx"), F.col("revenue") - F.col("my")
@@ -38,7 +42,7 @@ def fitted(series: DataFrame, seasonal_from: int = SEASON_DAYS) -> DataFrame:
     line = line.select("slope", _six(F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
     s = s.drop("mx", "my", "w").crossJoin(F.broadcast(line)).withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))  # one row
     ratios = s.filter(F.col("fit") > 0).groupBy(F.weekday("day").alias("wd")).agg(F.percentile(F.col("revenue") / F.col("fit"), F.lit(0.5)).alias("m"))
-    mean = F.avg("m").over(ALL)
+    mean = F.avg("m").over(everything())
     index = F.least(F.greatest(_six(F.coalesce(F.col("m") / F.when(mean > 0, mean), F.lit(1.0))), F.lit(SEASON[0])), F.lit(SEASON[1]))
     ratios = ratios.select("wd", index.alias("index"))  # seven rows
     s = s.join(F.broadcast(ratios), F.weekday("day") == F.col("wd"), "left")
@@ -76,7 +80,7 @@ def backtest(df: DataFrame) -> DataFrame:
 
     Where over a quarter of the days have no sales, the totals are compared.
     """
-    series = daily(df).select("day", "revenue").withColumn("k", F.row_number().over(Window.orderBy("day"))).withColumn("all_days", F.count(F.lit(1)).over(ALL)).filter(F.col("all_days") >= SEASON_DAYS)
+    series = daily(df).select("day", "revenue").withColumn("k", F.row_number().over(Window.orderBy("day"))).withColumn("all_days", F.count(F.lit(1)).over(everything())).filter(F.col("all_days") >= SEASON_DAYS)
     train = series.filter(F.col("k") <= F.col("all_days") - BACKTEST).select("day", "revenue")
     s = fitted(train, seasonal_from=0)
     line = s.agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("n").alias("n"))

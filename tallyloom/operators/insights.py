@@ -15,7 +15,10 @@ CONCENTRATION, CONCENTRATION_ITEMS = 0.20, 8
 WEEKDAY_SEEN, WEEKDAY_RATIO, DEAD_DAYS = 2, 1.3, 30
 LEADER_GAP, LEADER_ITEMS, MARGIN_GAP, TOP_REVENUE, PAYMENT_SHARE = 3.0, 3, 5.0, 3, 50.0
 
-ALL = Window.partitionBy()
+
+def everything():
+    """The window of all rows of a frame that is already an aggregate."""
+    return Window.partitionBy()
 
 
 def anomalies(df: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def anomalies(df: DataFrame) -> DataFrame:
     standard deviation takes its place. Fewer than seven days, a median of 0 or no spread: none.
     """
     days = daily(df).select("day", "revenue")
-    days = days.withColumn("sparse", F.avg((F.col("revenue") <= 0).cast("double")).over(ALL) > SPARSE).filter(~F.col("sparse") | (F.col("revenue") > 0))
-    days = days.withColumn("n", F.count(F.lit(1)).over(ALL)).filter(F.col("n") >= MIN_DAYS)
+    days = days.withColumn("sparse", F.avg((F.col("revenue") <= 0).cast("double")).over(everything()) > SPARSE).filter(~F.col("sparse") | (F.col("revenue") > 0))
+    days = days.withColumn("n", F.count(F.lit(1)).over(everything())).filter(F.col("n") >= MIN_DAYS)
     one = days.agg(F.percentile("revenue", F.lit(0.5)).alias("med"), F.stddev_pop("revenue").cast("decimal(20,6)").cast("double").alias("sd"))
     days = days.crossJoin(F.broadcast(one)).filter("med > 0")  # one row
     mad = days.agg(F.percentile(F.abs(F.col("revenue") - F.col("med")), F.lit(0.5)).alias("mad"))
@@ -57,7 +60,7 @@ def margin_leaks(df: DataFrame) -> DataFrame:
     """
     d = derived(df)
     rows = d.groupBy("item").agg(F.min("category").alias("category"), exact_sum(F.col("row_revenue")).alias("revenue"), exact_sum(F.col("row_profit")).alias("profit")).filter("revenue > 0")
-    rows = rows.withColumn("margin", percent(F.col("profit"), F.col("revenue"))).withColumn("share", F.col("revenue") / F.sum(F.col("revenue").cast("decimal(20,6)")).over(ALL).cast("double"))
+    rows = rows.withColumn("margin", percent(F.col("profit"), F.col("revenue"))).withColumn("share", F.col("revenue") / F.sum(F.col("revenue").cast("decimal(20,6)")).over(everything()).cast("double"))
     by_category = rows.groupBy("category").agg(F.percentile("margin", F.lit(0.5)).alias("category_median"), F.count(F.lit(1)).alias("n"))
     shop = rows.agg(F.percentile("margin", F.lit(0.5)).alias("shop_median"))
     rows = rows.join(by_category, "category").crossJoin(F.broadcast(shop))  # one row
@@ -71,8 +74,8 @@ def discount_leader(df: DataFrame) -> DataFrame:
     fine = df.filter((F.col("mrp") > 0) & (F.col("selling_price") <= F.col("mrp")))
     given, listed = exact_sum((F.col("mrp") - F.col("selling_price")) * F.col("quantity")), exact_sum(F.col("mrp") * F.col("quantity"))
     rows = fine.groupBy("item").agg(given.alias("given"), listed.alias("listed")).filter("listed > 0")
-    rows = rows.withColumn("discount_pct", percent(F.col("given"), F.col("listed"))).withColumn("n", F.count(F.lit(1)).over(ALL))
-    overall = percent(F.sum(F.col("given").cast("decimal(20,6)")).over(ALL).cast("double"), F.sum(F.col("listed").cast("decimal(20,6)")).over(ALL).cast("double"))
+    rows = rows.withColumn("discount_pct", percent(F.col("given"), F.col("listed"))).withColumn("n", F.count(F.lit(1)).over(everything()))
+    overall = percent(F.sum(F.col("given").cast("decimal(20,6)")).over(everything()).cast("double"), F.sum(F.col("listed").cast("decimal(20,6)")).over(everything()).cast("double"))
     first = F.row_number().over(Window.orderBy(F.desc("discount_pct"), "item"))
     return rows.withColumn("overall_pct", overall).withColumn("r", first).filter((F.col("r") == 1) & (F.col("n") >= LEADER_ITEMS) & (F.col("discount_pct") - F.col("overall_pct") >= LEADER_GAP)).select("item", "discount_pct", "overall_pct")
 
@@ -80,7 +83,7 @@ def discount_leader(df: DataFrame) -> DataFrame:
 def margin_gaps(df: DataFrame) -> DataFrame:
     """(item, margin, overall): which of the three items of largest revenue earn 5 points less than the whole."""
     rows = _item_sums(df)
-    overall = percent(F.sum(F.col("profit").cast("decimal(20,6)")).over(ALL).cast("double"), F.sum(F.col("revenue").cast("decimal(20,6)")).over(ALL).cast("double"))
+    overall = percent(F.sum(F.col("profit").cast("decimal(20,6)")).over(everything()).cast("double"), F.sum(F.col("revenue").cast("decimal(20,6)")).over(everything()).cast("double"))
     rows = rows.withColumn("overall", overall).withColumn("r", F.row_number().over(Window.orderBy(F.desc("revenue"), "item"))).withColumn("margin", percent(F.col("profit"), F.col("revenue")))
     return rows.filter((F.col("r") <= TOP_REVENUE) & (F.col("margin") < F.col("overall") - MARGIN_GAP)).select("item", "margin", "overall")
 
@@ -89,7 +92,7 @@ def payment_mix(df: DataFrame) -> DataFrame:
     """(payment_mode, revenue, share, margin): modes in order of revenue, with is_dominant for one with half of it or more."""
     d = derived(df)
     rows = d.groupBy("payment_mode").agg(exact_sum(F.col("row_revenue")).alias("revenue"), exact_sum(F.col("row_profit")).alias("profit"))
-    rows = rows.withColumn("share", percent(F.col("revenue"), F.sum(F.col("revenue").cast("decimal(20,6)")).over(ALL).cast("double"))).withColumn("margin", percent(F.col("profit"), F.col("revenue")))
+    rows = rows.withColumn("share", percent(F.col("revenue"), F.sum(F.col("revenue").cast("decimal(20,6)")).over(everything()).cast("double"))).withColumn("margin", percent(F.col("profit"), F.col("revenue")))
     return rows.select("payment_mode", "revenue", "share", "margin", (F.col("share") >= PAYMENT_SHARE).alias("is_dominant"))
 
 
@@ -97,7 +100,7 @@ def concentration(df: DataFrame) -> DataFrame:
     """One row: items with revenue, how many make up 80 % of it, and whether that is at most a fifth of eight items or more."""
     rows = _item_sums(df).filter("revenue > 0")
     x = F.col("revenue").cast("decimal(20,6)")
-    running = F.sum(x).over(Window.orderBy(F.desc("revenue"), "item").rowsBetween(Window.unboundedPreceding, 0)).cast("double") / F.sum(x).over(ALL).cast("double")
+    running = F.sum(x).over(Window.orderBy(F.desc("revenue"), "item").rowsBetween(Window.unboundedPreceding, 0)).cast("double") / F.sum(x).over(everything()).cast("double")
     one = rows.withColumn("running", running).agg(F.count(F.lit(1)).alias("n_items"), (F.count_if(F.col("running") < 0.80) + 1).alias("n_needed"))
     return one.select("n_items", "n_needed", ((F.col("n_items") >= CONCENTRATION_ITEMS) & (F.col("n_needed") / F.col("n_items") <= CONCENTRATION)).alias("is_concentrated"))
 
@@ -115,7 +118,7 @@ def dead_stock(df: DataFrame) -> DataFrame:
     """(item, days_idle, revenue) of items not sold in the last 30 days of the slice."""
     d = derived(df)
     rows = d.groupBy("item").agg(F.max(F.col("sale_date").cast("date")).alias("last_sale"), exact_sum(F.col("row_revenue")).alias("revenue"))
-    return rows.withColumn("days_idle", F.datediff(F.max("last_sale").over(ALL), "last_sale")).filter(F.col("days_idle") >= DEAD_DAYS).select("item", "days_idle", "revenue")
+    return rows.withColumn("days_idle", F.datediff(F.max("last_sale").over(everything()), "last_sale")).filter(F.col("days_idle") >= DEAD_DAYS).select("item", "days_idle", "revenue")
 
 
 SEVERITY = {"critical": 0, "warning": 1, "positive": 2, "neutral": 3}

@@ -11,7 +11,8 @@ from .charts import totals
 from .derive import derived
 from .slicing import Slice
 
-DAY = F.col("sale_date").cast("date")
+def day() -> Column:
+    return F.col("sale_date").cast("date")
 
 
 def kpi(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def kpi(current: DataFrame, previous: DataFrame) -> DataFrame:
 def daily(df: DataFrame) -> DataFrame:
     """(day, transactions, units, revenue, cost, profit, margin_pct) of each calendar day from the first to the last sale, 0 where there is none."""
     d = derived(df)
-    sums = d.groupBy(DAY.alias("day")).agg(*totals(d))
-    calendar = df.agg(F.min(DAY).alias("a"), F.max(DAY).alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
+    sums = d.groupBy(day().alias("day")).agg(*totals(d))
+    calendar = df.agg(F.min(day()).alias("a"), F.max(day()).alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
     filled = calendar.join(sums, "day", "left").fillna(0.0, ["units", "revenue", "cost", "profit"]).fillna(0, ["transactions"])
     return filled.select("day", "transactions", "units", "revenue", "cost", "profit", F.coalesce(percent(F.col("profit"), F.col("revenue")), F.lit(0.0)).alias("margin_pct"))
 
@@ -55,7 +56,7 @@ def category_ledger(df: DataFrame, key: str = "category") -> DataFrame:
 def ledger_total(df: DataFrame) -> DataFrame:
     """The category ledger's last row, and the mean revenue a day."""
     d = derived(df)
-    return d.agg(*totals(d), F.count_distinct(DAY).alias("days")).select("units", "revenue", "cost", "profit", percent(F.col("profit"), F.col("revenue")).alias("margin_pct"), div(F.col("revenue"), F.col("days")).alias("revenue_per_day"))
+    return d.agg(*totals(d), F.count_distinct(day()).alias("days")).select("units", "revenue", "cost", "profit", percent(F.col("profit"), F.col("revenue")).alias("margin_pct"), div(F.col("revenue"), F.col("days")).alias("revenue_per_day"))
 
 
 def revenue_mix(df: DataFrame, slices: int = 6) -> DataFrame:
@@ -75,7 +76,7 @@ def top_items(df: DataFrame, n: int = 5) -> DataFrame:
 
 def slow_items(df: DataFrame, most_units: float = 5.0) -> DataFrame:
     """Items that sold at most so many units in the slice, with the days since they last sold."""
-    sums = df.groupBy("item").agg(exact_sum(F.col("quantity")).alias("units"), F.max(DAY).alias("last_sale"))
+    sums = df.groupBy("item").agg(exact_sum(F.col("quantity")).alias("units"), F.max(day()).alias("last_sale"))
     return sums.withColumn("days_idle", F.datediff(F.max("last_sale").over(Window.partitionBy()), "last_sale")).filter(F.col("units") <= most_units)
 
 

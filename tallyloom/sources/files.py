@@ -33,7 +33,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     head = "\n".join(r[0] for r in lines.limit(20).collect())
     if not head:
         raise QueryError("the file is empty")
-    encoding = "UTF-8" if lines.filter(F.col("value").contains("\ufffd")).isEmpty() else "ISO-8859-1"
+    encoding = "UTF-8" if lines.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, sep=delimiter_of(head), encoding=encoding, quote='"', escape='"')
     if len(df.columns) > MOST_COLUMNS:
         raise QueryError(f"at most {MOST_COLUMNS} columns")
