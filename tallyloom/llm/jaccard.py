@@ -44,7 +44,7 @@ LEVELS = 2
 SMALL_REGION = 48
 #: Class lists up to this length (16 bytes each) are broadcast to fetch sets.
 MOST_BROADCAST = 2_000_000
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: (least shingles, bins) of a set's histogram: enough bins that sets which share little differ by more than links may.
 BINS = ((2500, 2048), (500, 256), (0, 64))
 
@@ -91,13 +91,14 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, list]]:
     """(offset, texts) of pieces of a column that hold CHUNK_BYTES or one text."""
-    texts = column.to_pylist()
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK_BYTES or i + 1 == len(texts):
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
+    for at in range(0, len(column), 256):
+        texts = column.slice(at, 256).to_pylist()
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= CHUNK_BYTES or i + 1 == len(texts):
+                yield at + start, texts[start : i + 1]
+                start, size = i + 1, 0
 
 
 def class_of(own: np.ndarray) -> int:
@@ -214,10 +215,12 @@ def _stars_of(met: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "n", "bins")), strict=True):
-                if held and held[0][0] != row[0]:
-                    close()
-                held.append(row)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                for row in zip(*(some.column(x).to_pylist() for x in ("h", "c", "n", "bins")), strict=True):
+                    if held and held[0][0] != row[0]:
+                        close()
+                    held.append(row)
             yield flush()
         close()
         yield flush()
