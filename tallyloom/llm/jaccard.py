@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, table, trimmed, written
 from .graph import components
 
 SHINGLE = 4
@@ -131,7 +131,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(texts), empty)], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tolist()], empty)], names)
 
-    out = written(docs.mapInArrow(run, "doc_id long, n long, c long, bins binary, counts array<long>"), "classes")
+    out = written(docs.mapInArrow(trimmed(run), "doc_id long, n long, c long, bins binary, counts array<long>"), "classes")
     slots = out.filter("counts is not null").select(F.posexplode("counts")).filter("col > 0").groupBy("pos").agg(F.sum("col").alias("n")).toPandas()  # 2 ** SLOT_BITS rows at most
     counts = np.zeros(1 << SLOT_BITS)
     counts[slots["pos"]] = slots["n"]
@@ -157,7 +157,7 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                     c = class_of(own)
                     if c in known:
                         continue
-                    if len(known) < 1_000_000:
+                    if len(known) < 200_000:
                         known.add(c)
                     k = min(SHINGLE, b - a)
                     sums = np.concatenate([[0], np.cumsum(slot[a:b])])
@@ -168,7 +168,7 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs))], ["h", "c"])
 
-    return written(docs.mapInArrow(run, "h long, c long"), "prefixes")
+    return written(docs.mapInArrow(trimmed(run), "h long, c long"), "prefixes")
 
 
 def near_by_bins(bins: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -225,7 +225,7 @@ def _stars_of(met: DataFrame) -> DataFrame:
         close()
         yield flush()
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
-    return docs.join(wanted, "doc_id").select("text", "c", "family").mapInArrow(run, "family long, c long, n long, own binary")
+    return docs.join(wanted, "doc_id").select("text", "c", "family").mapInArrow(trimmed(run), "family long, c long, n long, own binary")
 
 
 class Region:

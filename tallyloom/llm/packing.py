@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trimmed, written
 
 LIMIT = 2048
 END_ID = 0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 _TOKENIZERS: dict[str, "CachedTokenizer"] = {}
 
 
@@ -172,7 +172,7 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int, keep_ids: bool) ->
                 names = [x.split()[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer_path: str | None = None, limit: int = LIMIT, keep_ids: bool = False) -> DataFrame:
@@ -204,7 +204,7 @@ def pack_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             placed = [pa.array(first[row] + past // each[row]), pa.array(offset[row] + past % each[row] * length)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + placed, names + ["sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(place, schema)
+    return ranked.select(*names, "rank").mapInArrow(trimmed(place), schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

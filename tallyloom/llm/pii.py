@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trimmed, written
 
 KEY = b"tallyloom-surrogates-1"
 ROUNDS = 6
@@ -141,7 +141,7 @@ def canonical(kind: str, value: str) -> str:
     return value if kind == "ipv4" else value.lower()
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def canonical_surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
     """The surrogate of a canonical value; one-to-one for each attempt among values of a kind and form."""
     tweak = f"{kind}|{attempt}"
@@ -222,7 +222,7 @@ def _occurrences(docs: DataFrame, key: bytes) -> DataFrame:
     names = ["doc_id", "kind", "value", "surrogate"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows = [
                 (d, k, v, canonical_surrogate(k, v, key))
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
@@ -232,7 +232,7 @@ def _occurrences(docs: DataFrame, key: bytes) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
 
-    return docs.mapInArrow(run, "doc_id string, kind string, value string, surrogate string")
+    return docs.mapInArrow(trimmed(run), "doc_id string, kind string, value string, surrogate string")
 
 
 def _attempt(key: bytes, attempt: int):
@@ -285,14 +285,14 @@ def surrogate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", ke
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + ([f"`{kinds}` array<string>"] if kinds else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = kept.index(text)
+        at = kept.index(text)
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             texts, maps = batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist()
             done = [(None, []) if t is None else replace(t, key, dict(m) if m else None) for t, m in zip(texts, maps, strict=True)]
             columns = [pa.array([d[0] for d in done], pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array([d[1] for d in done], pa.list_(pa.string()))] if kinds else []), kept + ([kinds] if kinds else []))
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(trimmed(run), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

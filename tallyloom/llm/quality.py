@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 BITS = 17
 DIM = 8
@@ -142,12 +142,12 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                some = batch.slice(k, 128)
                 out = probabilities([t or "" for t in some.column(at).to_pylist()], weights, bias)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out)], [*kept, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, table, trimmed, written
 
 SPAN = 200
 GRAM = 32
@@ -88,7 +88,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             out: list[list[np.ndarray]] = [[] for _ in names]
             own: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -108,7 +108,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(run, "key long, h long, g long, first int, width int, before int, times int")
+    return docs.mapInArrow(trimmed(run), "key long, h long, g long, first int, width int, before int, times int")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -224,7 +224,7 @@ def _runs(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
                     held, size = {}, 0
         yield from flush(held)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def shared_strings(suffixes: list[bytes], lefts: list[bytes], widths: list[int], lcps: list[int]) -> list[np.ndarray]:
@@ -316,7 +316,7 @@ def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     n = len(strings)
                     yield pa.RecordBatch.from_arrays([pa.array([c["h"]] * n, pa.int64()), pa.array([c["g"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(strings, pa.binary())], ["h", "g", "start", "string"])
 
-    strings = written(docs.join(wanted, "key").select("text", "list").mapInArrow(run, "h long, g long, start int, string binary").distinct(), "strings")
+    strings = written(docs.join(wanted, "key").select("text", "list").mapInArrow(trimmed(run), "h long, g long, start int, string binary").distinct(), "strings")
     twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
     return strings.join(twice, "string").select("h", "g", "start", (F.col("start") + SPAN).alias("end"))
 
@@ -354,7 +354,7 @@ def _cut(docs: DataFrame, output: list[str], keep_text: bool) -> DataFrame:
     names = [*output, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows = []
             for text, ranges in zip(batch.column("text_").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -368,7 +368,7 @@ def _cut(docs: DataFrame, output: list[str], keep_text: bool) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] if keep_text else [])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in output] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True) -> DataFrame:
