@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(20,6)"
@@ -58,3 +58,25 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.try_divide(dot, norm(a) * norm(b))
+
+
+#: Intervals of a value for each doubling of it.
+PER_OCTAVE = 64
+
+
+def with_sum_before(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
+    """df with the sum of `value` over the rows before each, in order of falling value, then of tie.
+
+    Values fall into intervals of their logarithm. Sums of intervals are a map-side aggregate of a bounded number of rows, so
+    their running sum is small; within an interval a window adds the rest. No task sees all rows.
+    """
+    x = F.col(value).cast(MONEY)
+    interval = F.when(F.col(value) > 0, F.floor(F.log2(F.col(value)) * PER_OCTAVE)).otherwise(F.lit(-(10**6)))
+    df = df.withColumn("interval__", interval)
+    sums = df.groupBy("interval__").agg(F.sum(x).alias("s"))
+    above = F.sum("s").over(Window.orderBy(F.desc("interval__")).rowsBetween(Window.unboundedPreceding, -1))  # PER_OCTAVE rows for each power of two
+    sums = sums.select(F.col("interval__").alias("i__"), above.alias("above__"))
+    within = F.sum(x).over(Window.partitionBy("interval__").orderBy(F.desc(value), tie).rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.lit(0).cast(MONEY)
+    out = df.join(F.broadcast(sums), F.col("interval__") == F.col("i__")).withColumn(name, (F.coalesce("above__", zero) + F.coalesce(within, zero)).cast("double"))
+    return out.drop("interval__", "i__", "above__")

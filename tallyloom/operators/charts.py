@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fields import MEASURES, PARETO, TIME_DIMENSIONS, TOP_N, QueryError
-from ..functions.numbers import div, exact_sum, percent
+from ..fields import MEASURES, PARETO, TIME_DIMENSIONS, TOP_N, WEEKDAYS, QueryError
+from ..functions.numbers import div, exact_sum, percent, with_sum_before
 from .derive import derived
 
 PARTS = ["revenue", "cost", "profit", "discount", "units", "transactions"]
@@ -52,44 +52,43 @@ def chart(df: DataFrame, dimension: str, measure: str, top_n: int = TOP_N) -> Da
 
     Other dimensions than time are ordered by value, ties by label, and what follows the first top_n is folded to one
     point; time runs in its own order, whole. Shares, cumulative shares and the Pareto count (the groups that make up 80 %) are
-    for additive measures only. The windows run over groups, not rows.
+    for additive measures only. Groups can be as many as there are invoices: the head is a top-k, the tail an aggregate, and no
+    window holds all groups but those of time.
     """
     if measure not in MEASURES:
         raise QueryError(f"no measure {measure}")
     additive = MEASURES[measure][0]
     timed = dimension in TIME_DIMENSIONS
     groups = grouped(df, dimension).withColumn("value", measure_value(measure))
-    if dimension == "weekday":
-        order = [F.array_position(F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")]), F.col("label"))]
+    sums = [F.sum(p).alias(p) if p == "transactions" else exact_sum(F.col(p)).alias(p) for p in PARTS]
+    whole = groups.agg(*sums, exact_sum(F.col("value")).alias("sum_of_values"), F.count(F.lit(1)).alias("group_count"))
+    whole = whole.select((F.col("sum_of_values") if additive else measure_value(measure)).alias("total"), "group_count")
+    if timed:
+        in_order = F.col("label")
+        if dimension == "weekday":
+            in_order = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), in_order)
+        points = groups.withColumn("position", F.row_number().over(Window.orderBy(in_order)))  # days, months or weekdays
+        whole = whole.withColumn("pareto_count", F.lit(None).cast("long"))
     else:
-        order = [F.col("label")] if timed else [F.desc("value"), F.col("label")]
-    everything, in_order = Window.partitionBy(), Window.orderBy(*order)
-    sums = {p: F.sum(F.col(p).cast("decimal(20,6)")).over(everything).cast("double") for p in PARTS}
-    total = F.sum(F.col("value").cast("decimal(20,6)")).over(everything).cast("double") if additive else None
-    groups = groups.withColumn("position", F.row_number().over(in_order)).withColumn("group_count", F.count(F.lit(1)).over(everything))
-    if additive:
-        before = F.coalesce(F.sum(F.col("value").cast("decimal(20,6)")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
-        groups = groups.withColumn("total", total)
-        if timed:
-            groups = groups.withColumn("pareto_count", F.lit(None).cast("long"))
+        if additive:
+            reached = with_sum_before(groups, "value", "label", "before").crossJoin(F.broadcast(whole)).filter(~F.coalesce(div(F.col("before"), F.col("total")) >= PARETO, F.lit(False)))  # one row
+            pareto = reached.agg(F.count(F.lit(1)).alias("n"))
+            whole = whole.crossJoin(pareto).withColumn("pareto_count", F.when(F.col("total") > 0, F.col("n"))).drop("n")  # one row each
         else:
-            groups = groups.withColumn("reached", div(before, F.col("total")) >= PARETO).withColumn("pareto_count", F.when(F.col("total") > 0, F.count_if(~F.col("reached")).over(everything))).drop("reached")
-    else:
-        whole = groups.select("*", *[sums[p].alias(f"all_{p}") for p in PARTS])
-        value = F.coalesce(percent(F.col("all_profit"), F.col("all_revenue")) if measure == "margin_pct" else div(F.col("all_revenue"), F.col("all_units")), F.lit(0.0))
-        groups = whole.withColumn("total", value).withColumn("pareto_count", F.lit(None).cast("long"))
-    if not timed:
-        tail = F.col("position") > top_n
-        label = F.when(tail, F.concat(F.lit("Other ("), (F.col("group_count") - top_n).cast("string"), F.lit(")"))).otherwise(F.col("label"))
-        groups = groups.groupBy(label.alias("label"), F.least("position", F.lit(top_n + 1)).alias("position"), "group_count", "total", "pareto_count").agg(*[(F.sum(p) if p == "transactions" else exact_sum(F.col(p))).alias(p) for p in PARTS])
-        groups = groups.withColumn("value", measure_value(measure))
+            whole = whole.withColumn("pareto_count", F.lit(None).cast("long"))
+        head = groups.orderBy(F.desc("value"), "label").limit(top_n)
+        head = head.withColumn("position", F.row_number().over(Window.orderBy(F.desc("value"), "label")))  # top_n rows
+        named = F.broadcast(head.select(F.col("label").alias("head_label")))
+        tail = groups.join(named, F.col("label").eqNullSafe(F.col("head_label")), "left_anti").agg(*sums, F.count(F.lit(1)).alias("k")).filter("k > 0")
+        tail = tail.withColumn("value", measure_value(measure)).withColumn("label", F.concat(F.lit("Other ("), F.col("k").cast("string"), F.lit(")"))).withColumn("position", F.lit(top_n + 1))
+        points = head.select("position", "label", "value").unionByName(tail.select("position", "label", "value"))
+    points = points.select("position", "label", "value").crossJoin(F.broadcast(whole))  # one row
+    share = cumulative = F.lit(None).cast("double")
     if additive:
         running = F.sum(F.col("value").cast("decimal(20,6)")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-        groups = groups.withColumn("share", percent(F.col("value"), F.col("total"))).withColumn("cumulative", percent(running, F.col("total")))
-    else:
-        groups = groups.withColumn("share", F.lit(None).cast("double")).withColumn("cumulative", F.lit(None).cast("double"))
+        share, cumulative = percent(F.col("value"), F.col("total")), percent(running, F.col("total"))
     is_other = F.lit(False) if timed else F.col("position") > top_n
-    return groups.select(F.col("position").cast("long").alias("position"), "label", "value", "share", "cumulative", "total", "group_count", "pareto_count", is_other.alias("is_other"))
+    return points.select(F.col("position").cast("long").alias("position"), "label", "value", share.alias("share"), cumulative.alias("cumulative"), "total", "group_count", "pareto_count", is_other.alias("is_other"))
 
 
 def extra_measure(df: DataFrame, dimension: str, column: str, average: bool) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import div, exact_sum, percent
+from ..functions.numbers import div, exact_sum, percent, with_sum_before
 from .derive import derived
 from .reports import daily
 
@@ -99,8 +99,8 @@ def payment_mix(df: DataFrame) -> DataFrame:
 def concentration(df: DataFrame) -> DataFrame:
     """One row: items with revenue, how many make up 80 % of it, and whether that is at most a fifth of eight items or more."""
     rows = _item_sums(df).filter("revenue > 0")
-    x = F.col("revenue").cast("decimal(20,6)")
-    running = F.sum(x).over(Window.orderBy(F.desc("revenue"), "item").rowsBetween(Window.unboundedPreceding, 0)).cast("double") / F.sum(x).over(everything()).cast("double")
+    rows = with_sum_before(rows, "revenue", "item", "before").crossJoin(F.broadcast(rows.agg(exact_sum(F.col("revenue")).alias("total"))))  # one row
+    running = (F.col("before").cast("decimal(20,6)") + F.col("revenue").cast("decimal(20,6)")).cast("double") / F.col("total")
     one = rows.withColumn("running", running).agg(F.count(F.lit(1)).alias("n_items"), (F.count_if(F.col("running") < 0.80) + 1).alias("n_needed"))
     return one.select("n_items", "n_needed", ((F.col("n_items") >= CONCENTRATION_ITEMS) & (F.col("n_needed") / F.col("n_items") <= CONCENTRATION)).alias("is_concentrated"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fields import ABC, AGEING
-from ..functions.numbers import clamp, div, exact_sum
+from ..functions.numbers import clamp, div, exact_sum, with_sum_before
 from .derive import derived
 
 WEIGHTS = {"velocity": 0.5, "trend": 0.3, "recency": 0.2}
@@ -41,25 +41,25 @@ def items(df: DataFrame, order: list[str], only_late: float = TREND[1], only_ear
 
 
 def with_abc(rows: DataFrame) -> DataFrame:
-    """abc: by the share of revenue before the item, in order of revenue; all C where there is no revenue. The window runs over items."""
-    x = F.col("revenue").cast("decimal(20,6)")
-    before = F.coalesce(F.sum(x).over(Window.orderBy(F.desc("revenue"), "item").rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
-    total = F.sum(x).over(Window.partitionBy()).cast("double")
-    return rows.withColumn("share_before", before / F.when(total > 0, total)).withColumn("abc", F.when(F.col("share_before") < ABC[0], "A").when(F.col("share_before") < ABC[1], "B").otherwise("C")).drop("share_before")
+    """abc: by the share of revenue before the item, in order of revenue; all C where there is no revenue."""
+    total = exact_sum(F.col("revenue")).alias("total__")
+    rows = with_sum_before(rows, "revenue", "item", "before__").crossJoin(F.broadcast(rows.agg(total)))  # one row
+    share = F.col("before__") / F.when(F.col("total__") > 0, F.col("total__"))
+    return rows.withColumn("abc", F.when(share < ABC[0], "A").when(share < ABC[1], "B").otherwise("C")).drop("before__", "total__")
 
 
 def intelligence(df: DataFrame, order: list[str]) -> DataFrame:
     """The items of a slice with abc, ageing, priority (0 to 100), days of cover, reorder flag and locked capital."""
     rows = with_abc(items(df, order))
-    fastest = F.max("velocity").over(Window.partitionBy())
-    v = F.coalesce(div(F.col("velocity"), fastest), F.lit(0.0))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("velocity").alias("fastest"))))  # one row
+    v = F.coalesce(div(F.col("velocity"), F.col("fastest")), F.lit(0.0))
     t = clamp((F.col("trend") - TREND[0]) / (TREND[1] - TREND[0]), 0, 1)
     r = clamp(1 - F.col("days_idle") / RECENCY_DAYS, 0, 1)
     priority = 100 * (WEIGHTS["velocity"] * v + WEIGHTS["trend"] * t + WEIGHTS["recency"] * r)
     out = rows.withColumn("priority", priority.cast("decimal(20,6)").cast("double")).withColumn("ageing", ageing_bucket(F.col("days_idle")))
     if "stock_on_hand" in df.columns:
         out = out.withColumn("days_cover", div(F.col("stock"), F.col("velocity"))).withColumn("reorder", F.col("days_cover") < COVER_DAYS).withColumn("capital", F.col("stock") * F.col("mean_cost"))
-    return out.drop("window_days", "last_day", "early", "late")
+    return out.drop("window_days", "last_day", "early", "late", "fastest")
 
 
 def ranked(df: DataFrame, order: list[str], n: int = 50) -> DataFrame:
