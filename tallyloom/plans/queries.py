@@ -157,7 +157,7 @@ def _forecast() -> None:
     add("jn08_forecast_with_actuals", sliced(lambda s: forecast.with_actuals(reports.daily(s.current), forecast.forecast(s.current)), window), recent + one + f", j AS (SELECT day, revenue FROM daily), k AS (SELECT day, {sql.six('e')} AS expected FROM e) SELECT COALESCE(j.day, k.day) AS day, revenue, expected FROM j FULL OUTER JOIN k ON j.day = k.day")
 
 
-DIRTY = """SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS row_id, l_shipdate, l_quantity, l_extendedprice, p_name, l_tax
+DIRTY = """SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 8 + l_linenumber AS row_id, l_shipdate, l_quantity, l_extendedprice, p_name, l_tax
  FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
