@@ -473,7 +473,8 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     """The rows of docs whose doc_id is the least of its group; of rows that repeat an id and a text, one."""
     columns = docs.columns
     groups = written(similar_groups(docs, text=text, doc_id=doc_id), "groups")
-    least = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
+    # one way at every size; the ids are the built side, so texts are dealt once and not sorted
+    least = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct().hint("shuffle_hash")
     kept = docs.join(least, F.coalesce(docs[doc_id].cast("long"), F.lit(-1)) == least["kept_"], "left_semi")
     if not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id, text])
