@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm import jaccard, mixing, packing, pii, quality
 from tallyloom.llm.common import table, written
 
+#: The near-duplicates stage: words a shingle, and the least similarity in percent. op5's own are 4 and 85.
+SHINGLE, PERCENT = 5, 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, fitted on the input's own labelled rows, accepts."""
@@ -16,7 +19,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of the n-gram Jaccard join."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, size=SHINGLE, percent=PERCENT)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Jaccard distance is a metric, so a pivot's distances bound those between other d
 
 1. Documents that share nothing lie at distance 1 of each other and of every pivot, so no pivot tells them apart. They
    are separated first, exactly: of a document's shingles, in an order common to all documents, the first
-   n - ceil(0.85 n) + 1 must meet those of every document that it links with. The order puts shingles of rare words
+   n - ceil(p n) + 1 (p: the least similarity that links) must meet those of every document that it links with. The order puts shingles of rare words
    first, by a count of words over all documents in a table of fixed size, so that mostly kin meet. Those that meet at a
    shingle are compared by histograms of their sets: shingles hashed to bins, a map under which the L1 distance never
    exceeds the symmetric difference, so it clears no pair that links. A pivot's neighbours become a star, not all pairs, and
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import partitions, table, trimmed, written
 from .graph import components
 
+#: op5's words a shingle, and its links: 100 * intersection >= PERCENT * union.
 SHINGLE = 4
-#: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SLOT_BITS = 18
 #: A region of at most so many shingles joins in one task (8 bytes each).
@@ -111,11 +111,11 @@ def histogram(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins), 65535).astype("<u2").tobytes()
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, text) -> written (doc_id, n, c, bins), c and bins null where n is 0; and the rarity of each slot of word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for at, texts in chunks(batch.column(1)):
                 words, ends = word_hashes(texts)
                 seen += np.bincount((words >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(seen))
-                sets = [np.unique(shingles(words[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                sets = [np.unique(shingles(words[a:b], size)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(texts), empty)], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tolist()], empty)], names)
 
@@ -138,7 +138,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return out.filter("counts is null").select("doc_id", "n", "c", "bins"), np.round(16 * np.log2(counts + 1)).astype(np.int32)
 
 
-def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
     """(doc_id, text) -> written (h, c): the shingles by which a class meets those that it links with."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -152,17 +152,17 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     if a == b:
                         continue
-                    h = shingles(words[a:b])
+                    h = shingles(words[a:b], size)
                     own, first = np.unique(h, return_index=True)
                     c = class_of(own)
                     if c in known:
                         continue
                     if len(known) < 200_000:
                         known.add(c)
-                    k = min(SHINGLE, b - a)
+                    k = min(size, b - a)
                     sums = np.concatenate([[0], np.cumsum(slot[a:b])])
                     weight = (sums[k:] - sums[:-k])[first]
-                    take = prefix_length(len(own))
+                    take = prefix_length(len(own), percent)
                     hs.append(own[np.lexsort((own, weight))[:take]])
                     cs.append(np.full(take, c, np.int64))
                 if hs:
@@ -171,31 +171,31 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     return written(docs.mapInArrow(trimmed(run), "h long, c long"), "prefixes")
 
 
-def near_by_bins(bins: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def near_by_bins(bins: list[bytes], sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """For documents that meet at a shingle: the least place each is connected with through pairs whose histograms allow a link.
 
-    A pair links only if 185 * |symmetric difference| <= 15 * (sum of sizes), and the L1 distance of histograms is no more.
+    A pair links only if (100 + percent) * |symmetric difference| <= (100 - percent) * (sum of sizes), and the L1 distance of histograms is no more.
     """
     order = np.argsort(sizes, kind="stable")
     folded: dict[int, np.ndarray] = {}
     root = np.arange(len(bins))
     for k, p in enumerate(order[:-1]):
         rest = order[k + 1 :]
-        rest = rest[(root[rest] != root[p]) & (100 * sizes[p] >= PERCENT * sizes[rest])]
+        rest = rest[(root[rest] != root[p]) & (100 * sizes[p] >= percent * sizes[rest])]
         if not len(rest):
             continue
         # larger sets have as many bins or more, and fold to fewer
         if (width := len(bins[p]) // 2) not in folded:
             folded[width] = np.stack([np.frombuffer(b, "<u2").astype(np.int32).reshape(-1, width).sum(axis=0) if len(b) >= 2 * width else np.zeros(width, np.int32) for b in bins])
         table = folded[width]
-        near = rest[185 * np.abs(table[rest] - table[p]).sum(axis=1) <= 15 * (sizes[rest] + sizes[p])]
+        near = rest[(100 + percent) * np.abs(table[rest] - table[p]).sum(axis=1) <= (100 - percent) * (sizes[rest] + sizes[p])]
         for r in np.unique(root[near]):
             low, high = min(root[p], r), max(root[p], r)
             root[root == high] = low
     return root
 
 
-def _stars_of(met: DataFrame) -> DataFrame:
+def _stars_of(met: DataFrame, percent: int) -> DataFrame:
     """(h, c, n, bins), rows of an h together -> (a, b): each class and one that stands for those it may link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def _stars_of(met: DataFrame) -> DataFrame:
         def close() -> None:
             if len(held) > 1:
                 _, c, n, bins = zip(*held, strict=True)
-                root = near_by_bins(list(bins), np.array(n))
+                root = near_by_bins(list(bins), np.array(n), percent)
                 out.extend((c[i], c[r]) for i, r in enumerate(root.tolist()) if r != i)
             held.clear()
 
@@ -228,7 +228,7 @@ def _stars_of(met: DataFrame) -> DataFrame:
     return met.mapInArrow(trimmed(run), "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(doc_id, text), (doc_id, c, family) -> (family, c, n, own): each class's sorted set as bytes."""
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     names = ["family", "c", "n", "own"]
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words, ends = word_hashes(texts)
                 rows = []
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True), at):
-                    own = np.unique(shingles(words[a:b]))
+                    own = np.unique(shingles(words[a:b], size))
                     if len(own) and class_of(own) == classes[i]:  # another row can repeat the id
                         rows.append((families[i], classes[i], len(own), own.tobytes()))
                 columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -252,7 +252,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 class Region:
     """Sets of a region's documents, compactly numbered, and the components found so far."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
         _, tokens = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, np.int64))
         self.width = int(tokens.max(initial=-1)) + 1
@@ -293,13 +294,13 @@ class Region:
         ids = ids[np.argsort(self.sizes[ids], kind="stable")]
         for k, p in enumerate(ids[:-1]):
             rest = ids[k + 1 :]
-            rest = rest[100 * self.sizes[p] >= PERCENT * self.sizes[rest]]
+            rest = rest[100 * self.sizes[p] >= self.percent * self.sizes[rest]]
             if sides is not None:
                 rest = rest[sides[rest] != sides[p]]
             rest = rest[self.roots(rest) != self.root(int(p))] if len(rest) else rest
             if len(rest):
                 both, union = self.meets(int(p), rest)
-                if (near := 100 * both >= PERCENT * union).any():
+                if (near := 100 * both >= self.percent * union).any():
                     self.link(int(p), rest[near])
 
     def join(self, ids: np.ndarray, seed: int = 0) -> None:
@@ -312,10 +313,10 @@ class Region:
         for row, k in enumerate(order):
             both, union = self.meets(int(ids[k]), ids)
             distance[row] = 1 - both / union
-            self.link(int(ids[k]), ids[100 * both >= PERCENT * union])
+            self.link(int(ids[k]), ids[100 * both >= self.percent * union])
         if len(np.unique(self.roots(ids))) == 1:
             return
-        window = 2 * (1 - PERCENT / 100) + 1e-9
+        window = 2 * (1 - self.percent / 100) + 1e-9
         inside = distance <= distance.min(axis=0) + window
         parts = [ids[m] for m in inside]
         if max(map(len, parts)) > 0.8 * len(ids):
@@ -325,11 +326,11 @@ class Region:
             self.join(part, seed + k + 1)
 
 
-def _load(group: pa.Table) -> tuple[np.ndarray, Region]:
+def _load(group: pa.Table, percent: int) -> tuple[np.ndarray, Region]:
     classes = np.array(group.column("c").to_pylist(), np.int64)
     _, first = np.unique(classes, return_index=True)
     own = group.column("own").to_pylist()
-    return classes[first], Region([np.frombuffer(own[i], np.uint64) for i in first])
+    return classes[first], Region([np.frombuffer(own[i], np.uint64) for i in first], percent)
 
 
 def _stars(classes: np.ndarray, region: Region) -> pa.Table:
@@ -338,56 +339,67 @@ def _stars(classes: np.ndarray, region: Region) -> pa.Table:
     return pa.table({"a": classes[some], "b": classes[roots[some]]})
 
 
-def _join_group(group: pa.Table) -> pa.Table:
-    classes, region = _load(group)
-    region.join(np.arange(len(classes)))
-    return _stars(classes, region)
+def _join_group(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        classes, region = _load(group, percent)
+        region.join(np.arange(len(classes)))
+        return _stars(classes, region)
 
+    return run
 
-def _join_blocks(group: pa.Table) -> pa.Table:
+
+def _join_blocks(percent: int):
     """Two blocks, or one with itself: only pairs across the sides, of different known components."""
-    classes, region = _load(group)
-    side = dict(zip(group.column("c").to_pylist(), group.column("side").to_pylist(), strict=True))
-    sides = np.array([side[int(c)] for c in classes])
-    region.pairs(np.arange(len(classes)), sides if len(np.unique(sides)) > 1 else None)
-    return _stars(classes, region)
+
+    def run(group: pa.Table) -> pa.Table:
+        classes, region = _load(group, percent)
+        side = dict(zip(group.column("c").to_pylist(), group.column("side").to_pylist(), strict=True))
+        sides = np.array([side[int(c)] for c in classes])
+        region.pairs(np.arange(len(classes)), sides if len(np.unique(sides)) > 1 else None)
+        return _stars(classes, region)
+
+    return run
 
 
-def _assign(members: pa.Table, pivots: pa.Table) -> pa.Table:
+def _assign(percent: int):
     """Members of a region and its pivots: links to pivots, and the Voronoi regions that each member belongs to."""
-    if not members.num_rows or not pivots.num_rows:
-        return pa.table({name: pa.array([], pa.int64()) for name in ("family", "a", "b", "linked")})
-    mine, own = np.array(members.column("c").to_pylist(), np.int64), members.column("own").to_pylist()
-    order = np.argsort(np.array(pivots.column("c").to_pylist(), np.int64))
-    heads, theirs = np.array(pivots.column("c").to_pylist(), np.int64)[order], pivots.column("own").to_pylist()
-    region = Region([np.frombuffer(x, np.uint64) for x in own] + [np.frombuffer(theirs[k], np.uint64) for k in order])
-    ids = np.arange(len(mine))
-    out: list[tuple[int, int, int]] = []
-    distance = np.empty((len(heads), len(mine)))
-    for k, head in enumerate(heads):
-        both, union = region.meets(len(mine) + k, ids)
-        distance[k] = 1 - both / union
-        out += [(int(c), int(head), 1) for c in mine[(100 * both >= PERCENT * union) & (mine != head)]]
-    inside = distance <= distance.min(axis=0) + 2 * (1 - PERCENT / 100) + 1e-9
-    for k, head in enumerate(heads):
-        out += [(int(c), int(head), 0) for c in mine[inside[k]]]
-    a, b, linked = zip(*out, strict=True)
-    return pa.table({"family": [members.column("family")[0].as_py()] * len(out), "a": a, "b": b, "linked": linked})
-
-
-def _split(sets: DataFrame, sizes: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFrame]:
+
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not members.num_rows or not pivots.num_rows:
+            return pa.table({name: pa.array([], pa.int64()) for name in ("family", "a", "b", "linked")})
+        mine, own = np.array(members.column("c").to_pylist(), np.int64), members.column("own").to_pylist()
+        order = np.argsort(np.array(pivots.column("c").to_pylist(), np.int64))
+        heads, theirs = np.array(pivots.column("c").to_pylist(), np.int64)[order], pivots.column("own").to_pylist()
+        region = Region([np.frombuffer(x, np.uint64) for x in own] + [np.frombuffer(theirs[k], np.uint64) for k in order], percent)
+        ids = np.arange(len(mine))
+        out: list[tuple[int, int, int]] = []
+        distance = np.empty((len(heads), len(mine)))
+        for k, head in enumerate(heads):
+            both, union = region.meets(len(mine) + k, ids)
+            distance[k] = 1 - both / union
+            out += [(int(c), int(head), 1) for c in mine[(100 * both >= percent * union) & (mine != head)]]
+        inside = distance <= distance.min(axis=0) + 2 * (1 - percent / 100) + 1e-9
+        for k, head in enumerate(heads):
+            out += [(int(c), int(head), 0) for c in mine[inside[k]]]
+        a, b, linked = zip(*out, strict=True)
+        return pa.table({"family": [members.column("family")[0].as_py()] * len(out), "a": a, "b": b, "linked": linked})
+
+    return run
+
+
+def _split(sets: DataFrame, sizes: DataFrame, limit: int, level: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Large regions (family, c, n, own) -> links to pivots (a, b) and (family, region, c) by Voronoi regions with windows."""
     big = sets.join(F.broadcast(sizes), "family")  # at most (all shingles) / limit rows
     salts = F.ceil(F.col("shingles") / F.lit(limit / 2)).cast("int")
     pivots = big.filter(F.pmod(F.xxhash64("c", F.lit(level)), F.col("members")) < PIVOTS)
     pivots = written(pivots.select("family", "c", "own", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "pivots")
     members = big.select("family", "c", "own", F.pmod(F.xxhash64("c", F.lit(level + 100)), salts).cast("int").alias("salt"))
-    found = members.groupBy("family", "salt").cogroup(pivots.groupBy("family", "salt")).applyInArrow(_assign, "family long, a long, b long, linked long")
+    found = members.groupBy("family", "salt").cogroup(pivots.groupBy("family", "salt")).applyInArrow(_assign(percent), "family long, a long, b long, linked long")
     found = written(found, "voronoi")
     return found.filter("linked = 1").select("a", "b"), found.filter("linked = 0").select("family", F.xxhash64("family", "b").alias("region"), F.col("a").alias("c"))
 
 
-def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int, percent: int) -> DataFrame:
     """Regions that pivots don't split: pairs of blocks, but for two blocks of one known component."""
     known = components(links)
     rows = sets.join(known, sets["c"] == known["node"], "left").withColumn("component", F.coalesce("root", "c")).drop("node", "root").join(F.broadcast(sizes), "family")
@@ -401,18 +413,18 @@ def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int) ->
     pairs = pairs.select(F.col("x.family").alias("family"), F.col("x.name").alias("x"), F.col("y.name").alias("y"))
     sides = pairs.select("family", "x", "y", F.col("x").alias("name"), F.lit(0).alias("side")).unionByName(pairs.filter("x <> y").select("family", "x", "y", F.col("y").alias("name"), F.lit(1).alias("side")))
     dealt = rows.withColumn("name", F.xxhash64("own_blocks", "block")).select("family", "c", "own", "name").join(sides, ["family", "name"])
-    return dealt.groupBy("family", "x", "y").applyInArrow(_join_blocks, "a long, b long")
+    return dealt.groupBy("family", "x", "y").applyInArrow(_join_blocks(percent), "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int = REGION_SHINGLES) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int = REGION_SHINGLES, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) and their classes -> (a, b): links between classes, enough of them to connect all that links connect."""
-    prefixes = _prefixes(docs, rarity)
+    prefixes = _prefixes(docs, rarity, size, percent)
     least = prefixes.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("h")
     sizes = classes.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"))
     met = prefixes.join(least, "h").distinct().join(sizes, "c")
-    # only sizes within PERCENT of each other link
+    # only sizes within percent of each other link
     by_size = Window.partitionBy("h").orderBy("n", "c")
-    alone = (F.coalesce(100 * F.lag("n").over(by_size), F.lit(0)) < PERCENT * F.col("n")) & (F.coalesce(100 * F.col("n") < PERCENT * F.lead("n").over(by_size), F.lit(True)))
+    alone = (F.coalesce(100 * F.lag("n").over(by_size), F.lit(0)) < percent * F.col("n")) & (F.coalesce(100 * F.col("n") < percent * F.lead("n").over(by_size), F.lit(True)))
     met = written(met.withColumn("alone", alone).filter("not alone").drop("alone"), "met")
     # the shingles of one passage bring the same documents together: one of them is enough
     who = F.xxhash64("c", F.lit(1)), F.xxhash64("c", F.lit(2))
@@ -421,16 +433,16 @@ def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int =
     bins = classes.filter("c is not null").groupBy("c").agg(F.first("bins").alias("bins"))
     spark = docs.sparkSession
     dealt = met.join(groups, "h").join(bins, "c").repartition(partitions(spark), "h").sortWithinPartitions("h", "c")
-    stars = written(_stars_of(dealt).distinct(), "stars")
+    stars = written(_stars_of(dealt, percent).distinct(), "stars")
     families = written(components(stars).select(F.col("node").alias("c"), F.col("root").alias("family")), "families")
     reps = classes.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(_sets(docs, written(reps.join(families, "c"), "wanted")), "sets")
+    sets = written(_sets(docs, written(reps.join(families, "c"), "wanted"), size), "sets")
     found: list[DataFrame] = []
     for level in range(LEVELS + 1):
         sizes = sets.groupBy("family").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
         large = written(sizes.filter(F.col("shingles") > limit), "large")
         small = sets.join(F.broadcast(large.select("family")), "family", "left_anti")
-        found.append(written(small.groupBy("family").applyInArrow(_join_group, "a long, b long"), "links"))
+        found.append(written(small.groupBy("family").applyInArrow(_join_group(percent), "a long, b long"), "links"))
         if large.isEmpty():
             break
         rest = sets.join(F.broadcast(large.select("family")), "family", "left_semi")
@@ -438,9 +450,9 @@ def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int =
             known = found[0]
             for f in found[1:]:
                 known = known.unionByName(f)
-            found.append(written(_blocks(rest, large, known, limit), "links"))
+            found.append(written(_blocks(rest, large, known, limit, percent), "links"))
             break
-        linked, regions = _split(rest, large, limit, level)
+        linked, regions = _split(rest, large, limit, level, percent)
         found.append(linked)
         dealt = rest.join(regions, ["family", "c"]).select(F.col("region").alias("family"), "c", "n", "own")
         # a large region without a pivot keeps its name and waits for the next level
@@ -452,15 +464,17 @@ def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int =
     return out
 
 
-def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limit: int = REGION_SHINGLES) -> DataFrame:
+def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limit: int = REGION_SHINGLES, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach).
 
+    Documents link where the Jaccard similarity of their sets of `size`-word shingles is at least `percent` / 100.
+
     Null texts and texts without a word have no shingles and link with nothing. Rows that repeat a doc_id are documents of
     their own. Rows without a doc_id take part under -1.
     """
     few = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
-    classes, rarity = _classes(few)
-    joined = components(links(few, classes, rarity, limit))
+    classes, rarity = _classes(few, size)
+    joined = components(links(few, classes, rarity, limit, size, percent))
     reps = classes.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     roots = written(reps.join(joined, reps["c"] == joined["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "least"), "roots")
     heads = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -469,10 +483,10 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group; of rows that repeat an id and a text, one."""
     columns = docs.columns
-    groups = written(similar_groups(docs, text=text, doc_id=doc_id), "groups")
+    groups = written(similar_groups(docs, text=text, doc_id=doc_id, size=size, percent=percent), "groups")
     # one way at every size; the ids are the built side, so texts are dealt once and not sorted
     least = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct().hint("shuffle_hash")
     kept = docs.join(least, F.coalesce(docs[doc_id].cast("long"), F.lit(-1)) == least["kept_"], "left_semi")
