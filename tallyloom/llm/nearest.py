@@ -2,9 +2,10 @@
 
 Vectors are scaled by the largest norm and given one more coordinate that makes them unit vectors; for a query with 0 there,
 largest inner product and least angle are then the same. A hash is three rounds of random signs and a fast Hadamard
-transform, then the nearest signed axis. Each of TABLES tables deals all vectors by such a hash (by two, beyond
-ONE_HASH vectors); a query looks into the axes nearest to it. How many is fitted: the least number whose candidates hold
-TARGET of the true neighbours of SAMPLE queries, which one exact scan finds.
+transform, then the nearest signed axis. Each of TABLES tables deals all vectors by such a hash (beyond ONE_HASH vectors,
+by one or two); a query looks into the axes nearest to it. How many is fitted: the cheapest way whose candidates hold TARGET of
+the true neighbours of SAMPLE queries, which one exact scan finds. Where none does short of as many buckets as a table has, all
+queries meet all vectors in blocks; so do queries whose buckets hold too few candidates.
 
 Equal vectors are one class, and of a class only the least k + 1 ids can be among a query's k nearest, so copies of one
 vector never fill a bucket. Full buckets are cut into blocks. Buckets return a query's best k, and an exact order of these
@@ -24,7 +25,9 @@ from .common import table, trimmed, written
 
 TABLES = 8
 ROUNDS = 3
-PROBES = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+PROBES = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
+#: What a probe costs beside its candidates, in candidates.
+PROBE_COST = 64
 SAMPLE = 64
 TARGET = 0.96
 ONE_HASH = 1_000_000
@@ -85,9 +88,13 @@ def probe_order(query: np.ndarray, t: int, hashes: int, most: int) -> np.ndarray
         if best is None:
             best = (order, scores[order])
         else:
-            sums = (best[1][:, None] + scores[order][None]).ravel()
+            # of two falling lists, (i, j) comes after (i + 1) * (j + 1) - 1 others
+            many = np.minimum(most // np.arange(1, len(best[0]) + 1), len(order))
+            i = np.repeat(np.arange(len(many)), many)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            sums = best[1][i] + scores[order[j]]
             at = np.argsort(-sums, kind="stable")[:most]
-            best = ((best[0][:, None] * len(scores) + order[None]).ravel()[at], sums[at])
+            best = (best[0][i[at]] * len(scores) + order[j[at]], sums[at])
     return best[0]
 
 
@@ -102,40 +109,48 @@ def _classes(vectors: DataFrame, k: int) -> DataFrame:
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & fine).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).withColumn("v", F.xxhash64("vector"))
     order = Window.partitionBy("v", "vector").orderBy("vec_id")
-    few = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)  # limited in each task before the shuffle
-    return written(few.groupBy("v", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("c"), "vector", "members"), "vectors")
+    few = rows.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k + 1)  # limited in each task before the shuffle
+    return written(few.groupBy("v", "vector").agg(F.array_sort(F.collect_set("vec_id")).alias("members")).select(F.col("members")[0].alias("c"), "vector", "members"), "vectors")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _fit(classes: DataFrame, queries: DataFrame, dim: int, most: float, k: int, hashes: int) -> int:
-    """The least number of probes that reaches TARGET on a sample of queries."""
+def _fit(classes: DataFrame, queries: DataFrame, n: int, most: float, k: int) -> tuple[int, int] | None:
+    """(hashes, probes): the cheapest way that reaches TARGET on a sample of queries; None where all buckets would be probed."""
     sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).toPandas()
     if sample.empty:
-        return PROBES[0]
+        return None
     ids, q = sample["query_id"].to_numpy(), np.stack(sample["vector"].to_numpy())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, c = _stack(batch.column(1)), batch.column(0).to_numpy()
-            scores, own = q @ v.T, codes(unit(v, most), TABLES, hashes)
+            c = batch.column(0).to_numpy()
+            scores = q @ _stack(batch.column(1)).T
             for i in range(len(q)):
                 at = _best(scores[i], c, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(c[at]), pa.array(scores[i][at]), pa.array(own[at].tolist(), pa.list_(pa.int64()))], ["q", "c", "score", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(c[at]), pa.array(scores[i][at]), batch.column(1).take(pa.array(at))], ["q", "c", "score", "vector"])
 
-    found = classes.select("c", "vector").mapInArrow(trimmed(scan), "q long, c long, score double, codes array<long>")
+    found = classes.select("c", "vector").mapInArrow(trimmed(scan), "q long, c long, score double, vector array<double>")
     first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
     near = found.withColumn("r", first).filter(F.col("r") <= k + 1).toPandas()  # SAMPLE * (k + 1) rows
-    ranks = []
-    for i, group in near.groupby("q"):
-        group = group[group["c"] != ids[i]].head(k)
-        x = np.append(q[i] / np.linalg.norm(q[i]), 0.0)
-        order = [{int(b): r for r, b in enumerate(probe_order(x, t, hashes, PROBES[-1]))} for t in range(TABLES)]
-        ranks += [min(order[t].get(int(c), PROBES[-1]) for t, c in enumerate(own)) for own in group["codes"]]
-    ranks = np.array(ranks)
-    return next((p for p in PROBES if not len(ranks) or (ranks < p).mean() >= TARGET), PROBES[-1])
+    width = 2 * rotated(np.zeros((1, q.shape[1] + 1)), 0).shape[1]
+    cheapest, way = float("inf"), None
+    for hashes in (1,) if n <= ONE_HASH else (1, 2):
+        ranks, reach = [], min(PROBES[-1], width**hashes)
+        for i, group in near.groupby("q"):
+            group = group[group["c"] != ids[i]].head(k)
+            if group.empty:
+                continue
+            x = np.append(q[i] / np.linalg.norm(q[i]), 0.0)
+            order = [{int(b): r for r, b in enumerate(probe_order(x, t, hashes, reach))} for t in range(TABLES)]
+            ranks += [min(order[t].get(int(c), reach) for t, c in enumerate(own)) for own in codes(unit(np.stack(group["vector"].to_numpy()), most), TABLES, hashes)]
+        ranks = np.array(ranks)
+        probes = next((p for p in PROBES if TABLES * p < width**hashes and (not len(ranks) or (ranks < p).mean() >= TARGET)), None)
+        if probes is not None and (cost := TABLES * probes * (n / width**hashes + PROBE_COST)) < cheapest:
+            cheapest, way = cost, (hashes, probes)
+    return way
 
 
 def _search(k: int):
@@ -166,6 +181,23 @@ def _search(k: int):
     return run
 
 
+FOUND = "query_id long, ids array<long>, scores array<double>"
+
+
+def _all_pairs(classes: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    """Every query against every vector, by blocks of both."""
+    blocks, sides = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // BLOCK))
+    left = classes.select("c", "vector", "members", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"))
+    right = queries.select("query_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(sides)).cast("int").alias("side"))
+    return left.groupBy("block", "side").cogroup(right.groupBy("block", "side")).applyInArrow(_search(k), FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query_id", F.col("x.ids").alias("vec_id")).agg(F.max("x.scores").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: for each id divisible by `every`, the k nearest others found.
 
@@ -181,11 +213,14 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     dim = lengths["dim"]
     classes = classes.filter(F.size("vector") == dim)
     n, square = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()
-    most, hashes = float(np.sqrt(square)) * (1 + 1e-12), 1 if n <= ONE_HASH else 2
+    most = float(np.sqrt(square)) * (1 + 1e-12)
     rows = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     queries = written(rows.filter((F.col("query_id") % every == 0) & F.col("vector").isNotNull() & fine & (F.size("vector") == dim)).dropDuplicates(["query_id", "vector"]), "queries")
-    probes = _fit(classes, queries, dim, most, k, hashes)
+    way = _fit(classes, queries, n, most, k)
+    if way is None:
+        return _ranked(_all_pairs(classes, queries, n, k), k)
+    hashes, probes = way
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,10 +244,16 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     left = dealt.join(full, "bucket", "left").select("c", "vector", "members", "bucket", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"))
     asked = written(queries.mapInArrow(trimmed(ask), "query_id long, vector array<double>, bucket long"), "asked")
     right = asked.join(full, "bucket", "left").select("query_id", "vector", "bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    found = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(_search(k), "query_id long, ids array<long>, scores array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query_id", F.col("x.ids").alias("vec_id")).agg(F.max("x.scores").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    found = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(_search(k), FOUND)
+    ranked = written(_ranked(found, k), "ranked")
+    # of all ids, k + 1 tell how many results there are
+    full_length = min(k, classes.select(F.explode("members").alias("m")).distinct().limit(k + 1).count() - 1)
+    whole = ranked.groupBy("query_id").count().filter(F.col("count") >= full_length).select("query_id")
+    short = written(queries.join(whole, "query_id", "left_anti"), "short")
+    if full_length < 1 or short.isEmpty():
+        return ranked
+    topped = _ranked(_all_pairs(classes, short, n, k), k)
+    return ranked.join(whole, "query_id", "left_semi").unionByName(topped)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
