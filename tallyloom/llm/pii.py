@@ -8,13 +8,14 @@ many languages, and its title stay. Mail goes to reserved example domains.
 
 One collision is left: a surrogate can equal another entity of the corpus. A Spark job over the distinct entities (not
 over texts) finds those and moves them on by further rounds of the permutation, checked against originals and
-surrogates alike; what it changes is joined to the documents that hold such an entity.
+surrogates alike, until none is left; where a form's domain is full, names, mail and phones grow by letters or digits. What it changes is joined to the documents that hold such an entity.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,10 @@ from .common import table, trimmed, written
 
 KEY = b"tallyloom-surrogates-1"
 ROUNDS = 6
-#: Attempts at another surrogate where one meets an original; after these the entity keeps the last attempt.
+#: Attempts at another surrogate of the same form where one meets an original; further ones are longer, by one letter or digit each.
 RETRIES = 4
+#: Attempts after which the job fails instead of keeping a surrogate that is taken.
+MOST_ATTEMPTS = 60
 
 # Title words that announce a name, by the gender they mark.
 TITLES_M = ["Mr", "Herr", "Señor", "Sr", "Monsieur"]
@@ -87,30 +90,49 @@ _CLASS = {c: (k, i) for k, cs in enumerate(LETTERS) for i, c in enumerate(cs)} |
 _SET = {-1: "0123456789"} | dict(enumerate(LETTERS))
 
 
+@lru_cache(4096)
+def _others(low: str) -> str:
+    """For a letter outside LETTERS: those of its script, category and block of 256."""
+    block, script = ord(low) & ~255, unicodedata.name(low, "").split(" ")[0]
+    near = (chr(i) for i in range(block, block + 256))
+    return "".join(x for x in near if x.isalpha() and x.lower() == x and x not in _CLASS and unicodedata.category(x) == unicodedata.category(low) and unicodedata.name(x, "").split(" ")[0] == script)
+
+
+def _class(c: str) -> tuple[int, int, str] | None:
+    """(number of the class, place in it, its members) of a letter or digit."""
+    low = c.lower()
+    if low in _CLASS:
+        k, i = _CLASS[low]
+        return k, i, _SET[k]
+    if len(low) != 1 or not low.isalpha() or len(own := _others(low)) < 2 or low not in own:
+        return None
+    return 1000 + ord(own[0]), own.index(low), own
+
+
 def _letters(text: str, key: bytes, tweak: str, keep_last: int = 0) -> str:
     """Letters and digits permuted within their class, script and case; other characters and the last keep_last letters stay."""
-    at = [(i, *_CLASS[c.lower()]) for i, c in enumerate(text) if c.lower() in _CLASS]
+    at = [(i, *found) for i, c in enumerate(text) if (found := _class(c))]
     at = at[: len(at) - keep_last] if len(at) > keep_last + 1 else at
     if not at:
         return text
-    kinds = [k for _, k, _ in at]
+    kinds = [k for _, k, _, _ in at]
     half = len(at) // 2
-    sizes = [len(_SET[k]) for k in kinds]
+    sizes = [len(own) for *_, own in at]
     u = v = 1
     for s in sizes[:half]:
         u *= s
     for s in sizes[half:]:
         v *= s
     value = 0
-    for (_, _, d), s in zip(at, sizes, strict=True):
+    for (_, _, d, _), s in zip(at, sizes, strict=True):
         value = value * s + d
     stays = "".join(c for i, c in enumerate(text) if i > at[-1][0])
     shape = "".join(f"{k:x}." for k in kinds) + stays.lower()
     value = permute(value, u, v, key, f"{tweak}|{shape}")
     out = list(text)
-    for (i, k, _), s in zip(reversed(at), reversed(sizes), strict=True):
+    for (i, _, _, own), s in zip(reversed(at), reversed(sizes), strict=True):
         value, d = divmod(value, s)
-        c = _SET[k][d]
+        c = own[d]
         out[i] = c.upper() if text[i].isupper() and len(c.upper()) == 1 else c
     return "".join(out)
 
@@ -141,10 +163,25 @@ def canonical(kind: str, value: str) -> str:
     return value if kind == "ipv4" else value.lower()
 
 
+def _wider(kind: str, value: str, made: str, key: bytes, more: int) -> str:
+    """A surrogate with `more` further keyed letters (digits of a phone), before a name's last letter or at the end of a mailbox."""
+    head, tail = (made[:-1], made[-1:]) if kind == "name" else (made[: made.rindex("@")], made[made.rindex("@") :]) if kind == "email" else (made, "")
+    word = head.split(" ")[-1] + (tail if kind == "name" else "")
+    classes = [_SET[-1]] if kind == "phone" else [found[2] for c in word if c.isalpha() and (found := _class(c))] or [LETTERS[1]]
+    for j in range(more):
+        own = classes[j % len(classes)]
+        head += own[_round(key, f"{kind}|wider|{more}|{value}", j, 0) % len(own)]
+    return head + tail
+
+
 @lru_cache(20_000)
 def canonical_surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The surrogate of a canonical value; one-to-one for each attempt among values of a kind and form."""
-    tweak = f"{kind}|{attempt}"
+    """The surrogate of a canonical value; one-to-one for each attempt up to RETRIES among values of a kind and form."""
+    made = _permuted(kind, value, key, f"{kind}|{attempt}")
+    return _wider(kind, value, made, key, attempt - RETRIES) if attempt > RETRIES and kind in ("name", "email", "phone") else made
+
+
+def _permuted(kind: str, value: str, key: bytes, tweak: str) -> str:
     if kind == "email":
         return _email(value, key, tweak)
     if kind == "secret":
@@ -173,13 +210,13 @@ def canonical_surrogate(kind: str, value: str, key: bytes = KEY, attempt: int =
 def render(kind: str, original: str, value: str) -> str:
     """A canonical surrogate in the form of the text that it replaces."""
     if kind in ("phone", "card", "ssn"):
-        return _refill(original, value, str.isdigit)
+        return _refill(original, value, str.isdigit) + value[sum(map(str.isdigit, original)) :]
     if kind == "iban":
         return _refill(original, value, str.isalnum)
     if kind == "secret":
         return value.upper() if original.upper() == original else value
     if kind == "name":
-        return "".join(c.upper() if o.isupper() else c for o, c in zip(original, value, strict=True))
+        return "".join(c.upper() if original[min(i, len(original) - 1)].isupper() else c for i, c in enumerate(value))
     return value.upper() if kind == "email" and original.upper() == original else value
 
 
@@ -251,15 +288,18 @@ def _moved(found: DataFrame, key: bytes) -> DataFrame:
     taken = known.select("kind", F.col("value").alias("s")).unionByName(known.select("kind", F.col("surrogate").alias("s"))).distinct()
     open_ = known.join(known.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value")
     done = None
-    for attempt in range(1, RETRIES + 1):
-
+    for attempt in range(1, MOST_ATTEMPTS + 1):
         tried = written(open_.mapInArrow(_attempt(key, attempt), "kind string, value string, s string"), "surrogates")
         if tried.isEmpty():
             break
         used = taken if done is None else taken.unionByName(done.select("kind", "s"))
-        good = tried if attempt == RETRIES else tried.join(used, ["kind", "s"], "left_anti")
+        good = tried.join(used, ["kind", "s"], "left_anti").groupBy("kind", "s").agg(F.min("value").alias("value"))
+        good = written(good.select("kind", "value", "s"), "moved")
         done = good if done is None else done.unionByName(good)
         open_ = tried.join(good, ["kind", "value"], "left_anti").select("kind", "value")
+    else:
+        if not open_.isEmpty():
+            raise RuntimeError("surrogates still meet other entities")
     spark = known.sparkSession
     return done if done is not None else spark.createDataFrame([], "kind string, value string, s string")
 
