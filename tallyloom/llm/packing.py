@@ -10,11 +10,15 @@ rank within their length from counts of each task (a shuffle of counts, not of p
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +27,12 @@ from .common import table, trimmed, written
 
 LIMIT = 2048
 END_ID = 0
-CACHED_WORDS = 250_000
+CACHED = 600_000
+ROWS = 1024
+_MARKS = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: White space before a space (so is every character that some table of Unicode calls white space).
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_CUT = re.compile(r"(?<=[^\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]) ").split
 _TOKENIZERS: dict[str, "CachedTokenizer"] = {}
 
 
@@ -34,39 +43,88 @@ def default_tokenizer_path() -> str:
 
 
 class CachedTokenizer:
-    """Ids of a byte-level BPE tokenizer file as little-endian unsigned 32-bit bytes.
+    """Ids of a byte-level BPE tokenizer file as little-endian unsigned 32-bit integers.
 
-    Such a tokenizer splits a text into words by a fixed pattern and encodes each word by itself, so a word's ids are kept
-    (up to CACHED_WORDS words, then the table starts anew). Texts that hold a special token's string go to the tokenizer whole.
+    Such a tokenizer splits a text into words by a fixed pattern and encodes each word by itself. A word holds a space only
+    at its start or among white space, so a text can be cut before each space that follows no white space: what lies
+    between two such cuts is encoded alike wherever it stands. Arrow cuts a batch and finds the different cuts; only
+    these meet Python. Their ids are kept in tables that begin anew at CACHED entries. Texts that hold a special
+    token's string go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         import json
-        import os
 
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # how the vocabulary writes each byte
+        self.letters = {b: x for c in range(0x800) for b, x in zip(chr(c).encode(), self.split(chr(c))[0][0], strict=True)}
+        self.bpe = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        known, out = self.words, []
-        split = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        if missing := list({w for ws in split if ws for w in ws if w not in known}):
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for t, ws in zip(texts, split, strict=True):
-            ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(known.__getitem__, ws))
-            out.append(ids)
-        return out
+        self.cuts: dict[str, bytes] = {}
+
+    def _word(self, w: str) -> bytes:
+        """Ids of a word as the vocabulary writes it."""
+        known = self.words.get(w)
+        if known is None:
+            ids = [t.id for t in self.bpe(w)]
+            known = self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
+
+    def _cut(self, cut: str) -> bytes:
+        """Ids of a space and the cut after it, which are kept."""
+        known = self.cuts.get(cut)
+        if known is None:
+            if cut.isalpha() and max(cut) < "\u0250":  # one word in every version of Unicode
+                ids = [t.id for t in self.bpe((" " + cut).encode().decode("latin-1").translate(self.letters))]
+                known = struct.pack(f"<{len(ids)}I", *ids)
+            elif cut[-1:] in _MARKS and cut[:-1].isalpha() and max(cut) < "\u0250":
+                known = self._cut(cut[:-1]) + self._word(cut[-1])
+            else:
+                known = b"".join([self._word(w) for w, _ in self.split(" " + cut)])
+            self.cuts[cut] = known
+        return known
+
+    def _head(self, cut: str) -> bytes:
+        return b"".join([self._word(w) for w, _ in self.split(cut)])
+
+    def _row(self, text: str) -> bytes:
+        """A text with white space before a space, or with a special token."""
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *cuts = _CUT(text)
+        return self._head(first) + b"".join(map(self._cut, cuts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), and where each text's begin (one more at the end)."""
+        self.words, self.cuts = ({} if len(x) > CACHED else x for x in (self.words, self.cuts))
+        odd = pc.match_substring_regex(texts, _SPACES)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        rows = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        flat, starts = pc.dictionary_encode(rows.values), np.array(rows.offsets)
+        cuts = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.cuts.get, cuts))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self._cut(cuts[i])
+        # a text's first cut has no space before it
+        heads = list(map(self._head, rows.values.take(pa.array(starts[:-1])).to_pylist()))
+        for r in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            heads[r] = self._row(texts[r].as_py())
+        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which[starts[:-1]] = len(ids) + np.arange(len(heads))
+        ids += heads
+        pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array(list(map(len, ids)), np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        where = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], sizes[which])
+        return pool[where], ends[starts]
 
 
 def tokenizer(path: str) -> CachedTokenizer:
@@ -159,13 +217,15 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int, keep_ids: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = tokenizer(path).encode, TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                texts = pc.fill_null(some.column(1), "")
+                ids, starts = encode(texts.cast(pa.string()))
                 rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    ids += END_ID.to_bytes(4, "little")
-                    for k, (start, length) in enumerate(cut_pieces(len(ids) // 4, limit)):
-                        own = ids[4 * start : 4 * (start + length)]
+                for doc_id, a, b in zip(some.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    whole = ids[a:b].tobytes() + END_ID.to_bytes(4, "little")
+                    for k, (start, length) in enumerate(cut_pieces(len(whole) // 4, limit)):
+                        own = whole[4 * start : 4 * (start + length)]
                         rows.append((doc_id, k, start, length, zlib.crc32(own), part, int(seen[length]), *([own] if keep_ids else [])))
                         seen[length] += 1
                 types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.binary()] if keep_ids else [])]
