@@ -6,15 +6,18 @@ positions), with the bytes before the anchor kept beside them: an anchor stands
 its context is what these cover.
 
 1. Anchors are counted by the hash of their gram. Those that occur once can't repeat and go.
-2. A context that occurs as a whole twice repeats as a whole. It and the contexts that share only an anchor are kept once each.
-3. Those contexts' suffixes are merge-sorted across tasks: each task sorts its own, front-codes the run (length of the
+2. Equal contexts (told by 128 bits) become one, with the number of times that it occurs: copies meet as a map-side
+   aggregate, and each different context takes part in the sort once.
+3. All those contexts' suffixes are merge-sorted across tasks: each task sorts its own, front-codes the run (length of the
    common prefix with the one before, and the rest), and deals it out by gram; receivers combine runs in a loser tree that keeps
    the common prefix with the last winner, so known prefixes are never compared again. The common prefix of
-   neighbours to the right, and what precedes the anchors to the left, say which strings two contexts share.
+   neighbours to the right, and what precedes the anchors to the left, say which strings two contexts share; a
+   context that occurs twice shares all of its own.
 4. Repeated strings go back to the documents as byte ranges.
 
-Copies, common passages and lines meet as counts (map-side aggregates), not as groups. A gram with more than MOST_CONTEXTS
-different contexts isn't sorted in one task: its strings are counted by hash, again as aggregates.
+A gram with more than MOST_CONTEXTS different contexts would be one large group. Its contexts are cut into narrower ones,
+by the distance of their strings from the anchor, and grouped by all the bytes that these strings have in common instead
+of the gram: the same steps, with a longer gram. In the last of STEPS a context is one string, so equal ones are one row.
 """
 
 from __future__ import annotations
@@ -33,6 +36,14 @@ from .common import partitions, table, trimmed, written
 SPAN = 200
 GRAM = 32
 MOST_CONTEXTS = 20_000
+#: How many neighbouring strings a narrower context of a crowded gram holds, by level.
+STEPS = (24, 1)
+#: Groups of runs for each shuffle partition: more of them spread evenly.
+GROUPS = 16
+KEYS = ["key", "check"]
+#: Bytes of a gram's hash before its suffix.
+HEAD = 8
+CONTEXT = "h long, g binary, first int, width int, before int"
 #: A run is sent off when it holds so many bytes.
 RUN_BYTES = 16 << 20
 
@@ -79,36 +90,59 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _grams(docs: DataFrame) -> DataFrame:
+    """(key, check, text) -> (h): grams of anchors that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            found = [anchors(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8))[0] for t in batch.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return docs.select("text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+
+
+def _binaries(values: bytes, size: int) -> pa.Array:
+    n = len(values) // size
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, size * n + 1, size, dtype=np.int32)), pa.py_buffer(values)])
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(key, text) -> (key, h, g, first, width, before, times): a document's different anchors with contexts, times how often it has them.
+    """(key, check, text) -> (key, check, h, g, first, width, before, more): a document's different contexts.
 
-    Rows without h are byte ranges [first, first + width) that the document itself repeats.
+    first: where the context starts; more: where else it does, null if nowhere. g is the digest of its bytes.
     """
-    names = ["key", "h", "g", "first", "width", "before", "times"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = [*KEYS, "h", "g", "first", "width", "before", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            own: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            digests, more, row = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 h, at, first, last = anchors(np.frombuffer(data, np.uint8))
                 if not len(h):
                     continue
-                g = np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + SPAN]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-                _, one, where, times = np.unique(g ^ (h * _M1), return_index=True, return_inverse=True, return_counts=True)
-                if len(one) < len(h):
-                    twice = times[where] > 1
-                    own += [(key, None, None, s, e - s, None, None) for s, e in spans_of(first[twice], last[twice] + SPAN)]
-                for o, v in zip(out, (np.full(len(one), key), h[one].view(np.int64), g[one].view(np.int64), first[one], (last - first + 1)[one], (at - first)[one], times), strict=True):
-                    o.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, types, strict=True)], names)
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], names)
-
-    return docs.mapInArrow(trimmed(run), "key long, h long, g long, first int, width int, before int, times int")
+                own = [xxhash.xxh3_128_digest(data[a : b + SPAN]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                one, again = np.arange(len(h)), [None] * len(h)
+                if len(np.unique(h)) < len(h):
+                    places: dict[bytes, list[int]] = {}
+                    for k, g in enumerate(own):
+                        places.setdefault(g, []).append(k)
+                    one = np.array([ks[0] for ks in places.values()])
+                    own, again = list(places), [first[ks[1:]].tolist() or None for ks in places.values()]
+                digests += own
+                more += again
+                row.append(np.full(len(one), i))
+                for o, v in zip(out, (h.view(np.int64), first, last - first + 1, at - first), strict=True):
+                    o.append(v[one])
+            if row:
+                where = pa.array(np.concatenate(row))
+                h, first, width, before = (np.concatenate(o) for o in out)
+                columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(h), _binaries(b"".join(digests), 16), *(pa.array(x, pa.int32()) for x in (first, width, before)), pa.array(more, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(trimmed(run), f"key long, check int, {CONTEXT}, more array<int>")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -194,19 +228,27 @@ def merged(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int
             node >>= 1
 
 
-def _runs(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
-    """(key, text), (key, list of contexts) -> front-coded sorted runs, dealt out by gram."""
-    joined = docs.join(wanted, "key").select("text", "list")
-    schema = "part int, lcp array<int>, rest array<binary>, lefts array<binary>, h array<long>, g array<long>, width array<int>, times array<long>"
-    types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+def _with_text(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(key, check, text), contexts of documents -> (text, list of the contexts)."""
+    listed = contexts.groupBy(*KEYS).agg(F.collect_list(F.struct(*[c for c in contexts.columns if c not in KEYS])).alias("list"))
+    return docs.join(listed.hint("shuffle_hash"), KEYS).select("text", "list")
+
+
+def _runs(docs: DataFrame, contexts: DataFrame, parts: int) -> DataFrame:
+    """Documents and their contexts -> front-coded sorted runs, dealt out by gram.
+
+    A suffix is written after the hash of its gram, so a run, and what is merged of runs, is in order of grams.
+    """
+    schema = "part int, lcp array<int>, rest array<binary>, lefts array<binary>, g array<binary>, width array<int>, times array<long>"
+    types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def flush(held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
         for part, rows in held.items():
             rows.sort(key=lambda r: r[0])
             lcp, rest = front_coded([r[0] for r in rows])
-            _, lefts, h, g, width, times = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, lcp, rest, lefts, h, g, width, times), types, strict=True)], names)
+            _, lefts, g, width, times = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, lcp, rest, lefts, g, width, times), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -217,14 +259,14 @@ def _runs(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
                 for c in contexts:
                     first, at = c["first"], c["first"] + c["before"]
                     end = first + c["width"] - 1 + SPAN
-                    held.setdefault(c["h"] % parts, []).append((data[at:end], data[first:at], c["h"], c["g"], c["width"], c["times"]))
+                    held.setdefault(c["h"] % parts, []).append((c["h"].to_bytes(HEAD, "big", signed=True) + data[at:end], data[first:at], c["g"], c["width"], c["times"]))
                     size += end - first + 64
                 if size > RUN_BYTES:
                     yield from flush(held)
                     held, size = {}, 0
         yield from flush(held)
 
-    return joined.mapInArrow(trimmed(run), schema)
+    return _with_text(docs, contexts).mapInArrow(trimmed(run), schema)
 
 
 def shared_strings(suffixes: list[bytes], lefts: list[bytes], widths: list[int], lcps: list[int]) -> list[np.ndarray]:
@@ -250,101 +292,120 @@ def shared_strings(suffixes: list[bytes], lefts: list[bytes], widths: list[int],
                         out[x][s:e] = True
         return out
     longest = max(map(len, lefts))
-    back = np.zeros((m, longest + 1), np.uint64)
+    back = np.zeros((m, longest + 1), np.int64)
     for i, left in enumerate(lefts):
         back[i, 1 : len(left) + 1] = np.frombuffer(left[::-1], np.uint8)
-    code = back[:, 0].copy()
+    code = np.zeros(m, np.int64)  # equal for equal bytes before the anchor, as many as are looked at
     sizes, wide, lcp = np.array([len(x) for x in lefts]), np.array(widths), np.array(lcps)
     for o in range(longest + 1):
         if o:
-            code = (code ^ (code >> np.uint64(29))) * _M2 + back[:, o] + np.uint64(1)
+            _, code = np.unique(code << 8 | back[:, o], return_inverse=True)
         has = np.flatnonzero((sizes >= o) & (sizes - o < wide))
         if len(has) < 2:
             continue
-        cluster = np.cumsum(lcp < SPAN - o).astype(np.uint64)
-        key = code[has] * _M1 ^ (cluster[has] + np.uint64(1)) * _M2
-        _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+        cluster = np.cumsum(lcp < SPAN - o)
+        _, where, times = np.unique(code[has] << 32 | cluster[has], return_inverse=True, return_counts=True)
         for x in has[times[where] > 1]:
             out[x][sizes[x] - o] = True
     return out
 
 
 def _merge_part(group: pa.Table) -> pa.Table:
-    """The runs of one part -> (h, g, start, end): byte ranges, from a context's start, of strings that others share."""
+    """The runs of one part -> (h, g, start, end): byte ranges, from a context's start, of strings that occur again."""
     columns = {n: group.column(n).to_pylist() for n in group.column_names}
     rows: list[tuple] = []
 
     def close(held: list[tuple]) -> None:
-        if len(held) < 2:
-            return
         suffixes, lcps, where = zip(*held, strict=True)
-        lefts = [columns["lefts"][r][i] for r, i in where]
-        found = shared_strings(list(suffixes), lefts, [columns["width"][r][i] for r, i in where], list(lcps))
+        h = int.from_bytes(suffixes[0][:HEAD], "big", signed=True)
+        widths = [columns["width"][r][i] for r, i in where]
+        found = shared_strings([x[HEAD:] for x in suffixes], [columns["lefts"][r][i] for r, i in where], widths, list(lcps)) if len(held) > 1 else [np.zeros(widths[0], bool)]
         for (r, i), which in zip(where, found, strict=True):
-            if columns["times"][r][i] == 1 and which.any():
-                starts = np.flatnonzero(which)
-                rows.extend((columns["h"][r][i], columns["g"][r][i], s, e) for s, e in spans_of(starts, starts + SPAN))
+            if columns["times"][r][i] > 1:
+                which[:] = True
+            starts = np.flatnonzero(which)
+            rows.extend((h, columns["g"][r][i], s, e) for s, e in spans_of(starts, starts + SPAN))
 
     held: list[tuple] = []
-    seen: set[int] = set()
-    pending = SPAN
+    seen: set[bytes] = set()
+    pending = 0
     for r, i, suffix, lcp in merged(list(zip(columns["lcp"], columns["rest"], strict=True))):
         g = columns["g"][r][i]
         pending = min(pending, lcp)
-        if pending < GRAM:
-            close(held)
+        if pending < HEAD:
+            if held:
+                close(held)
             held, seen = [], set()
         elif g in seen:  # the same context from a repeated row
             continue
-        held.append((suffix, pending, (r, i)))
+        held.append((suffix, max(0, pending - HEAD), (r, i)))
         seen.add(g)
-        pending = SPAN
-    close(held)
+        pending = len(suffix)
+    if held:
+        close(held)
     h, g, s, e = zip(*rows, strict=True) if rows else ((),) * 4
-    return pa.table({"h": pa.array(h, pa.int64()), "g": pa.array(g, pa.int64()), "start": pa.array(s, pa.int32()), "end": pa.array(e, pa.int32())})
+    return pa.table({"h": pa.array(h, pa.int64()), "g": pa.array(g, pa.binary()), "start": pa.array(s, pa.int32()), "end": pa.array(e, pa.int32())})
+
 
+def _narrowed(docs: DataFrame, contexts: DataFrame, step: int) -> DataFrame:
+    """Contexts -> (h0, g0, by, h, g, key, check, first, width, before, times): each cut into contexts of `step` strings or fewer.
 
-def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Contexts of grams that have very many: their strings counted by hash -> (h, g, start, end)."""
+    Strings that start o bytes before the anchor are cut at multiples of step of o. All of a narrower context's strings,
+    and those of any other cut alike, share the bytes from its last start to its first end, which take the gram's place.
+    by: where it begins after the start of the wider one, (h0, g0).
+    """
+    schema = f"h0 long, g0 binary, by int, key long, check int, {CONTEXT}, times long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            rows = []
             for text, contexts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for c in contexts:
-                    strings = [xxhash.xxh3_128_digest(data[c["first"] + k : c["first"] + k + SPAN]) for k in range(c["width"])]
-                    n = len(strings)
-                    yield pa.RecordBatch.from_arrays([pa.array([c["h"]] * n, pa.int64()), pa.array([c["g"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(strings, pa.binary())], ["h", "g", "start", "string"])
+                    at = c["first"] + c["before"]
+                    high = c["before"]  # strings start at most so many bytes before the anchor, and at least low
+                    low = high - c["width"] + 1
+                    for k in range(low // step, high // step + 1):
+                        s, e = at - min(high, k * step + step - 1), at - max(low, k * step)
+                        core = data[at - k * step : at - k * step - step + 1 + SPAN]
+                        h = xxhash.xxh3_64_intdigest(core, k) - 2**63
+                        rows.append((c["h"], c["g"], s - c["first"], c["id"]["key"], c["id"]["check"], h, xxhash.xxh3_128_digest(data[s : e + SPAN]), s, e - s + 1, at - s, c["times"]))
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int32()] * 3, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(types), types, strict=True)], names)
 
-    strings = written(docs.join(wanted, "key").select("text", "list").mapInArrow(trimmed(run), "h long, g long, start int, string binary").distinct(), "strings")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
-    return strings.join(twice, "string").select("h", "g", "start", (F.col("start") + SPAN).alias("end"))
+    return _with_text(docs, contexts.withColumn("id", F.struct(*KEYS))).mapInArrow(trimmed(run), schema)
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(key, text) -> written (key, ranges): byte ranges [start, end) of each row's text that repeat; rows without any are left out."""
+def _different(rows: DataFrame, times) -> DataFrame:
+    """Contexts of documents -> written: each different one once, with the times it occurs and one place."""
+    at = F.min(F.struct(*KEYS, "first", "width", "before")).alias("at")
+    return written(rows.groupBy("h", "g").agg(F.sum(times).alias("times"), at).select("h", "g", "times", "at.*"), "contexts")
+
+
+def _shared(docs: DataFrame, contexts: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """Different contexts -> written (h, g, start, end): ranges, from a context's start, of strings that occur again."""
     spark = docs.sparkSession
-    counts = _anchor_rows(docs).filter("h is not null").groupBy("h").agg(F.sum("times").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1"))
-    twice = written(counts.filter("n > 1").select("h", (F.col("g0") == F.col("g1")).alias("whole")), "grams")
-    found = _anchor_rows(docs)
-    repeated = written(found.join(twice, "h", "left").filter("h is null or whole is not null"), "anchors")
-    end = F.col("first") + F.col("width") - 1 + SPAN
-    ranges = repeated.filter("h is null").select("key", F.col("first").alias("start"), (F.col("first") + F.col("width")).alias("end"))
-    ranges = ranges.unionByName(repeated.filter("whole").select("key", F.col("first").alias("start"), end.alias("end")))
-    mixed = repeated.filter("not whole")
-    contexts = written(mixed.groupBy("h", "g").agg(F.sum("times").alias("times"), F.min(F.struct("key", "first", "width", "before")).alias("at")).select("h", "g", "times", "at.*"), "contexts")
-    hot = written(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_CONTEXTS).select("h"), "hot")
-    listed = F.collect_list(F.struct("h", "g", "first", "width", "before", "times")).alias("list")
-    sorted_ = contexts.join(F.broadcast(hot), "h", "left_anti").groupBy("key").agg(listed)  # at most (all contexts) / MOST_CONTEXTS rows
-    sorted_ = written(sorted_, "wanted")
-    runs = _runs(docs, sorted_, parts=2 * partitions(spark))
-    shared = runs.groupBy("part").applyInArrow(_merge_part, "h long, g long, start int, end int")
-    if not hot.isEmpty():
-        shared = shared.unionByName(_counted(docs, contexts.join(F.broadcast(hot), "h").groupBy("key").agg(listed)))
-    whole = contexts.filter("times > 1").select("h", "g", F.lit(0).alias("start"), (F.col("width") - 1 + SPAN).alias("end"))
-    known = written(whole.unionByName(shared), "shared")
-    ranges = ranges.unionByName(mixed.join(known, ["h", "g"]).select("key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))
-    return written(ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    crowded = written(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_CONTEXTS).select("h"), "crowded") if steps else None
+    if crowded is None or crowded.isEmpty():
+        runs = _runs(docs, contexts, GROUPS * partitions(spark))
+        return written(runs.groupBy("part").applyInArrow(_merge_part, "h long, g binary, start int, end int"), "shared")
+    few = _shared(docs, contexts.join(crowded.hint("shuffle_hash"), "h", "left_anti"), ())
+    narrow = written(_narrowed(docs, contexts.join(crowded.hint("shuffle_hash"), "h", "left_semi"), steps[0]), "narrow")
+    found = _shared(docs, _different(narrow, F.col("times")), steps[1:])
+    back = narrow.select("h0", "g0", "by", "h", "g").join(found, ["h", "g"])
+    return few.unionByName(back.select(F.col("h0").alias("h"), F.col("g0").alias("g"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end")))
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """(key, check, text) -> written (key, check, ranges): byte ranges [start, end) of each row's text that repeat; rows without any are left out."""
+    twice = written(_grams(docs), "grams")
+    repeated = written(_anchor_rows(docs).join(twice.hint("shuffle_hash"), "h", "left_semi"), "anchors")
+    others = F.coalesce("more", F.array().cast("array<int>"))
+    known = _shared(docs, _different(repeated, 1 + F.size(others)))
+    found = repeated.join(known, ["h", "g"]).select(*KEYS, "start", "end", F.explode(F.concat(F.array("first"), others)).alias("first"))
+    ranges = F.collect_set(F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))).alias("ranges")
+    return written(found.groupBy(*KEYS).agg(ranges), "ranges")
 
 
 def _cut(docs: DataFrame, output: list[str], keep_text: bool) -> DataFrame:
@@ -377,9 +438,10 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     A null text is empty. Repeated rows are occurrences of their own, so they remove each other. In `kept`, bytes of a code
     point that a removal cuts in two are dropped; the digest is of the bytes as they are.
     """
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text_")).withColumn("key", F.xxhash64("doc_id", "text_"))
-    ranges = repeated_ranges(few.select("key", F.col("text_").alias("text")).filter("text is not null"))
-    joined = few.join(ranges, "key", "left").select("doc_id", "text_", "ranges")
+    few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text_")).withColumn("key", F.xxhash64("doc_id", "text_")).withColumn("check", F.hash("text_", "doc_id"))
+    ranges = repeated_ranges(few.select(*KEYS, F.col("text_").alias("text")).filter("text is not null"))
+    # one way at every size: ranges, the built side, are far less than texts
+    joined = few.join(ranges.hint("shuffle_hash"), KEYS, "left").select("doc_id", "text_", "ranges")
     return _cut(joined, ["doc_id"], keep_text)
 
 
