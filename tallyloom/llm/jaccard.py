@@ -1,27 +1,31 @@
 """N-gram Jaccard join in metric space.
 
-Jaccard distance is a metric, so a pivot's distances bound those between other documents. The join has two parts.
+Jaccard distance is a metric, so a pivot's distances bound those between other documents: documents go to their nearest
+pivot's Voronoi region and, as a pair within eps can only part where a document is nearly as close to another pivot, also to
+each region whose pivot is at most 2 eps further. Regions join recursively with new pivots, the smallest ones exactly.
+The join does this twice, in a coarse metric space and in the exact one.
 
 1. Documents that share nothing lie at distance 1 of each other and of every pivot, so no pivot tells them apart. They
-   are separated first, exactly: of a document's shingles, in an order common to all documents, the first
+   are dealt first, exactly: of a document's shingles, in an order common to all documents, the first
    n - ceil(p n) + 1 (p: the least similarity that links) must meet those of every document that it links with. The order puts shingles of rare words
-   first, by a count of words over all documents in a table of fixed size, so that mostly kin meet. Those that meet at a
-   shingle are compared by histograms of their sets: shingles hashed to bins, a map under which the L1 distance never
-   exceeds the symmetric difference, so it clears no pair that links. A pivot's neighbours become a star, not all pairs, and
-   the components of the stars are families.
-2. A family joins in metric space. Pivots are drawn among its documents; each document goes to its nearest pivot's Voronoi region
-   and, as a pair within eps can only part where a document is nearly as close to another pivot, also to each region whose
-   pivot is at most 2 eps further. Regions join recursively with new pivots, and small ones exactly, pair by pair.
-   A family that fits in a task does all this in numpy in that task. A larger one is first split by pivots across tasks,
-   and what pivots can't split (documents all alike or all far apart) is joined in blocks, without the pairs of blocks whose
-   documents are already known to be connected.
-
-Documents with equal sets are one class throughout: copies cost one row. Only links that connect are kept, as stars.
+   first, by a count of words over all documents in a table of fixed size, so that mostly kin meet; and sizes that link
+   are within p of each other, so documents meet by shingle and step of size.
+2. Those that meet join by pivots, regions and windows in the space of histograms of their sets (shingles hashed to bins), whose
+   Jaccard distance is a metric too and never exceeds that of the sets: a pair that links is never cleared. What lies within eps there are
+   candidates; their components are families.
+3. A family joins by pivots, regions and windows in the space of its sets, exactly.
+
+In both spaces a group that fits in a task does all this in numpy in that task. A larger one is first split by pivots across
+tasks: of a region whose members all link with its pivot nothing is left to compare. What pivots can't split (documents all
+alike or all far apart) is joined in blocks, without the pairs of blocks whose documents are already known to be connected.
+
+Documents with equal sets (told by 64 bits) are one class throughout: copies cost one row. Only links that connect are kept, as stars.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,12 @@ SLOT_BITS = 18
 REGION_SHINGLES = 2_000_000
 PIVOTS = 16
 LEVELS = 2
-#: Documents below which a region is joined pair by pair.
-SMALL_REGION = 48
+#: Documents up to which a region is joined pair by pair.
+SMALL_REGION = 3
+#: Rows up to which a group of documents that meet joins in one task.
+GROUP = 1024
+#: The same for its regions, in 8 bytes of histograms.
+GROUP_MASS = 1 << 16
 #: Class lists up to this length (16 bytes each) are broadcast to fetch sets.
 MOST_BROADCAST = 2_000_000
 CHUNK_BYTES = 1 << 19
@@ -108,6 +116,8 @@ def class_of(own: np.ndarray) -> int:
 
 def histogram(own: np.ndarray) -> bytes:
     bins = next(b for n, b in BINS if len(own) >= n)
+    while len(own) > bins << 14:  # counts stay far below 65,536
+        bins *= 2
     return np.minimum(np.bincount((own >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins), 65535).astype("<u2").tobytes()
 
 
@@ -171,32 +181,13 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> D
     return written(docs.mapInArrow(trimmed(run), "h long, c long"), "prefixes")
 
 
-def near_by_bins(bins: list[bytes], sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """For documents that meet at a shingle: the least place each is connected with through pairs whose histograms allow a link.
-
-    A pair links only if (100 + percent) * |symmetric difference| <= (100 - percent) * (sum of sizes), and the L1 distance of histograms is no more.
-    """
-    order = np.argsort(sizes, kind="stable")
-    folded: dict[int, np.ndarray] = {}
-    root = np.arange(len(bins))
-    for k, p in enumerate(order[:-1]):
-        rest = order[k + 1 :]
-        rest = rest[(root[rest] != root[p]) & (100 * sizes[p] >= percent * sizes[rest])]
-        if not len(rest):
-            continue
-        # larger sets have as many bins or more, and fold to fewer
-        if (width := len(bins[p]) // 2) not in folded:
-            folded[width] = np.stack([np.frombuffer(b, "<u2").astype(np.int32).reshape(-1, width).sum(axis=0) if len(b) >= 2 * width else np.zeros(width, np.int32) for b in bins])
-        table = folded[width]
-        near = rest[(100 + percent) * np.abs(table[rest] - table[p]).sum(axis=1) <= (100 - percent) * (sizes[rest] + sizes[p])]
-        for r in np.unique(root[near]):
-            low, high = min(root[p], r), max(root[p], r)
-            root[root == high] = low
-    return root
+def size_step(percent: int) -> float:
+    """The logarithm of the ratio of sizes from one step to the next: sizes that link are one step apart at most."""
+    return max(1e-9, math.log(100 / percent)) * (1 + 1e-9)
 
 
 def _stars_of(met: DataFrame, percent: int) -> DataFrame:
-    """(h, c, n, bins), rows of an h together -> (a, b): each class and one that stands for those it may link with."""
+    """(h, s, c, bins), rows of an (h, s) together -> (a, b): each class and one that stands for those it may link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -204,9 +195,10 @@ def _stars_of(met: DataFrame, percent: int) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                _, c, n, bins = zip(*held, strict=True)
-                root = near_by_bins(list(bins), np.array(n), percent)
-                out.extend((c[i], c[r]) for i, r in enumerate(root.tolist()) if r != i)
+                region = Histograms([x[3] for x in held], percent)
+                region.join(np.arange(len(held)))
+                root = region.roots(np.arange(len(held)))
+                out.extend((held[i][2], held[r][2]) for i, r in enumerate(root.tolist()) if r != i)
             held.clear()
 
         def flush() -> pa.RecordBatch:
@@ -217,8 +209,8 @@ def _stars_of(met: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                for row in zip(*(some.column(x).to_pylist() for x in ("h", "c", "n", "bins")), strict=True):
-                    if held and held[0][0] != row[0]:
+                for row in zip(*(some.column(x).to_pylist() for x in ("h", "s", "c", "bins")), strict=True):
+                    if held and held[0][:2] != row[:2]:
                         close()
                     held.append(row)
             yield flush()
@@ -228,6 +220,20 @@ def _stars_of(met: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(trimmed(run), "a long, b long")
 
 
+def _folded(met: DataFrame, percent: int) -> DataFrame:
+    """(h, s, c, bins) -> (family, c, n, own): histograms of a step with the same number of bins."""
+    step = size_step(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [math.exp(s * step) for s in batch.column(1).to_pylist()]
+            widths = [next(b for n, b in BINS if x >= n + 1e-6 or not n) for x in least]
+            own = [np.frombuffer(b, "<u2").astype("<u4").reshape(-1, w).sum(axis=0).astype("<u4").tobytes() for b, w in zip(batch.column(3).to_pylist(), widths, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) // 8 for x in own], pa.int64()), pa.array(own, pa.binary())], ["family", "c", "n", "own"])
+
+    return met.select(F.xxhash64("h", "s").alias("family"), "s", "c", "bins").mapInArrow(trimmed(run), "family long, c long, n long, own binary")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(doc_id, text), (doc_id, c, family) -> (family, c, n, own): each class's sorted set as bytes."""
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
@@ -250,16 +256,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 class Region:
-    """Sets of a region's documents, compactly numbered, and the components found so far."""
+    """Documents of a region in a metric space, and the components found so far."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
-        self.percent = percent
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        _, tokens = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, np.int64))
-        self.width = int(tokens.max(initial=-1)) + 1
-        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.tokens = tokens
-        self.up = np.arange(len(sets))
+    sizes: np.ndarray
+    #: Regions that pivots made, and documents that windows put into further ones.
+    regions = windows = 0
+
+    def __init__(self, count: int, percent: int):
+        self.percent, self.up = percent, np.arange(count)
+
+    def meets(self, p: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of intersection and union of document p with each of ids."""
+        raise NotImplementedError
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -279,16 +287,6 @@ class Region:
             a, b = self.root(p), self.root(int(r))
             self.up[max(a, b)] = min(a, b)
 
-    def meets(self, p: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of intersection and union of document p with each of ids."""
-        mark = np.zeros(self.width, bool)
-        mark[self.tokens[self.at[p] : self.at[p + 1]]] = True
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        where = np.arange(ends[-1]) + np.repeat(self.at[ids] - (ends - sizes), sizes)
-        both = np.add.reduceat(mark[self.tokens[where]].astype(np.int64), ends - sizes)
-        return both, sizes + self.sizes[p] - both
-
     def pairs(self, ids: np.ndarray, sides: np.ndarray | None = None) -> None:
         """Exactly: each pair of ids (of different sides, if given) that isn't connected yet."""
         ids = ids[np.argsort(self.sizes[ids], kind="stable")]
@@ -308,29 +306,73 @@ class Region:
         if len(ids) <= SMALL_REGION:
             self.pairs(ids)
             return
-        order = np.random.default_rng(seed).permutation(len(ids))[:PIVOTS]
+        order = np.random.default_rng(seed).permutation(len(ids))[: max(2, min(PIVOTS, math.isqrt(len(ids))))]
         distance = np.empty((len(order), len(ids)))
+        linked = np.empty((len(order), len(ids)), bool)
         for row, k in enumerate(order):
             both, union = self.meets(int(ids[k]), ids)
-            distance[row] = 1 - both / union
-            self.link(int(ids[k]), ids[100 * both >= self.percent * union])
+            distance[row], linked[row] = 1 - both / union, 100 * both >= self.percent * union
+            self.link(int(ids[k]), ids[linked[row]])
         if len(np.unique(self.roots(ids))) == 1:
             return
         window = 2 * (1 - self.percent / 100) + 1e-9
         inside = distance <= distance.min(axis=0) + window
-        parts = [ids[m] for m in inside]
-        if max(map(len, parts)) > 0.8 * len(ids):
-            self.pairs(ids)
-            return
-        for k, part in enumerate(parts):
-            self.join(part, seed + k + 1)
+        self.regions += len(order)
+        self.windows += int(inside.sum()) - len(ids)
+        for k in range(len(order)):
+            # where all link with the pivot nothing is left to compare
+            if (part := inside[k]).sum() > 1 and (part & ~linked[k]).any():
+                if part.sum() > 0.8 * len(ids):
+                    self.pairs(ids[part])
+                else:
+                    self.join(ids[part], seed + k + 1)
+
+
+class Sets(Region):
+    """The space of sets of shingles, compactly numbered."""
+
+    def __init__(self, own: list[bytes], percent: int = PERCENT):
+        super().__init__(len(own), percent)
+        sets = [np.frombuffer(x, np.uint64) for x in own]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        _, tokens = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, np.int64))
+        self.width = int(tokens.max(initial=-1)) + 1
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.tokens = tokens
+
+    def meets(self, p: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mark = np.zeros(self.width, bool)
+        mark[self.tokens[self.at[p] : self.at[p + 1]]] = True
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        where = np.arange(ends[-1]) + np.repeat(self.at[ids] - (ends - sizes), sizes)
+        both = np.add.reduceat(mark[self.tokens[where]].astype(np.int64), ends - sizes)
+        return both, sizes + self.sizes[p] - both
+
+
+class Histograms(Region):
+    """The space of histograms, folded to the fewest bins among them."""
 
+    def __init__(self, own: list[bytes], percent: int = PERCENT, kind: str = "<u2"):
+        super().__init__(len(own), percent)
+        width = min(map(len, own)) // np.dtype(kind).itemsize
+        self.table = np.stack([np.frombuffer(b, kind).astype(np.int32).reshape(-1, width).sum(axis=0) for b in own])
+        self.sizes = self.table.sum(axis=1, dtype=np.int64)
 
-def _load(group: pa.Table, percent: int) -> tuple[np.ndarray, Region]:
+    def meets(self, p: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = np.minimum(self.table[ids], self.table[p]).sum(axis=1, dtype=np.int64)
+        return both, self.sizes[ids] + self.sizes[p] - both
+
+
+def wide_histograms(own: list[bytes], percent: int) -> Histograms:
+    return Histograms(own, percent, "<u4")
+
+
+def _load(group: pa.Table, percent: int, space: Callable) -> tuple[np.ndarray, Region]:
     classes = np.array(group.column("c").to_pylist(), np.int64)
     _, first = np.unique(classes, return_index=True)
     own = group.column("own").to_pylist()
-    return classes[first], Region([np.frombuffer(own[i], np.uint64) for i in first], percent)
+    return classes[first], space([own[i] for i in first], percent)
 
 
 def _stars(classes: np.ndarray, region: Region) -> pa.Table:
@@ -339,20 +381,25 @@ def _stars(classes: np.ndarray, region: Region) -> pa.Table:
     return pa.table({"a": classes[some], "b": classes[roots[some]]})
 
 
-def _join_group(percent: int):
+def _join_group(percent: int, space: Callable):
     def run(group: pa.Table) -> pa.Table:
-        classes, region = _load(group, percent)
+        classes, region = _load(group, percent, space)
+        # links with the region's pivot are known
+        of_pivot = np.unique(np.array(group.column("c").to_pylist(), np.int64)[np.array(group.column("star").to_pylist(), bool)])
+        if len(of_pivot):
+            star = np.searchsorted(classes, of_pivot)
+            region.link(int(star[0]), star[1:])
         region.join(np.arange(len(classes)))
         return _stars(classes, region)
 
     return run
 
 
-def _join_blocks(percent: int):
+def _join_blocks(percent: int, space: Callable):
     """Two blocks, or one with itself: only pairs across the sides, of different known components."""
 
     def run(group: pa.Table) -> pa.Table:
-        classes, region = _load(group, percent)
+        classes, region = _load(group, percent, space)
         side = dict(zip(group.column("c").to_pylist(), group.column("side").to_pylist(), strict=True))
         sides = np.array([side[int(c)] for c in classes])
         region.pairs(np.arange(len(classes)), sides if len(np.unique(sides)) > 1 else None)
@@ -361,107 +408,124 @@ def _join_blocks(percent: int):
     return run
 
 
-def _assign(percent: int):
-    """Members of a region and its pivots: links to pivots, and the Voronoi regions that each member belongs to."""
+def _assign(percent: int, space: Callable):
+    """Members of a region and its pivots: (family, a, b, linked, inside): links to pivots, and the Voronoi regions that each member belongs to."""
+    names, types = ["family", "a", "b", "linked", "inside"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
     def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
         if not members.num_rows or not pivots.num_rows:
-            return pa.table({name: pa.array([], pa.int64()) for name in ("family", "a", "b", "linked")})
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
         mine, own = np.array(members.column("c").to_pylist(), np.int64), members.column("own").to_pylist()
         order = np.argsort(np.array(pivots.column("c").to_pylist(), np.int64))
         heads, theirs = np.array(pivots.column("c").to_pylist(), np.int64)[order], pivots.column("own").to_pylist()
-        region = Region([np.frombuffer(x, np.uint64) for x in own] + [np.frombuffer(theirs[k], np.uint64) for k in order], percent)
+        region = space(own + [theirs[k] for k in order], percent)
         ids = np.arange(len(mine))
-        out: list[tuple[int, int, int]] = []
-        distance = np.empty((len(heads), len(mine)))
-        for k, head in enumerate(heads):
+        distance, linked = np.empty((len(heads), len(mine))), np.empty((len(heads), len(mine)), bool)
+        for k in range(len(heads)):
             both, union = region.meets(len(mine) + k, ids)
-            distance[k] = 1 - both / union
-            out += [(int(c), int(head), 1) for c in mine[(100 * both >= percent * union) & (mine != head)]]
+            distance[k], linked[k] = 1 - both / union, 100 * both >= percent * union
         inside = distance <= distance.min(axis=0) + 2 * (1 - percent / 100) + 1e-9
-        for k, head in enumerate(heads):
-            out += [(int(c), int(head), 0) for c in mine[inside[k]]]
-        a, b, linked = zip(*out, strict=True)
-        return pa.table({"family": [members.column("family")[0].as_py()] * len(out), "a": a, "b": b, "linked": linked})
+        head, member = np.nonzero(inside | linked)
+        columns = np.full(len(head), members.column("family")[0].as_py()), mine[member], heads[head], linked[head, member], inside[head, member]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
 
     return run
 
 
-def _split(sets: DataFrame, sizes: DataFrame, limit: int, level: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Large regions (family, c, n, own) -> links to pivots (a, b) and (family, region, c) by Voronoi regions with windows."""
-    big = sets.join(F.broadcast(sizes), "family")  # at most (all shingles) / limit rows
-    salts = F.ceil(F.col("shingles") / F.lit(limit / 2)).cast("int")
+def _split(rows: DataFrame, sizes: DataFrame, limit: int, level: int, percent: int, space: Callable) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large regions (family, c, n, own) -> links to pivots (a, b) and (family, region, c, star) by Voronoi regions with windows, and the families that had a pivot."""
+    big = rows.select("family", "c", "own").join(sizes, "family")
+    salts = F.ceil(F.col("mass") / F.lit(limit / 2)).cast("int")
     pivots = big.filter(F.pmod(F.xxhash64("c", F.lit(level)), F.col("members")) < PIVOTS)
     pivots = written(pivots.select("family", "c", "own", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "pivots")
     members = big.select("family", "c", "own", F.pmod(F.xxhash64("c", F.lit(level + 100)), salts).cast("int").alias("salt"))
-    found = members.groupBy("family", "salt").cogroup(pivots.groupBy("family", "salt")).applyInArrow(_assign(percent), "family long, a long, b long, linked long")
+    found = members.groupBy("family", "salt").cogroup(pivots.groupBy("family", "salt")).applyInArrow(_assign(percent, space), "family long, a long, b long, linked boolean, inside boolean")
     found = written(found, "voronoi")
-    return found.filter("linked = 1").select("a", "b"), found.filter("linked = 0").select("family", F.xxhash64("family", "b").alias("region"), F.col("a").alias("c"))
+    inside = found.filter("inside")
+    # a region whose members all link with its pivot is done
+    open_ = inside.groupBy("family", "b").agg(F.min("linked").alias("done")).filter("not done").select("family", "b")
+    regions = inside.join(open_, ["family", "b"]).select("family", F.xxhash64("family", "b").alias("region"), F.col("a").alias("c"), F.col("linked").alias("star"))
+    return found.filter("linked and a <> b").select("a", "b"), regions, found.select("family").distinct()
 
 
-def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int, percent: int) -> DataFrame:
+def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int, percent: int, space: Callable) -> DataFrame:
     """Regions that pivots don't split: pairs of blocks, but for two blocks of one known component."""
     known = components(links)
-    rows = sets.join(known, sets["c"] == known["node"], "left").withColumn("component", F.coalesce("root", "c")).drop("node", "root").join(F.broadcast(sizes), "family")
+    rows = sets.join(known, sets["c"] == known["node"], "left").withColumn("component", F.coalesce("root", "c")).drop("node", "root").join(sizes.withColumnRenamed("mass", "whole"), "family")
     # a component of at least a block has blocks of its own; the others share blocks
     of = rows.groupBy("family", "component").agg(F.sum("n").alias("mass")).filter(F.col("mass") >= limit / 2)
     rows = rows.join(of, ["family", "component"], "left").withColumn("own_blocks", F.when(F.col("mass").isNotNull(), F.col("component")).otherwise(F.lit(None)))
-    mass = F.coalesce("mass", "shingles")
+    mass = F.coalesce("mass", "whole")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(55)), F.ceil(mass / F.lit(limit / 2))).cast("int"))
     names = rows.groupBy("family", "own_blocks", "block").agg(F.count(F.lit(1)).alias("k")).withColumn("name", F.xxhash64("own_blocks", "block"))
     pairs = names.alias("x").join(names.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.name") <= F.col("y.name")) & ~(F.col("x.own_blocks").isNotNull() & (F.coalesce(F.col("x.own_blocks") == F.col("y.own_blocks"), F.lit(False)))))
     pairs = pairs.select(F.col("x.family").alias("family"), F.col("x.name").alias("x"), F.col("y.name").alias("y"))
     sides = pairs.select("family", "x", "y", F.col("x").alias("name"), F.lit(0).alias("side")).unionByName(pairs.filter("x <> y").select("family", "x", "y", F.col("y").alias("name"), F.lit(1).alias("side")))
     dealt = rows.withColumn("name", F.xxhash64("own_blocks", "block")).select("family", "c", "own", "name").join(sides, ["family", "name"])
-    return dealt.groupBy("family", "x", "y").applyInArrow(_join_blocks(percent), "a long, b long")
+    return dealt.groupBy("family", "x", "y").applyInArrow(_join_blocks(percent, space), "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int = REGION_SHINGLES, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) and their classes -> (a, b): links between classes, enough of them to connect all that links connect."""
+def _regions(rows: DataFrame, limit: int, percent: int, space: Callable) -> DataFrame:
+    """(family, c, n, own) -> (a, b): links within families, joined by pivots and regions; n is what a row weighs against limit."""
+    rows = rows.withColumn("star", F.lit(False))
+    found: DataFrame | None = None
+
+    def add(more: DataFrame) -> None:
+        nonlocal found
+        found = more if found is None else found.unionByName(more)
+
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy("family").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("members"))
+        large = written(sizes.filter(F.col("mass") > limit), "large")
+        small = rows.join(large.select("family"), "family", "left_anti")
+        add(written(small.groupBy("family").applyInArrow(_join_group(percent, space), "a long, b long"), "links"))
+        if large.isEmpty():
+            break
+        rest = rows.join(large.select("family"), "family", "left_semi")
+        if level == LEVELS:
+            add(written(_blocks(rest.drop("star"), large, found, limit, percent, space), "links"))
+            break
+        linked, regions, split = _split(rest, large, limit, level, percent, space)
+        add(linked)
+        dealt = rest.drop("star").join(regions, ["family", "c"]).select(F.col("region").alias("family"), "c", "n", "own", "star")
+        # a large region without a pivot keeps its name and waits for the next level
+        kept = rest.join(split, "family", "left_anti").select("family", "c", "n", "own", "star")
+        rows = written(dealt.unionByName(kept), "regions")
+    return found
+
+
+def _families(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(doc_id, text) and their classes -> written (c, family): classes that may link are in one family."""
     prefixes = _prefixes(docs, rarity, size, percent)
     least = prefixes.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("h")
-    sizes = classes.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"))
-    met = prefixes.join(least, "h").distinct().join(sizes, "c")
-    # only sizes within percent of each other link
-    by_size = Window.partitionBy("h").orderBy("n", "c")
-    alone = (F.coalesce(100 * F.lag("n").over(by_size), F.lit(0)) < percent * F.col("n")) & (F.coalesce(100 * F.col("n") < percent * F.lead("n").over(by_size), F.lit(True)))
-    met = written(met.withColumn("alone", alone).filter("not alone").drop("alone"), "met")
+    one = classes.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"))
+    # sizes that link are in one step or in neighbouring ones: a class meets those of its step and of the one above
+    home = F.floor(F.log("n") / F.lit(size_step(percent))).cast("int")
+    met = prefixes.join(least, "h").distinct().join(one, "c").select("h", "c", home.alias("home"))
+    met = met.select("h", "c", "home", F.explode(F.array("home", F.col("home") - 1)).alias("s"))
     # the shingles of one passage bring the same documents together: one of them is enough
     who = F.xxhash64("c", F.lit(1)), F.xxhash64("c", F.lit(2))
-    groups = met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(who[0]).alias("x"), F.bit_xor(who[1]).alias("y"))
-    groups = groups.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h")
-    bins = classes.filter("c is not null").groupBy("c").agg(F.first("bins").alias("bins"))
+    groups = met.groupBy("h", "s").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("top"), F.min("home").alias("low"), F.bit_xor(who[0]).alias("x"), F.bit_xor(who[1]).alias("y"))
+    groups = groups.filter("m > 1 and low = s").groupBy("s", "m", "x", "y").agg(F.min("h").alias("h"))
+    met = written(met.join(groups.select("h", "s", "m"), ["h", "s"]).select("h", "s", "m", "c"), "met")
+    bins = written(classes.filter("c is not null").groupBy("c").agg(F.first("bins").alias("bins")).join(met.select("c").distinct(), "c", "left_semi"), "bins")
     spark = docs.sparkSession
-    dealt = met.join(groups, "h").join(bins, "c").repartition(partitions(spark), "h").sortWithinPartitions("h", "c")
-    stars = written(_stars_of(dealt, percent).distinct(), "stars")
-    families = written(components(stars).select(F.col("node").alias("c"), F.col("root").alias("family")), "families")
+    dealt = met.filter(F.col("m") <= GROUP).join(bins, "c").repartition(partitions(spark), "h", "s").sortWithinPartitions("h", "s", "c")
+    stars = _stars_of(dealt, percent)
+    crowded = met.filter(F.col("m") > GROUP)
+    if not crowded.isEmpty():
+        rows = written(_folded(crowded.join(bins, "c").select("h", "s", "c", "bins"), percent), "crowded")
+        stars = stars.unionByName(_regions(rows, GROUP_MASS, percent, wide_histograms))
+    stars = written(stars.distinct(), "stars")
+    return written(components(stars).select(F.col("node").alias("c"), F.col("root").alias("family")), "families")
+
+
+def links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int = REGION_SHINGLES, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) and their classes -> (a, b): links between classes, enough of them to connect all that links connect."""
+    families = _families(docs, classes, rarity, size, percent)
     reps = classes.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     sets = written(_sets(docs, written(reps.join(families, "c"), "wanted"), size), "sets")
-    found: list[DataFrame] = []
-    for level in range(LEVELS + 1):
-        sizes = sets.groupBy("family").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
-        large = written(sizes.filter(F.col("shingles") > limit), "large")
-        small = sets.join(F.broadcast(large.select("family")), "family", "left_anti")
-        found.append(written(small.groupBy("family").applyInArrow(_join_group(percent), "a long, b long"), "links"))
-        if large.isEmpty():
-            break
-        rest = sets.join(F.broadcast(large.select("family")), "family", "left_semi")
-        if level == LEVELS:
-            known = found[0]
-            for f in found[1:]:
-                known = known.unionByName(f)
-            found.append(written(_blocks(rest, large, known, limit, percent), "links"))
-            break
-        linked, regions = _split(rest, large, limit, level, percent)
-        found.append(linked)
-        dealt = rest.join(regions, ["family", "c"]).select(F.col("region").alias("family"), "c", "n", "own")
-        # a large region without a pivot keeps its name and waits for the next level
-        kept = rest.join(regions.select("family").distinct(), "family", "left_anti").select("family", "c", "n", "own")
-        sets = written(dealt.unionByName(kept), "sets")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return _regions(sets, limit, percent, Sets)
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limit: int = REGION_SHINGLES, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

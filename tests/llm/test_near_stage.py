@@ -66,5 +66,45 @@ def test_bins_clear_no_pair_that_links():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 300, dtype=np.uint64)
     sets = [np.sort(base), np.sort(np.append(base, r.integers(0, 2**63, 75, dtype=np.uint64)))]
-    root = jaccard.near_by_bins([jaccard.histogram(x) for x in sets], np.array([300, 375]), 80)
-    assert root.tolist() == [0, 0]
+    region = jaccard.Histograms([jaccard.histogram(x) for x in sets], 80)
+    region.join(np.arange(2))
+    assert region.roots(np.arange(2)).tolist() == [0, 0]
+    region = jaccard.Histograms([jaccard.histogram(x) for x in sets * 3], 80)
+    region.join(np.arange(6))
+    assert region.roots(np.arange(6)).tolist() == [0] * 6
+
+
+@pytest.mark.parametrize("group, mass", [(jaccard.GROUP, jaccard.GROUP_MASS), (4, 100)])
+def test_crowded_shingles_are_split_by_pivots(spark, group, mass, monkeypatch):
+    for name, value in (("GROUP", group), ("GROUP_MASS", mass), ("PIVOTS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(3):  # templates with one or a few words of their own
+        base = r.choices(words, k=60)
+        for j in range(25):
+            ws = list(base)
+            for _ in range(1 + j % 7):
+                ws[r.randrange(60)] = f"own{r.randrange(1000)}"
+            rows.append((100 * k + j, " ".join(ws)))
+    least, _ = least_by_brute_force(rows, 4, 85)
+    out = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in out.collect()} == least
+
+
+def test_regions_and_windows_at_work_on_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    classes, rarity = jaccard._classes(docs, jaccard.SHINGLE)
+    families = jaccard._families(docs, classes, rarity, jaccard.SHINGLE, jaccard.PERCENT)
+    reps = classes.filter("c is not null").groupBy("c").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").join(families, "c")
+    groups = jaccard._sets(docs, reps, jaccard.SHINGLE).toPandas().groupby("family")
+    regions = 0
+    for _, group in groups:
+        region, plain = (jaccard.Sets(list(group["own"])) for _ in range(2))
+        ids = np.arange(len(group))
+        region.join(ids)
+        plain.pairs(ids)
+        assert (region.roots(ids) == plain.roots(ids)).all()
+        regions += region.regions
+    assert len(groups) and (regions or max(len(g) for _, g in groups) <= jaccard.SMALL_REGION)

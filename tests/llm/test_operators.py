@@ -186,10 +186,11 @@ def test_jaccard_region_recursion():
     for k in range(12):
         base = r.integers(0, 2**63, 200, dtype=np.uint64)
         sets += [np.unique(np.concatenate([base[: 200 - (j % 30)], r.integers(0, 2**63, j % 30, dtype=np.uint64)])) for j in range(20)]
-    a, b = jaccard.Region(sets), jaccard.Region(sets)
+    a, b = (jaccard.Sets([x.tobytes() for x in sets]) for _ in range(2))
     a.join(np.arange(len(sets)))
     b.pairs(np.arange(len(sets)))
     assert np.array_equal(a.roots(np.arange(len(sets))), b.roots(np.arange(len(sets))))
+    assert a.regions and a.windows >= 0
 
 
 def test_components(spark):
