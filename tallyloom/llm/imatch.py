@@ -6,10 +6,11 @@ fingerprint: one of the whole lexicon and one of each randomised sub-lexicon. Su
 chains of falling RATES, so that documents of any length have some in which they keep one or two terms; for two
 documents, the share of equal hashes among the sub-lexicons of such a rate follows the share of lexicon terms they share.
 
-Shape of the job: terms are hashed to SLOTS slots for their document frequencies (map-side aggregates of at most SLOTS
-rows a task), and the lexicon is the set of slots in the band, one row with a bit a slot: its size never depends on the
-corpus. With it a text's fingerprint is an expression over its own row. Texts are shuffled once, by id, to meet the head of
-the next one; nothing else of their size moves.
+Shape of the job: terms are counted exactly, by 64-bit hash, and the lexicon is one row with the band's terms in SLOTS slots. Its
+size doesn't grow with the corpus: a term in the band is in at least exp(-IDF_BAND[1]) N of N documents, so there are at most
+exp(IDF_BAND[1]), about 2,000, times as many as an average document has different terms. With it a text's fingerprint is an
+expression over its own row. Texts are shuffled once, by id and hash, to meet the head of the next one; nothing else of
+their size moves.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ FAMILIES = 10
 RATES = (2, 8, 32, 128, 512)
 #: A rate counts in a comparison if so many of its sub-lexicons meet either document.
 LEAST_MET = 3
-#: Slots of the document frequencies; a power of two.
-SLOTS = 1 << 18
+#: Slots of the lexicon, for a quick look into it; a power of two.
+SLOTS = 1 << 16
 
 NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -40,25 +41,19 @@ def _slot(term: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(text) -> one written row (bits): for each slot of term hashes, in longs of 64, whether its inverse document frequency lies in the band."""
+    """(text) -> one written row (slots): for each slot, the terms, as hashes, whose inverse document frequency lies in the band."""
     n = texts.count()
-    slots = texts.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), _slot))).alias("slot"))
-    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
+    counts = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     within = F.log(F.lit(float(max(n, 1))) / F.col("df")).between(*band)
-    words = counts.filter(within).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    every = texts.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "word").join(words, "word", "left")  # SLOTS / 64 rows, whatever the corpus
-    listed = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    return written(every.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")), "lexicon")
+    words = counts.filter(within).groupBy(_slot(F.col("term")).alias("slot")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(words, "slot", "left")  # SLOTS rows, whatever the corpus
+    listed = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms"))))
+    return written(every.agg(F.transform(listed, lambda x: x["terms"]).alias("slots")), "lexicon")
 
 
 def _kept(terms: Column) -> Column:
-    """Those of the terms whose slot is set in the column bits."""
-
-    def known(term: Column) -> Column:
-        word = F.get("bits", F.shiftright(_slot(term), 6).cast("int"))
-        return F.getbit(word, _slot(term).bitwiseAND(63).cast("int")) == 1
-
-    return F.filter(terms, known)
+    """Those of the terms that the column slots holds."""
+    return F.filter(terms, lambda term: F.array_contains(F.get("slots", _slot(term).cast("int")), term))
 
 
 def _hash32(values: Column) -> Column:
@@ -138,22 +133,21 @@ NO_ID = -(2**63)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bits = F.broadcast(lexicon(docs.select("text")))  # one row
-    # rows of one id are numbered, so that each row has a key; this deals the texts by id, once
-    numbered = docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    ids = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"))
-    ids = ids.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).drop("h")
-    order = written(following(ids, ["doc_id", "copy"]).withColumn("need", F.floor(F.col("n_chars") / 4).cast("int")), "next")
-    nexts = order.select(F.col("doc_id").alias("cur_id"), F.col("copy").alias("cur_copy"), "n_chars", F.col("next_doc_id").alias("next_id"), "next_copy", "need")
-    # the copies are compared outside the keys: both sides then stay dealt by id alone
-    heads = numbered.join(nexts, (F.col("doc_id") == F.col("next_id")) & (F.abs(F.col("copy") - F.col("next_copy")) < 1)).crossJoin(bits)
-    heads = _with_print(heads.select("cur_id", "cur_copy", "n_chars", "need", F.expr("substring(text, 1, need)").alias("head"), "text", "bits"), "text", "w2", "a2", "p2")
-    heads = heads.select("cur_id", "cur_copy", "n_chars", "need", "head", "w2", _ints("a2").alias("a2"), "p2")
-    both = numbered.join(heads, (F.col("doc_id") == F.col("cur_id")) & (F.abs(F.col("copy") - F.col("cur_copy")) < 1)).crossJoin(bits)
-    both = both.select("doc_id", "n_chars", "text", F.concat(F.expr("substring(text, 1, n_chars - need)"), "head").alias("edited"), "bits", "w2", F.col("a2"), "p2")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    slots = F.broadcast(lexicon(docs.select("text")))  # one row
+    # rows alike in id and text are numbered; one text stands for all of them. This deals the texts, once
+    copy = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))
+    texts = docs.withColumn("copy", copy).filter("copy = 1").drop("copy")
+    ids = docs.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")).withColumn("copy", copy)
+    order = written(following(ids, ["doc_id", "h", "copy"]).withColumn("need", F.floor(F.col("n_chars") / 4).cast("int")), "next")
+    nexts = order.select(F.col("doc_id").alias("cur_id"), F.col("h").alias("cur_h"), "n_chars", F.col("next_doc_id").alias("next_id"), "next_h", "need")
+    heads = texts.join(nexts, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).crossJoin(slots)
+    heads = _with_print(heads.select("cur_id", "cur_h", "n_chars", "need", F.expr("substring(text, 1, need)").alias("head"), "text", "slots"), "text", "w2", "a2", "p2")
+    heads = heads.select("cur_id", "cur_h", "n_chars", "need", "head", "w2", _ints("a2").alias("a2"), "p2")
+    both = texts.join(heads, (F.col("doc_id") == F.col("cur_id")) & (F.col("h") == F.col("cur_h"))).crossJoin(slots)
+    both = both.select("doc_id", "n_chars", "text", F.concat(F.expr("substring(text, 1, n_chars - need)"), "head").alias("edited"), "slots", "w2", F.col("a2"), "p2")
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    both = _with_print(_with_print(both, "text", "w0", "a0", "p0").drop("text"), "edited", "w1", "a1", "p1").drop("edited", "bits")
+    both = _with_print(_with_print(both, "text", "w0", "a0", "p0").drop("text"), "edited", "w1", "a1", "p1").drop("edited", "slots")
     both = both.withColumn("a0", _ints("a0")).withColumn("a1", _ints("a1"))
     prints = [fingerprint_string(F.col(f"w{k}"), F.col(f"a{k}"), F.col(f"p{k}")) for k in (0, 1)]
     out = both.select("*", prints[0].alias("fingerprint"), prints[1].alias("edited_fingerprint"))
