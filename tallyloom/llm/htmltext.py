@@ -14,6 +14,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text.
-RAW_TAGS = frozenset(["script", "style", "template", "noscript", "textarea", "iframe", "svg", "math", "object", "canvas", "head"])
+RAW_TAGS = frozenset(["script", "style", "template", "noscript", "textarea", "iframe", "svg", "annotation", "canvas", "head"])
 TEXT_ONLY_TAGS = frozenset(["script", "style", "textarea", "iframe", "title", "noscript"])
+#: Elements that a head may hold; any other ends it.
+HEAD_TAGS = frozenset(["base", "link", "meta", "noscript", "script", "style", "template", "title"])
 #: An open element of the key ends where one of these begins.
 IMPLIED_END = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
@@ -41,7 +44,6 @@ _SPACE = re.compile(r"\s+")
 
 PATH_SLOTS = 512
 WORD_SLOTS = 1024
-WORDS_READ = 32  # of a block, in each of its features; whole blocks are kept in the output
 EMBED = 16
 HIDDEN = 24
 NUMBERS = 6
@@ -95,6 +97,8 @@ def blocks(page: str) -> list[tuple[str, list[str], int, int]]:
                 close()
             pop(depth)
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD_TAGS:
+            pop(len(stack) - 1)
         while stack and name in IMPLIED_END.get(stack[-1][0], ()):
             close()
             pop(len(stack) - 1)
@@ -110,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int, int]]:
             if name == "title" or name in RAW_TAGS:
                 at = stop.end() if stop else n
                 continue
-        words = [f"{name}.{w}" for g in _ATTRIBUTE.findall(m[3]) for w in _NAME.findall((g[0] or g[1] or g[2]).lower())[:8]] if "=" in m[3] else []
+        words = [f"{name}.{w}" for g in _ATTRIBUTE.findall(m[3]) for w in _NAME.findall((g[0] or g[1] or g[2]).lower())] if "=" in m[3] else []
         stack.append((name, [name, *words]))
         skip += name in RAW_TAGS
         links += name == "a"
@@ -122,25 +126,23 @@ def _slot(text: str, slots: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % slots
 
 
-_PATH_CACHE: dict[str, int] = {}
+@lru_cache(100_000)
+def _path_slot(x: str) -> int:
+    return _slot(x, PATH_SLOTS)
 
 
-def _path_slot(x: str) -> int:
-    if x not in _PATH_CACHE:
-        if len(_PATH_CACHE) > 100_000:
-            _PATH_CACHE.clear()
-        _PATH_CACHE[x] = _slot(x, PATH_SLOTS)
-    return _PATH_CACHE[x]
+@lru_cache(200_000)
+def _word_slot(x: str) -> int:
+    return _slot(x, WORD_SLOTS)
 
 
 def inputs(page: list[tuple[str, list[str], int, int]]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """For each block: slots of its path, slots of its first words, and numbers about its length, links and place."""
+    """For each block: slots of its whole path, slots of all its words, and numbers about its length, links and place."""
     paths, words, numbers = [], [], np.zeros((len(page), NUMBERS))
     for k, (text, path, linked, n) in enumerate(page):
-        own = [_path_slot(x) for x in path[-12:]]
+        own = [_path_slot(x) for x in path]
         paths.append(own + ([_path_slot("leaf>" + path[-1])] if path else []) or [0])
-        split = text[:400].lower().split()[:WORDS_READ]
-        words.append([_slot(w, WORD_SLOTS) for w in split] or [0])
+        words.append([_word_slot(w) for w in text.lower().split()] or [0])
         marks = sum(text.count(c) for c in ".,;:!?")
         numbers[k] = (np.log1p(n) / 6, linked / max(1, n), min(1.0, 20 * marks / max(1, n)), k / max(1, len(page) - 1), text[-1] in ".!?:\"'", min(1.0, len(path) / 12))
     return paths, words, numbers
@@ -258,6 +260,7 @@ BOILER = {
     "comments": (["section", "div", "ol", "ul"], ["comments", "comment", "comment-list", "discussion", "replies", "responses", "disqus", "reader-comments"]),
     "share": (["div", "ul"], ["share", "social", "sharing", "follow", "buttons"]),
 }
+WRAPPERS = ["container", "wrapper", "row", "col", "inner", "grid", "block", "box", "layout", "column", "wrap", "holder"]
 MAIN = (["article", "main", "div", "section"], ["article", "content", "main", "post", "entry", "entry-content", "story", "body", "article-body", "post-content", "text"])
 
 
@@ -284,6 +287,12 @@ def training_page(r: random.Random) -> str:
         attribute = r.choice(["class", "class", "id"])
         return f"<{name}{f' {attribute}={chr(34)}{r.choice(classes)}{chr(34)}' if named else ''}>{inner}</{name}>"
 
+    def wrapped(inner: str) -> str:
+        """inner within neutral elements, often none and sometimes many."""
+        for _ in range(r.choice([0, 0, 0, 0, 1, 2, 4, 6])):
+            inner = f'<div class="{" ".join(r.sample(WRAPPERS, r.randint(1, 2)))}">{inner}</div>'
+        return inner
+
     def boiler(kind: str) -> str:
         names, classes = BOILER[kind]
         if kind in ("menu", "share"):
@@ -299,13 +308,13 @@ def training_page(r: random.Random) -> str:
             inner = r.choice([f"&copy; {word()}.example.com &middot; {text(3, 16, 2)}", f"<p>&copy; 20{r.randint(10, 29)} {sentence(1, 4)}</p>" + "".join(link() for _ in range(r.randint(0, 5)))])
         else:
             inner = r.choice([text(3, 16, 2), f"<p>{text(4, 16, 2)}</p>", f"<p>{text(4, 12, 1)}</p><button>{word()}</button>", link()])
-        return tag(names, classes, inner)
+        return tag(names, classes, wrapped(inner))
 
     def para() -> str:
         kind = r.random()
         mark = "\ue000"
         if kind < 0.62:
-            body = mark + text(3, 40, 5)
+            body = mark + text(*r.choice([(1, 3, 1), (3, 40, 5), (3, 40, 5), (3, 40, 5)]))
             if r.random() < 0.2:
                 body += f' {link()} {text(2, 9, 1)}'
             if r.random() < 0.1:
@@ -328,7 +337,7 @@ def training_page(r: random.Random) -> str:
     title = f"<h1>\ue000{sentence(1, 9)}</h1>" if r.random() < 0.85 else ""
     for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
         body.insert(r.randint(0, len(body)), boiler(r.choice(["advert", "advert", "notice", "sidebar", "share", "form"])))
-    main = tag(*MAIN, title + "".join(body), certain=r.random() < 0.6)
+    main = tag(*MAIN, wrapped(title + "".join(body)), certain=r.random() < 0.6)
     if r.random() < 0.25:
         main = tag(["main", "div"], MAIN[1] + ["container", "wrapper", "page"], main)
     before = [boiler(k) for k in ("header", "menu", "notice", "advert", "form", "sidebar", "share") if r.random() < 0.35]
@@ -341,7 +350,7 @@ def training_page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html>{head}<body>{page}</body></html>"
 
 
-def trained(pages: int = 1200, epochs: int = 5, seed: int = 17) -> Labeller:
+def trained(pages: int = 1500, epochs: int = 6, seed: int = 17) -> Labeller:
     r = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
