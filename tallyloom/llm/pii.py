@@ -4,7 +4,9 @@ An entity's surrogate is a keyed permutation of its own kind's domain, so equal
 document (coreference) and different ones different surrogates (distinctness), without any table. Digits stay digits,
 hexadecimal stays hexadecimal in its case, a letter stays a vowel or consonant of its script and case, separators stay
 where they are; card numbers keep (in)validity of their check digit; the last letters of a name, which mark gender in
-many languages, and its title stay. Mail goes to reserved example domains.
+many languages, and its title stay. Mail goes to reserved example domains. Each word of a name is an entity: names are
+found after titles and phrases of introduction, and their words then wherever else the document has them, so given names and
+surnames that stand alone get the surrogates that they have in the full name.
 
 One collision is left: a surrogate can equal another entity of the corpus. A Spark job over the distinct entities (not
 over texts) finds those and moves them on by further rounds of the permutation, checked against originals and
@@ -14,8 +16,10 @@ surrogates alike, until none is left; where a form's domain is full, names, mail
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,20 +40,28 @@ MOST_ATTEMPTS = 60
 TITLES_M = ["Mr", "Herr", "Señor", "Sr", "Monsieur"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme"]
 TITLES_ANY = ["Dr", "Prof"]
+# Phrases after which people introduce themselves, beginnings of access keys, words before a secret.
+INTRODUCTIONS = ["my name is", "My name is", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo"]
+KEY_STARTS = ["sk-", "pk_", "sk_", "rk_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "eyJ"]
+SECRET_WORDS = ["api_key", "apikey", "api-key", "access_key", "secret", "token", "password", "passwd", "pwd"]
 
 _NAME = r"[^\W\d_]{2,}"
 PATTERNS = {
     "email": re.compile(r"[\w.%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"),
     "secret": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    "key": re.compile(r"(?<![0-9A-Za-z])(?:" + "|".join(KEY_STARTS) + r")[0-9A-Za-z_\-.]{12,}[0-9A-Za-z]|(?<![A-Za-z])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"'<>,;]{8,})"),
+    "ipv6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}){0,7}(?![\w:])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "ipv4": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     "phone": re.compile(r"(?<![\w+])\+?\d{0,3}[ .\-]?\(?\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)"),
     "ssn": re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    "card": re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)"),
-    "name": re.compile(r"(?<!\w)(?:" + "|".join(TITLES_M + TITLES_F + TITLES_ANY) + r")\.? (" + _NAME + r"(?:[ \-]" + _NAME + r")?)"),
+    "card": re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"),
+    "name": re.compile(r"(?<!\w)(?:(?:" + "|".join(TITLES_M + TITLES_F + TITLES_ANY) + r")\.?|" + "|".join(INTRODUCTIONS) + r") (" + _NAME + r"(?:[ \-]" + _NAME + r"){0,2})"),
 }
 _DIGIT = re.compile(r"\d{3}")
-_TITLE = re.compile(r"(?<!\w)(?:" + "|".join(TITLES_M + TITLES_F + TITLES_ANY) + r")\.? \w")
+_ANNOUNCED = re.compile(r"(?<!\w)(?:(?:" + "|".join(TITLES_M + TITLES_F + TITLES_ANY) + r")\.?|" + "|".join(INTRODUCTIONS) + r") \w")
+_COLONS = re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:")
+_WORDS = re.compile(_NAME)
 
 
 def _round(key: bytes, tweak: str, k: int, x: int) -> int:
@@ -160,7 +172,9 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
-    return value if kind == "ipv4" else value.lower()
+    if kind == "ipv6":
+        return ipaddress.ip_address(value).exploded
+    return value if kind in ("ipv4", "key") else value.lower()
 
 
 def _wider(kind: str, value: str, made: str, key: bytes, more: int) -> str:
@@ -193,6 +207,11 @@ def _permuted(kind: str, value: str, key: bytes, tweak: str) -> str:
         a, b, c, d = map(int, value.split("."))
         x = permute((a << 24) | (b << 16) | (c << 8) | d, 1 << 16, 1 << 16, key, tweak)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(permute(int(ipaddress.ip_address(value)), 1 << 64, 1 << 64, key, tweak)).exploded
+    if kind == "key":
+        start = next((x for x in KEY_STARTS if value.startswith(x)), "")
+        return start + _letters(value[len(start) :], key, f"{tweak}|{start}")
     if kind == "phone":
         # a country code and the digits after it: the national number is permuted
         head = max(0, len(value) - 10)
@@ -204,7 +223,7 @@ def _permuted(kind: str, value: str, key: bytes, tweak: str) -> str:
         return body + str((_check_digit(body) + off) % 10)
     if kind == "ssn":
         return _digits(value, key, tweak)
-    return " ".join(_letters(x, key, f"{tweak}|word", keep_last=1) for x in value.split(" "))
+    return _letters(value, key, f"{tweak}|word", keep_last=1)
 
 
 def render(kind: str, original: str, value: str) -> str:
@@ -213,7 +232,7 @@ def render(kind: str, original: str, value: str) -> str:
         return _refill(original, value, str.isdigit) + value[sum(map(str.isdigit, original)) :]
     if kind == "iban":
         return _refill(original, value, str.isalnum)
-    if kind == "secret":
+    if kind in ("secret", "ipv6"):
         return value.upper() if original.upper() == original else value
     if kind == "name":
         return "".join(c.upper() if original[min(i, len(original) - 1)].isupper() else c for i, c in enumerate(value))
@@ -225,19 +244,49 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     kinds = []
     if "@" in text:
         kinds.append("email")
-    if _DIGIT.search(text):
-        kinds += ["secret", "iban", "ipv4", "phone", "ssn", "card"]
+    digits = _DIGIT.search(text)
+    if digits:
+        kinds.append("secret")
+    low = text.lower()
+    if any(w in low for w in SECRET_WORDS) or any(w in text for w in KEY_STARTS):
+        kinds.append("key")
+    if ("::" in text or text.count(":") > 6) and _COLONS.search(text):
+        kinds.append("ipv6")
+    if digits:
+        kinds += ["iban", "ipv4", "phone", "ssn", "card"]
     elif re.search(r"\d\.\d", text):
         kinds.append("ipv4")
-    if _TITLE.search(text):
-        kinds.append("name")
     found: list[tuple[int, int, str]] = []
+
+    def add(s: int, e: int, kind: str) -> None:
+        at = bisect_left(found, (s,))
+        if (at == 0 or found[at - 1][1] <= s) and (at == len(found) or e <= found[at][0]):
+            insort(found, (s, e, kind))
+
     for kind in kinds:
         for m in PATTERNS[kind].finditer(text):
-            s, e = m.span(1 if kind == "name" else 0)
-            if not any(s < b and a < e for a, b, _ in found):
-                found.append((s, e, kind))
-    return sorted(found)
+            if kind == "ipv6" and not _is_address(m[0]):
+                continue
+            add(*m.span(1 if kind == "key" and m[1] else 0), kind)
+    if _ANNOUNCED.search(text):
+        names: dict[str, None] = {}
+        for m in PATTERNS["name"].finditer(text):
+            for w in _WORDS.findall(m[1]):
+                if w[0].title() != w[0] or w in TITLES_M + TITLES_F + TITLES_ANY:  # the name has ended
+                    break
+                names[w] = None
+        if names:
+            again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)")
+            for m in again.finditer(text):
+                add(*m.span(), "name")
+    return found
+
+
+def _is_address(text: str) -> bool:
+    try:
+        return len(text) > 4 and ipaddress.ip_address(text).version == 6
+    except ValueError:
+        return False
 
 
 def replace(text: str, key: bytes = KEY, moved: dict[str, str] | None = None) -> tuple[str, list[str]]:
@@ -255,8 +304,8 @@ def replace(text: str, key: bytes = KEY, moved: dict[str, str] | None = None) ->
 
 
 def _occurrences(docs: DataFrame, key: bytes) -> DataFrame:
-    """(doc_id, text) -> distinct (doc_id, kind, value, surrogate) within each document."""
-    names = ["doc_id", "kind", "value", "surrogate"]
+    """(t, text), t the text's hash -> distinct (t, kind, value, surrogate) within each document."""
+    names = ["t", "kind", "value", "surrogate"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
@@ -267,9 +316,9 @@ def _occurrences(docs: DataFrame, key: bytes) -> DataFrame:
                 for k, v in dict.fromkeys((k, canonical(k, t[s:e])) for s, e, k in entities(t))
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names)
 
-    return docs.mapInArrow(trimmed(run), "doc_id string, kind string, value string, surrogate string")
+    return docs.mapInArrow(trimmed(run), "t long, kind string, value string, surrogate string")
 
 
 def _attempt(key: bytes, attempt: int):
@@ -304,23 +353,24 @@ def _moved(found: DataFrame, key: bytes) -> DataFrame:
     return done if done is not None else spark.createDataFrame([], "kind string, value string, s string")
 
 
-def surrogate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", key: bytes = KEY, kinds: str | None = None) -> DataFrame:
+def surrogate(docs: DataFrame, *, text: str = "text", key: bytes = KEY, kinds: str | None = None) -> DataFrame:
     """docs with surrogates in `text`; kinds: name of an added column, the array of kinds replaced in order.
 
     A null text stays null, with no kinds. Repeated rows and rows without a doc_id are treated alike: what an entity
     becomes depends on the entity alone. All other columns stay as they are.
     """
-    found = written(_occurrences(docs.select(F.col(doc_id).cast("string"), F.col(text)), key), "occurrences")
+    # what an entity becomes depends on it alone, so texts meet their entities by the text's hash: one that two texts share only adds entries
+    found = written(_occurrences(docs.select(F.xxhash64(text), F.col(text)), key), "occurrences")
     moved = _moved(found, key)
     kept, extra = [c for c in docs.columns if c != kinds], "pii_moved"
     while extra in docs.columns:
         extra += "_"
     moves = F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "s"))).alias(extra)
-    by_doc = found.join(moved, ["kind", "value"]).groupBy(F.col("doc_id").alias(extra + "_id")).agg(moves)
+    by_text = found.join(moved, ["kind", "value"]).groupBy(F.col("t").alias(extra + "_t")).agg(moves)
     if moved.isEmpty():
         joined = docs.withColumn(extra, F.lit(None).cast("map<string,string>"))
     else:
-        joined = docs.join(by_doc, docs[doc_id].cast("string").eqNullSafe(by_doc[extra + "_id"]), "left")
+        joined = docs.join(by_text, F.xxhash64(docs[text]) == by_text[extra + "_t"], "left")
     out = joined.select(*[F.col(f"`{c}`") for c in kept], extra)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + ([f"`{kinds}` array<string>"] if kinds else []))
 
