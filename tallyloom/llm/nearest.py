@@ -2,10 +2,11 @@
 
 Vectors are scaled by the largest norm and given one more coordinate that makes them unit vectors; for a query with 0 there,
 largest inner product and least angle are then the same. A hash is three rounds of random signs and a fast Hadamard
-transform, then the nearest signed axis. Each of TABLES tables deals all vectors by such a hash (beyond ONE_HASH vectors,
-by one or two); a query looks into the axes nearest to it. How many is fitted: the cheapest way whose candidates hold TARGET of
-the true neighbours of SAMPLE queries, which one exact scan finds. Where none does short of as many buckets as a table has, all
-queries meet all vectors in blocks; so do queries whose buckets hold too few candidates.
+transform, then the nearest signed axis. Each of TABLES tables deals all vectors by one such hash or two; a query looks into
+the axes nearest to it. How many hashes and axes is fitted at every size: the cheapest way whose candidates hold TARGET of the
+true neighbours of SAMPLE queries, which one exact scan finds, a way's cost being the vectors it reads and PROBE_COST a bucket.
+Where none reaches TARGET short of as many buckets as a table has, all queries meet all vectors in blocks; so do queries
+whose buckets hold too few candidates.
 
 Equal vectors are one class, and of a class only the least k + 1 ids can be among a query's k nearest, so copies of one
 vector never fill a bucket. Full buckets are cut into blocks. Buckets return a query's best k, and an exact order of these
@@ -25,12 +26,11 @@ from .common import table, trimmed, written
 
 TABLES = 8
 ROUNDS = 3
-PROBES = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
+PROBES = (4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 640, 768, 896, 1024, 1280, 1536, 2048, 3072, 4096)
 #: What a probe costs beside its candidates, in candidates.
 PROBE_COST = 64
 SAMPLE = 64
 TARGET = 0.96
-ONE_HASH = 1_000_000
 BLOCK = 8192
 SEED = 11
 
@@ -137,7 +137,7 @@ def _fit(classes: DataFrame, queries: DataFrame, n: int, most: float, k: int) ->
     near = found.withColumn("r", first).filter(F.col("r") <= k + 1).toPandas()  # SAMPLE * (k + 1) rows
     width = 2 * rotated(np.zeros((1, q.shape[1] + 1)), 0).shape[1]
     cheapest, way = float("inf"), None
-    for hashes in (1,) if n <= ONE_HASH else (1, 2):
+    for hashes in (1, 2):
         ranks, reach = [], min(PROBES[-1], width**hashes)
         for i, group in near.groupby("q"):
             group = group[group["c"] != ids[i]].head(k)
@@ -239,7 +239,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     dealt = classes.mapInArrow(trimmed(deal), "c long, vector array<double>, members array<long>, codes array<long>")
     dealt = dealt.select("c", "vector", "members", F.posexplode("codes").alias("t", "code")).withColumn("bucket", F.col("code") * TABLES + F.col("t"))
     dealt = written(dealt.select("c", "vector", "members", "bucket"), "dealt")
-    full = F.broadcast(written(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "full"))  # TABLES * n / BLOCK rows at most
+    full = written(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "full")  # TABLES * n / BLOCK rows at most: Spark broadcasts it below its threshold
     blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
     left = dealt.join(full, "bucket", "left").select("c", "vector", "members", "bucket", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"))
     asked = written(queries.mapInArrow(trimmed(ask), "query_id long, vector array<double>, bucket long"), "asked")

@@ -22,13 +22,11 @@ def recall(spark, x, **options):
     return hit / total
 
 
-def test_recall_beyond_one_hash(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "ONE_HASH", 0)
+def test_recall_of_vectors_far_apart(spark):
     assert recall(spark, np.random.default_rng(4).normal(size=(2000, 100))) >= 0.9
 
 
 def test_recall_by_two_hashes(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "ONE_HASH", 0)
     monkeypatch.setattr(nearest, "PROBE_COST", 0)
     used = []
     fit = nearest._fit
