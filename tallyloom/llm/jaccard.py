@@ -44,6 +44,8 @@ SLOT_BITS = 18
 REGION_SHINGLES = 2_000_000
 PIVOTS = 16
 LEVELS = 2
+#: Pivots don't split a region of which one of their regions holds more than this share.
+WHOLE = 0.8
 #: Documents up to which a region is joined pair by pair.
 SMALL_REGION = 3
 #: Rows up to which a group of documents that meet joins in one task.
@@ -319,13 +321,13 @@ class Region:
         inside = distance <= distance.min(axis=0) + window
         self.regions += len(order)
         self.windows += int(inside.sum()) - len(ids)
-        for k in range(len(order)):
-            # where all link with the pivot nothing is left to compare
-            if (part := inside[k]).sum() > 1 and (part & ~linked[k]).any():
-                if part.sum() > 0.8 * len(ids):
-                    self.pairs(ids[part])
-                else:
-                    self.join(ids[part], seed + k + 1)
+        # where all link with the pivot nothing is left to compare
+        parts = {k: ids[part] for k, part in enumerate(inside) if part.sum() > 1 and (part & ~linked[k]).any()}
+        if parts and max(map(len, parts.values())) > WHOLE * len(ids):
+            self.pairs(ids)
+            return
+        for k, part in parts.items():
+            self.join(part, seed + k + 1)
 
 
 class Sets(Region):
@@ -432,8 +434,8 @@ def _assign(percent: int, space: Callable):
     return run
 
 
-def _split(rows: DataFrame, sizes: DataFrame, limit: int, level: int, percent: int, space: Callable) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Large regions (family, c, n, own) -> links to pivots (a, b) and (family, region, c, star) by Voronoi regions with windows, and the families that had a pivot."""
+def _split(rows: DataFrame, sizes: DataFrame, limit: int, level: int, percent: int, space: Callable) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Large regions (family, c, n, own) -> links to pivots (a, b); (family, region, c, star) by Voronoi regions with windows; the families that had a pivot, and those of them that pivots don't split."""
     big = rows.select("family", "c", "own").join(sizes, "family")
     salts = F.ceil(F.col("mass") / F.lit(limit / 2)).cast("int")
     pivots = big.filter(F.pmod(F.xxhash64("c", F.lit(level)), F.col("members")) < PIVOTS)
@@ -443,18 +445,23 @@ def _split(rows: DataFrame, sizes: DataFrame, limit: int, level: int, percent: i
     found = written(found, "voronoi")
     inside = found.filter("inside")
     # a region whose members all link with its pivot is done
-    open_ = inside.groupBy("family", "b").agg(F.min("linked").alias("done")).filter("not done").select("family", "b")
-    regions = inside.join(open_, ["family", "b"]).select("family", F.xxhash64("family", "b").alias("region"), F.col("a").alias("c"), F.col("linked").alias("star"))
-    return found.filter("linked and a <> b").select("a", "b"), regions, found.select("family").distinct()
+    of = inside.groupBy("family", "b").agg(F.min("linked").alias("done"), F.count(F.lit(1)).alias("m"))
+    open_ = written(of.filter("not done").join(sizes.select("family", "members"), "family"), "open")
+    whole = open_.filter(F.col("m") > WHOLE * F.col("members")).select("family").distinct()
+    parts = open_.join(whole, "family", "left_anti").select("family", "b")
+    regions = inside.join(parts, ["family", "b"]).select("family", F.xxhash64("family", "b").alias("region"), F.col("a").alias("c"), F.col("linked").alias("star"))
+    return found.filter("linked and a <> b").select("a", "b"), regions, found.select("family").distinct(), whole
 
 
-def _blocks(sets: DataFrame, sizes: DataFrame, links: DataFrame, limit: int, percent: int, space: Callable) -> DataFrame:
+def _blocks(sets: DataFrame, links: DataFrame, limit: int, percent: int, space: Callable) -> DataFrame:
     """Regions that pivots don't split: pairs of blocks, but for two blocks of one known component."""
     known = components(links)
-    rows = sets.join(known, sets["c"] == known["node"], "left").withColumn("component", F.coalesce("root", "c")).drop("node", "root").join(sizes.withColumnRenamed("mass", "whole"), "family")
+    rows = sets.join(known, sets["c"] == known["node"], "left").withColumn("component", F.coalesce("root", "c")).drop("node", "root")
     # a component of at least a block has blocks of its own; the others share blocks
     of = rows.groupBy("family", "component").agg(F.sum("n").alias("mass")).filter(F.col("mass") >= limit / 2)
     rows = rows.join(of, ["family", "component"], "left").withColumn("own_blocks", F.when(F.col("mass").isNotNull(), F.col("component")).otherwise(F.lit(None)))
+    others = rows.filter("own_blocks is null").groupBy("family").agg(F.sum("n").alias("whole"))
+    rows = rows.join(others, "family", "left")
     mass = F.coalesce("mass", "whole")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(55)), F.ceil(mass / F.lit(limit / 2))).cast("int"))
     names = rows.groupBy("family", "own_blocks", "block").agg(F.count(F.lit(1)).alias("k")).withColumn("name", F.xxhash64("own_blocks", "block"))
@@ -474,6 +481,7 @@ def _regions(rows: DataFrame, limit: int, percent: int, space: Callable) -> Data
         nonlocal found
         found = more if found is None else found.unionByName(more)
 
+    rest: DataFrame | None = None
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("family").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("members"))
         large = written(sizes.filter(F.col("mass") > limit), "large")
@@ -481,16 +489,20 @@ def _regions(rows: DataFrame, limit: int, percent: int, space: Callable) -> Data
         add(written(small.groupBy("family").applyInArrow(_join_group(percent, space), "a long, b long"), "links"))
         if large.isEmpty():
             break
-        rest = rows.join(large.select("family"), "family", "left_semi")
-        if level == LEVELS:
-            add(written(_blocks(rest.drop("star"), large, found, limit, percent, space), "links"))
-            break
-        linked, regions, split = _split(rest, large, limit, level, percent, space)
-        add(linked)
-        dealt = rest.drop("star").join(regions, ["family", "c"]).select(F.col("region").alias("family"), "c", "n", "own", "star")
-        # a large region without a pivot keeps its name and waits for the next level
-        kept = rest.join(split, "family", "left_anti").select("family", "c", "n", "own", "star")
-        rows = written(dealt.unionByName(kept), "regions")
+        big = rows.join(large.select("family"), "family", "left_semi")
+        stuck = large
+        if level < LEVELS:
+            linked, regions, split, whole = _split(big, large, limit, level, percent, space)
+            add(linked)
+            stuck = large.join(whole, "family", "left_semi")
+            dealt = big.drop("star").join(regions, ["family", "c"]).select(F.col("region").alias("family"), "c", "n", "own", "star")
+            # a large region without a pivot keeps its name and waits for the next level
+            kept = big.join(split, "family", "left_anti").select("family", "c", "n", "own", "star")
+            rows = written(dealt.unionByName(kept), "regions")
+        left = big.drop("star").join(stuck.select("family"), "family", "left_semi")
+        rest = left if rest is None else rest.unionByName(left)
+    if rest is not None:
+        add(written(_blocks(rest, found, limit, percent, space), "links"))
     return found
 
 
