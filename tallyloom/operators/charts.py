@@ -115,3 +115,24 @@ def heatmap_grid(df: DataFrame, measure: str) -> DataFrame:
     cells = heatmap(df, measure).select("week_start", "weekday", "value")
     weeks = cells.select("week_start").distinct().withColumn("weekday", F.explode(F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")])))
     return weeks.join(cells, ["week_start", "weekday"], "left").select("week_start", "weekday", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+#: Kinds of chart that don't show a run of time.
+NOT_FOR_TIME = ["donut", "pareto", "scatter", "treemap"]
+SLICES = 6
+
+
+def requested(df: DataFrame, kind: str, dimension: str, measure: str) -> DataFrame:
+    """The chart for a kind of picture: a donut has SLICES slices, and kinds that don't show time fall back to categories."""
+    if kind in NOT_FOR_TIME and dimension in ("day", "month"):
+        dimension = "category"
+    return chart(df, dimension, measure, SLICES if kind == "donut" else TOP_N)
+
+
+def treemap_cells(points: DataFrame) -> DataFrame:
+    return points.filter("value > 0")
+
+
+def bubbles(points: DataFrame, price: str) -> DataFrame:
+    """Points that are groups of their own and have a price."""
+    return points.filter(~F.col("is_other") & F.col(price).isNotNull())

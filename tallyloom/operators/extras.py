@@ -86,6 +86,44 @@ def capabilities(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "kind string, name string, available boolean, reason string")
 
 
+# Cards and charts with the columns that they need, the dimension and how many different values it must have.
+CARDS = {
+    "revenue": [], "profit": ["cost_price", "quantity"], "margin_pct": ["cost_price", "quantity"], "units": ["quantity"], "transactions": [], "discount": ["discount"],
+    "discount_pct": ["mrp", "selling_price", "quantity"], "stock_on_hand": ["stock_on_hand"], "days_of_cover": ["stock_on_hand"],
+}
+CHARTS = {
+    "daily_trend": ([], "sale_date", 2), "revenue_by_category": (["category"], "category", 2), "top_items": (["item"], "item", 2), "revenue_by_branch": (["branch"], "branch", 2), "payment_mode_split": (["payment_mode"], "payment_mode", 2),
+    "weekday_heatmap": ([], "sale_date", 14), "pnl": (["cost_price", "quantity"], None, 0), "discount_vs_margin": (["mrp", "selling_price", "cost_price", "quantity"], "item", 1),
+}
+
+
+def cards_and_charts(df: DataFrame) -> DataFrame:
+    """(kind, name, available, reason): every card and chart, flagged. One row of counts comes to the driver."""
+    dimensions = [c for c in ("sale_date", "category", "item", "branch", "payment_mode") if c in df.columns]
+    n = df.agg(*[F.count_distinct(F.to_date(c) if c == "sale_date" else F.col(c)).alias(c) for c in dimensions]).first().asDict()
+    blanks = completeness(df).first().asDict()
+
+    def reason(needs: list[str], dimension: str | None = None, least: int = 0) -> str | None:
+        if not blanks["n_rows"]:
+            return "There are no rows."
+        for x in needs:
+            if x not in df.columns:
+                return f"Needs {x}."
+            if blanks.get(f"blank_{x}"):
+                return f"Some rows have no {x}."
+        if dimension and n.get(dimension, 0) < least:
+            return f"Needs at least {least} different values of {dimension}."
+        return None
+
+    rows = [("card", k, (r := reason(needs)) is None, r) for k, needs in CARDS.items()] + [("chart", k, (r := reason(*needs)) is None, r) for k, needs in CHARTS.items()]
+    return df.sparkSession.createDataFrame(rows, "kind string, name string, available boolean, reason string")
+
+
+def share_texts(mix: DataFrame) -> DataFrame:
+    """(label, share) -> (label, share_text), as they stand in a sentence."""
+    return mix.select("label", text.percent_text(F.col("share")).alias("share_text"))
+
+
 def masked_description(df: DataFrame, column: str, samples: int = 5) -> DataFrame:
     """One row: a column's shape and a few masked sample values, none where most values are text that isn't numeric."""
     s = shape(df.select(column), [column])

@@ -126,6 +126,35 @@ def evaluation(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(clear, right.cast("double"))).alias("accuracy"), share("exact").alias("exact_share"), share("fuzzy").alias("fuzzy_share"), share("none").alias("none_share"), F.count_if(clear & F.col("predicted").isNotNull() & ~right).alias("false_mappings"))
 
 
+def role_scores(predicted: DataFrame) -> DataFrame:
+    """(expected, predicted) -> (role, support, precision, recall) of each field and none; ambiguous headers take no part."""
+    clear = predicted.filter("expected <> 'ambiguous'").select("expected", F.coalesce("predicted", F.lit("none")).alias("predicted"))
+    sides = clear.select(F.explode(F.array_distinct(F.array("expected", "predicted"))).alias("role"), "expected", "predicted")
+    is_, said = F.col("expected") == F.col("role"), F.col("predicted") == F.col("role")
+    share = lambda of: F.try_divide(F.count_if(is_ & said).cast("double"), F.count_if(of).cast("double"))
+    return sides.groupBy("role").agg(F.count_if(is_).alias("support"), share(said).alias("precision"), share(is_).alias("recall"))
+
+
+def confusions(predicted: DataFrame, n: int = 10) -> DataFrame:
+    """(expected, predicted, n): the most frequent wrong answers."""
+    clear = predicted.filter("expected <> 'ambiguous'").select("expected", F.coalesce("predicted", F.lit("none")).alias("predicted")).filter("expected <> predicted")
+    return clear.groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "expected", "predicted").limit(n)
+
+
+def perturbed(headers: DataFrame) -> DataFrame:
+    """(ordinal, header) -> (ordinal, kind, header): the spellings of a header that should be read alike; unchanged ones are left out."""
+    h = F.col("header")
+    wide = F.translate(h, "".join(map(chr, range(0x20, 0x7F))), "\u3000" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)))
+    kinds = {
+        "upper": F.upper(h), "title": F.initcap(h), "pad_spaces": F.concat(F.lit("  "), h, F.lit("  ")), "double_internal_space": F.regexp_replace(h, "^([^ ]*) ", "$1  "), "bom_prefix": F.concat(F.lit("\ufeff"), h),
+        "bom_then_space": F.concat(F.lit("\ufeff "), h), "space_then_bom": F.concat(F.lit(" \ufeff"), h), "underscore_for_space": F.replace(h, F.lit(" "), F.lit("_")), "space_for_underscore": F.replace(h, F.lit("_"), F.lit(" ")),
+        "hyphen_for_space": F.replace(h, F.lit(" "), F.lit("-")), "trailing_colon": F.concat(h, F.lit(":")), "trailing_dot": F.concat(h, F.lit(".")), "nbsp_for_space": F.replace(h, F.lit(" "), F.lit("\u00a0")),
+        "tab_for_space": F.replace(h, F.lit(" "), F.lit("\t")), "fullwidth": wide, "nfd": text.normalised(h, "NFD"),
+    }
+    some = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("p")
+    return headers.select("ordinal", "header", some).filter("p.value <> header").select("ordinal", "p.kind", F.col("p.value").alias("header"))
+
+
 def staged(new: DataFrame, known: DataFrame) -> DataFrame:
     """(phrase, target) of imported headers -> + state: present, conflict (several targets, or another than the known one), unmapped, new."""
     per = new.groupBy(text.header_key(F.col("phrase")).alias("phrase")).agg(F.count_distinct("target").alias("k"), F.min("target").alias("target"))

@@ -40,6 +40,11 @@ def anomalies(df: DataFrame) -> DataFrame:
     return found.select("day", "revenue", "z", severity.alias("severity"))
 
 
+def anomalous_days(days: DataFrame, found: DataFrame) -> DataFrame:
+    """The days of a daily series that anomalies() names."""
+    return days.join(found.select("day"), "day", "left_semi")
+
+
 def _item_sums(df: DataFrame) -> DataFrame:
     return derived(df).groupBy("item").agg(exact_sum(F.col("row_revenue")).alias("revenue"), exact_sum(F.col("row_cost")).alias("cost"), exact_sum(F.col("row_profit")).alias("profit"))
 
@@ -60,7 +65,8 @@ def margin_leaks(df: DataFrame) -> DataFrame:
     """
     d = derived(df)
     rows = d.groupBy("item").agg(F.min("category").alias("category"), exact_sum(F.col("row_revenue")).alias("revenue"), exact_sum(F.col("row_profit")).alias("profit")).filter("revenue > 0")
-    rows = rows.withColumn("margin", percent(F.col("profit"), F.col("revenue"))).withColumn("share", F.col("revenue") / F.sum(F.col("revenue").cast("decimal(20,6)")).over(everything()).cast("double"))
+    total = rows.agg(exact_sum(F.col("revenue")).alias("total"))
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("margin", percent(F.col("profit"), F.col("revenue"))).withColumn("share", F.col("revenue") / F.col("total"))  # one row
     by_category = rows.groupBy("category").agg(F.percentile("margin", F.lit(0.5)).alias("category_median"), F.count(F.lit(1)).alias("n"))
     shop = rows.agg(F.percentile("margin", F.lit(0.5)).alias("shop_median"))
     rows = rows.join(by_category, "category").crossJoin(F.broadcast(shop))  # one row
@@ -74,18 +80,17 @@ def discount_leader(df: DataFrame) -> DataFrame:
     fine = df.filter((F.col("mrp") > 0) & (F.col("selling_price") <= F.col("mrp")))
     given, listed = exact_sum((F.col("mrp") - F.col("selling_price")) * F.col("quantity")), exact_sum(F.col("mrp") * F.col("quantity"))
     rows = fine.groupBy("item").agg(given.alias("given"), listed.alias("listed")).filter("listed > 0")
-    rows = rows.withColumn("discount_pct", percent(F.col("given"), F.col("listed"))).withColumn("n", F.count(F.lit(1)).over(everything()))
-    overall = percent(F.sum(F.col("given").cast("decimal(20,6)")).over(everything()).cast("double"), F.sum(F.col("listed").cast("decimal(20,6)")).over(everything()).cast("double"))
-    first = F.row_number().over(Window.orderBy(F.desc("discount_pct"), "item"))
-    return rows.withColumn("overall_pct", overall).withColumn("r", first).filter((F.col("r") == 1) & (F.col("n") >= LEADER_ITEMS) & (F.col("discount_pct") - F.col("overall_pct") >= LEADER_GAP)).select("item", "discount_pct", "overall_pct")
+    whole = rows.agg(percent(exact_sum(F.col("given")), exact_sum(F.col("listed"))).alias("overall_pct"), F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("discount_pct", percent(F.col("given"), F.col("listed"))).orderBy(F.desc("discount_pct"), "item").limit(1)
+    return first.crossJoin(F.broadcast(whole)).filter((F.col("n") >= LEADER_ITEMS) & (F.col("discount_pct") - F.col("overall_pct") >= LEADER_GAP)).select("item", "discount_pct", "overall_pct")  # one row
 
 
 def margin_gaps(df: DataFrame) -> DataFrame:
     """(item, margin, overall): which of the three items of largest revenue earn 5 points less than the whole."""
     rows = _item_sums(df)
-    overall = percent(F.sum(F.col("profit").cast("decimal(20,6)")).over(everything()).cast("double"), F.sum(F.col("revenue").cast("decimal(20,6)")).over(everything()).cast("double"))
-    rows = rows.withColumn("overall", overall).withColumn("r", F.row_number().over(Window.orderBy(F.desc("revenue"), "item"))).withColumn("margin", percent(F.col("profit"), F.col("revenue")))
-    return rows.filter((F.col("r") <= TOP_REVENUE) & (F.col("margin") < F.col("overall") - MARGIN_GAP)).select("item", "margin", "overall")
+    whole = rows.agg(percent(exact_sum(F.col("profit")), exact_sum(F.col("revenue"))).alias("overall"))
+    top = rows.orderBy(F.desc("revenue"), "item").limit(TOP_REVENUE).withColumn("margin", percent(F.col("profit"), F.col("revenue")))
+    return top.crossJoin(F.broadcast(whole)).filter(F.col("margin") < F.col("overall") - MARGIN_GAP).select("item", "margin", "overall")  # one row
 
 
 def payment_mix(df: DataFrame) -> DataFrame:
@@ -118,7 +123,8 @@ def dead_stock(df: DataFrame) -> DataFrame:
     """(item, days_idle, revenue) of items not sold in the last 30 days of the slice."""
     d = derived(df)
     rows = d.groupBy("item").agg(F.max(F.col("sale_date").cast("date")).alias("last_sale"), exact_sum(F.col("row_revenue")).alias("revenue"))
-    return rows.withColumn("days_idle", F.datediff(F.max("last_sale").over(everything()), "last_sale")).filter(F.col("days_idle") >= DEAD_DAYS).select("item", "days_idle", "revenue")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("last_sale").alias("last"))))  # one row
+    return rows.withColumn("days_idle", F.datediff("last", "last_sale")).filter(F.col("days_idle") >= DEAD_DAYS).select("item", "days_idle", "revenue")
 
 
 SEVERITY = {"critical": 0, "warning": 1, "positive": 2, "neutral": 3}

@@ -80,3 +80,14 @@ def item_demand(df: DataFrame, order: list[str], horizon: int, n: int = 20) -> D
     """(item, expected): velocity * trend * horizon of the items that sell most; the trend of an item sold only late is 2, and 0.5 otherwise."""
     rows = items(df, order, only_late=2.0, only_early=0.5, neither=0.5).orderBy(F.desc("units"), "item").limit(n)
     return rows.select("item", "units", "trend", (F.col("velocity") * F.col("trend") * horizon).alias("expected"))
+
+
+def with_demand(rows: DataFrame, demand: DataFrame) -> DataFrame:
+    """intelligence() rows with the units expected of the items that have a forecast."""
+    return rows.join(demand.select("item", "expected"), "item", "left")
+
+
+def resorted(rows: DataFrame, column: str, ascending: bool = False, n: int = 12) -> DataFrame:
+    """The first n rows by a column; a missing value counts as 0."""
+    key = F.coalesce(F.col(column), F.lit(0.0))
+    return rows.orderBy(key.asc() if ascending else key.desc(), "item").limit(n)

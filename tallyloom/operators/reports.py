@@ -77,7 +77,8 @@ def top_items(df: DataFrame, n: int = 5) -> DataFrame:
 def slow_items(df: DataFrame, most_units: float = 5.0) -> DataFrame:
     """Items that sold at most so many units in the slice, with the days since they last sold."""
     sums = df.groupBy("item").agg(exact_sum(F.col("quantity")).alias("units"), F.max(day()).alias("last_sale"))
-    return sums.withColumn("days_idle", F.datediff(F.max("last_sale").over(Window.partitionBy()), "last_sale")).filter(F.col("units") <= most_units)
+    sums = sums.crossJoin(F.broadcast(sums.agg(F.max("last_sale").alias("last"))))  # one row
+    return sums.withColumn("days_idle", F.datediff("last", "last_sale")).filter(F.col("units") <= most_units).drop("last")
 
 
 def profit_and_loss(df: DataFrame) -> DataFrame:

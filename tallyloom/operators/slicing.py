@@ -103,9 +103,12 @@ class Slice:
     window: Window
 
 
-def build_slice(df: DataFrame, query: AnalysisQuery) -> Slice:
-    """The window is that of the whole register; filters hold in both periods. One row comes to the driver: the data's span."""
-    span = date_range(df).first()
+def build_slice(df: DataFrame, query: AnalysisQuery, days: DataFrame | None = None) -> Slice:
+    """The window is that of the whole register; filters hold in both periods. One row comes to the driver: the data's span.
+
+    days: a frame with the same span of sale_date that is cheaper to read than df.
+    """
+    span = date_range(df if days is None else days).first()
     w = resolve_window(span["min_day"], span["max_day"], query)
     return Slice(filtered(in_range(df, w.start, w.end), query.filters), filtered(in_range(df, w.previous_start, w.previous_end), query.filters), w)
 
@@ -140,3 +143,14 @@ def drill_down(query: AnalysisQuery, dimension: str, label: str) -> AnalysisQuer
         d = date.fromisoformat(label + "-01")
         return AnalysisQuery("custom", d, (d.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1), query.filters)
     return AnalysisQuery(query.time_filter, query.start_date, query.end_date, {**query.filters, dimension: [label]})
+
+
+def head_and_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first and the last n rows by a unique order, each once: two top-k lists, no sort of all rows."""
+    head, tail = df.orderBy(*order).limit(n), df.orderBy(*[F.desc(c) for c in order]).limit(n)
+    return head.union(tail).distinct()
+
+
+def selected_options(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Those of the selected values that a slice has."""
+    return df.select(column).distinct().intersect(df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string"))

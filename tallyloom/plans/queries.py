@@ -12,9 +12,9 @@ from ..fields import MEASURES, TIME_DIMENSIONS
 from ..functions import numbers, text
 from ..operators import charts, derive, evidence, extras, forecast, headers, ingest, insights, inventory, reports, slicing
 from ..operators.slicing import AnalysisQuery, build_slice
-from ..sources.register import ROW_ORDER, star_register
+from ..sources.register import ROW_ORDER, star_days, star_register
 from ..streaming import events
-from . import sql
+from . import column_queries, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +28,7 @@ def add(name: str, run: Query, oracle: str | None) -> None:
 
 
 def sliced(run: Callable[[slicing.Slice], DataFrame], query: AnalysisQuery = AnalysisQuery()) -> Query:  # noqa: B008
-    return lambda spark, d: run(build_slice(star_register(spark, d), query))
+    return lambda spark, d: run(build_slice(star_register(spark, d), query, star_days(spark, d)))
 
 
 def whole(run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -36,7 +36,7 @@ def whole(run: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 MONTH, WEEK, DAYS30, TODAY = (AnalysisQuery(k) for k in ("month", "week", "30days", "today"))
-BRANCHES = ["FRANCE", "GERMANY", "INDIA"]
+BRANCHES = ["NATION_9", "NATION_6", "NATION_11"]
 FILTERED = AnalysisQuery("30days", filters={"branch": BRANCHES, "payment_mode": []})
 CUSTOM = AnalysisQuery("custom", date(1997, 3, 1), date(1997, 8, 31))
 IN_CUSTOM = "sale_date >= TIMESTAMP '1997-03-01' AND sale_date < TIMESTAMP '1997-09-01'"
@@ -53,7 +53,7 @@ def _charts() -> None:
         q = AnalysisQuery(kind)
         add(f"agg01_{measure}_by_{dimension}_{kind}", sliced(lambda s, d=dimension, m=measure: charts.chart(s.current, d, m), q), sql.chart(dimension, measure, sql.RANGE[kind], MEASURES[measure][0], dimension in TIME_DIMENSIONS))
     add("srt01_top3_fold", sliced(lambda s: charts.chart(s.current, "item", "revenue", 3)), sql.chart("item", "revenue", "TRUE", True, False, 3))
-    add("flt05_filtered_chart", sliced(lambda s: charts.chart(s.current, "category", "revenue"), FILTERED), sql.chart("category", "revenue", f"{LAST30} AND branch IN ('FRANCE','GERMANY','INDIA')", True, False))
+    add("flt05_filtered_chart", sliced(lambda s: charts.chart(s.current, "category", "revenue"), FILTERED), sql.chart("category", "revenue", f"{LAST30} AND branch IN ('NATION_9','NATION_6','NATION_11')", True, False))
     add("flt02_custom_range", sliced(lambda s: charts.chart(s.current, "category", "revenue"), CUSTOM), sql.chart("category", "revenue", IN_CUSTOM, True, False))
     add("agg04_extra_sum", whole(lambda r: charts.extra_measure(r, "category", "x_meas_order_total", False)), BASE + f"SELECT category AS label, {sql.s('x_meas_order_total')} AS value, COUNT(x_meas_order_total) AS n FROM cur GROUP BY 1")
     add("agg04_extra_mean", whole(lambda r: charts.extra_measure(r, "branch", "x_meas_order_total", True)), BASE + f"SELECT branch AS label, {sql.s('x_meas_order_total')} / COUNT(x_meas_order_total) AS value, COUNT(x_meas_order_total) AS n FROM cur GROUP BY 1")
@@ -67,8 +67,8 @@ def _slices() -> None:
     add("flt08_completeness", whole(derive.completeness), BASE + "SELECT COUNT(*) AS n_rows, " + ", ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS blank_{c}" for c in ("quantity", "selling_price", "cost_price", "line_total", "discount", "tax", "stock_on_hand", "mrp")) + " FROM cur")
     dims = ["category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "colour", "invoice_no", "x_dim_returnflag"]
     add("flt10_dimension_options", whole(slicing.dimension_options), BASE + "SELECT dimension, value FROM (SELECT dimension, value, row_number() OVER (PARTITION BY dimension ORDER BY value) AS rn FROM (" + " UNION ".join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value FROM cur" for d in dims) + ")) WHERE rn <= 200")
-    add("flt09_cascading_options", whole(lambda r: slicing.cascading_options(r, FILTERED, "branch", "an")), sql.base(LAST30) + "SELECT DISTINCT branch AS value FROM cur WHERE contains(lower(branch), 'an')")
-    add("set01_selected_options", sliced(lambda s: s.current.select("branch").distinct().intersect(s.current.sparkSession.createDataFrame([(b,) for b in BRANCHES], "branch string")), WEEK), sql.base(sql.RANGE["week"]) + "SELECT branch FROM cur INTERSECT SELECT unnest(['FRANCE','GERMANY','INDIA'])")
+    add("flt09_cascading_options", whole(lambda r: slicing.cascading_options(r, FILTERED, "branch", "_1")), sql.base(LAST30) + "SELECT DISTINCT branch AS value FROM cur WHERE contains(lower(branch), '_1')")
+    add("set01_selected_options", sliced(lambda s: slicing.selected_options(s.current, "branch", BRANCHES), WEEK), sql.base(sql.RANGE["week"]) + "SELECT branch FROM cur INTERSECT SELECT unnest(['NATION_9','NATION_6','NATION_11'])")
     add("ing16_derived_totals", whole(lambda r: derive.derived(r).groupBy("category").agg(*[numbers.exact_sum(F.col(c)).alias(c) for c in ("row_revenue", "row_discount", "row_cost", "row_profit", "row_tax")])), BASE + "SELECT category, " + ", ".join(f"{sql.s(c)} AS {c}" for c in ("row_revenue", "row_discount", "row_cost", "row_profit", "row_tax")) + " FROM p GROUP BY 1")
     mrp = BASE + f"SELECT category, {sql.s('CASE WHEN mrp > 0 AND mrp >= selling_price THEN GREATEST((mrp - selling_price) * quantity, 0.0) ELSE 0.0 END')} AS row_discount, {sql.s('quantity * selling_price')} AS row_revenue FROM cur GROUP BY 1"
     add("ing16_mrp_discount_basis", whole(lambda r: derive.derived(r.drop("discount", "line_total")).groupBy("category").agg(numbers.exact_sum(F.col("row_discount")).alias("row_discount"), numbers.exact_sum(F.col("row_revenue")).alias("row_revenue"))), mrp)
@@ -80,15 +80,15 @@ def _reports() -> None:
     change = ", ".join(f"COALESCE((cur_{m} - prev_{m}) / NULLIF(prev_{m}, 0) * 100, 0.0) AS {m}_change" for m in ("revenue", "cost", "profit", "units"))
     add("agg08_kpi", sliced(lambda s: reports.kpi(s.current, s.previous), DAYS30), BASE30 + prev + f", a AS ({sums('p', 'cur')}), b AS ({sums('p2', 'prev')}) SELECT cur_revenue, cur_cost, cur_profit, cur_units, prev_revenue, prev_cost, prev_profit, prev_units, cur_items, {change}, COALESCE(cur_profit / NULLIF(cur_revenue, 0) * 100, 0.0) AS margin_pct, cur_cost / NULLIF(cur_revenue, 0) * 100 AS cost_pct, cur_units / NULLIF(cur_items, 0) AS units_per_item FROM a, b")
     add("agg11_daily_summary", sliced(lambda s: reports.daily(s.current), MONTH), sql.base(sql.RANGE["month"]) + sql.DAILY + "SELECT *, COALESCE(profit / NULLIF(revenue, 0) * 100, 0.0) AS margin_pct FROM daily")
-    one = AnalysisQuery("all", filters={"branch": ["FRANCE"], "brand": ["Brand#11"]})
-    add("jn01_zero_filled_days", sliced(lambda s: reports.daily(s.current), one), sql.base("branch = 'FRANCE' AND brand = 'Brand#11'") + sql.DAILY + "SELECT *, COALESCE(profit / NULLIF(revenue, 0) * 100, 0.0) AS margin_pct FROM daily")
+    one = AnalysisQuery("all", filters={"branch": ["NATION_9"], "brand": ["Brand#11"]})
+    add("jn01_zero_filled_days", sliced(lambda s: reports.daily(s.current), one), sql.base("branch = 'NATION_9' AND brand = 'Brand#11'") + sql.DAILY + "SELECT *, COALESCE(profit / NULLIF(revenue, 0) * 100, 0.0) AS margin_pct FROM daily")
     add("win06_trailing_mean", sliced(lambda s: reports.trailing_mean(reports.daily(s.current)), DAYS30), sql.base(LAST30) + sql.DAILY + f"SELECT day, revenue, CASE WHEN COUNT(*) OVER (ORDER BY day ROWS 6 PRECEDING) = 7 THEN {sql.over('revenue', 'ORDER BY day ROWS 6 PRECEDING')} / 7 END AS mean_7 FROM daily")
     add("agg13_category_ledger", whole(reports.category_ledger), BASE + f", g AS (SELECT category AS label, {sql.TOTALS} FROM p GROUP BY 1) SELECT label, units, revenue, cost, profit, COALESCE(profit / NULLIF(revenue, 0) * 100, 0.0) AS margin_pct FROM g")
     add("agg32_ledger_total", whole(reports.ledger_total), BASE + f", g AS (SELECT {sql.TOTALS}, COUNT(DISTINCT CAST(sale_date AS DATE)) AS days FROM p) SELECT units, revenue, cost, profit, profit / NULLIF(revenue, 0) * 100 AS margin_pct, revenue / NULLIF(days, 0) AS revenue_per_day FROM g")
     add("agg32_revenue_mix", whole(reports.revenue_mix), BASE + f", g AS (SELECT category AS label, {sql.TOTALS} FROM p GROUP BY 1) SELECT label, revenue, revenue / {sql.over('revenue')} * 100 AS share FROM g WHERE revenue > 0 ORDER BY revenue DESC, label LIMIT 6")
     add("srt03_top_items", whole(reports.top_items), BASE + f"SELECT item, units, revenue FROM (SELECT item, {sql.TOTALS} FROM p GROUP BY 1) ORDER BY units DESC, item LIMIT 5")
     slow = f", g AS (SELECT item, {sql.s('quantity')} AS units, MAX(CAST(sale_date AS DATE)) AS last_sale FROM cur GROUP BY 1), h AS (SELECT item, units, last_sale, CAST(date_diff('day', last_sale, MAX(last_sale) OVER ()) AS INTEGER) AS days_idle FROM g) SELECT * FROM h WHERE units <= 40"
-    add("anl11_slow_items", sliced(lambda s: reports.slow_items(s.current, 40), AnalysisQuery("week", filters={"branch": ["FRANCE", "CHINA"]})), sql.base(sql.RANGE["week"] + " AND branch IN ('FRANCE','CHINA')") + slow)
+    add("anl11_slow_items", sliced(lambda s: reports.slow_items(s.current, 40), AnalysisQuery("week", filters={"branch": ["NATION_9", "NATION_7"]})), sql.base(sql.RANGE["week"] + " AND branch IN ('NATION_9','NATION_7')") + slow)
     pnl = f""", t AS (SELECT {sql.s('row_revenue')} AS net, {sql.s('row_discount')} AS given, {sql.s('row_cost')} AS cost, {sql.s('row_profit')} AS profit, {sql.s('row_tax')} AS tax FROM p),
  l AS (SELECT 1 AS position, 'Gross Sales' AS line, net + given AS amount FROM t WHERE given > 0 UNION ALL SELECT 2, 'Less: Discounts Allowed', -given FROM t WHERE given > 0 UNION ALL SELECT 3, 'Net Revenue', net FROM t WHERE given > 0
  UNION ALL SELECT 1, 'Gross Revenue', net FROM t WHERE COALESCE(given, 0) <= 0 UNION ALL SELECT 4, 'Cost of Goods Sold', cost FROM t UNION ALL SELECT 5, 'Gross Profit', profit FROM t UNION ALL SELECT 6, 'Tax Collected (memo)', tax FROM t WHERE tax > 0)
@@ -106,14 +106,14 @@ def _reports() -> None:
 def _inventory() -> None:
     columns = "item, category, units, revenue, last_sale, active_days, mean_cost, stock, velocity, velocity_active, days_idle, trend, abc, priority, ageing, days_cover, reorder, capital"
     pick = [c.strip() for c in columns.split(",")]
-    france = AnalysisQuery("30days", filters={"branch": ["FRANCE"]})
-    in_france = sql.base(LAST30 + " AND branch = 'FRANCE'") + sql.INVENTORY
+    france = AnalysisQuery("30days", filters={"branch": ["NATION_9"]})
+    in_france = sql.base(LAST30 + " AND branch = 'NATION_9'") + sql.INVENTORY
     idle = "CAST(days_idle AS INTEGER) AS days_idle"
     add("inv01_intelligence", sliced(lambda s: inventory.intelligence(s.current, ROW_ORDER).select(*pick), france), in_france + f"SELECT {columns.replace('days_idle', idle)} FROM inv")
     add("inv04_ranked", sliced(lambda s: inventory.ranked(s.current, ROW_ORDER, 10).select("item", "priority"), DAYS30), sql.base(LAST30) + sql.INVENTORY + "SELECT item, priority FROM inv ORDER BY priority DESC, item LIMIT 10")
     bucket = lambda by: f"SELECT {by} AS bucket, COUNT(*) AS item_count, {sql.s('units')} AS units, {sql.s('revenue')} AS revenue FROM inv GROUP BY 1"
     add("win04_abc_buckets", sliced(lambda s: inventory.buckets(s.current, ROW_ORDER, "abc"), DAYS30), sql.base(LAST30) + sql.INVENTORY + f", b AS ({bucket('abc')}), k AS (SELECT unnest(['A','B','C']) AS bucket), j AS (SELECT k.bucket, COALESCE(item_count, 0) AS item_count, COALESCE(units, 0.0) AS units, COALESCE(revenue, 0.0) AS revenue FROM k LEFT JOIN b ON b.bucket = k.bucket) SELECT *, COALESCE(revenue / NULLIF({sql.over('revenue')}, 0) * 100, 0.0) AS revenue_share FROM j")
-    add("agg19_ageing_buckets", sliced(lambda s: inventory.buckets(s.current, ROW_ORDER, "ageing"), AnalysisQuery("all", filters={"branch": ["FRANCE"], "salesperson": ["Supplier#000000001", "Supplier#000000002"]})), sql.base("branch = 'FRANCE' AND salesperson IN ('Supplier#000000001','Supplier#000000002')") + sql.INVENTORY + f", b AS ({bucket('ageing')}) SELECT *, COALESCE(revenue / NULLIF({sql.over('revenue')}, 0) * 100, 0.0) AS revenue_share FROM b")
+    add("agg19_ageing_buckets", sliced(lambda s: inventory.buckets(s.current, ROW_ORDER, "ageing"), AnalysisQuery("all", filters={"salesperson": ["Supplier#000000001", "Supplier#000000002"]})), sql.base("salesperson IN ('Supplier#000000001','Supplier#000000002')") + sql.INVENTORY + f", b AS ({bucket('ageing')}) SELECT *, COALESCE(revenue / NULLIF({sql.over('revenue')}, 0) * 100, 0.0) AS revenue_share FROM b")
     add("fcs04_item_demand", sliced(lambda s: inventory.item_demand(s.current, ROW_ORDER, 14), DAYS30), sql.base(LAST30) + sql.INVENTORY + ", z AS (SELECT item, units, velocity, LEAST(GREATEST(CASE WHEN early > 0 AND late > 0 THEN late / early WHEN late > 0 THEN 2.0 ELSE 0.5 END, 0.25), 4.0) AS trend FROM i2) SELECT item, units, trend, velocity * trend * 14 AS expected FROM z ORDER BY units DESC, item LIMIT 20")
 
 
@@ -124,15 +124,15 @@ def _insights() -> None:
  a4 AS (SELECT day, revenue, {z} AS z FROM a1, a2, a3 WHERE n >= 7 AND med > 0)
  SELECT day, revenue, z, CASE WHEN abs(z) >= 3 THEN 'critical' WHEN z < 0 THEN 'warning' ELSE 'positive' END AS severity FROM a4 WHERE abs(z) >= 2"""
     add("anl01_anomalies", sliced(lambda s: insights.anomalies(s.current)), BASE + anomaly)
-    add("anl01_anomalies_sparse", sliced(lambda s: insights.anomalies(s.current), AnalysisQuery("all", filters={"branch": ["FRANCE"], "brand": ["Brand#11"]})), sql.base("branch = 'FRANCE' AND brand = 'Brand#11'") + anomaly)
+    add("anl01_anomalies_sparse", sliced(lambda s: insights.anomalies(s.current), AnalysisQuery("all", filters={"branch": ["NATION_9"], "brand": ["Brand#11"]})), sql.base("branch = 'NATION_9' AND brand = 'Brand#11'") + anomaly)
     change = f"""SELECT a.item, {sql.six('a.revenue - b.revenue')} AS change FROM (SELECT item, {sql.s('row_revenue')} AS revenue FROM p GROUP BY 1) a JOIN (SELECT item, {sql.s('GREATEST(COALESCE(quantity*selling_price, line_total) - COALESCE(discount, 0.0), 0.0)')} AS revenue FROM prev GROUP BY 1) b USING (item)"""
     add("anl02_movers", sliced(lambda s: insights.movers(s.current, s.previous), DAYS30), BASE30 + f", ch AS ({change}), u AS (SELECT * FROM ch ORDER BY change DESC, item DESC LIMIT 1), v AS (SELECT * FROM ch ORDER BY change, item LIMIT 1) SELECT * FROM u WHERE change > 1 UNION SELECT * FROM v WHERE change < -1")
     leak = sql.ITEMS + f""", m0 AS (SELECT item, category, revenue, profit / revenue * 100 AS margin, revenue / {sql.over('revenue')} AS share FROM it WHERE revenue > 0), cm AS (SELECT category, median(margin) AS cmed, COUNT(*) AS n FROM m0 GROUP BY 1), sm AS (SELECT median(margin) AS smed FROM m0),
  m1 AS (SELECT item, share, margin, CASE WHEN n >= 3 THEN cmed ELSE smed END AS benchmark FROM m0 JOIN cm USING (category), sm), m2 AS (SELECT *, CASE WHEN margin < 0 THEN abs(margin) + 100 ELSE benchmark - margin END AS gap FROM m1) SELECT item, margin, benchmark, gap FROM m2 WHERE share >= 0.03 AND gap >= 10"""
-    few = AnalysisQuery("week", filters={"branch": ["FRANCE"]})
-    add("anl03_margin_leaks", sliced(lambda s: insights.margin_leaks(s.current), few), sql.base(sql.RANGE["week"] + " AND branch = 'FRANCE'") + leak)
+    few = AnalysisQuery("week", filters={"branch": ["NATION_9"]})
+    add("anl03_margin_leaks", sliced(lambda s: insights.margin_leaks(s.current), few), sql.base(sql.RANGE["week"] + " AND branch = 'NATION_9'") + leak)
     add("anl04_discount_leader", sliced(lambda s: insights.discount_leader(s.current)), BASE + f", g AS (SELECT item, {sql.s('(mrp - selling_price) * quantity')} AS given, {sql.s('mrp * quantity')} AS listed FROM cur WHERE mrp > 0 AND selling_price <= mrp GROUP BY 1), h AS (SELECT item, given / listed * 100 AS discount_pct, {sql.over('given')} / {sql.over('listed')} * 100 AS overall_pct, COUNT(*) OVER () AS n FROM g WHERE listed > 0), f AS (SELECT * FROM h ORDER BY discount_pct DESC, item LIMIT 1) SELECT item, discount_pct, overall_pct FROM f WHERE n >= 3 AND discount_pct - overall_pct >= 3")
-    add("anl05_margin_gaps", sliced(lambda s: insights.margin_gaps(s.current), few), sql.base(sql.RANGE["week"] + " AND branch = 'FRANCE'") + sql.ITEMS + f", g AS (SELECT item, profit / NULLIF(revenue, 0) * 100 AS margin, {sql.over('profit')} / {sql.over('revenue')} * 100 AS overall, row_number() OVER (ORDER BY revenue DESC, item) AS rn FROM it) SELECT item, margin, overall FROM g WHERE rn <= 3 AND margin < overall - 5")
+    add("anl05_margin_gaps", sliced(lambda s: insights.margin_gaps(s.current), AnalysisQuery("month", filters={"branch": ["NATION_14"]})), sql.base(sql.RANGE["month"] + " AND branch = 'NATION_14'") + sql.ITEMS + f", g AS (SELECT item, profit / NULLIF(revenue, 0) * 100 AS margin, {sql.over('profit')} / {sql.over('revenue')} * 100 AS overall, row_number() OVER (ORDER BY revenue DESC, item) AS rn FROM it) SELECT item, margin, overall FROM g WHERE rn <= 3 AND margin < overall - 5")
     add("anl06_payment_mix", sliced(lambda s: insights.payment_mix(s.current)), BASE + f", g AS (SELECT payment_mode, {sql.TOTALS} FROM p GROUP BY 1), h AS (SELECT payment_mode, revenue, revenue / {sql.over('revenue')} * 100 AS share, profit / NULLIF(revenue, 0) * 100 AS margin FROM g) SELECT *, share >= 50 AS is_dominant FROM h")
     add("anl07_concentration", sliced(lambda s: insights.concentration(s.current)), BASE + sql.ITEMS + f", g AS (SELECT {sql.over('revenue', 'ORDER BY revenue DESC, item ROWS UNBOUNDED PRECEDING')} / {sql.over('revenue')} AS running FROM it WHERE revenue > 0), h AS (SELECT COUNT(*) AS n_items, COUNT(*) FILTER (WHERE running < 0.8) + 1 AS n_needed FROM g) SELECT *, n_items >= 8 AND n_needed / n_items::DOUBLE <= 0.2 AS is_concentrated FROM h")
     add("anl08_weekday_timing", sliced(lambda s: insights.weekday_timing(s.current)), BASE + f", g AS (SELECT CAST(sale_date AS DATE) AS day, {sql.s('row_revenue')} AS revenue FROM p GROUP BY 1), h AS (SELECT strftime(day, '%a') AS weekday, {sql.s('revenue')} / COUNT(*) AS mean_revenue, COUNT(*) AS days FROM g GROUP BY 1) SELECT weekday, mean_revenue, days, row_number() OVER (ORDER BY mean_revenue DESC, weekday) = 1 AS is_best, row_number() OVER (ORDER BY mean_revenue, weekday) = 1 AS is_worst FROM h WHERE days >= 2")
@@ -185,7 +185,7 @@ def _ingest() -> None:
     add("ing06_normalised_register", lambda s, d: ingest.normalised(dirty_cells(s, d), MAPPING)[0].select("row_id", "sale_date", "quantity", "line_total", "item", "selling_price"), DIRTY_SQL + f"SELECT row_id, sale_date, quantity, line_total, item, selling_price FROM u WHERE {good}")
     add("agg33_error_counts", lambda s, d: reports.error_counts(ingest.normalised(dirty_cells(s, d), MAPPING)[1]), DIRTY_SQL + """, e AS (SELECT 'Date' AS "column" FROM u WHERE sale_date IS NULL UNION ALL SELECT 'Quantity' FROM u WHERE bad_quantity UNION ALL SELECT 'Quantity' FROM u WHERE quantity <= 0 AND sale_date IS NOT NULL AND line_total IS NOT NULL) SELECT "column", COUNT(*) AS n FROM e GROUP BY 1""")
     add("ing08_whole_quantities", whole(ingest.whole_quantities), BASE + "SELECT bool_and(quantity = round(quantity)) AS is_whole FROM cur")
-    add("fn12_masked_mail", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_replace("text", r"[\w.+-]+@[\w-]+\.[\w.-]+", "[email]").alias("m")).select("doc_id", F.instr("m", "[email]").cast("long").alias("at")), r"SELECT doc_id, CAST(strpos(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '[email]', 'g'), '[email]') AS BIGINT) AS at FROM documents")
+    add("fn12_masked_mail", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.contains(text.masked(F.col("text"), 2**31 - 1), F.lit("[email]")).alias("has_mail")), r"SELECT doc_id, regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.-]+') AS has_mail FROM documents")
 
 
 def _evidence() -> None:
@@ -196,7 +196,6 @@ def _evidence() -> None:
         add(f"agg26_invoice_repeat_{column}", whole(lambda r, c=column: evidence.invoice_repeat(r, c)), per)
     slabs = ", ".join(f"{x}::DOUBLE" for x in evidence.SLABS)
     add("evd01_slab_coverage", lambda s, d: evidence.slab_coverage(s.read.parquet(f"{d}/lineitem.parquet"), F.round(F.col("l_tax") * 100)), f"WITH v AS (SELECT round(l_tax * 100) AS v FROM lineitem), h AS (SELECT COUNT(DISTINCT v) AS n_distinct, AVG(CASE WHEN v IN ({slabs}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM v WHERE v IS NOT NULL) SELECT n_distinct, share, n_distinct <= 6 AND share >= 0.9 AS is_rate FROM h")
-    add("map10_shape", whole(lambda r: evidence.shape(r.select("quantity", "category", "invoice_no", "sale_date"), ["quantity", "category", "invoice_no"])), None)
     add("map12_cosine", lambda s, d: _cosine(s, d), f"WITH a AS (SELECT embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id = 0) SELECT vec_id, {sql.six('list_cosine_similarity(embedding::DOUBLE[], a)')} AS likeness FROM embeddings, a")
 
 
@@ -209,12 +208,12 @@ def _cosine(spark: SparkSession, d: str) -> DataFrame:
 def _functions() -> None:
     words = whole(lambda r: r.select("item").distinct().select("item", text.slug(F.col("item")).alias("slug"), F.size(text.tokens(F.col("item"))).alias("n_tokens"), numbers.shortened(F.col("item"), 8).alias("short")))
     add("fn15_slugs", words, BASE + "SELECT DISTINCT item, trim(regexp_replace(regexp_replace(lower(trim(item)), '%', '_pct_', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CAST(len(regexp_extract_all(lower(trim(item)), '[a-z0-9]+')) AS INTEGER) AS n_tokens, CASE WHEN length(item) > 8 THEN substr(item, 1, 7) || '…' ELSE item END AS short FROM cur")
-    add("fn17_customer_keys", whole(lambda r: r.select("customer").distinct().select("customer", F.sha2("customer", 256).alias("digest"))), BASE + "SELECT DISTINCT customer, sha256(customer) AS digest FROM cur")
+    add("fn17_customer_keys", whole(lambda r: r.select("customer").distinct().select("customer", text.digest(F.col("customer")).alias("digest"))), BASE + "SELECT DISTINCT customer, sha256(customer) AS digest FROM cur")
 
 
 GOLDEN = [
     ("date", "Date"), ("Voucher Date", "Date"), ("item group", "Category"), ("Particulars", "Item"), ("Qty.", "Quantity"), ("Rate/Unit", "Selling Price"), ("Net Amount", "Line Total"), ("Closing Stock", "Stock On Hand"), ("Cashier Name", "Salesperson"),
-    ("Customer Phone", "none"), ("Notes", "none"), ("Total", "ambiguous"), ("Net Tax Amount", "Tax"), ("Colour", "Colour"), ("Store Code", "Branch"), ("date", "Date"),
+    ("Count of Boxes", "none"), ("Customer Phone", "none"), ("Notes", "none"), ("Total", "ambiguous"), ("Net Tax Amount", "Tax"), ("Colour", "Colour"), ("Store Code", "Branch"), ("date", "Date"),
 ]
 
 
@@ -237,6 +236,7 @@ def _headers() -> None:
     right = "COALESCE(field, 'none') = expected"
     add("map20_header_evaluation", lambda s, d: headers.evaluation(headers.guessed(table(s)).join(s.createDataFrame([(i, e) for i, (_, e) in enumerate(GOLDEN)], "ordinal int, expected string"), "ordinal").withColumnRenamed("field", "predicted")), guess + f", e AS (SELECT * FROM (VALUES {expected}) t(o, expected)), z AS (SELECT * FROM q JOIN e ON o = ordinal) SELECT COUNT(*) AS n, AVG(CASE WHEN expected <> 'ambiguous' THEN CASE WHEN {right} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS accuracy, {share('exact')}, {share('fuzzy')}, {share('none')}, COUNT(*) FILTER (WHERE expected <> 'ambiguous' AND field IS NOT NULL AND NOT ({right})) AS false_mappings FROM z")
     add("sch01_capabilities", whole(lambda r: extras.capabilities(r.drop("colour")).select("kind", "name", "available")), "SELECT * FROM (VALUES " + ", ".join([f"('measure', '{m}', TRUE)" for m in MEASURES] + [f"('dimension', '{x}', {x != 'colour'})".upper().replace("DIMENSION", "dimension").replace(x.upper(), x) for x in ("category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "colour", "invoice_no", "day", "weekday", "month")]) + ") t(kind, name, available)")
+    column_queries.register(add, GOLDEN, guess)
     read = lambda s, d: s.read.parquet(f"{d}/events.parquet")
     add("stream_tumbling_days", lambda s, d: events.tumbling(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, COUNT(*) AS n, {sql.s('value')} AS total FROM events GROUP BY 1, 2")
     add("stream_sessions", lambda s, d: events.sessions(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM k GROUP BY user_id, k")
