@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Used where a session names no folder in spark.checkpoint.dir, as in tests on one machine.
+#: Used where a session on one machine names no folder in spark.checkpoint.dir, as in tests.
 DEFAULT_SHARED_DIR = "file:///tmp/tallyloom-checkpoints"
 
 
@@ -22,18 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED_DIR
+    """The folder that the driver and all executors share. A cluster has to name it: no machine's own folder will do."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return named or DEFAULT_SHARED_DIR
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it again, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that written() made and drop_written() hasn't removed.
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the intermediate tables but the first `keep`: for when the results that were built on them have been stored."""
+    for path in _WRITTEN[keep:]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _WRITTEN[keep:]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

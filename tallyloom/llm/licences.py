@@ -1,15 +1,20 @@
 """License scans by conditional compression.
 
-Lines with a word that license texts use, and the lines around them, are candidate blocks. Each block is compressed alone and with
-every template as raw zstandard dictionary; the template that saves most is what the block most likely quotes. The
-winners are confirmed word by word: the alignment of the template's words with the block's gives the words missing,
-added and changed, and a version or clause that differs in one word is a different license.
+Lines with a word that license texts use, and the lines around them, are candidate blocks. In a block, the places where a
+template's rarer words stand in its order are its windows, however long the block's lines are and however often it quotes the
+template. A window is compressed alone and with the template as raw zstandard dictionary; windows whose compressed size
+shrinks most are what the block most likely quotes, and they are confirmed in that order, word by word: the alignment of
+template and window gives the words missing, added and changed, and a version or clause that differs in one word is a
+different license. Of windows that overlap, the one with fewer differences stays.
+
+TEMPLATES and SPDX are notices in common use; another table of templates can be given.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -44,14 +49,22 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "All-rights-reserved": "All rights reserved.",
 }
+# Identifiers of the SPDX list that files name in a line of their own.
+SPDX = [
+    "MIT", "MIT-0", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "EPL-2.0", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+]
 CUES = r"licen[sc]|copyright|©|rights reserved|public domain|redistribut|hereby granted|spdx|\bcc[ -]?(by|0)\b"
 _CUE = re.compile(CUES, re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-#: A block's winner saves at least this share of the size that the template has compressed by itself.
-LEAST_SAVING = 0.5
+#: A window's winner saves at least this share of the size that the template has compressed by itself.
+LEAST_SAVING = 0.4
 #: A confirmed winner has at most this share of its words missing or changed.
 MOST_CHANGED = 0.2
-WINNERS = 3
+#: A window has this share of the template's words, and two words, before and after it.
+SLACK = 0.2
+#: So many of a template's words, those that are rarest in the block, say where it may stand.
+MARKS = 3
 LEVEL = 3
 
 
@@ -59,16 +72,25 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-@lru_cache(1)
-def _templates():
+def known_templates() -> dict[str, str]:
+    return TEMPLATES | {f"SPDX:{i}": f"SPDX-License-Identifier: {i}" for i in SPDX}
+
+
+@lru_cache(4)
+def _compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple]:
+    """(name, words, compressor with the template as dictionary, compressed size of the template)."""
     import zstandard as z
 
-    plain = z.ZstdCompressor(level=LEVEL)
-    return [(name, words(t), z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(_canonical(t).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)), len(plain.compress(_canonical(t).encode()))) for name, t in TEMPLATES.items()]
+    out = []
+    for name, text in templates:
+        data = _canonical(words(text)).encode()
+        given = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+        out.append((name, words(text), z.ZstdCompressor(level=LEVEL, dict_data=given), len(z.ZstdCompressor(level=LEVEL).compress(data))))
+    return out
 
 
-def _canonical(text: str) -> str:
-    return " " + " ".join(words(text)) + " "
+def _canonical(own: list[str]) -> str:
+    return " " + " ".join(own) + " "
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -90,17 +112,27 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
             start = None
 
 
-def savings(block: str) -> list[tuple[float, int]]:
-    """(saving, number of the template), best first: bytes that a template as dictionary saves, as share of the template's own compressed size."""
-    import zstandard as z
-
-    data = _canonical(block).encode()
-    alone = len(z.ZstdCompressor(level=LEVEL).compress(data))
-    return sorted(((alone - len(c.compress(data))) / size, -k) for k, (_, _, c, size) in enumerate(_templates()))[::-1]
-
-
-def difference(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks or changes, and words that the block has between the template's words."""
+def places(template: list[str], at: Mapping[str, list[int]], n: int) -> list[tuple[int, int]]:
+    """(first, end) of the windows of a block of n words, whose words' positions are at, in which the template may stand."""
+    m, slack = len(template), max(2, int(SLACK * len(template)))
+    here = Counter(template)
+    marks = sorted((w for w in here if w in at), key=lambda w: len(at[w]))[:MARKS]
+    if len(marks) < min(MARKS, len(here)) and len(marks) < (1 - MOST_CHANGED) * len(here):
+        return []
+    starts = sorted({p - i for w in marks for i, t in enumerate(template) if t == w for p in at[w]})
+    out: list[tuple[int, int]] = []
+    last = None
+    for s in starts:
+        if last is None or s - last > slack:
+            out.append((max(0, s - slack), min(n, s + m + slack)))
+        else:
+            out[-1] = (out[-1][0], min(n, s + m + slack))
+        last = s
+    return out
+
+
+def difference(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
+    """Words of the template that the block lacks or changes, those that the block has between the template's, and where it begins and ends."""
     matches = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     missing, added, a = [], [], 0
     for i, m in enumerate(matches):
@@ -108,54 +140,60 @@ def difference(template: list[str], block: list[str]) -> tuple[list[str], list[s
         if i:
             added += block[matches[i - 1].b + matches[i - 1].size : m.b]
         a = m.a + m.size
-    return missing + template[a:], added
+    return missing + template[a:], added, matches[0].b if matches else 0, matches[-1].b + matches[-1].size if matches else 0
 
 
-def scan(text: str) -> list[tuple]:
-    """(start, end, license, exact, saving, missing, added) of each confirmed license of a text.
+def scan(text: str, templates: tuple[tuple[str, str], ...] | None = None) -> list[tuple]:
+    """(start, end, license, exact, saving, missing, added) of each confirmed license of a text, as often as it is quoted."""
+    import zstandard as z
 
-    A block can quote several: its winners by saving are confirmed in turn, and the words that one explains are not
-    explained again by another with more differences.
-    """
     found = []
+    plain = z.ZstdCompressor(level=LEVEL)
     for start, end in blocks(text):
-        block = words(text[start:end])
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(text, start, end)]
+        block = [text[a:b].lower() for a, b in spans]
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(block):
+            at.setdefault(w, []).append(i)
+        windows = []
+        for name, template, compressor, size in _compiled(templates or tuple(known_templates().items())):
+            for first, last in places(template, at, len(block)):
+                data = _canonical(block[first:last]).encode()
+                saving = (len(plain.compress(data)) - len(compressor.compress(data))) / size
+                if saving >= LEAST_SAVING:
+                    windows.append((-saving, first, last, name, template))
         good = []
-        for rank, (saving, k) in enumerate(savings(text[start:end])):
-            name, template, _, _ = _templates()[-k]
-            # a block of many notices has more winners than WINNERS: every template whose words all stand in it is compared too
-            if rank >= WINNERS and saving < LEAST_SAVING and not set(template) <= set(block):
+        for saving, first, last, name, template in sorted(windows):
+            missing, added, a, b = difference(template, block[first:last])
+            if b > a and len(missing) <= MOST_CHANGED * len(template) and len(added) <= max(2, MOST_CHANGED * len(template)):
+                good.append((len(missing) + len(added), -len(template), first + a, first + b, name, -saving, missing, added))
+        taken: list[tuple[int, int]] = []
+        for changes, _, a, b, name, saving, missing, added in sorted(good):
+            if any(a < y and x < b for x, y in taken):
                 continue
-            missing, added = difference(template, block)
-            if len(missing) <= MOST_CHANGED * len(template) and len(added) <= max(2, MOST_CHANGED * len(template)):
-                good.append((len(missing) + len(added), -len(template), rank, name, saving, missing, added))
-        explained: list[set[str]] = []
-        for changes, _, _, name, saving, missing, added in sorted(good):
-            own = set(words(TEMPLATES[name])) - set(missing)
-            if changes and any(own <= e or len(own & e) > 0.6 * len(own) for e in explained):
-                continue
-            if not changes and any(own < e for e in explained):
-                continue
-            explained.append(own)
-            found.append((start, end, name, changes == 0, saving, missing, added))
-    return found
+            taken.append((a, b))
+            found.append((spans[a][0], spans[b - 1][1], name, changes == 0, saving, missing, added))
+    return sorted(found)
 
 
 SCHEMA = "start int, end int, license string, exact boolean, saving double, missing array<string>, added array<string>"
 
 
-def scan_licenses(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", templates: Mapping[str, str] | None = None) -> DataFrame:
     """One row a license notice found: doc_id and SCHEMA (code points; words lower-cased). Null and empty texts have none.
 
+    templates: {name: wording}, in place of known_templates().
+
     Only texts with a cue, looked for in the JVM over the whole text, reach Python. Repeated rows give repeated results.
     """
+    given = tuple((templates or known_templates()).items())
     few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.lower("text").rlike(CUES))
     kind = few.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
         for batch in batches:
-            rows = [(i, *r) for i, t in enumerate(batch.column(1).to_pylist()) for r in scan(t)]
+            rows = [(i, *r) for i, t in enumerate(batch.column(1).to_pylist()) for r in scan(t, given)]
             columns = list(zip(*rows, strict=True)) or [()] * 8
             names = ["doc_id", *[c.split()[0] for c in SCHEMA.split(", ")]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int32()))] + [pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)], names)
