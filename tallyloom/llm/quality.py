@@ -121,10 +121,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """The model of two classes, fitted on the `rows` labelled, not held-out rows of least id hash. Without any, it says 0.5 of all."""
+    """The model of two classes, fitted on the `rows` labelled, not held-out rows of least id hash. Without any, it says 0.5 of all.
+
+    Of several texts of one id the least is taken, so every fit is the same.
+    """
     some = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("label"))
     some = some.orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
-    found = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), doc_id).dropDuplicates([doc_id]).toPandas()
+    found = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), doc_id).groupBy(doc_id).agg(F.min("text").alias("text"), F.first("label").alias("label")).toPandas()
     if found.empty:
         return np.zeros(1 << BITS, np.float32), 0.0
     found = found.sort_values(doc_id)
