@@ -434,8 +434,25 @@ def _assign(percent: int, space: Callable):
     return run
 
 
+def _united(group: pa.Table) -> pa.Table:
+    """The different lists of pivots that members of a family link with -> (family, b, root): pivots that members connect have one root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for heads in group.column("heads").to_pylist():
+        for h in heads:
+            a, b = root(heads[0]), root(h)
+            up[max(a, b)] = min(a, b)
+    heads = list(up)
+    return pa.table({"family": pa.array([group.column("family")[0].as_py()] * len(heads), pa.int64()), "b": pa.array(heads, pa.int64()), "root": pa.array(list(map(root, heads)), pa.int64())})
+
+
 def _split(rows: DataFrame, sizes: DataFrame, limit: int, level: int, percent: int, space: Callable) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Large regions (family, c, n, own) -> links to pivots (a, b); (family, region, c, star) by Voronoi regions with windows; the families that had a pivot, and those of them that pivots don't split."""
+    """Large regions (family, c, n, own) -> links to pivots (family, a, b); (family, region, c, star) by Voronoi regions with windows; the families that had a pivot, and those of them that pivots don't split."""
     big = rows.select("family", "c", "own").join(sizes, "family")
     salts = F.ceil(F.col("mass") / F.lit(limit / 2)).cast("int")
     pivots = big.filter(F.pmod(F.xxhash64("c", F.lit(level)), F.col("members")) < PIVOTS)
@@ -450,13 +467,16 @@ def _split(rows: DataFrame, sizes: DataFrame, limit: int, level: int, percent: i
     whole = open_.filter(F.col("m") > WHOLE * F.col("members")).select("family").distinct()
     parts = open_.join(whole, "family", "left_anti").select("family", "b")
     regions = inside.join(parts, ["family", "b"]).select("family", F.xxhash64("family", "b").alias("region"), F.col("a").alias("c"), F.col("linked").alias("star"))
-    return found.filter("linked and a <> b").select("a", "b"), regions, found.select("family").distinct(), whole
+    return found.filter("linked").select("family", "a", "b"), regions, found.select("family").distinct(), whole
 
 
-def _blocks(sets: DataFrame, links: DataFrame, limit: int, percent: int, space: Callable) -> DataFrame:
-    """Regions that pivots don't split: pairs of blocks, but for two blocks of one known component."""
-    known = components(links)
-    rows = sets.join(known, sets["c"] == known["node"], "left").withColumn("component", F.coalesce("root", "c")).drop("node", "root")
+def _blocks(sets: DataFrame, linked: DataFrame, limit: int, percent: int, space: Callable) -> DataFrame:
+    """Regions that pivots don't split: pairs of blocks, but for two blocks of one known component. linked: their members' links to pivots."""
+    # pivots are few, and so are the different lists of them that a family's members link with (2 ** PIVOTS at most, a handful as a rule)
+    heads = linked.groupBy("family", "a").agg(F.sort_array(F.collect_set("b")).alias("heads"))
+    roots = heads.select("family", "heads").distinct().groupBy("family").applyInArrow(_united, "family long, b long, root long")
+    known = linked.join(roots, ["family", "b"]).groupBy("family", F.col("a").alias("c")).agg(F.min("root").alias("root"))
+    rows = written(sets.join(known, ["family", "c"], "left").withColumn("component", F.coalesce("root", "c")).drop("root"), "blocks")
     # a component of at least a block has blocks of its own; the others share blocks
     of = rows.groupBy("family", "component").agg(F.sum("n").alias("mass")).filter(F.col("mass") >= limit / 2)
     rows = rows.join(of, ["family", "component"], "left").withColumn("own_blocks", F.when(F.col("mass").isNotNull(), F.col("component")).otherwise(F.lit(None)))
@@ -482,6 +502,7 @@ def _regions(rows: DataFrame, limit: int, percent: int, space: Callable) -> Data
         found = more if found is None else found.unionByName(more)
 
     rest: DataFrame | None = None
+    known: DataFrame | None = None
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("family").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("members"))
         large = written(sizes.filter(F.col("mass") > limit), "large")
@@ -493,16 +514,23 @@ def _regions(rows: DataFrame, limit: int, percent: int, space: Callable) -> Data
         stuck = large
         if level < LEVELS:
             linked, regions, split, whole = _split(big, large, limit, level, percent, space)
-            add(linked)
+            add(linked.filter("a <> b").select("a", "b"))
             stuck = large.join(whole, "family", "left_semi")
             dealt = big.drop("star").join(regions, ["family", "c"]).select(F.col("region").alias("family"), "c", "n", "own", "star")
             # a large region without a pivot keeps its name and waits for the next level
             kept = big.join(split, "family", "left_anti").select("family", "c", "n", "own", "star")
             rows = written(dealt.unionByName(kept), "regions")
+            if not whole.isEmpty():
+                of_stuck = linked.join(whole, "family", "left_semi")
+                known = of_stuck if known is None else known.unionByName(of_stuck)
         left = big.drop("star").join(stuck.select("family"), "family", "left_semi")
         rest = left if rest is None else rest.unionByName(left)
+        if level < LEVELS and rows.isEmpty():
+            break
     if rest is not None:
-        add(written(_blocks(rest, found, limit, percent, space), "links"))
+        if known is None:
+            known = rows.sparkSession.createDataFrame([], "family long, a long, b long")
+        add(written(_blocks(rest, known, limit, percent, space), "links"))
     return found
 
 

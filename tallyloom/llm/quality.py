@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trimmed
+from .common import give_back, table, trimmed
 
 BITS = 17
 DIM = 8
@@ -131,7 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     if found.empty:
         return np.zeros(1 << BITS, np.float32), 0.0
     found = found.sort_values(doc_id)
-    return SubwordClassifier().fit(found["text"].tolist(), found["label"].astype(int).tolist()).linear()
+    model = SubwordClassifier().fit(found["text"].tolist(), found["label"].astype(int).tolist()).linear()
+    del found
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text", score: str = "score") -> DataFrame:
