@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, imatch, jaccard, licences, mixing, nearest, packing, pii, quality, suffixes, tries
+from . import credentials, dualtree, htmltext, imatch, jaccard, licences, mixing, nearest, packing, pii, quality, suffixes, tries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cross_polytope": nearest.op8,
         "op9_suffix_dedup": suffixes.op9,
         "op10_pii_surrogates": pii.op10,
+        "op11_dual_tree": dualtree.op11,
+        "op12_secret_ownership": credentials.op12,
         "op13_prefix_trie": tries.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op13_prefix_trie": tries.OP13_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op11_dual_tree": dualtree.OP11_SQL, "op13_prefix_trie": tries.OP13_SQL}
