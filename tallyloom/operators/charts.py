@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fields import MEASURES, PARETO, TIME_DIMENSIONS, TOP_N, WEEKDAYS, QueryError
-from ..functions.numbers import div, exact_sum, percent, with_sum_before
+from ..functions.numbers import div, exact_sum, percent
+from ..functions.ordered import with_sum_before
 from .derive import derived
 
 PARTS = ["revenue", "cost", "profit", "discount", "units", "transactions"]
@@ -60,6 +61,8 @@ def chart(df: DataFrame, dimension: str, measure: str, top_n: int = TOP_N) -> Da
     additive = MEASURES[measure][0]
     timed = dimension in TIME_DIMENSIONS
     groups = grouped(df, dimension).withColumn("value", measure_value(measure))
+    if additive and not timed:
+        groups = with_sum_before(groups, "value", "label", "before")  # written once, in order: all that follows reads that table
     sums = [F.sum(p).alias(p) if p == "transactions" else exact_sum(F.col(p)).alias(p) for p in PARTS]
     whole = groups.agg(*sums, exact_sum(F.col("value")).alias("sum_of_values"), F.count(F.lit(1)).alias("group_count"))
     whole = whole.select((F.col("sum_of_values") if additive else measure_value(measure)).alias("total"), "group_count")
@@ -71,7 +74,7 @@ def chart(df: DataFrame, dimension: str, measure: str, top_n: int = TOP_N) -> Da
         whole = whole.withColumn("pareto_count", F.lit(None).cast("long"))
     else:
         if additive:
-            reached = with_sum_before(groups, "value", "label", "before").crossJoin(F.broadcast(whole)).filter(~F.coalesce(div(F.col("before"), F.col("total")) >= PARETO, F.lit(False)))  # one row
+            reached = groups.crossJoin(F.broadcast(whole)).filter(~F.coalesce(div(F.col("before"), F.col("total")) >= PARETO, F.lit(False)))  # one row
             pareto = reached.agg(F.count(F.lit(1)).alias("n"))
             whole = whole.crossJoin(pareto).withColumn("pareto_count", F.when(F.col("total") > 0, F.col("n"))).drop("n")  # one row each
         else:

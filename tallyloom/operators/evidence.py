@@ -10,6 +10,9 @@ from ..functions import text
 # Tax slabs, in percent and as fractions.
 SLABS = [0.0, 5.0, 12.0, 18.0, 28.0, 0.05, 0.12, 0.18, 0.28]
 MATCH, TOLERANCE, REPEAT, SLAB_SHARE, SLAB_MOST, LEAST_ROWS, LEAST_INVOICES = 0.90, 0.01, 0.90, 0.90, 6, 5, 2
+NUMERIC_SHARE = 0.80
+# Texts that stand for a missing invoice number.
+NO_INVOICE = ["", "nan", "none", "null", "n/a", "na", "<na>"]
 
 
 def product_match(df: DataFrame, total: Column, quantity: str = "quantity", price: str = "selling_price") -> DataFrame:
@@ -20,10 +23,35 @@ def product_match(df: DataFrame, total: Column, quantity: str = "quantity", pric
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(near.cast("double")).alias("share")).withColumn("matches", (F.col("n") >= LEAST_ROWS) & (F.col("share") >= MATCH))
 
 
+def invoice_of(x: Column) -> Column:
+    """An invoice number, trimmed; null where a text stands for none."""
+    t = F.trim(x.cast("string"))
+    return F.when(~F.lower(t).isin(NO_INVOICE), t)
+
+
+def repeat_groups(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys, inv, cell, num) -> (keys, n, share): invoices of several rows and the share of them on which the value is the same.
+
+    Values are compared as numbers where at least NUMERIC_SHARE of all cells are numbers (so 1200 and a cell with a currency sign
+    and commas agree, and other cells drop out), else as texts. Rows without an invoice number or a value take no part. The rows
+    of an invoice meet as a count, a least and a greatest value, so no invoice is too large.
+    """
+    per = cells.groupBy(*keys, "inv").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("num").alias("k_num"), (F.min("num") == F.max("num")).alias("same_num"), F.count("cell").alias("k_txt"), (F.min("cell") == F.max("cell")).alias("same_txt"),
+    )
+    seen = lambda k: F.col("inv").isNotNull() & (F.col(f"k_{k}") >= 2)
+    sums = per.groupBy(*keys).agg(
+        (F.sum("k_num") / F.sum("rows") >= NUMERIC_SHARE).alias("numeric"), *[F.count_if(seen(k)).alias(f"n_{k}") for k in ("num", "txt")], *[F.avg(F.when(seen(k), F.col(f"same_{k}").cast("double"))).alias(f"share_{k}") for k in ("num", "txt")],
+    )
+    pick = lambda c: F.when(F.col("numeric"), F.col(f"{c}_num")).otherwise(F.col(f"{c}_txt"))
+    return sums.select(*keys, F.coalesce(pick("n"), F.lit(0)).alias("n"), pick("share").alias("share"))
+
+
 def invoice_repeat(df: DataFrame, value: str, invoice: str = "invoice_no") -> DataFrame:
-    """One row: invoices of several rows, and the share of them on which the value is the same: then it belongs to the invoice."""
-    per = df.groupBy(invoice).agg(F.count(F.lit(1)).alias("k"), F.count_distinct(value).alias("d")).filter("k >= 2")
-    return per.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("d") == 1).cast("double")).alias("share")).withColumn("repeats", (F.col("n") >= LEAST_INVOICES) & (F.col("share") >= REPEAT))
+    """One row: invoices of several rows, and the share of them on which the value is the same: then it belongs to the invoice. See repeat_groups()."""
+    cell = F.col(f"`{value}`").cast("string")
+    cells = df.select(invoice_of(F.col(f"`{invoice}`")).alias("inv"), cell.alias("cell")).withColumn("num", text.number(F.col("cell")))
+    return repeat_groups(cells).withColumn("repeats", F.coalesce((F.col("n") >= LEAST_INVOICES) & (F.col("share") >= REPEAT), F.lit(False)))
 
 
 def slab_coverage(df: DataFrame, value: Column) -> DataFrame:

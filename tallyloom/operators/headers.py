@@ -60,7 +60,7 @@ def header_table(spark: SparkSession, headers: list[str]) -> DataFrame:
 
 
 def guessed(headers: DataFrame) -> DataFrame:
-    """(ordinal, header) -> + field, confidence: exact by alias, fuzzy by keyword, or none; personal headers have none."""
+    """(ordinal, header, ...) -> + field, confidence: exact by alias, fuzzy by keyword, or none; personal headers have none."""
     spark = headers.sparkSession
     aliases = spark.createDataFrame([(a, f) for f, names in ALIASES.items() for a in names], "alias string, alias_field string")
     key = text.header_key(F.col("header"))
@@ -69,14 +69,14 @@ def guessed(headers: DataFrame) -> DataFrame:
     out = headers.join(F.broadcast(aliases), key == F.col("alias"), "left")  # a fixed table
     field = F.when(personal, None).otherwise(F.coalesce("alias_field", found))
     confidence = F.when(field.isNull(), "none").when(F.col("alias_field").isNotNull(), "exact").otherwise("fuzzy")
-    return out.select("ordinal", "header", field.alias("field"), confidence.alias("confidence"))
+    return out.select(*[c for c in headers.columns if c not in ("field", "confidence")], field.alias("field"), confidence.alias("confidence"))
 
 
-def suggested(headers: DataFrame) -> DataFrame:
-    """guessed(), where only the first column of a field keeps it."""
+def suggested(headers: DataFrame, *sheet: str) -> DataFrame:
+    """guessed(), where only the first column of a field, within its sheet, keeps it."""
     g = guessed(headers)
-    first = F.row_number().over(Window.partitionBy("field").orderBy("ordinal")) == 1
-    return g.withColumn("keep", F.col("field").isNull() | first).select("ordinal", "header", F.when(F.col("keep"), F.col("field")).alias("field"), F.when(F.col("keep"), F.col("confidence")).otherwise("none").alias("confidence"))
+    first = F.row_number().over(Window.partitionBy(*sheet, "field").orderBy("ordinal")) == 1
+    return g.withColumn("keep", F.col("field").isNull() | first).select(*sheet, "ordinal", "header", F.when(F.col("keep"), F.col("field")).alias("field"), F.when(F.col("keep"), F.col("confidence")).otherwise("none").alias("confidence"))
 
 
 def checked(columns: list[str], mapping: dict[str, str]) -> dict[str, str]:
@@ -98,9 +98,9 @@ def signature(headers: list[str]) -> str:
     return hashlib.sha256(json.dumps(keys, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
-def colliding(headers: DataFrame) -> DataFrame:
-    """(key, n): normalised headers that occur more than once."""
-    return headers.groupBy(text.header_key(F.col("header")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def colliding(headers: DataFrame, *sheet: str) -> DataFrame:
+    """(sheet, key, n): normalised headers that occur more than once in a sheet."""
+    return headers.groupBy(*sheet, text.header_key(F.col("header")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 MEMORY = "signature string, header string, field string, confirmed_at timestamp"
@@ -152,7 +152,8 @@ def perturbed(headers: DataFrame) -> DataFrame:
         "tab_for_space": F.replace(h, F.lit(" "), F.lit("\t")), "fullwidth": wide, "nfd": text.normalised(h, "NFD"),
     }
     some = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("p")
-    return headers.select("ordinal", "header", some).filter("p.value <> header").select("ordinal", "p.kind", F.col("p.value").alias("header"))
+    own = [c for c in headers.columns if c not in ("kind", "header")]
+    return headers.select(*own, "header", some).filter("p.value <> header").select(*own, "p.kind", F.col("p.value").alias("header"))
 
 
 def staged(new: DataFrame, known: DataFrame) -> DataFrame:

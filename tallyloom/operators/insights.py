@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import div, exact_sum, percent, with_sum_before
+from ..functions.numbers import div, exact_sum, percent
+from ..functions.ordered import with_sum_before
+from ..functions.selection import medians
+from ..sources.stored import stored
 from .derive import derived
 from .reports import daily
 
@@ -67,9 +70,10 @@ def margin_leaks(df: DataFrame) -> DataFrame:
     rows = d.groupBy("item").agg(F.min("category").alias("category"), exact_sum(F.col("row_revenue")).alias("revenue"), exact_sum(F.col("row_profit")).alias("profit")).filter("revenue > 0")
     total = rows.agg(exact_sum(F.col("revenue")).alias("total"))
     rows = rows.crossJoin(F.broadcast(total)).withColumn("margin", percent(F.col("profit"), F.col("revenue"))).withColumn("share", F.col("revenue") / F.col("total"))  # one row
-    by_category = rows.groupBy("category").agg(F.percentile("margin", F.lit(0.5)).alias("category_median"), F.count(F.lit(1)).alias("n"))
-    shop = rows.agg(F.percentile("margin", F.lit(0.5)).alias("shop_median"))
-    rows = rows.join(by_category, "category").crossJoin(F.broadcast(shop))  # one row
+    rows = stored(rows, "margins")
+    by_category = medians(rows, "margin", "category").select(F.col("category").alias("c"), F.col("median").alias("category_median"), "n")
+    shop = medians(rows, "margin").select(F.col("median").alias("shop_median"))
+    rows = rows.join(by_category, rows["category"].eqNullSafe(by_category["c"])).crossJoin(F.broadcast(shop))  # one row
     rows = rows.withColumn("benchmark", F.when(F.col("n") >= LEAK_ITEMS, F.col("category_median")).otherwise(F.col("shop_median")))
     gap = F.when(F.col("margin") < 0, F.abs("margin") + 100).otherwise(F.col("benchmark") - F.col("margin"))
     return rows.withColumn("gap", gap).filter((F.col("share") >= LEAK_SHARE) & (F.col("gap") >= LEAK_GAP)).select("item", "margin", "benchmark", "gap")
@@ -104,7 +108,8 @@ def payment_mix(df: DataFrame) -> DataFrame:
 def concentration(df: DataFrame) -> DataFrame:
     """One row: items with revenue, how many make up 80 % of it, and whether that is at most a fifth of eight items or more."""
     rows = _item_sums(df).filter("revenue > 0")
-    rows = with_sum_before(rows, "revenue", "item", "before").crossJoin(F.broadcast(rows.agg(exact_sum(F.col("revenue")).alias("total"))))  # one row
+    rows = with_sum_before(rows, "revenue", "item", "before")
+    rows = rows.crossJoin(F.broadcast(rows.agg(exact_sum(F.col("revenue")).alias("total"))))  # one row
     running = (F.col("before").cast("decimal(20,6)") + F.col("revenue").cast("decimal(20,6)")).cast("double") / F.col("total")
     one = rows.withColumn("running", running).agg(F.count(F.lit(1)).alias("n_items"), (F.count_if(F.col("running") < 0.80) + 1).alias("n_needed"))
     return one.select("n_items", "n_needed", ((F.col("n_items") >= CONCENTRATION_ITEMS) & (F.col("n_needed") / F.col("n_items") <= CONCENTRATION)).alias("is_concentrated"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fields import ABC, AGEING
-from ..functions.numbers import clamp, div, exact_sum, with_sum_before
+from ..functions.numbers import clamp, div, exact_sum
+from ..functions.ordered import with_sum_before
 from .derive import derived
 
 WEIGHTS = {"velocity": 0.5, "trend": 0.3, "recency": 0.2}
@@ -43,7 +44,8 @@ def items(df: DataFrame, order: list[str], only_late: float = TREND[1], only_ear
 def with_abc(rows: DataFrame) -> DataFrame:
     """abc: by the share of revenue before the item, in order of revenue; all C where there is no revenue."""
     total = exact_sum(F.col("revenue")).alias("total__")
-    rows = with_sum_before(rows, "revenue", "item", "before__").crossJoin(F.broadcast(rows.agg(total)))  # one row
+    rows = with_sum_before(rows, "revenue", "item", "before__")
+    rows = rows.crossJoin(F.broadcast(rows.agg(total)))  # one row
     share = F.col("before__") / F.when(F.col("total__") > 0, F.col("total__"))
     return rows.withColumn("abc", F.when(share < ABC[0], "A").when(share < ABC[1], "B").otherwise("C")).drop("before__", "total__")
 

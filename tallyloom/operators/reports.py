@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fields import MAX_PAGE_SIZE, PAGE_SIZE, UNSPECIFIED
 from ..functions.numbers import div, exact_sum, percent
+from ..functions.ordered import in_order, page as page_of, ranges
 from .charts import totals
 from .derive import derived
 from .slicing import Slice
@@ -105,6 +106,20 @@ def ledger_page(df: DataFrame, order: list[str], page: int = 1, page_size: int =
     return derived(df).orderBy("sale_date", *order).offset((max(1, page) - 1) * size).limit(size)
 
 
+def ledger_index(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a slice in the ledger's order, written once, and the table of their ranges: any page is then read without a sort."""
+    rows = in_order(derived(df), "sale_date", *order, name="ledger")
+    return rows, ranges(rows)
+
+
+def indexed_page(rows: DataFrame, index: DataFrame, page: int, page_size: int = PAGE_SIZE) -> DataFrame:
+    """One page of ledger_index(), + page. A page beyond the last is the last, as in ledger_pages()."""
+    size = max(1, min(page_size, MAX_PAGE_SIZE))
+    n = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    page = max(1, min(page, -(-n // size)))
+    return page_of(rows, index, (page - 1) * size, size).drop("at").withColumn("page", F.lit(page).cast("long"))
+
+
 def ledger_pages(df: DataFrame, page: int, page_size: int = PAGE_SIZE) -> DataFrame:
     """One row: rows, pages and the page that a request for `page` gets."""
     size = max(1, min(page_size, MAX_PAGE_SIZE))

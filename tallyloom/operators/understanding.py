@@ -1,6 +1,6 @@
 """What a column means: shape fit, blended scores, evidence rules, collisions, and the order in which sources are believed.
 
-Every rule is an aggregate of one row for a column, or an expression over a table of headers; a verdict is a row
+The rules of all columns are answered together, by aggregates with a row for each column; a verdict is a row
 (decision, field, semantic, confidence, candidates), decision being auto or ask.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .evidence import LEAST_ROWS, MATCH, SLAB_MOST, SLAB_SHARE, invoice_repeat, product_match
+from .evidence import LEAST_INVOICES, LEAST_ROWS, MATCH, NUMERIC_SHARE, REPEAT, SLAB_MOST, SLAB_SHARE, TOLERANCE, invoice_of, invoice_repeat, repeat_groups
 from .headers import PERSONAL_TOKENS, guessed
 
 # What share of a label's values is expected to be numbers, and dates.
@@ -87,13 +87,14 @@ def classified_headers(headers: DataFrame) -> DataFrame:
     """(ordinal, header) -> (ordinal, header, label, field, score, source): aliases outright, keywords at one half, some recognised and not analysed."""
     g = guessed(headers)
     key = text.header_key(F.col("header"))
+    own = [c for c in headers.columns if c not in ("label", "field", "score", "source")]
     personal = F.arrays_overlap(text.tokens(F.col("header")), F.array(*[F.lit(t) for t in PERSONAL_TOKENS]))
     unused = F.coalesce(*[F.when(key.isin(names), label) for label, names in UNUSED_HEADERS.items()])
     exact, fuzzy = F.col("confidence") == "exact", F.col("confidence") == "fuzzy"
     label = F.when(personal, "personal").when(exact, label_of(F.col("field"))).when(unused.isNotNull(), unused).when(fuzzy, label_of(F.col("field"))).otherwise("other")
     field = F.when(exact | (fuzzy & unused.isNull()), F.col("field"))
     score = F.when(exact, 1.0).when(personal, 0.0).when(unused.isNotNull(), 1.0).when(fuzzy, 0.5).otherwise(0.0)
-    return g.select("ordinal", "header", label.alias("label"), field.alias("field"), score.alias("score"), F.when(exact, "dictionary").otherwise("local").alias("source"))
+    return g.select(*own, label.alias("label"), field.alias("field"), score.alias("score"), F.when(exact, "dictionary").otherwise("local").alias("source"))
 
 
 def band(score: Column) -> Column:
@@ -101,32 +102,33 @@ def band(score: Column) -> Column:
     return out.when(score >= BANDS[1][0], BANDS[1][1]).otherwise("low")
 
 
-def resolved(reports: DataFrame) -> DataFrame:
-    """(ordinal, header, label, field, score, source) -> + band, needs_review: the first column that claims a field keeps it."""
-    first = F.row_number().over(Window.partitionBy("field").orderBy("ordinal")) == 1
+def resolved(reports: DataFrame, *sheet: str) -> DataFrame:
+    """(sheet, ordinal, header, label, field, score, source) -> + band, needs_review: the first column of a sheet that claims a field keeps it."""
+    first = F.row_number().over(Window.partitionBy(*sheet, "field").orderBy("ordinal")) == 1
     kept = F.col("field").isNull() | F.col("first")
     out = reports.withColumn("first", first).withColumn("kept", kept)
     out = out.withColumn("band", F.when(F.col("kept"), band(F.col("score"))).otherwise("low")).withColumn("field", F.when(F.col("kept"), F.col("field")))
     review = ~F.col("label").isin([*UNUSED_LABELS, "personal"]) & (F.col("field").isNull() | (F.col("band") == "low"))
-    return out.withColumn("needs_review", review).select("ordinal", "header", "label", "field", "score", "band", "source", "needs_review")
+    return out.withColumn("needs_review", review).select(*sheet, "ordinal", "header", "label", "field", "score", "band", "source", "needs_review")
 
 
-def settled(reports: DataFrame, evidence: DataFrame, memory: DataFrame) -> DataFrame:
-    """resolved() reports, (header, decision, field, semantic, confidence), (header, field) -> reports after evidence and memory.
+def settled(reports: DataFrame, evidence: DataFrame, memory: DataFrame, *sheet: str) -> DataFrame:
+    """resolved() reports, (header, decision, field, semantic, confidence), (header, field) -> reports after evidence and memory; each also by sheet where sheet columns are named.
 
     Only columns that need review change. Personal columns are never mapped; decisive evidence comes before memory, and where
     the two differ the column stays up for review; memory settles what evidence leaves open.
     """
-    e = evidence.select(F.col("header").alias("e_header"), "decision", F.col("field").alias("e_field"), "semantic", "confidence")
-    m = memory.select(text.header_key(F.col("header")).alias("m_header"), F.col("field").alias("m_field"))
-    j = reports.join(e, F.col("header") == F.col("e_header"), "left").join(m, text.header_key(F.col("header")) == F.col("m_header"), "left")
+    e = evidence.select(*sheet, F.col("header").alias("e_header"), "decision", F.col("field").alias("e_field"), "semantic", "confidence")
+    m = memory.select(*sheet, text.header_key(F.col("header")).alias("m_header"), F.col("field").alias("m_field"))
+    reports = reports.withColumns({"e_header": F.col("header"), "m_header": text.header_key(F.col("header"))})
+    j = reports.join(e, [*sheet, "e_header"], "left").join(m, [*sheet, "m_header"], "left")
     personal = F.arrays_overlap(text.tokens(F.col("header")), F.array(*[F.lit(t) for t in PERSONAL_TOKENS])) | (F.col("label") == "personal")
     open_ = F.col("needs_review") & ~personal
     auto = open_ & F.coalesce(F.col("decision") == "auto", F.lit(False))
     conflict = auto & F.col("m_field").isNotNull() & F.col("e_field").isNotNull() & (F.col("m_field") != F.col("e_field"))
     recalled = open_ & ~auto & F.col("m_field").isNotNull()
     return j.select(
-        "ordinal", "header", F.when(personal, "personal").when(auto, F.coalesce("semantic", "label")).otherwise(F.col("label")).alias("label"),
+        *sheet, "ordinal", "header", F.when(personal, "personal").when(auto, F.coalesce("semantic", "label")).otherwise(F.col("label")).alias("label"),
         F.when(personal, None).when(auto, F.col("e_field")).when(recalled, F.col("m_field")).otherwise(F.col("field")).alias("field"),
         F.when(personal, 0.0).when(auto, _rounded(F.col("confidence"))).when(recalled, 0.95).otherwise(F.col("score")).alias("score"),
         F.when(personal, "low").when(auto, band(F.col("confidence"))).when(recalled, "high").otherwise(F.col("band")).alias("band"),
@@ -135,8 +137,8 @@ def settled(reports: DataFrame, evidence: DataFrame, memory: DataFrame) -> DataF
     )
 
 
-def _verdict(facts: DataFrame, *rules: tuple[Column, str | None, str, Column, list[str]], candidates: list[str]) -> DataFrame:
-    """One row of facts -> a verdict: the first rule (condition, field, semantic, confidence, candidates) that holds, else ask."""
+def _verdict(facts: DataFrame, *rules: tuple[Column, str | None, str, Column, list[str]]) -> DataFrame:
+    """Facts -> + a verdict: the first rule (condition, field, semantic, confidence, candidates) that holds, else ask."""
     decision = field = semantic = confidence = listed = None
     options = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
     case = lambda so_far, when, value: F.when(when, value) if so_far is None else so_far.when(when, value)
@@ -145,112 +147,128 @@ def _verdict(facts: DataFrame, *rules: tuple[Column, str | None, str, Column, li
         auto = meaning != "ask"
         decision, field = case(decision, when, F.lit("auto" if auto else "ask")), case(field, when, F.lit(name))
         semantic, confidence, listed = case(semantic, when, F.lit(meaning if auto else None)), case(confidence, when, _rounded(sure)), case(listed, when, options(names))
-    return facts.select(decision.otherwise("ask").alias("decision"), field.otherwise(None).cast("string").alias("field"), semantic.otherwise(None).cast("string").alias("semantic"), confidence.otherwise(0.0).alias("confidence"), listed.otherwise(options(candidates)).alias("candidates"))
+    return facts.select("*", decision.otherwise("ask").alias("decision"), field.otherwise(None).cast("string").alias("field"), semantic.otherwise(None).cast("string").alias("semantic"), confidence.otherwise(0.0).alias("confidence"), listed.otherwise(options([])).alias("candidates"))
 
 
-def _numbers(df: DataFrame, column: str) -> DataFrame:
-    """One row: n rows that aren't null, numeric_ratio, slab_share, n_distinct, in_range."""
-    v = df.filter(F.col(f"`{column}`").isNotNull()).select(text.number(F.col(f"`{column}`").cast("string")).alias("v"))
-    share = lambda x: F.coalesce(F.avg(F.when(F.col("v").isNotNull(), x.cast("double"))), F.lit(0.0))
-    return v.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col("v").isNotNull().cast("double")), F.lit(0.0)).alias("numeric_ratio"), F.count("v").alias("n_numbers"),
-        F.greatest(share(F.col("v").isin(SLABS_PERCENT)), share(F.col("v").isin(SLABS_FRACTION))).alias("slab_share"), F.count_distinct("v").alias("n_distinct"), share(F.col("v").between(0, 100)).alias("in_range"),
-    )
+def rule_of(header: Column) -> Column:
+    """Which rule a header calls for: percentage, amount, rate, name, later_date, or none."""
+    key, words = F.regexp_replace(text.header_key(header), r"\s+", " "), text.tokens(header)
+    has = lambda names: F.arrays_overlap(words, F.array(*[F.lit(n) for n in names]))
+    within = lambda names: F.coalesce(*[F.when(F.contains(key, F.lit(n)), True) for n in names], F.lit(False))
+    rule = F.when(F.contains(key, F.lit("%")) | has(PERCENT_WORDS), "percentage").when(within(AMOUNT_WORDS), "amount").when(within(RATE_WORDS), "rate")
+    return rule.when(has(["name"]) & ~has(PRODUCT_WORDS), "name").when(has(LATER_DATE_WORDS), "later_date")
 
 
-def _ask(df: DataFrame, candidates: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([("ask", None, None, 0.0, candidates)], VERDICT)
+#: Rules that look at values.
+VALUE_RULES = ["percentage", "amount", "rate"]
 
 
-def percentage_rule(df: DataFrame, column: str) -> DataFrame:
-    """Tax where the values are tax slabs; a percentage between discount and tax otherwise."""
-    facts = _numbers(df, column)
-    enough = (F.col("n") >= LEAST_ROWS) & (F.col("numeric_ratio") >= 0.80)
-    slabs = enough & (F.col("slab_share") >= SLAB_SHARE) & (F.col("n_distinct") <= SLAB_MOST)
-    return _verdict(facts, (slabs, "Tax", "tax", F.col("slab_share"), ["Tax"]), (enough & (F.col("in_range") >= 0.90), None, "ask", F.lit(0.0), ["Discount", "Tax"]), candidates=[])
+def column_facts(df: DataFrame, rules: dict[str, Column], fields: dict[str, str]) -> DataFrame:
+    """{column: its rule} -> (column, n, numeric_ratio, n_numbers, slab_share, few, in_range, tested, match_share, n_invoices, repeat_share) of the columns whose rule looks at values.
 
+    Cells are turned to rows (column, cell) and all columns are measured together: one grouped pass for the numbers, one by invoice.
+    Few: at most SLAB_MOST different numbers, by a sketch that is exact up to 48 of them, beside an estimate that tells more apart.
+    """
+    value = lambda f: text.number(F.col(f"`{fields[f]}`").cast("string")) if fields.get(f) in df.columns else F.lit(None).cast("double")
+    inv = invoice_of(F.col(f"`{fields['Invoice No']}`")) if fields.get("Invoice No") in df.columns else F.lit(None).cast("string")
+    cells = F.array_compact(F.array(*[F.when(rule.isin(VALUE_RULES), F.struct(F.lit(c).alias("column"), rule.alias("rule"), F.col(f"`{c}`").cast("string").alias("cell"))) for c, rule in rules.items()]))
+    long = df.select(inv.alias("inv"), value("Quantity").alias("q"), value("Selling Price").alias("p"), value("Line Total").alias("t"), F.explode(cells).alias("c"))
+    long = long.select("inv", "q", "p", "t", "c.*").withColumn("num", text.number(F.col("cell")))
+    amount = F.col("rule") == "amount"
+    price, total = F.when(amount, F.col("p")).otherwise(F.col("num")), F.when(amount, F.col("num")).otherwise(F.col("t"))
+    tested = (F.col("rule") != "percentage") & (F.col("q") > 0) & (price > 0) & total.isNotNull()
+    near = F.abs(F.col("q") * price - total) <= F.greatest(F.abs(total) * TOLERANCE, F.lit(0.01))
+    share = lambda x: F.coalesce(F.avg(F.when(F.col("num").isNotNull(), x.cast("double"))), F.lit(0.0))
+    numbers = long.groupBy("column").agg(
+        F.count("cell").alias("n"), F.coalesce(F.avg(F.when(F.col("cell").isNotNull(), F.col("num").isNotNull().cast("double"))), F.lit(0.0)).alias("numeric_ratio"), F.count("num").alias("n_numbers"),
+        F.greatest(share(F.col("num").isin(SLABS_PERCENT)), share(F.col("num").isin(SLABS_FRACTION))).alias("slab_share"), share(F.col("num").between(0, 100)).alias("in_range"),
+        ((F.size(F.expr(f"approx_top_k(num, {SLAB_MOST + 1}, 64)")) <= SLAB_MOST) & (F.approx_count_distinct("num") <= 20)).alias("few"),
+        F.count_if(F.coalesce(tested, F.lit(False))).alias("tested"), F.avg(F.when(tested, near.cast("double"))).alias("match_share"),
+    )
+    repeated = repeat_groups(long.filter(F.col("rule").isin("amount", "rate")), "column") if "Invoice No" in fields else None
+    if repeated is None:
+        return numbers.withColumns({"n_invoices": F.lit(0).cast("long"), "repeat_share": F.lit(None).cast("double")})
+    return numbers.join(repeated.select("column", F.col("n").alias("n_invoices"), F.col("share").alias("repeat_share")), "column", "left")
 
-def amount_rule(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
-    """A total of the line or of the invoice. fields: {field: column} of the columns that are mapped."""
-    if "Line Total" in fields and fields["Line Total"] != column:
-        return _ask(df, ["Line Total"])
-    value = text.number(F.col(f"`{column}`").cast("string"))
-    facts = df.agg(F.count(f"`{column}`").alias("rows"))
-    rules = []
-    if "Invoice No" in fields:
-        facts = facts.crossJoin(invoice_repeat(df, column, fields["Invoice No"]).select(F.col("share").alias("repeat_share"), "repeats"))  # one row each
-        rules.append(((F.col("rows") >= LEAST_ROWS) & F.col("repeats"), None, "invoice_total", F.col("repeat_share"), []))
-    if "Quantity" in fields and "Selling Price" in fields:
-        facts = facts.crossJoin(product_match(df, value, fields["Quantity"], fields["Selling Price"]).select(F.col("n").alias("tested"), F.col("share").alias("match_share")))
-        rules.append(((F.col("tested") >= LEAST_ROWS) & (F.col("match_share") >= MATCH), "Line Total", "revenue", F.col("match_share"), ["Line Total"]))
-    return _verdict(facts, *rules, candidates=["Line Total"]) if rules else _ask(df, ["Line Total"])
 
+def _judged(headers: DataFrame, facts: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(ordinal, header, others, rule) and column_facts() -> (ordinal, header, verdict).
 
-def rate_rule(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
-    """A price for a piece, a fee of the invoice, or a tax rate."""
-    if "Selling Price" in fields and fields["Selling Price"] != column:
-        return _ask(df, ["MRP", "Cost Price", "Selling Price"])
-    facts = _numbers(df, column)
-    rules = [(F.col("n_numbers") < LEAST_ROWS, None, "ask", F.lit(0.0), [])]
-    if "Quantity" in fields and "Line Total" in fields:
-        match = product_match(df.withColumn("rate_", text.number(F.col(f"`{column}`").cast("string"))), F.col(f"`{fields['Line Total']}`"), fields["Quantity"], "rate_")
-        facts = facts.crossJoin(match.select(F.col("n").alias("tested"), F.col("share").alias("match_share")))  # one row each
-        rules.append(((F.col("tested") >= LEAST_ROWS) & (F.col("match_share") >= MATCH), "Selling Price", "unit_price", F.col("match_share"), ["Selling Price"]))
-    if "Invoice No" in fields:
-        facts = facts.crossJoin(invoice_repeat(df, column, fields["Invoice No"]).select("repeats"))
-        rules.append((F.col("repeats"), None, "ask", F.lit(0.0), ["MRP", "Tax", "Discount"]))
-    rules.append(((F.col("slab_share") >= SLAB_SHARE) & (F.col("n_distinct") <= SLAB_MOST), "Tax", "tax", F.col("slab_share"), ["Tax"]))
-    return _verdict(facts, *rules, candidates=["Selling Price", "MRP", "Cost Price"])
-
-
-def name_rule(headers: DataFrame, header: str) -> DataFrame:
-    """A customer's or an item's name, by the words of the other headers, never by values."""
-    tokens = headers.filter(F.col("header") != header).select(F.explode(text.tokens(F.col("header"))).alias("t"))
-    facts = tokens.agg(F.count_distinct(F.when(F.col("t").isin(CUSTOMER_WORDS), F.col("t"))).alias("people"), F.count_distinct(F.when(F.col("t").isin(ITEM_WORDS), F.col("t"))).alias("goods"))
-    sure = lambda n: F.least(0.90 + 0.02 * F.col(n), F.lit(0.99))
+    A field that one column gets is taken for those after it; only line totals and selling prices can be, and each needs the other
+    among `fields`, so what is decided here changes no facts.
+    """
+    f = headers.join(facts, headers["header"] == facts["column"], "left")
+    words = lambda names: F.size(F.array_intersect(F.array_distinct(text.tokens(F.col("others"))), F.array(*[F.lit(n) for n in names])))
+    f = f.withColumns({"people": words(CUSTOMER_WORDS), "goods": words(ITEM_WORDS)})
+    is_ = lambda rule: F.col("rule") == rule
+    taken = lambda field: F.lit(field in fields) & (F.col("header") != F.lit(fields.get(field)))
+    none, sure = F.lit(0.0), lambda n: F.least(0.90 + 0.02 * F.col(n), F.lit(0.99))
+    enough = is_("percentage") & (F.col("n") >= LEAST_ROWS) & (F.col("numeric_ratio") >= NUMERIC_SHARE)
+    slabs = (F.col("slab_share") >= SLAB_SHARE) & F.col("few")
+    matches = (F.col("tested") >= LEAST_ROWS) & (F.col("match_share") >= MATCH)
+    repeats = (F.col("n_invoices") >= LEAST_INVOICES) & (F.col("repeat_share") >= REPEAT)
     people, goods = F.col("people") > 0, F.col("goods") > 0
-    return _verdict(facts, (people & ~goods, "Customer", "customer", sure("people"), ["Customer"]), (goods & ~people, "Item", "product", sure("goods"), ["Item"]), candidates=["Customer", "Item"])
+    prices = ["MRP", "Cost Price", "Selling Price"]
+    v = _verdict(
+        f, (enough & slabs, "Tax", "tax", F.col("slab_share"), ["Tax"]), (enough & (F.col("in_range") >= 0.90), None, "ask", none, ["Discount", "Tax"]), (is_("percentage"), None, "ask", none, []),
+        (is_("amount") & taken("Line Total"), None, "ask", none, ["Line Total"]), (is_("amount") & (F.col("n") >= LEAST_ROWS) & repeats, None, "invoice_total", F.col("repeat_share"), []),
+        (is_("amount") & matches, "Line Total", "revenue", F.col("match_share"), ["Line Total"]), (is_("amount"), None, "ask", none, ["Line Total"]),
+        (is_("rate") & taken("Selling Price"), None, "ask", none, prices), (is_("rate") & (F.coalesce("n_numbers", F.lit(0)) < LEAST_ROWS), None, "ask", none, []),
+        (is_("rate") & matches, "Selling Price", "unit_price", F.col("match_share"), ["Selling Price"]), (is_("rate") & repeats, None, "ask", none, ["MRP", "Tax", "Discount"]),
+        (is_("rate") & slabs, "Tax", "tax", F.col("slab_share"), ["Tax"]), (is_("rate"), None, "ask", none, ["Selling Price", "MRP", "Cost Price"]),
+        (is_("name") & people & ~goods, "Customer", "customer", sure("people"), ["Customer"]), (is_("name") & goods & ~people, "Item", "product", sure("goods"), ["Item"]), (is_("name"), None, "ask", none, ["Customer", "Item"]),
+        (is_("later_date"), None, "date_like", F.lit(0.95), []),
+    )
+    for rule, field, names in (("amount", "Line Total", ["Line Total"]), ("rate", "Selling Price", prices)):
+        first = F.min(F.when(is_(rule) & (F.col("field") == field), F.col("ordinal"))).over(Window.partitionBy())  # a row a column
+        late = F.coalesce(is_(rule) & (F.col("ordinal") > F.col("first")), F.lit(False))
+        asked = {"decision": F.lit("ask"), "field": F.lit(None).cast("string"), "semantic": F.lit(None).cast("string"), "confidence": none, "candidates": F.array(*[F.lit(n) for n in names])}
+        v = v.withColumn("first", first).withColumn("late", late).withColumns({c: F.when(F.col("late"), x).otherwise(F.col(c)) for c, x in asked.items()})
+    return v.select(*[c for c in headers.columns if c not in ("others", "rule")], "decision", "field", "semantic", "confidence", "candidates")
 
 
-def later_date_rule(df: DataFrame) -> DataFrame:
-    """A date beside the sale's own is kept and not mapped."""
-    return df.sparkSession.createDataFrame([("auto", None, "date_like", 0.95, [])], VERDICT)
+def _verdicts(df: DataFrame, rules: dict[str, Column], fields: dict[str, str]) -> DataFrame:
+    spark, names = df.sparkSession, list(rules)
+    table = spark.createDataFrame([(i, c, " ".join(h for h in df.columns if h != c)) for i, c in enumerate(names)], "ordinal int, header string, others string")
+    rule = F.coalesce(*[F.when(F.col("header") == c, rules[c]) for c in names], F.lit(None).cast("string")) if names else F.lit(None).cast("string")
+    return _judged(table.withColumn("rule", rule), column_facts(df, rules, fields), fields)
 
 
-def rule_of(header: Column) -> Column:
-    """Which rule a header calls for: percentage, amount, rate, name, later_date, or none."""
-    key, words = F.regexp_replace(text.header_key(header), r"\s+", " "), text.tokens(header)
-    has = lambda names: F.arrays_overlap(words, F.array(*[F.lit(n) for n in names]))
-    within = lambda names: F.coalesce(*[F.when(F.contains(key, F.lit(n)), True) for n in names], F.lit(False))
-    rule = F.when(F.contains(key, F.lit("%")) | has(PERCENT_WORDS), "percentage").when(within(AMOUNT_WORDS), "amount").when(within(RATE_WORDS), "rate")
-    return rule.when(has(["name"]) & ~has(PRODUCT_WORDS), "name").when(has(LATER_DATE_WORDS), "later_date")
+def verdicts(df: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
+    """(header, verdict) of each column of df, in two passes over the data however many columns there are. fields: {field: column} of the columns that are mapped."""
+    return _verdicts(df, {c: rule_of(F.lit(c)) for c in columns}, fields).drop("ordinal")
 
 
 def verdict(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
-    """The verdict on one column of df. fields: {field: column} of the columns that are mapped. Its rule, one word, comes to the driver."""
-    headers = df.sparkSession.createDataFrame([(c,) for c in df.columns], "header string")
-    rule = headers.filter(F.col("header") == column).select(rule_of(F.col("header"))).first()[0]
-    rules = {"percentage": lambda: percentage_rule(df, column), "amount": lambda: amount_rule(df, column, fields), "rate": lambda: rate_rule(df, column, fields), "name": lambda: name_rule(headers, column), "later_date": lambda: later_date_rule(df)}
-    return rules[rule]() if rule else _ask(df, [])
+    """The verdict on one column."""
+    return verdicts(df, [column], fields).drop("header")
 
 
-def verdicts(df: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
-    """(header, verdict) of each column; a field that one column gets is taken for those after it. A row a column comes to the driver."""
-    taken, rows = dict(fields), []
-    for c in columns:
-        v = verdict(df, c, taken).first()
-        if v["decision"] == "auto" and v["field"]:
-            taken.setdefault(v["field"], c)
-        rows.append((c, *v))
-    return df.sparkSession.createDataFrame(rows, "header string, " + VERDICT)
+def percentage_rule(df: DataFrame, column: str) -> DataFrame:
+    """Tax where the values are tax slabs; a percentage between discount and tax otherwise."""
+    return _verdicts(df, {column: F.lit("percentage")}, {})
+
+
+def amount_rule(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """A total of the line or of the invoice."""
+    return _verdicts(df, {column: F.lit("amount")}, fields)
+
+
+def rate_rule(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """A price for a piece, a fee of the invoice, or a tax rate."""
+    return _verdicts(df, {column: F.lit("rate")}, fields)
+
+
+def name_rules(headers: DataFrame) -> DataFrame:
+    """(sheet, header, others) of headers that are names -> + verdict: a customer's or an item's name, by the words of the sheet's other headers, never by values."""
+    none = headers.sparkSession.createDataFrame([], "column string, n long, numeric_ratio double, n_numbers long, slab_share double, in_range double, few boolean, tested long, match_share double, n_invoices long, repeat_share double")
+    return _judged(headers.withColumns({"rule": F.lit("name")}), none, {})
 
 
 def line_total_guard(df: DataFrame, column: str, invoice: str | None) -> DataFrame:
     """One row (verdict, groups): whether a column chosen as line total repeats an invoice's total: reject, warn (one invoice only), ok."""
     if invoice is None or invoice == column:
         return df.sparkSession.createDataFrame([("ok", 0)], "verdict string, groups long")
-    filled = F.lower(F.trim(F.col(f"`{invoice}`").cast("string")))
-    rows = df.filter(F.col(f"`{column}`").isNotNull() & ~filled.isin("", "nan", "none", "null", "n/a", "na", "<na>"))
-    facts = invoice_repeat(rows, column, invoice)
+    facts = invoice_repeat(df, column, invoice)
     out = F.when(F.col("repeats"), "reject").when((F.col("n") == 1) & (F.col("share") == 1), "warn").otherwise("ok")
     return facts.select(out.alias("verdict"), F.col("n").alias("groups"))

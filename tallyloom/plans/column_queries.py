@@ -22,10 +22,13 @@ SCORES = [("quantity", "quantity", 0.95), ("quantity", "unit_price", 0.60), ("ca
 
 
 def raw_columns(spark: SparkSession, d: str) -> DataFrame:
-    """The register with some columns under the headers of an export: the input of the evidence rules."""
+    """The register with some columns under the headers of an export: the input of the evidence rules. Some invoice numbers are missing, some bill amounts have a sign and commas, some are none."""
     r = star_register(spark, d)
     slab = F.element_at(F.array(*[F.lit(x) for x in u.SLABS_PERCENT]), (F.col("k1") % 5 + 1).cast("int"))
-    return r.select("invoice_no", "quantity", "selling_price", "line_total", slab.alias("GST %"), F.round(F.col("discount") / F.col("line_total") * 100).alias("Disc %"), F.col("x_meas_order_total").alias("Bill Amount"), F.col("line_total").alias("Line Amount"), F.col("selling_price").alias("Rate"))
+    number = F.when(F.col("k1") % 11 == 0, " N/A ").when(F.col("k1") % 13 == 0, None).otherwise(F.concat(F.lit(" "), "invoice_no"))
+    bill = F.col("x_meas_order_total").cast("decimal(20,2)")
+    bill = F.when(F.col("k2") % 17 == 0, None).when(F.col("k4") % 2 == 0, F.concat(F.lit("₹ "), F.format_number(bill, 2))).when(F.col("k2") % 19 == 0, "as agreed").otherwise(bill.cast("string"))
+    return r.select(number.alias("invoice_no"), "quantity", "selling_price", "line_total", slab.alias("GST %"), F.round(F.col("discount") / F.col("line_total") * 100).alias("Disc %"), bill.alias("Bill Amount"), F.col("line_total").alias("Line Amount"), F.col("selling_price").alias("Rate"))
 
 
 def _rows(values: list[tuple]) -> str:
@@ -37,7 +40,7 @@ def _names(names: list[str]) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]::VARCHAR[]"
 
 
-def register(add: Callable, golden: list[tuple[str, str]], guess: str) -> None:
+def register(add: Callable, sheets: Callable, sheets_sql: Callable, guess: str) -> None:
     whole = lambda run: lambda spark, d: run(star_register(spark, d))
     sliced = lambda run: lambda spark, d: run(build_slice(star_register(spark, d), DAYS30, star_days(spark, d)))
 
@@ -56,45 +59,56 @@ def register(add: Callable, golden: list[tuple[str, str]], guess: str) -> None:
     add("map13_blend_and_route", lambda s, d: u.blended(s.createDataFrame(SCORES, "column string, label string, score double"), fits(star_register(s, d))), blend + " SELECT col AS \"column\", CASE WHEN known THEN label ELSE 'other' END AS label, CASE WHEN known THEN round(blend, 4) ELSE 0.0 END AS score, CASE WHEN known THEN round(blend - next, 4) ELSE 0.0 END AS margin, CASE WHEN NOT known THEN 'unknown' WHEN label IN ('currency', 'status', 'notes') THEN 'local' WHEN blend >= 0.8 AND blend - next >= 0.05 THEN 'local' ELSE 'ask' END AS route FROM b1 WHERE r = 1")
 
     # headers
-    table = lambda s: headers.header_table(s, [h for h, _ in golden])
     by_field = " ".join(f"WHEN field = '{f}' THEN '{k}'" for k, f in u.LABEL_FIELD.items())
-    unused = " ".join(f"WHEN lower(trim(header)) IN ({', '.join(repr(n) for n in names)}) THEN '{label}'" for label, names in u.UNUSED_HEADERS.items())
+    unused = " ".join(f"WHEN lower(ltrim(trim(header), chr(65279))) IN ({', '.join(repr(n) for n in names)}) THEN '{label}'" for label, names in u.UNUSED_HEADERS.items())
     personal = f"regexp_matches(lower(header), '(^|[^a-z0-9])({'|'.join(headers.PERSONAL_TOKENS)})([^a-z0-9]|$)')"
     label = f"CASE {by_field} WHEN field = 'Invoice No' THEN 'id' ELSE 'other' END"
-    known = guess + f""", ch AS (SELECT ordinal, header, CASE WHEN {personal} THEN 'personal' WHEN confidence = 'exact' THEN {label} {unused} WHEN confidence = 'fuzzy' THEN {label} ELSE 'other' END AS label,
+    known = guess + f""", ch AS (SELECT sheet, ordinal, header, CASE WHEN {personal} THEN 'personal' WHEN confidence = 'exact' THEN {label} {unused} WHEN confidence = 'fuzzy' THEN {label} ELSE 'other' END AS label,
  CASE WHEN confidence = 'exact' OR (confidence = 'fuzzy' AND (CASE {unused} END) IS NULL) THEN field END AS field, CASE WHEN confidence = 'exact' THEN 1.0::DOUBLE WHEN {personal} THEN 0.0 WHEN (CASE {unused} END) IS NOT NULL THEN 1.0 WHEN confidence = 'fuzzy' THEN 0.5 ELSE 0.0 END AS score, CASE WHEN confidence = 'exact' THEN 'dictionary' ELSE 'local' END AS source FROM q)"""
-    add("map14_classified_headers", lambda s, d: u.classified_headers(table(s)), known + " SELECT CAST(ordinal AS INTEGER) AS ordinal, header, label, field, score, source FROM ch")
-    resolved = known + f""", k0 AS (SELECT *, field IS NULL OR row_number() OVER (PARTITION BY field ORDER BY ordinal) = 1 AS kept FROM ch), k1 AS (SELECT ordinal, header, label, CASE WHEN kept THEN field END AS field, score, CASE WHEN NOT kept THEN 'low' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS band, source FROM k0),
+    add("map14_classified_headers", lambda s, d: u.classified_headers(sheets(s, d).drop("expected")), known + " SELECT sheet, ordinal, header, label, field, score, source FROM ch")
+    resolved = known + f""", k0 AS (SELECT *, field IS NULL OR row_number() OVER (PARTITION BY sheet, field ORDER BY ordinal) = 1 AS kept FROM ch), k1 AS (SELECT sheet, ordinal, header, label, CASE WHEN kept THEN field END AS field, score, CASE WHEN NOT kept THEN 'low' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS band, source FROM k0),
  rs AS (SELECT *, label NOT IN ('currency', 'status', 'notes', 'personal') AND (field IS NULL OR band = 'low') AS needs_review FROM k1)"""
-    add("map16_resolved_headers", lambda s, d: u.resolved(u.classified_headers(table(s))), resolved + " SELECT CAST(ordinal AS INTEGER) AS ordinal, header, label, field, score, band, source, needs_review FROM rs")
-    pairs = [(k, h) for k in [*u.EXPECTED_SHAPE, "currency"] for h in ("Bill No", "Customer Id", "Sr. No")]
+    add("map16_resolved_headers", lambda s, d: u.resolved(u.classified_headers(sheets(s, d)), "sheet"), resolved + " SELECT sheet, ordinal, header, label, field, score, band, source, needs_review FROM rs")
+    labels_ = [*u.EXPECTED_SHAPE, "currency"]
+    names_ = ["Bill No", "Customer Id", "Sr. No"]
     document = " OR ".join(f"contains(lower(header), '{w}')" for w in u.DOCUMENT_WORDS)
-    translate = f"SELECT label, header, CASE WHEN label = 'id' AND ({document}) THEN 'Invoice No' {' '.join(f'WHEN label = {k!r} THEN {f!r}' for k, f in u.LABEL_FIELD.items())} END AS field FROM {_rows(pairs)} t(label, header)"
-    add("map15_fields_of_labels", lambda s, d: s.createDataFrame(pairs, "label string, header string").withColumn("field", u.field_of(F.col("label"), F.col("header"))), translate)
+    translate = f"SELECT sheet, label, header, CASE WHEN label = 'id' AND ({document}) THEN 'Invoice No' {' '.join(f'WHEN label = {k!r} THEN {f!r}' for k, f in u.LABEL_FIELD.items())} END AS field FROM (SELECT c_custkey AS sheet, ({_names(labels_)})[CAST(c_custkey % {len(labels_)} + 1 AS INTEGER)] AS label, ({_names(names_)})[CAST(c_custkey % 3 + 1 AS INTEGER)] || ' ' || c_mktsegment AS header FROM customer)"
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % len(names) + 1).cast("int"))
+    labelled = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("sheet"), pick(labels_).alias("label"), F.concat_ws(" ", pick(names_), "c_mktsegment").alias("header"))
+    add("map15_fields_of_labels", lambda s, d: labelled(s, d).withColumn("field", u.field_of(F.col("label"), F.col("header"))), translate)
     found = [("Total", "auto", None, "invoice_total", 0.97), ("Store Code", "auto", "Branch", "region", 0.92), ("Cashier Name", "ask", None, None, 0.0), ("Customer Phone", "auto", "Customer", "customer", 0.95)]
     memory = [("store code", "Category"), ("cashier name", "Customer"), ("customer phone", "Customer"), ("date", "Date")]
-    settle = resolved + f""", ev AS (SELECT * FROM {_rows(found)} t(e_header, decision, e_field, semantic, confidence)), me AS (SELECT * FROM {_rows(memory)} t(m_header, m_field)),
- j1 AS (SELECT rs.*, decision, e_field, semantic, confidence, m_field, {personal} OR label = 'personal' AS pii FROM rs LEFT JOIN ev ON header = e_header LEFT JOIN me ON lower(trim(header)) = m_header),
+    settle = resolved + f""", ev AS (SELECT c_custkey AS e_sheet, t.* FROM customer, {_rows(found)} t(e_header, decision, e_field, semantic, confidence) WHERE c_custkey % 2 = 0), me AS (SELECT c_custkey AS m_sheet, t.* FROM customer, {_rows(memory)} t(m_header, m_field) WHERE c_custkey % 3 = 0),
+ j1 AS (SELECT rs.*, decision, e_field, semantic, confidence, m_field, {personal} OR label = 'personal' AS pii FROM rs LEFT JOIN ev ON sheet = e_sheet AND header = e_header LEFT JOIN me ON sheet = m_sheet AND lower(ltrim(trim(header), chr(65279))) = m_header),
  j2 AS (SELECT *, needs_review AND NOT pii AND COALESCE(decision = 'auto', FALSE) AS auto FROM j1), j3 AS (SELECT *, needs_review AND NOT pii AND NOT auto AND m_field IS NOT NULL AS recalled, auto AND m_field IS NOT NULL AND e_field IS NOT NULL AND m_field <> e_field AS conflict FROM j2)
- SELECT CAST(ordinal AS INTEGER) AS ordinal, header, CASE WHEN pii THEN 'personal' WHEN auto THEN COALESCE(semantic, label) ELSE label END AS label, CASE WHEN pii THEN NULL WHEN auto THEN e_field WHEN recalled THEN m_field ELSE field END AS field,
+ SELECT sheet, ordinal, header, CASE WHEN pii THEN 'personal' WHEN auto THEN COALESCE(semantic, label) ELSE label END AS label, CASE WHEN pii THEN NULL WHEN auto THEN e_field WHEN recalled THEN m_field ELSE field END AS field,
  CASE WHEN pii THEN 0.0::DOUBLE WHEN auto THEN confidence WHEN recalled THEN 0.95 ELSE score END AS score, CASE WHEN pii THEN 'low' WHEN auto THEN CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END WHEN recalled THEN 'high' ELSE band END AS band,
  CASE WHEN pii THEN 'local' WHEN auto THEN 'evidence' WHEN recalled THEN 'memory' ELSE source END AS source, CASE WHEN pii OR recalled THEN FALSE WHEN auto THEN conflict ELSE needs_review END AS needs_review, conflict AS memory_conflict FROM j3"""
-    add("map18_settled_headers", lambda s, d: u.settled(u.resolved(u.classified_headers(table(s))), s.createDataFrame(found, "header string, decision string, field string, semantic string, confidence double"), s.createDataFrame(memory, "header string, field string")), settle)
-    expected = _rows([(i, e) for i, (_, e) in enumerate(golden)])
-    scored = guess + f", z AS (SELECT COALESCE(field, 'none') AS predicted, expected FROM q JOIN {expected} t(o, expected) ON o = ordinal WHERE expected <> 'ambiguous')"
-    predicted = lambda s: headers.guessed(table(s)).join(s.createDataFrame([(i, e) for i, (_, e) in enumerate(golden)], "ordinal int, expected string"), "ordinal").withColumnRenamed("field", "predicted")
-    add("map20_role_scores", lambda s, d: headers.role_scores(predicted(s)), scored + ", r AS (SELECT expected AS role FROM z UNION SELECT predicted FROM z) SELECT role, COUNT(*) FILTER (WHERE expected = role) AS support, COUNT(*) FILTER (WHERE expected = role AND predicted = role) / NULLIF(COUNT(*) FILTER (WHERE predicted = role), 0)::DOUBLE AS \"precision\", COUNT(*) FILTER (WHERE expected = role AND predicted = role) / NULLIF(COUNT(*) FILTER (WHERE expected = role), 0)::DOUBLE AS recall FROM r, z GROUP BY 1")
-    add("map20_confusions", lambda s, d: headers.confusions(predicted(s)), scored + " SELECT expected, predicted, COUNT(*) AS n FROM z WHERE expected <> predicted GROUP BY 1, 2 ORDER BY n DESC, expected, predicted LIMIT 10")
-    add("map21_perturbed_headers", lambda s, d: headers.perturbed(table(s)), None)
+    every = lambda s, d, n, rows, schema: s.read.parquet(f"{d}/customer.parquet").filter(F.col("c_custkey") % n == 0).select(F.col("c_custkey").alias("sheet")).crossJoin(F.broadcast(s.createDataFrame(rows, schema)))  # noqa: E731  a fixed table
+    add("map18_settled_headers", lambda s, d: u.settled(u.resolved(u.classified_headers(sheets(s, d)), "sheet"), every(s, d, 2, found, "header string, decision string, field string, semantic string, confidence double"), every(s, d, 3, memory, "header string, field string"), "sheet"), settle)
+    scored = guess + ", z AS (SELECT COALESCE(field, 'none') AS predicted, expected FROM q WHERE expected <> 'ambiguous')"
+    predicted = lambda s, d: headers.guessed(sheets(s, d)).withColumnRenamed("field", "predicted")
+    add("map20_role_scores", lambda s, d: headers.role_scores(predicted(s, d)), scored + ", r AS (SELECT expected AS role FROM z UNION SELECT predicted FROM z) SELECT role, COUNT(*) FILTER (WHERE expected = role) AS support, COUNT(*) FILTER (WHERE expected = role AND predicted = role) / NULLIF(COUNT(*) FILTER (WHERE predicted = role), 0)::DOUBLE AS \"precision\", COUNT(*) FILTER (WHERE expected = role AND predicted = role) / NULLIF(COUNT(*) FILTER (WHERE expected = role), 0)::DOUBLE AS recall FROM r JOIN z ON role = expected OR role = predicted GROUP BY 1")
+    add("map20_confusions", lambda s, d: headers.confusions(predicted(s, d)), scored + " SELECT expected, predicted, COUNT(*) AS n FROM z WHERE expected <> predicted GROUP BY 1, 2 ORDER BY n DESC, expected, predicted LIMIT 10")
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    ascii_, wide = "".join(map(chr, range(0x20, 0x7F))), "\u3000" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+    spelled = {
+        "upper": "upper(header)", "title": "array_to_string(list_transform(string_split(lower(header), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ')", "pad_spaces": "'  ' || header || '  '", "double_internal_space": "regexp_replace(header, '^([^ ]*) ', '\\1  ')",
+        "bom_prefix": "chr(65279) || header", "bom_then_space": "chr(65279) || ' ' || header", "space_then_bom": "' ' || chr(65279) || header", "underscore_for_space": "replace(header, ' ', '_')", "space_for_underscore": "replace(header, '_', ' ')",
+        "hyphen_for_space": "replace(header, ' ', '-')", "trailing_colon": "header || ':'", "trailing_dot": "header || '.'", "nbsp_for_space": "replace(header, ' ', chr(160))", "tab_for_space": "replace(header, ' ', chr(9))",
+        "fullwidth": f"translate(header, {quoted(ascii_)}, {quoted(wide)})",
+    }
+    spellings = " UNION ALL ".join(f"SELECT sheet, ordinal, '{k}' AS kind, header AS plain, {v} AS header FROM h" for k, v in spelled.items())
+    add("map21_perturbed_headers", lambda s, d: headers.perturbed(sheets(s, d, "supplier").drop("expected")), f"WITH {sheets_sql('supplier')} SELECT sheet, ordinal, kind, header FROM ({spellings}) WHERE header <> plain")
 
     # evidence rules
-    raw = BASE + ", raw AS (SELECT invoice_no, quantity, selling_price, line_total, (ARRAY[0.0, 5.0, 12.0, 18.0, 28.0]::DOUBLE[])[CAST(k1 % 5 + 1 AS INTEGER)] AS gst, round(discount / line_total * 100) AS disc, x_meas_order_total AS bill, selling_price AS rate FROM cur)"
+    raw = BASE + ", raw AS (SELECT CASE WHEN k1 % 11 <> 0 AND k1 % 13 <> 0 THEN invoice_no END AS invoice_no, quantity, selling_price, line_total, (ARRAY[0.0, 5.0, 12.0, 18.0, 28.0]::DOUBLE[])[CAST(k1 % 5 + 1 AS INTEGER)] AS gst, round(discount / line_total * 100) AS disc, CASE WHEN k2 % 17 = 0 OR (k4 % 2 <> 0 AND k2 % 19 = 0) THEN NULL ELSE CAST(CAST(x_meas_order_total AS DECIMAL(20,2)) AS DOUBLE) END AS bill, selling_price AS rate FROM cur)"
     slabs = ", ".join(f"{x}::DOUBLE" for x in u.SLABS_PERCENT)
     fractions = ", ".join(f"{x}::DOUBLE" for x in u.SLABS_FRACTION)
     facts = lambda c: f"SELECT COUNT(*) AS n, GREATEST(AVG({one.format(f'{c} IN ({slabs})')}), AVG({one.format(f'{c} IN ({fractions})')})) AS slab, COUNT(DISTINCT {c}) AS k, AVG({one.format(f'{c} BETWEEN 0 AND 100')}) AS within FROM raw WHERE {c} IS NOT NULL"
     tax = "n >= 5 AND slab >= 0.9 AND k <= 6"
     percent = lambda h, c: f"SELECT '{h}' AS header, CASE WHEN {tax} THEN 'auto' ELSE 'ask' END AS decision, CASE WHEN {tax} THEN 'Tax' END AS field, CASE WHEN {tax} THEN 'tax' END AS semantic, CASE WHEN {tax} THEN round(slab, 4) ELSE 0.0 END AS confidence, CASE WHEN {tax} THEN {_names(['Tax'])} WHEN n >= 5 AND within >= 0.9 THEN {_names(['Discount', 'Tax'])} ELSE {_names([])} END AS candidates FROM ({facts(c)})"
-    repeat = lambda c: f"(SELECT AVG({one.format('d = 1')}) AS rep, COUNT(*) AS groups FROM (SELECT invoice_no, COUNT(*) AS k, COUNT(DISTINCT {c}) AS d FROM raw GROUP BY 1) WHERE k >= 2)"
+    repeat = lambda c: f"(SELECT AVG({one.format('d = 1')}) AS rep, COUNT(*) AS groups FROM (SELECT invoice_no, COUNT({c}) AS k, COUNT(DISTINCT {c}) AS d FROM raw WHERE invoice_no IS NOT NULL GROUP BY 1) WHERE k >= 2)"
     match = lambda price, total: f"(SELECT AVG({one.format(f'abs(quantity * {price} - {total}) <= GREATEST(abs({total}) * 0.01, 0.01)')}) AS hit, COUNT(*) AS tested FROM raw WHERE quantity > 0 AND {price} > 0 AND {total} IS NOT NULL)"
     ask = lambda h, names: f"SELECT '{h}' AS header, 'ask' AS decision, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS semantic, 0.0::DOUBLE AS confidence, {_names(names)} AS candidates"
     amount = lambda h, c: f"SELECT '{h}' AS header, CASE WHEN (groups >= 2 AND rep >= 0.9) OR hit >= 0.9 THEN 'auto' ELSE 'ask' END AS decision, CASE WHEN groups >= 2 AND rep >= 0.9 THEN NULL WHEN hit >= 0.9 THEN 'Line Total' END AS field, CASE WHEN groups >= 2 AND rep >= 0.9 THEN 'invoice_total' WHEN hit >= 0.9 THEN 'revenue' END AS semantic, CASE WHEN groups >= 2 AND rep >= 0.9 THEN round(rep, 4) WHEN hit >= 0.9 THEN round(hit, 4) ELSE 0.0 END AS confidence, CASE WHEN groups >= 2 AND rep >= 0.9 THEN {_names([])} ELSE {_names(['Line Total'])} END AS candidates FROM {repeat(c)}, {match('selling_price', c)}"
@@ -109,19 +123,14 @@ def register(add: Callable, golden: list[tuple[str, str]], guess: str) -> None:
     add("evd02_amount_claimed", verdicts(["Bill Amount"], FIELDS | {"Line Total": "line_total"}), flat(ask("Bill Amount", ["Line Total"])))
     add("evd03_rate_rule", verdicts(["Rate"], {"Quantity": "quantity", "Line Total": "line_total", "Invoice No": "invoice_no"}), flat(rate))
     names = {"person": ["Name", "Phone", "City"], "thing": ["Name", "HSN Code", "Size"], "both": ["Name", "Phone", "SKU"], "neither": ["Name", "Notes"]}
-    hits = lambda hs, words: f"len(list_filter({_names([w for h in hs[1:] for w in h.lower().split()])}, lambda x: list_contains({_names(words)}, x)))"
-    name = " UNION ALL ".join(f"SELECT '{k}' AS sheet, {hits(hs, u.CUSTOMER_WORDS)} AS p, {hits(hs, u.ITEM_WORDS)} AS g" for k, hs in names.items())
-    sheets = lambda s: [(k, u.name_rule(headers.header_table(s, hs), "Name")) for k, hs in names.items()]
-
-    def named(s: SparkSession, d: str) -> DataFrame:
-        parts = [v.select(F.lit(k).alias("sheet"), "decision", "field", "confidence") for k, v in sheets(s)]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-    add("evd04_name_rule", named, f"SELECT sheet, CASE WHEN (p > 0) <> (g > 0) THEN 'auto' ELSE 'ask' END AS decision, CASE WHEN p > 0 AND g = 0 THEN 'Customer' WHEN g > 0 AND p = 0 THEN 'Item' END AS field, CASE WHEN (p > 0) <> (g > 0) THEN round(LEAST(0.90::DOUBLE + 0.02::DOUBLE * GREATEST(p, g), 0.99), 4) ELSE 0.0 END AS confidence FROM ({name})")
-    rules = lambda s, d: s.createDataFrame([(h,) for h in RAW], "header string").select("header", u.rule_of(F.col("header")).alias("rule"))
+    hits = lambda hs, words: len({w for h in hs[1:] for w in h.lower().split()} & set(words))
+    counts = _rows([(i, hits(hs, ["phone", "mobile", "email", "address", "gstin", "gst", "contact", "pincode", "city"]), hits(hs, ["sku", "hsn", "barcode", "code", "style", "category", "size", "colour", "color", "brand", "unit"])) for i, hs in enumerate(names.values())])
+    own = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("sheet"), F.lit(0).alias("ordinal"), F.lit("Name").alias("header"), F.concat_ws(" ", F.element_at(F.array(*[F.lit(" ".join(hs[1:])) for hs in names.values()]), (F.col("c_custkey") % 4 + 1).cast("int")), "c_mktsegment").alias("others"))
+    add("evd04_name_rule", lambda s, d: u.name_rules(own(s, d)).select("sheet", "decision", "field", "confidence"), f"SELECT c_custkey AS sheet, CASE WHEN (p > 0) <> (g > 0) THEN 'auto' ELSE 'ask' END AS decision, CASE WHEN p > 0 AND g = 0 THEN 'Customer' WHEN g > 0 AND p = 0 THEN 'Item' END AS field, CASE WHEN (p > 0) <> (g > 0) THEN round(LEAST(0.90::DOUBLE + 0.02::DOUBLE * GREATEST(p, g), 0.99), 4) ELSE 0.0 END AS confidence FROM customer JOIN {counts} t(i, p, g) ON c_custkey % 4 = i")
+    call = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("sheet"), F.concat_ws(" ", F.element_at(F.array(*[F.lit(h) for h in RAW]), (F.col("c_custkey") % len(RAW) + 1).cast("int")), F.col("c_mktsegment")).alias("header"))
     within = lambda ws: " OR ".join(f"contains(k, '{w}')" for w in ws)
     has = lambda ws: f"len(list_intersect(w, {_names(ws)})) > 0"
-    add("evd05_rules_of_headers", rules, f"WITH h AS (SELECT header, lower(trim(header)) AS k, list_filter(regexp_split_to_array(lower(trim(header)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {_rows([(h,) for h in RAW])} t(header)) SELECT header, CASE WHEN contains(k, '%') OR {has(u.PERCENT_WORDS)} THEN 'percentage' WHEN {within(u.AMOUNT_WORDS)} THEN 'amount' WHEN {within(u.RATE_WORDS)} THEN 'rate' WHEN {has(['name'])} AND NOT ({has(u.PRODUCT_WORDS)}) THEN 'name' WHEN {has(u.LATER_DATE_WORDS)} THEN 'later_date' END AS rule FROM h")
+    add("evd05_rules_of_headers", lambda s, d: call(s, d).withColumn("rule", u.rule_of(F.col("header"))), f"WITH c AS (SELECT c_custkey AS sheet, ({_names(RAW)})[CAST(c_custkey % {len(RAW)} + 1 AS INTEGER)] || ' ' || c_mktsegment AS header FROM customer), h AS (SELECT sheet, header, lower(trim(header)) AS k, list_filter(regexp_split_to_array(lower(trim(header)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM c) SELECT sheet, header, CASE WHEN contains(k, '%') OR {has(['pct', 'percent', 'percentage', 'gst', 'vat'])} THEN 'percentage' WHEN {within(['amount', 'amt', 'total', 'value', 'net', 'gross'])} THEN 'amount' WHEN {within(['rate', 'price', 'sp', 'cost', 'cp', 'mrp'])} THEN 'rate' WHEN {has(['name'])} AND NOT ({has(['product', 'item', 'brand', 'style', 'model', 'sku', 'article'])}) THEN 'name' WHEN {has(u.LATER_DATE_WORDS)} THEN 'later_date' END AS rule FROM h")
     guard = lambda s, d: u.line_total_guard(raw_columns(s, d), "Bill Amount", "invoice_no").withColumn("header", F.lit("Bill Amount")).unionByName(u.line_total_guard(raw_columns(s, d), "Line Amount", "invoice_no").withColumn("header", F.lit("Line Amount")))
     verdict = lambda h, c: f"SELECT '{h}' AS header, CASE WHEN groups >= 2 AND rep >= 0.9 THEN 'reject' WHEN groups = 1 AND rep = 1 THEN 'warn' ELSE 'ok' END AS verdict, groups FROM {repeat(c)}"
     add("evd06_line_total_guard", guard, raw + " " + verdict("Bill Amount", "bill") + " UNION ALL " + verdict("Line Amount", "line_total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import date
 
@@ -95,6 +96,7 @@ def _reports() -> None:
  SELECT position, line, amount, amount / NULLIF((SELECT net FROM t), 0) * 100 AS pct FROM l"""
     add("agg14_profit_and_loss", whole(reports.profit_and_loss), BASE + pnl)
     add("srt04_ledger_page", sliced(lambda s: reports.ledger_page(s.current, ROW_ORDER, 3, 50).select("sale_date", "item", "quantity", "row_revenue", "row_profit", *ROW_ORDER), DAYS30), sql.base(LAST30) + f"SELECT sale_date, item, quantity, row_revenue, row_profit, {sql.ORDER} FROM p ORDER BY sale_date, {sql.ORDER} LIMIT 50 OFFSET 100")
+    add("srt04_deep_page", lambda spark, d: _deep_page(star_register(spark, d)), BASE + f", c AS (SELECT COUNT(*) AS n FROM cur), g AS (SELECT CAST(ceil(ceil(n / 50.0) * 0.7) AS BIGINT) AS page FROM c), o AS (SELECT sale_date, item, row_revenue, {sql.ORDER}, row_number() OVER (ORDER BY sale_date, {sql.ORDER}) AS rn FROM p) SELECT sale_date, item, row_revenue, {sql.ORDER}, page FROM o, g WHERE rn > (page - 1) * 50 AND rn <= page * 50")
     add("srt04_ledger_pages", whole(lambda r: reports.ledger_pages(r, 10**9)), BASE + "SELECT COUNT(*) AS n_rows, GREATEST(CAST(ceil(COUNT(*) / 50.0) AS BIGINT), 1) AS total_pages, GREATEST(CAST(ceil(COUNT(*) / 50.0) AS BIGINT), 1) AS page FROM cur")
     fine, usable = "mrp > 0 AND selling_price <= mrp", "mrp IS NOT NULL AND mrp > 0"
     gap, listed = sql.s("(mrp - selling_price) * quantity"), sql.s("mrp * quantity")
@@ -103,6 +105,13 @@ def _reports() -> None:
     add("agg29_reconciliation", sliced(reports.reconciliation, FILTERED), "SELECT 0.0::DOUBLE AS kpi_less_pnl, 0.0::DOUBLE AS kpi_less_categories, 0.0::DOUBLE AS kpi_less_days")
 
 
+def _deep_page(register: DataFrame) -> DataFrame:
+    """The page at 70 % of the ledger: it reads one range of the index, not the rows before it."""
+    rows, index = reports.ledger_index(register.select("sale_date", "item", "quantity", "selling_price", "line_total", "discount", "cost_price", "tax", *[c for c in ROW_ORDER if c != "line_total"]), ROW_ORDER)
+    pages = -(-index.agg(F.sum("n")).first()[0] // 50)
+    return reports.indexed_page(rows, index, math.ceil(pages * 0.7), 50).select("sale_date", "item", "row_revenue", *ROW_ORDER, "page")
+
+
 def _inventory() -> None:
     columns = "item, category, units, revenue, last_sale, active_days, mean_cost, stock, velocity, velocity_active, days_idle, trend, abc, priority, ageing, days_cover, reorder, capital"
     pick = [c.strip() for c in columns.split(",")]
@@ -192,7 +201,7 @@ def _evidence() -> None:
     near = "abs(quantity * selling_price - line_total) <= GREATEST(abs(line_total) * 0.01, 0.01)"
     add("evd02_product_match", whole(lambda r: evidence.product_match(r, F.col("line_total"))), BASE + f"SELECT COUNT(*) AS n, AVG(CASE WHEN {near} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share, COUNT(*) >= 5 AND AVG(CASE WHEN {near} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.9 AS matches FROM cur WHERE quantity > 0 AND selling_price > 0 AND line_total IS NOT NULL")
     for column in ("x_meas_order_total", "line_total"):
-        per = BASE + f", g AS (SELECT invoice_no, COUNT(*) AS k, COUNT(DISTINCT {column}) AS u FROM cur GROUP BY 1), h AS (SELECT COUNT(*) AS n, AVG(CASE WHEN u = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM g WHERE k >= 2) SELECT n, share, n >= 2 AND share >= 0.9 AS repeats FROM h"
+        per = BASE + f", g AS (SELECT invoice_no, COUNT({column}) AS k, COUNT(DISTINCT {column}) AS u FROM cur GROUP BY 1), h AS (SELECT COUNT(*) AS n, AVG(CASE WHEN u = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM g WHERE k >= 2) SELECT n, share, n >= 2 AND share >= 0.9 AS repeats FROM h"
         add(f"agg26_invoice_repeat_{column}", whole(lambda r, c=column: evidence.invoice_repeat(r, c)), per)
     slabs = ", ".join(f"{x}::DOUBLE" for x in evidence.SLABS)
     add("evd01_slab_coverage", lambda s, d: evidence.slab_coverage(s.read.parquet(f"{d}/lineitem.parquet"), F.round(F.col("l_tax") * 100)), f"WITH v AS (SELECT round(l_tax * 100) AS v FROM lineitem), h AS (SELECT COUNT(DISTINCT v) AS n_distinct, AVG(CASE WHEN v IN ({slabs}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM v WHERE v IS NOT NULL) SELECT n_distinct, share, n_distinct <= 6 AND share >= 0.9 AS is_rate FROM h")
@@ -217,26 +226,45 @@ GOLDEN = [
 ]
 
 
+def sheets(spark: SparkSession, d: str, table: str = "customer") -> DataFrame:
+    """(sheet, ordinal, header, expected): the headers of one export for each customer (or supplier), the golden ones in a spelling that follows from the key, and two more from its own row."""
+    key, more = ("c_custkey", "c_mktsegment") if table == "customer" else ("s_suppkey", "s_name")
+    owners = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("sheet"), F.col(more).alias("more"), F.col(f"{table[0]}_name").alias("name"))
+    golden = spark.createDataFrame([(i, h, e) for i, (h, e) in enumerate(GOLDEN)], "ordinal int, base string, expected string")
+    k = (F.col("sheet") + F.col("ordinal")) % 4
+    spelled = F.when(k == 0, F.col("base")).when(k == 1, F.upper("base")).when(k == 2, F.concat(F.lit("  "), "base")).otherwise(F.concat(F.lit("\ufeff"), "base"))
+    out = owners.crossJoin(F.broadcast(golden)).select("sheet", "ordinal", spelled.alias("header"), "expected")  # a fixed table
+    n = len(GOLDEN)
+    for i, (c, e) in enumerate((("more", "none" if table == "customer" else "ambiguous"), ("name", "Customer" if table == "customer" else "ambiguous"))):
+        out = out.unionByName(owners.select("sheet", F.lit(n + i).alias("ordinal"), F.col(c).alias("header"), F.lit(e).alias("expected")))
+    return out
+
+
+def sheets_sql(table: str = "customer") -> str:
+    key, more = ("c_custkey", "c_mktsegment") if table == "customer" else ("s_suppkey", "s_name")
+    ends = ("none", "Customer") if table == "customer" else ("ambiguous", "ambiguous")
+    rows, n = ", ".join(f"({i}, '{h}', '{e}')" for i, (h, e) in enumerate(GOLDEN)), len(GOLDEN)
+    return f"""h AS (SELECT {key} AS sheet, CAST(ordinal AS INTEGER) AS ordinal, CASE ({key} + ordinal) % 4 WHEN 0 THEN base WHEN 1 THEN upper(base) WHEN 2 THEN '  ' || base ELSE chr(65279) || base END AS header, expected FROM {table}, (VALUES {rows}) t(ordinal, base, expected)
+ UNION ALL SELECT {key}, {n}, {more}, '{ends[0]}' FROM {table} UNION ALL SELECT {key}, {n + 1}, {table[0]}_name, '{ends[1]}' FROM {table})"""
+
+
 def _headers() -> None:
-    rows = ", ".join(f"({i}, '{h}')" for i, (h, _) in enumerate(GOLDEN))
     aliases = ", ".join(f"('{a}', '{f}')" for f, names in headers.ALIASES.items() for a in names)
     words = " ".join(f"WHEN contains(k, '{k}') THEN '{f}'" for k, f in headers.KEYWORDS)
     personal = "|".join(headers.PERSONAL_TOKENS)
-    guess = f"""WITH h AS (SELECT * FROM (VALUES {rows}) t(ordinal, header)), a AS (SELECT * FROM (VALUES {aliases}) t(alias, alias_field)), n AS (SELECT ordinal, header, lower(trim(header)) AS k FROM h),
- j AS (SELECT ordinal, header, k, alias_field FROM n LEFT JOIN a ON alias = k), g AS (SELECT ordinal, header, alias_field, CASE WHEN regexp_matches(k, '(^|[^a-z0-9])({personal})([^a-z0-9]|$)') THEN NULL ELSE COALESCE(alias_field, CASE {words} END) END AS field FROM j),
- q AS (SELECT ordinal, header, field, CASE WHEN field IS NULL THEN 'none' WHEN alias_field IS NOT NULL THEN 'exact' ELSE 'fuzzy' END AS confidence FROM g)
+    guess = f"""WITH {sheets_sql()}, a AS (SELECT * FROM (VALUES {aliases}) t(alias, alias_field)), n AS (SELECT *, lower(ltrim(trim(header), chr(65279))) AS k FROM h),
+ j AS (SELECT sheet, ordinal, header, expected, k, alias_field FROM n LEFT JOIN a ON alias = k), g AS (SELECT sheet, ordinal, header, expected, alias_field, CASE WHEN regexp_matches(k, '(^|[^a-z0-9])({personal})([^a-z0-9]|$)') THEN NULL ELSE COALESCE(alias_field, CASE {words} END) END AS field FROM j),
+ q AS (SELECT sheet, ordinal, header, expected, field, CASE WHEN field IS NULL THEN 'none' WHEN alias_field IS NOT NULL THEN 'exact' ELSE 'fuzzy' END AS confidence FROM g)
 """
-    table = lambda s: headers.header_table(s, [h for h, _ in GOLDEN])
-    add("map05_guessed_headers", lambda s, d: headers.guessed(table(s)), guess + "SELECT CAST(ordinal AS INTEGER) AS ordinal, header, field, confidence FROM q")
-    keep = "field IS NULL OR row_number() OVER (PARTITION BY field ORDER BY ordinal) = 1"
-    add("map06_suggested_headers", lambda s, d: headers.suggested(table(s)), guess + f", k AS (SELECT *, {keep} AS keep FROM q) SELECT CAST(ordinal AS INTEGER) AS ordinal, header, CASE WHEN keep THEN field END AS field, CASE WHEN keep THEN confidence ELSE 'none' END AS confidence FROM k")
-    add("set07_colliding_headers", lambda s, d: headers.colliding(table(s)), guess + "SELECT lower(trim(header)) AS key, COUNT(*) AS n FROM q GROUP BY 1 HAVING COUNT(*) > 1")
-    expected = ", ".join(f"({i}, '{e}')" for i, (_, e) in enumerate(GOLDEN))
+    add("map05_guessed_headers", lambda s, d: headers.guessed(sheets(s, d)), guess + "SELECT sheet, ordinal, header, expected, field, confidence FROM q")
+    keep = "field IS NULL OR row_number() OVER (PARTITION BY sheet, field ORDER BY ordinal) = 1"
+    add("map06_suggested_headers", lambda s, d: headers.suggested(sheets(s, d), "sheet"), guess + f", k AS (SELECT *, {keep} AS keep FROM q) SELECT sheet, ordinal, header, CASE WHEN keep THEN field END AS field, CASE WHEN keep THEN confidence ELSE 'none' END AS confidence FROM k")
+    add("set07_colliding_headers", lambda s, d: headers.colliding(sheets(s, d), "sheet"), guess + "SELECT sheet, lower(ltrim(trim(header), chr(65279))) AS key, COUNT(*) AS n FROM q GROUP BY 1, 2 HAVING COUNT(*) > 1")
     share = lambda k: f"AVG(CASE WHEN confidence = '{k}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {k}_share"
     right = "COALESCE(field, 'none') = expected"
-    add("map20_header_evaluation", lambda s, d: headers.evaluation(headers.guessed(table(s)).join(s.createDataFrame([(i, e) for i, (_, e) in enumerate(GOLDEN)], "ordinal int, expected string"), "ordinal").withColumnRenamed("field", "predicted")), guess + f", e AS (SELECT * FROM (VALUES {expected}) t(o, expected)), z AS (SELECT * FROM q JOIN e ON o = ordinal) SELECT COUNT(*) AS n, AVG(CASE WHEN expected <> 'ambiguous' THEN CASE WHEN {right} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS accuracy, {share('exact')}, {share('fuzzy')}, {share('none')}, COUNT(*) FILTER (WHERE expected <> 'ambiguous' AND field IS NOT NULL AND NOT ({right})) AS false_mappings FROM z")
+    add("map20_header_evaluation", lambda s, d: headers.evaluation(headers.guessed(sheets(s, d)).withColumnRenamed("field", "predicted")), guess + f"SELECT COUNT(*) AS n, AVG(CASE WHEN expected <> 'ambiguous' THEN CASE WHEN {right} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS accuracy, {share('exact')}, {share('fuzzy')}, {share('none')}, COUNT(*) FILTER (WHERE expected <> 'ambiguous' AND field IS NOT NULL AND NOT ({right})) AS false_mappings FROM q")
     add("sch01_capabilities", whole(lambda r: extras.capabilities(r.drop("colour")).select("kind", "name", "available")), "SELECT * FROM (VALUES " + ", ".join([f"('measure', '{m}', TRUE)" for m in MEASURES] + [f"('dimension', '{x}', {x != 'colour'})".upper().replace("DIMENSION", "dimension").replace(x.upper(), x) for x in ("category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "colour", "invoice_no", "day", "weekday", "month")]) + ") t(kind, name, available)")
-    column_queries.register(add, GOLDEN, guess)
+    column_queries.register(add, sheets, sheets_sql, guess)
     read = lambda s, d: s.read.parquet(f"{d}/events.parquet")
     add("stream_tumbling_days", lambda s, d: events.tumbling(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, COUNT(*) AS n, {sql.s('value')} AS total FROM events GROUP BY 1, 2")
     add("stream_sessions", lambda s, d: events.sessions(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM k GROUP BY user_id, k")
