@@ -9,6 +9,7 @@ from ..fields import MEASURES, PARETO, TIME_DIMENSIONS, TOP_N, WEEKDAYS, QueryEr
 from ..functions.numbers import div, exact_sum, percent
 from ..functions.ordered import with_sum_before
 from .derive import derived
+from .slicing import facets, role
 
 PARTS = ["revenue", "cost", "profit", "discount", "units", "transactions"]
 
@@ -58,6 +59,8 @@ def chart(df: DataFrame, dimension: str, measure: str, top_n: int = TOP_N) -> Da
     """
     if measure not in MEASURES:
         raise QueryError(f"no measure {measure}")
+    if dimension not in TIME_DIMENSIONS and dimension not in facets(df):
+        raise QueryError(f"no dimension {dimension}")
     additive = MEASURES[measure][0]
     timed = dimension in TIME_DIMENSIONS
     groups = grouped(df, dimension).withColumn("value", measure_value(measure))
@@ -96,6 +99,8 @@ def chart(df: DataFrame, dimension: str, measure: str, top_n: int = TOP_N) -> Da
 
 def extra_measure(df: DataFrame, dimension: str, column: str, average: bool) -> DataFrame:
     """(label, value, n) of an extra column; a mean keeps its count, so that a tail folds by weight."""
+    if role(df, column) != "x_meas":
+        raise QueryError(f"no measure {column}")
     x = F.col(column)
     value = div(exact_sum(x), F.count(x)) if average else exact_sum(x)
     return df.groupBy(group_key(dimension).alias("label")).agg(value.alias("value"), F.count(x).alias("n"))

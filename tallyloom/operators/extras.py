@@ -20,10 +20,10 @@ NOTE_TERMS = ["note", "remark", "comment", "description", "narration"]
 
 
 def slugs(headers: list[str]) -> dict[str, str]:
-    """A name of lower-case letters, digits and underscores for each header; later ones of a name get _2, _3."""
+    """A name of lower-case letters, digits and underscores, as text.slug() makes it, for each of the first MOST_EXTRAS headers; later ones of a name get _2, _3."""
     out: dict[str, str] = {}
     used: dict[str, int] = {}
-    for h in headers:
+    for h in headers[:MOST_EXTRAS]:
         s = "".join(c if c.isascii() and c.isalnum() else " " for c in h.replace("%", " pct ").lower())
         s = "_".join(s.split()) or "col"
         used[s] = used.get(s, 0) + 1
@@ -62,14 +62,26 @@ def classified(df: DataFrame, columns: list[str]) -> dict[str, dict]:
 
 
 def with_extras(df: DataFrame, registry: dict[str, dict]) -> DataFrame:
-    """Extra columns under their names: numbers, text with blanks named, personal values redacted."""
+    """Extra columns under their names: numbers, text with blanks named, personal values redacted. Each column's role goes with it in the schema, through Parquet too."""
     for c, e in registry.items():
         x = F.col(f"`{c}`").cast("string")
         value = text.number(x) if e["role"] == "x_meas" else text.named(x) if e["role"] == "x_dim" else text.redacted(x) if e["reason"] == "personal" else x
-        df = df.withColumn(e["name"], value).drop(c)
+        df = df.withColumn(e["name"], value).withMetadata(e["name"], {"role": e["role"], "aggregation": e["aggregation"] or "", "reason": e["reason"]}).drop(c)
     return df
 
 
+def registry_of(df: DataFrame) -> DataFrame:
+    """(name, role, aggregation, reason) of the extra columns of a register, as its schema has them: they were written with it."""
+    rows = [(f.name, f.metadata["role"], f.metadata.get("aggregation") or None, f.metadata.get("reason")) for f in df.schema.fields if "role" in f.metadata]
+    return df.sparkSession.createDataFrame(rows, "name string, role string, aggregation string, reason string")
+
+
+def unmapped(headers: list[str], mapped: list[str]) -> list[str]:
+    """The first MOST_EXTRAS headers that map to no field, in their order."""
+    taken = set(mapped)
+    return [h for h in dict.fromkeys(headers) if h not in taken][:MOST_EXTRAS]
+
+
 def coverage(registry: dict[str, dict], mapped: int) -> dict[str, int]:
     """Columns by how they can be used."""
     count = lambda role: sum(e["role"] == role for e in registry.values())

@@ -1,10 +1,7 @@
-"""From the headers of an export to canonical fields: aliases, then ordered keywords; memory of confirmed mappings."""
+"""From the headers of an export to canonical fields: aliases, then ordered keywords; staged imports, evaluation."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,32 +89,11 @@ def checked(columns: list[str], mapping: dict[str, str]) -> dict[str, str]:
     return {c: t for c, t in mapping.items() if t}
 
 
-def signature(headers: list[str]) -> str:
-    """A digest of a set of headers, whatever their order."""
-    keys = sorted(h.strip().lstrip("\ufeff").lower() for h in headers)
-    return hashlib.sha256(json.dumps(keys, ensure_ascii=False).encode()).hexdigest()[:16]
-
-
 def colliding(headers: DataFrame, *sheet: str) -> DataFrame:
     """(sheet, key, n): normalised headers that occur more than once in a sheet."""
     return headers.groupBy(*sheet, text.header_key(F.col("header")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-MEMORY = "signature string, header string, field string, confirmed_at timestamp"
-
-
-def remembered(memory: DataFrame, headers: list[str]) -> DataFrame:
-    """(header, field) confirmed before for this set of headers."""
-    return memory.filter(F.col("signature") == signature(headers)).select("header", "field")
-
-
-def remember(memory: DataFrame, headers: list[str], mapping: dict[str, str]) -> DataFrame:
-    """The memory with a confirmed mapping; the latest of each (signature, header) stays."""
-    new = memory.sparkSession.createDataFrame([(signature(headers), h.strip().lower(), f) for h, f in mapping.items()], "signature string, header string, field string").withColumn("confirmed_at", F.current_timestamp())
-    last = F.row_number().over(Window.partitionBy("signature", "header").orderBy(F.desc("confirmed_at")))
-    return memory.unionByName(new).withColumn("r", last).filter("r = 1").drop("r")
-
-
 def evaluation(predicted: DataFrame) -> DataFrame:
     """(expected, predicted, confidence) -> one row: headers, accuracy over those that aren't ambiguous, and shares by route."""
     clear = F.col("expected") != "ambiguous"

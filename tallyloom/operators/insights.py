@@ -71,9 +71,11 @@ def margin_leaks(df: DataFrame) -> DataFrame:
     total = rows.agg(exact_sum(F.col("revenue")).alias("total"))
     rows = rows.crossJoin(F.broadcast(total)).withColumn("margin", percent(F.col("profit"), F.col("revenue"))).withColumn("share", F.col("revenue") / F.col("total"))  # one row
     rows = stored(rows, "margins")
-    by_category = medians(rows, "margin", "category").select(F.col("category").alias("c"), F.col("median").alias("category_median"), "n")
-    shop = medians(rows, "margin").select(F.col("median").alias("shop_median"))
-    rows = rows.join(by_category, rows["category"].eqNullSafe(by_category["c"])).crossJoin(F.broadcast(shop))  # one row
+    scopes = F.array(F.struct(F.lit(True).alias("is_category"), F.col("category").alias("c")), F.struct(F.lit(False).alias("is_category"), F.lit(None).cast("string").alias("c")))
+    middle = stored(medians(rows.select("margin", F.explode(scopes).alias("s")).select("margin", "s.*"), "margin", "is_category", "c"), "medians")
+    by_category = middle.filter("is_category").select("c", F.col("median").alias("category_median"), "n")
+    shop = middle.filter("not is_category").select(F.col("median").alias("shop_median"))
+    rows = rows.join(by_category, F.col("category").eqNullSafe(F.col("c"))).crossJoin(F.broadcast(shop))  # one row
     rows = rows.withColumn("benchmark", F.when(F.col("n") >= LEAK_ITEMS, F.col("category_median")).otherwise(F.col("shop_median")))
     gap = F.when(F.col("margin") < 0, F.abs("margin") + 100).otherwise(F.col("benchmark") - F.col("margin"))
     return rows.withColumn("gap", gap).filter((F.col("share") >= LEAK_SHARE) & (F.col("gap") >= LEAK_GAP)).select("item", "margin", "benchmark", "gap")

@@ -80,10 +80,21 @@ def in_range(df: DataFrame, start: date, end: date) -> DataFrame:
     return df.filter((F.col("sale_date") >= F.lit(start).cast("timestamp_ntz")) & (F.col("sale_date") < F.lit(end).cast("timestamp_ntz")))
 
 
+def role(df: DataFrame, column: str) -> str | None:
+    """What an extra column was registered as: x_dim, x_meas or x_col. The register's schema says so; a name alone gives no right."""
+    return next((f.metadata.get("role") for f in df.schema.fields if f.name == column), None)
+
+
+def facets(df: DataFrame) -> list[str]:
+    """The columns that a register can be filtered and grouped by: its dimensions, and the extras that are registered as such."""
+    return [c for c in df.columns if c in DIMENSIONS or role(df, c) == "x_dim"]
+
+
 def filtered(df: DataFrame, filters: dict[str, list[str]]) -> DataFrame:
-    """All keys hold, for each any of its values; an empty list restricts nothing."""
+    """All keys hold, for each any of its values; an empty list restricts nothing. Stored-only, personal and unknown columns are errors."""
+    allowed = facets(df)
     for key, values in filters.items():
-        if key not in df.columns or not (key in DIMENSIONS or key.startswith("x_dim_")):
+        if key not in allowed:
             raise QueryError(f"no filter on {key}")
         if not values:
             continue
@@ -117,7 +128,7 @@ def dimension_options(df: DataFrame, limit: int = OPTIONS) -> DataFrame:
     """(dimension, value): the distinct values of every dimension that is there, the first `limit` of each in order. One pass."""
     from pyspark.sql import Window as W
 
-    dims = [d for d in df.columns if d in DIMENSIONS or d.startswith("x_dim_")]
+    dims = facets(df)
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("o")).select("o.*").distinct()
     rank = F.row_number().over(W.partitionBy("dimension").orderBy("value"))
     return stacked.withColumn("r", rank).filter(F.col("r") <= limit).drop("r")
@@ -125,6 +136,8 @@ def dimension_options(df: DataFrame, limit: int = OPTIONS) -> DataFrame:
 
 def cascading_options(df: DataFrame, query: AnalysisQuery, dimension: str, search: str = "", limit: int = OPTIONS) -> DataFrame:
     """(value): values of one dimension under the window and all other filters, that contain `search` in any case."""
+    if dimension not in facets(df):
+        raise QueryError(f"no filter on {dimension}")
     others = {k: v for k, v in query.filters.items() if k != dimension}
     values = build_slice(df, AnalysisQuery(query.time_filter, query.start_date, query.end_date, others)).current.select(F.col(dimension).cast("string").alias("value"))
     if search:

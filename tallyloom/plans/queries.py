@@ -15,7 +15,7 @@ from ..operators import charts, derive, evidence, extras, forecast, headers, ing
 from ..operators.slicing import AnalysisQuery, build_slice
 from ..sources.register import ROW_ORDER, star_days, star_register
 from ..streaming import events
-from . import column_queries, sql
+from . import column_queries, sql, store_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,7 +146,27 @@ def _insights() -> None:
     add("anl07_concentration", sliced(lambda s: insights.concentration(s.current)), BASE + sql.ITEMS + f", g AS (SELECT {sql.over('revenue', 'ORDER BY revenue DESC, item ROWS UNBOUNDED PRECEDING')} / {sql.over('revenue')} AS running FROM it WHERE revenue > 0), h AS (SELECT COUNT(*) AS n_items, COUNT(*) FILTER (WHERE running < 0.8) + 1 AS n_needed FROM g) SELECT *, n_items >= 8 AND n_needed / n_items::DOUBLE <= 0.2 AS is_concentrated FROM h")
     add("anl08_weekday_timing", sliced(lambda s: insights.weekday_timing(s.current)), BASE + f", g AS (SELECT CAST(sale_date AS DATE) AS day, {sql.s('row_revenue')} AS revenue FROM p GROUP BY 1), h AS (SELECT strftime(day, '%a') AS weekday, {sql.s('revenue')} / COUNT(*) AS mean_revenue, COUNT(*) AS days FROM g GROUP BY 1) SELECT weekday, mean_revenue, days, row_number() OVER (ORDER BY mean_revenue DESC, weekday) = 1 AS is_best, row_number() OVER (ORDER BY mean_revenue, weekday) = 1 AS is_worst FROM h WHERE days >= 2")
     add("anl09_dead_stock", sliced(lambda s: insights.dead_stock(s.current), AnalysisQuery("all", filters={"salesperson": ["Supplier#000000001"]})), sql.base("salesperson = 'Supplier#000000001'") + sql.ITEMS + ", g AS (SELECT item, CAST(date_diff('day', last_sale, MAX(last_sale) OVER ()) AS INTEGER) AS days_idle, revenue FROM it) SELECT * FROM g WHERE days_idle >= 30")
-    add("anl10_insights", sliced(lambda s: insights.insights(s.current, s.previous), DAYS30), None)
+    month = lambda rest: f"({BASE30}{rest})"
+    best = f", g AS (SELECT CAST(sale_date AS DATE) AS day, {sql.s('row_revenue')} AS revenue FROM p GROUP BY 1), h AS (SELECT strftime(day, '%a') AS weekday, {sql.s('revenue')} / COUNT(*) AS mean_revenue, COUNT(*) AS days FROM g GROUP BY 1) SELECT weekday, mean_revenue FROM h WHERE days >= 2 ORDER BY mean_revenue DESC, weekday LIMIT 1"
+    moved = f", ch AS ({change}), u AS (SELECT * FROM ch ORDER BY change DESC, item DESC LIMIT 1), v AS (SELECT * FROM ch ORDER BY change, item LIMIT 1) SELECT * FROM u WHERE change > 1 UNION SELECT * FROM v WHERE change < -1"
+    leader = f", g AS (SELECT item, {sql.s('(mrp - selling_price) * quantity')} AS given, {sql.s('mrp * quantity')} AS listed FROM cur WHERE mrp > 0 AND selling_price <= mrp GROUP BY 1), h AS (SELECT item, given / listed * 100 AS discount_pct, {sql.over('given')} / {sql.over('listed')} * 100 AS overall_pct, COUNT(*) OVER () AS n FROM g WHERE listed > 0), f AS (SELECT * FROM h ORDER BY discount_pct DESC, item LIMIT 1) SELECT item, discount_pct FROM f WHERE n >= 3 AND discount_pct - overall_pct >= 3"
+    gaps = sql.ITEMS + f", g AS (SELECT item, profit / NULLIF(revenue, 0) * 100 AS margin, {sql.over('profit')} / {sql.over('revenue')} * 100 AS overall, row_number() OVER (ORDER BY revenue DESC, item) AS rn FROM it) SELECT item, overall - margin AS gap FROM g WHERE rn <= 3 AND margin < overall - 5"
+    modes = f", g AS (SELECT payment_mode, {sql.TOTALS} FROM p GROUP BY 1), h AS (SELECT payment_mode, revenue / {sql.over('revenue')} * 100 AS share FROM g) SELECT payment_mode, share FROM h WHERE share >= 50"
+    dense = sql.ITEMS + f", g AS (SELECT {sql.over('revenue', 'ORDER BY revenue DESC, item ROWS UNBOUNDED PRECEDING')} / {sql.over('revenue')} AS running FROM it WHERE revenue > 0), h AS (SELECT COUNT(*) AS n_items, COUNT(*) FILTER (WHERE running < 0.8) + 1 AS n_needed FROM g) SELECT * FROM h WHERE n_items >= 8 AND n_needed / n_items::DOUBLE <= 0.2"
+    idle = sql.ITEMS + ", g AS (SELECT item, date_diff('day', last_sale, MAX(last_sale) OVER ()) AS days_idle FROM it) SELECT * FROM g WHERE days_idle >= 30 ORDER BY days_idle DESC, item LIMIT 1"
+    enough = f"(SELECT COUNT(*) >= 30 FROM {month(' SELECT 1 FROM cur')})"
+    parts = [
+        f"(SELECT 'anomaly' AS kind, CAST(day AS VARCHAR) AS subject, severity, abs(z) AS impact FROM {month(anomaly)} ORDER BY abs(z) DESC, day LIMIT 2)",
+        f"(SELECT 'mover', item, CASE WHEN change > 0 THEN 'positive' ELSE 'warning' END, abs(change) FROM {month(moved)})",
+        f"(SELECT 'margin leak', item, 'critical', gap FROM {month(leak)} ORDER BY gap DESC, item LIMIT 1)",
+        f"(SELECT 'dead stock', item, 'warning', CAST(days_idle AS DOUBLE) FROM {month(idle)})",
+        f"(SELECT 'best weekday', weekday, 'neutral', mean_revenue FROM {month(best)})",
+        f"(SELECT 'discount leader', item, 'warning', discount_pct FROM {month(leader)} WHERE {enough})",
+        f"(SELECT 'margin gap', item, 'warning', gap FROM {month(gaps)} WHERE {enough})",
+        f"(SELECT 'payment mix', payment_mode, 'neutral', share FROM {month(modes)} WHERE {enough})",
+        f"(SELECT 'concentration', CAST(n_needed AS VARCHAR), 'warning', CAST(n_items AS DOUBLE) FROM {month(dense)} WHERE {enough})",
+    ]
+    add("anl10_insights", sliced(lambda s: insights.insights(s.current, s.previous), DAYS30), f"SELECT kind, subject, severity, impact FROM ({' UNION ALL '.join(parts)}) ORDER BY list_position(['critical', 'warning', 'positive', 'neutral'], severity), impact DESC, kind, subject LIMIT 6")
 
 
 def _forecast() -> None:
@@ -265,6 +285,7 @@ def _headers() -> None:
     add("map20_header_evaluation", lambda s, d: headers.evaluation(headers.guessed(sheets(s, d)).withColumnRenamed("field", "predicted")), guess + f"SELECT COUNT(*) AS n, AVG(CASE WHEN expected <> 'ambiguous' THEN CASE WHEN {right} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS accuracy, {share('exact')}, {share('fuzzy')}, {share('none')}, COUNT(*) FILTER (WHERE expected <> 'ambiguous' AND field IS NOT NULL AND NOT ({right})) AS false_mappings FROM q")
     add("sch01_capabilities", whole(lambda r: extras.capabilities(r.drop("colour")).select("kind", "name", "available")), "SELECT * FROM (VALUES " + ", ".join([f"('measure', '{m}', TRUE)" for m in MEASURES] + [f"('dimension', '{x}', {x != 'colour'})".upper().replace("DIMENSION", "dimension").replace(x.upper(), x) for x in ("category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "colour", "invoice_no", "day", "weekday", "month")]) + ") t(kind, name, available)")
     column_queries.register(add, sheets, sheets_sql, guess)
+    store_queries.register(add, sheets, sheets_sql)
     read = lambda s, d: s.read.parquet(f"{d}/events.parquet")
     add("stream_tumbling_days", lambda s, d: events.tumbling(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, COUNT(*) AS n, {sql.s('value')} AS total FROM events GROUP BY 1, 2")
     add("stream_sessions", lambda s, d: events.sessions(read(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")), "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM k GROUP BY user_id, k")

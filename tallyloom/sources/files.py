@@ -1,12 +1,8 @@
-"""Exports as frames of text cells: delimited text and workbooks; previews."""
+"""Exports as frames of text cells: delimited text; previews. Workbooks are in workbooks.py."""
 
 from __future__ import annotations
 
 import csv
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +21,18 @@ def delimiter_of(head: str) -> str:
         return ","
 
 
+def within_limit(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> None:
+    """An error if a file is empty or too large. Sizes come from the listing; no file is read."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length"), F.min("length")).first()
+    if not largest[1] or largest[0] > most_bytes:
+        raise QueryError("the file is empty or too large")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """A file of delimited text as string columns, so that 00123 stays. UTF-8, or Latin-1 where that isn't valid; the delimiter is found from the first lines."""
     if not path.lower().endswith(".csv"):
         raise QueryError("only .csv and .xlsx files are read")
+    within_limit(spark, path)
     lines = spark.read.text(path)
     head = "\n".join(r[0] for r in lines.limit(20).collect())
     if not head:
@@ -40,40 +44,6 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook of at most MOST_BYTES as string columns."""
-    row = spark.read.format("binaryFile").load(path).select("length", "content").first()
-    if row is None or row["length"] > MOST_BYTES:
-        raise QueryError("the file is empty or too large")
-    book = zipfile.ZipFile(io.BytesIO(bytes(row["content"])))
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-    sheet = sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-    rows: list[list[str | None]] = []
-    for r in ElementTree.fromstring(book.read(sheet)).iter(f"{_SHEET}row"):
-        cells: list[str | None] = []
-        for c in r.iter(f"{_SHEET}c"):
-            at = 0
-            for ch in re.match(r"[A-Z]+", c.get("r", "A"))[0]:
-                at = at * 26 + ord(ch) - 64
-            v = c.find(f"{_SHEET}v")
-            value = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
-            cells += [None] * (at - len(cells))
-            cells[at - 1] = value
-        rows.append(cells)
-    if not rows:
-        raise QueryError("the sheet is empty")
-    header = [h or f"column_{i + 1}" for i, h in enumerate(rows[0])]
-    if len(header) > MOST_COLUMNS:
-        raise QueryError(f"at most {MOST_COLUMNS} columns")
-    body = [tuple((x + [None] * len(header))[: len(header)]) for x in rows[1:]]
-    return spark.createDataFrame(body, ", ".join(f"`{h}` string" for h in header))
-
-
 def preview(df: DataFrame, personal: list[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
     """The first rows, masked and cut to 120 characters; personal columns redacted."""
     return df.limit(rows).select(*[(text.redacted(F.col(f"`{c}`").cast("string")) if c in personal else text.masked(F.col(f"`{c}`").cast("string"), 120)).alias(c) for c in df.columns])

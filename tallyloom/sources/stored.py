@@ -60,13 +60,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _append(spark: SparkSession, root: str, rows: list[tuple]) -> None:
-    spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{root}/{CATALOGUE}")
+    """Each change has a folder of its own: two commits into one folder would remove each other's files."""
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{root}/{CATALOGUE}/{uuid.uuid4().hex}")
 
 
 def log(spark: SparkSession, root: str) -> DataFrame:
     if not exists(spark, f"{root}/{CATALOGUE}"):
         return spark.createDataFrame([], LOG)
-    return spark.read.schema(LOG).parquet(f"{root}/{CATALOGUE}")
+    return spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(f"{root}/{CATALOGUE}")
 
 
 def current(entries: DataFrame) -> DataFrame:
@@ -139,16 +140,15 @@ def sweep(spark: SparkSession, root: str, now: datetime | None = None, lifetime_
 
 
 def compact(spark: SparkSession, root: str) -> int:
-    """Rewrite the log to one row a live dataset and return how many there are. Older files go once the new one is there; readers meanwhile see both, which says the same."""
+    """Rewrite the log to one row a live dataset and return how many there are. Older changes go once the new one is there; readers meanwhile see both, which says the same."""
     fs, p = at_path(spark, f"{root}/{CATALOGUE}")
     if not fs.exists(p):
         return 0
-    before = [s.getPath() for s in fs.listStatus(p)]
+    before = [s.getPath() for s in fs.listStatus(p) if fs.exists(at_path(spark, f"{s.getPath()}/_SUCCESS")[1])]
     live = current(log(spark, root)).withColumn("dropped", F.lit(False)).select("dataset", "owner", "folder", "kind", "at", "until", "dropped").collect()
     _append(spark, root, [tuple(r) for r in live])
     for path in before:
-        if path.getName().startswith("part-"):
-            fs.delete(path, False)
+        fs.delete(path, True)
     return len(live)
 
 

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from tallyloom.fields import QueryError
 from tallyloom.functions import numbers, text
-from tallyloom.operators import charts, derive, evidence, extras, forecast, headers, ingest, insights, inventory, reports, slicing
+from tallyloom.operators import charts, derive, evidence, extras, forecast, headers, ingest, insights, inventory, memory, reports, slicing
 from tallyloom.operators.slicing import AnalysisQuery, build_slice, resolve_window
-from tallyloom.sources import files
+from tallyloom.sources import files, workbooks
 
 SCHEMA = "row_id long, sale_date timestamp_ntz, category string, item string, quantity double, selling_price double, cost_price double, line_total double, discount double, tax double, stock_on_hand double, mrp double, branch string, payment_mode string, customer string, invoice_no string"
 
@@ -181,11 +181,9 @@ def test_headers(spark):
     assert got == ["Date", "Quantity", "Cost Price", "Quantity", None, "Discount", "Line Total", None, "Date", "Date"]
     kept = [r.field for r in headers.suggested(headers.header_table(spark, names)).orderBy("ordinal").collect()]
     assert kept.count("Date") == 1 and kept.count("Quantity") == 1
-    assert headers.signature(["b ", "A"]) == headers.signature(["a", "B"]) != headers.signature(["a"])
+    assert memory.signature(["b ", "A"]) == memory.signature(["a", "B"]) != memory.signature(["a"])
     with pytest.raises(QueryError):
         headers.checked(["a", "b"], {"a": "Date", "b": "Date"})
-    memory = headers.remember(spark.createDataFrame([], headers.MEMORY), names, {"Qty.": "Quantity"})
-    assert headers.remembered(memory, names[::-1]).collect() == [("qty.", "Quantity")]
     new = spark.createDataFrame([("Qty", "Quantity"), ("Foo", None), ("Bar", "Item"), ("Bar", "Size"), ("Baz", "Item")], "phrase string, target string")
     known = spark.createDataFrame([("qty", "Quantity")], "phrase string, target string")
     assert {r.phrase: r.state for r in headers.staged(new, known).collect()} == {"qty": "present", "foo": "unmapped", "bar": "conflict", "baz": "new"}
@@ -226,4 +224,4 @@ def test_files(spark, tmp_path):
         ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Item</t></si><si><t>Pen</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Qty</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>3</v></c></row></sheetData></worksheet>')
-    assert files.read_workbook(spark, str(tmp_path / "d.xlsx")).collect() == [("Pen", "3")]
+    assert workbooks.read_workbook(spark, str(tmp_path / "d.xlsx")).collect() == [("Pen", "3")]
