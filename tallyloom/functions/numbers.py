@@ -23,8 +23,8 @@ def percent(a: Column, b: Column) -> Column:
 
 
 def finite(x: Column) -> Column:
-    """Null for NaN and infinities."""
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    """Null for NaN (which is above all numbers) and infinities. x is taken once, as an array's one value."""
+    return F.get(F.transform(F.array(x), lambda v: F.when(F.abs(v) < float("inf"), v)), F.lit(0))
 
 
 def floored(x: Column) -> Column:

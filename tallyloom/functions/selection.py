@@ -44,7 +44,8 @@ def medians(df: DataFrame, value: str, *keys: str) -> DataFrame:
         inside = (F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("c"))
         wanted = wanted.drop("low").join(other(counts), [*met, F.col("at") == F.col("outer"), inside])
         wanted = wanted.select(*names, "rank", (F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("at"), "low")
-        wanted = stored(wanted, "ranks")  # two rows a group at most; without it each round would run the rounds before it again
+        if shift:
+            wanted = stored(wanted, "ranks")  # two rows a group at most; without it each round would run the rounds before it again
         above = shift
     middle = wanted.groupBy(*names).agg(F.min("low").alias("a"), F.max("low").alias("z"))
     out = n.join(other(middle), met).select(*names, "n", (F.col("a") / 2 + F.col("z") / 2).alias("median"))

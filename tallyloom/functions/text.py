@@ -11,22 +11,37 @@ from pyspark.sql import functions as F
 from ..fields import UNSPECIFIED
 from .numbers import finite
 
-# Date patterns of exports, day first after ISO.
-DATE_FORMATS = ["d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy H:m", "d/M/yyyy H:m", "d-M-yyyy H:m:s", "d/M/yyyy H:m:s", "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-M-yy", "d/M/yy", "d-MMM-yy", "yyyy/M/d", "yyyyMMdd"]
+# Date patterns of exports: ISO, with names of months, and by the mark between numbers.
 ISO_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d'T'H:m:s"]
+NAMED_FORMATS = ["d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yy"]
+MARKED_FORMATS = {
+    "/": ["d/M/yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s", "d/M/yy", "yyyy/M/d"],
+    ".": ["d.M.yyyy"],
+    "-": ["d-M-yyyy", "d-M-yyyy H:m", "d-M-yyyy H:m:s", "d-M-yy"],
+}
+PLAIN_FORMATS = ["yyyyMMdd"]
 
 
 def number(x: Column) -> Column:
-    """A number from a cell: as it stands, or without currency signs, commas and spaces; else null. Never NaN or infinite."""
-    plain = F.trim(x).try_cast("double")
-    return finite(F.coalesce(plain, F.regexp_replace(x, r"[₹$€£,\s]", "").try_cast("double")))
+    """A number from a cell, without currency signs, commas and spaces; else null. Never NaN or infinite. Cells without a digit aren't tried, as a try that fails is dear."""
+    return finite(F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[₹$€£,\s]", "").try_cast("double")))
 
 
 def timestamp(x: Column) -> Column:
-    """A date from a cell: ISO if it looks like it, else day first, else by month name; null if none fits."""
-    text = F.trim(x)
-    tries = lambda formats: F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), tries(ISO_FORMATS)).otherwise(tries(DATE_FORMATS))
+    """A date from a cell: ISO if it looks like it, else day first, else by month name; null if none fits.
+
+    A cell meets only the patterns of its kind: a pattern that fails is dear. The choice is a lambda over an array of the one
+    cell, so it stands once in a plan, however often the date is used, and stays out of the generated code of its stage.
+    """
+    tries = lambda t, formats: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+    def parsed(t: Column) -> Column:
+        out = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), tries(t, ISO_FORMATS)).when(t.rlike("[A-Za-z]"), tries(t, NAMED_FORMATS))
+        for mark, formats in MARKED_FORMATS.items():
+            out = out.when(F.contains(t, F.lit(mark)), tries(t, formats))
+        return out.otherwise(tries(t, PLAIN_FORMATS))
+
+    return F.get(F.transform(F.array(F.trim(x)), parsed), F.lit(0))
 
 
 def named(x: Column) -> Column:

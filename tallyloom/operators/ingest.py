@@ -35,13 +35,16 @@ def missing_columns(columns: list[str]) -> list[str]:
 
 
 def coerced(df: DataFrame) -> DataFrame:
-    """Typed columns beside their cells: <column> and raw_<column>. A missing selling price is line total over quantity."""
+    """Typed columns beside their cells: <column> and raw_<column>. A missing selling price is line total over quantity.
+
+    The typed columns come out of one generated row, so what is filtered or reported afterwards refers to them and no cell is
+    parsed twice.
+    """
     has = df.columns
-    out = df
-    for c in NUMERIC:
-        if c in has:
-            out = out.withColumn(f"raw_{c}", F.col(c)).withColumn(c, text.number(F.col(c).cast("string")))
-    out = out.withColumn("raw_sale_date", F.col("sale_date")).withColumn("sale_date", text.timestamp(F.col("sale_date").cast("string")))
+    kinds = {c: text.timestamp if c == "sale_date" else text.number for c in ["sale_date", *NUMERIC] if c in has}
+    typed = F.inline(F.array(F.struct(*[f(F.col(c).cast("string")).alias(f"typed_{c}") for c, f in kinds.items()])))
+    out = df.select(*[F.col(f"`{c}`").alias(f"raw_{c}") if c in kinds else F.col(f"`{c}`") for c in has], typed)
+    out = out.select(*[F.col(f"`typed_{c}`").alias(c) if c in kinds else F.col(f"`{c}`") for c in has], *[f"raw_{c}" for c in kinds])
     if "selling_price" not in has and {"line_total", "quantity"} <= set(has):
         out = out.withColumn("selling_price", F.when(F.col("quantity") > 0, F.try_divide("line_total", "quantity")))
     return out

@@ -54,7 +54,7 @@ FROM f FULL OUTER JOIN c ON folder = c_folder CROSS JOIN t"""
 
 def cached_totals(spark: SparkSession, d: str) -> DataFrame:
     """The category ledger of the register as the cache has it; a second call reads no table of the star."""
-    register = cached(spark, f"{stored.shared_dir(spark)}/tallyloom/cache", [f"{d}/{t}.parquet" for t in STAR], None, lambda: star_register(spark, d))
+    register = cached(spark, f"{stored.shared_dir(spark)}/tallyloom-cache", [f"{d}/{t}.parquet" for t in STAR], None, lambda: star_register(spark, d))
     return reports.category_ledger(register)
 
 
