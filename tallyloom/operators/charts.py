@@ -115,7 +115,12 @@ def heatmap(df: DataFrame, measure: str) -> DataFrame:
     cells = d.groupBy(F.date_trunc("week", "sale_date").cast("date").alias("week_start"), F.date_format("sale_date", "EEE").alias("weekday")).agg(*totals(d)).withColumn("value", measure_value(measure))
     w = Window.partitionBy()
     low, high = F.min("value").over(w), F.max("value").over(w)
-    return cells.select("week_start", "weekday", "value", (0.08 + 0.92 * F.coalesce(div(F.col("value") - low, high - low), F.lit(0.0))).alias("intensity"))
+    return cells.select("week_start", week_label(F.col("week_start")).alias("week"), "weekday", "value", (0.08 + 0.92 * F.coalesce(div(F.col("value") - low, high - low), F.lit(0.0))).alias("intensity"))
+
+
+def week_label(x: Column) -> Column:
+    """The ISO week of a day: W01 to W53."""
+    return F.concat(F.lit("W"), F.lpad(F.weekofyear(x).cast("string"), 2, "0"))
 
 
 def heatmap_grid(df: DataFrame, measure: str) -> DataFrame:

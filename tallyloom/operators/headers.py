@@ -56,14 +56,28 @@ def header_table(spark: SparkSession, headers: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(headers)), "ordinal int, header string")
 
 
-def guessed(headers: DataFrame) -> DataFrame:
-    """(ordinal, header, ...) -> + field, confidence: exact by alias, fuzzy by keyword, or none; personal headers have none."""
-    spark = headers.sparkSession
-    aliases = spark.createDataFrame([(a, f) for f, names in ALIASES.items() for a in names], "alias string, alias_field string")
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, alias_field) from a dictionary file: JSON lines with phrase and field. Repeated phrases keep the field that comes first in order."""
+    rows = spark.read.schema("phrase string, field string").json(path).filter(F.col("field").isin(list(BY_LABEL)))
+    return rows.groupBy(text.header_key(F.col("phrase")).alias("alias")).agg(F.min("field").alias("alias_field"))
+
+
+def known_aliases(spark: SparkSession) -> DataFrame:
+    """(alias, alias_field) of ALIASES."""
+    return spark.createDataFrame([(a, f) for f, names in ALIASES.items() for a in names], "alias string, alias_field string")
+
+
+def guessed(headers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(ordinal, header, ...) -> + field, confidence: exact by alias, fuzzy by keyword, or none; personal headers have none.
+
+    aliases: a dictionary of one's own (alias as header_key() makes it, alias_field), which comes before ALIASES.
+    """
+    fixed = known_aliases(headers.sparkSession)
+    aliases = fixed if aliases is None else aliases.unionByName(fixed.join(aliases, "alias", "left_anti"))
     key = text.header_key(F.col("header"))
     found = F.coalesce(*[F.when(F.contains(key, F.lit(k)), F.lit(f)) for k, f in KEYWORDS])
     personal = F.arrays_overlap(text.tokens(F.col("header")), F.array(*[F.lit(t) for t in PERSONAL_TOKENS]))
-    out = headers.join(F.broadcast(aliases), key == F.col("alias"), "left")  # a fixed table
+    out = headers.join(aliases, key == F.col("alias"), "left")
     field = F.when(personal, None).otherwise(F.coalesce("alias_field", found))
     confidence = F.when(field.isNull(), "none").when(F.col("alias_field").isNotNull(), "exact").otherwise("fuzzy")
     return out.select(*[c for c in headers.columns if c not in ("field", "confidence")], field.alias("field"), confidence.alias("confidence"))

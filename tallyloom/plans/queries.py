@@ -59,7 +59,7 @@ def _charts() -> None:
     add("agg04_extra_sum", whole(lambda r: charts.extra_measure(r, "category", "x_meas_order_total", False)), BASE + f"SELECT category AS label, {sql.s('x_meas_order_total')} AS value, COUNT(x_meas_order_total) AS n FROM cur GROUP BY 1")
     add("agg04_extra_mean", whole(lambda r: charts.extra_measure(r, "branch", "x_meas_order_total", True)), BASE + f"SELECT branch AS label, {sql.s('x_meas_order_total')} / COUNT(x_meas_order_total) AS value, COUNT(x_meas_order_total) AS n FROM cur GROUP BY 1")
     cells = sql.base(LAST30) + f", c AS (SELECT CAST(date_trunc('week', sale_date) AS DATE) AS week_start, strftime(sale_date, '%a') AS weekday, {sql.s('row_revenue')} AS value FROM p GROUP BY 1, 2)"
-    add("agg07_heatmap", sliced(lambda s: charts.heatmap(s.current, "revenue"), DAYS30), cells + "SELECT week_start, weekday, value, 0.08::DOUBLE + 0.92::DOUBLE * COALESCE((value - MIN(value) OVER ()) / NULLIF(MAX(value) OVER () - MIN(value) OVER (), 0), 0.0) AS intensity FROM c")
+    add("agg07_heatmap", sliced(lambda s: charts.heatmap(s.current, "revenue"), DAYS30), cells + "SELECT week_start, 'W' || strftime(week_start, '%V') AS week, weekday, value, 0.08::DOUBLE + 0.92::DOUBLE * COALESCE((value - MIN(value) OVER ()) / NULLIF(MAX(value) OVER () - MIN(value) OVER (), 0), 0.0) AS intensity FROM c")
     add("jn12_heatmap_grid", sliced(lambda s: charts.heatmap_grid(s.current, "revenue"), DAYS30), cells + ", w AS (SELECT DISTINCT week_start FROM c), k AS (SELECT unnest(['Mon','Tue','Wed','Thu','Fri','Sat','Sun']) AS weekday) SELECT w.week_start, k.weekday, COALESCE(value, 0.0) AS value FROM w CROSS JOIN k LEFT JOIN c ON c.week_start = w.week_start AND c.weekday = k.weekday")
 
 
@@ -201,6 +201,13 @@ def dirty_cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: dirty_cells() in SQL.
+DIRTY_CELLS = {
+    "Bill Date": "CASE WHEN row_id % 41 = 0 THEN '31-02-2026' WHEN row_id % 43 = 0 THEN NULL WHEN row_id % 2 = 0 THEN strftime(l_shipdate, '%d-%m-%Y') ELSE strftime(l_shipdate, '%Y-%m-%d') END",
+    "Qty": "CASE WHEN row_id % 37 = 0 THEN 'n/a' WHEN row_id % 31 = 0 THEN '-2' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END",
+    "Amount": "CASE WHEN row_id % 29 = 0 THEN '' ELSE '₹ ' || CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS VARCHAR) END",
+    "Particulars": "CASE WHEN row_id % 23 = 0 THEN '  ' ELSE p_name END",
+}
 MAPPING = {"Bill Date": "Date", "Qty": "Quantity", "Amount": "Line Total", "Particulars": "Item"}
 DIRTY_SQL = f"""WITH c AS ({DIRTY}), t AS (SELECT row_id, CASE WHEN row_id % 41 = 0 OR row_id % 43 = 0 THEN NULL ELSE l_shipdate END AS sale_date,
  CASE WHEN row_id % 37 = 0 THEN NULL WHEN row_id % 31 = 0 THEN -2.0 ELSE CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) END AS quantity, CASE WHEN row_id % 29 = 0 THEN NULL ELSE CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS DOUBLE) END AS line_total,
@@ -237,6 +244,10 @@ def _cosine(spark: SparkSession, d: str) -> DataFrame:
 def _functions() -> None:
     words = whole(lambda r: r.select("item").distinct().select("item", text.slug(F.col("item")).alias("slug"), F.size(text.tokens(F.col("item"))).alias("n_tokens"), numbers.shortened(F.col("item"), 8).alias("short")))
     add("fn15_slugs", words, BASE + "SELECT DISTINCT item, trim(regexp_replace(regexp_replace(lower(trim(item)), '%', '_pct_', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CAST(len(regexp_extract_all(lower(trim(item)), '[a-z0-9]+')) AS INTEGER) AS n_tokens, CASE WHEN length(item) > 8 THEN substr(item, 1, 7) || '…' ELSE item END AS short FROM cur")
+    kinds = lambda r: r.select("row_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("cell")) for c in MAPPING])).alias("x")).select("row_id", "x.*")
+    cells = " UNION ALL ".join(f"SELECT row_id, '{c}' AS \"column\", {x} AS cell FROM c" for c, x in DIRTY_CELLS.items())
+    number = r"trim(regexp_replace(regexp_replace(cell, '(?i)\b(?:rs|inr|rupees?|usd|eur|gbp)\b\.?\s*', '', 'g'), '[₹$€£,\s%]', '', 'g'))"
+    add("fn13_cell_kinds", lambda s, d: kinds(dirty_cells(s, d)).groupBy("column").agg(F.count_if(text.number_like(F.col("cell"))).alias("numbers"), F.count_if(text.date_like(F.col("cell"))).alias("dates")), f"WITH c AS ({DIRTY}), k AS ({cells}) SELECT \"column\", COUNT(*) FILTER (WHERE TRY_CAST({number} AS DOUBLE) IS NOT NULL) AS numbers, COUNT(*) FILTER (WHERE regexp_full_match(cell, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}|[0-9]{{8}}')) AS dates FROM k GROUP BY 1")
     add("fn17_customer_keys", whole(lambda r: r.select("customer").distinct().select("customer", text.digest(F.col("customer")).alias("digest"))), BASE + "SELECT DISTINCT customer, sha256(customer) AS digest FROM cur")
 
 

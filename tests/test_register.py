@@ -182,6 +182,9 @@ def test_headers(spark):
     kept = [r.field for r in headers.suggested(headers.header_table(spark, names)).orderBy("ordinal").collect()]
     assert kept.count("Date") == 1 and kept.count("Quantity") == 1
     assert memory.signature(["b ", "A"]) == memory.signature(["a", "B"]) != memory.signature(["a"])
+    own = spark.createDataFrame([("notes", "Item"), ("qty.", "Stock On Hand")], "alias string, alias_field string")
+    got = {r.header: (r.field, r.confidence) for r in headers.guessed(headers.header_table(spark, ["Notes", "Qty.", "date", "Customer Phone"]), own).collect()}
+    assert got == {"Notes": ("Item", "exact"), "Qty.": ("Stock On Hand", "exact"), "date": ("Date", "exact"), "Customer Phone": (None, "none")}
     with pytest.raises(QueryError):
         headers.checked(["a", "b"], {"a": "Date", "b": "Date"})
     new = spark.createDataFrame([("Qty", "Quantity"), ("Foo", None), ("Bar", "Item"), ("Bar", "Size"), ("Baz", "Item")], "phrase string, target string")

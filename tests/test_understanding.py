@@ -71,3 +71,18 @@ def test_small_rules(spark):
     assert sorted(r[0] for r in slicing.head_and_tail(few, ["id"], 3).collect()) == [0, 1, 2, 3]
     shown = spark.sql("select date'2024-07-14' as d, cast(null as double) as n, -71.44D as p").select(text.day_text(F.col("d")), text.percent_text(F.col("n")), text.percent_text(F.col("p"))).first()
     assert tuple(shown) == ("14 Jul", "an unmeasurable amount", "71.4%")
+
+
+def test_kinds_of_cells(spark):
+    numbers = ["₹ 1,200.00", "Rs. 1,200", "12%", "-3", "INR 5", "1e3"]
+    dates = ["2026-04-05", "05/04/2026", "5.4.26", "5 Apr 2026", "april 5, 2026", "20260405", "31-02-2026", " 5-apr-26 "]
+    neither = ["", "abc", "12 ab", "Rs", None, "2026", "1-2", "5 Foo 2026"]
+    rows = spark.createDataFrame([(x,) for x in numbers + dates + neither], "x string").select("x", text.number_like(F.col("x")), text.date_like(F.col("x"))).collect()
+    assert {r[0] for r in rows if r[1]} == {*numbers, "20260405", "2026"} and {r[0] for r in rows if r[2]} == set(dates)
+
+
+def test_aliases_come_from_a_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"phrase": " Mal ", "field": "Item"}\n{"phrase": "x", "field": "Nothing"}\n')
+    assert [tuple(r) for r in headers.read_aliases(spark, str(tmp_path / "a.jsonl")).collect()] == [("mal", "Item")]
+    assert charts.week_label(F.lit("2026-01-01").cast("date")) is not None
+    assert spark.range(1).select(charts.week_label(F.lit("2026-01-04").cast("date")), charts.week_label(F.lit("2026-12-31").cast("date"))).first()[:] == ("W01", "W53")
