@@ -8,8 +8,8 @@ many languages, and its title stay. Mail goes to reserved example domains. Each
 found after titles and phrases of introduction, and their words then wherever else the document has them, so given names and
 surnames that stand alone get the surrogates that they have in the full name.
 
-One collision is left: a surrogate can equal another entity of the corpus. A Spark job over the distinct entities (not
-over texts) finds those and moves them on by further rounds of the permutation, checked against originals and
+Two collisions are left: a surrogate can equal another entity of the corpus, and entities of different forms (mail domains
+of two and of three labels) can get one surrogate. A Spark job over the distinct entities (not over texts) finds both and moves them on by further rounds of the permutation, checked against originals and
 surrogates alike, until none is left; where a form's domain is full, names, mail and phones grow by letters or digits. What it changes is joined to the documents that hold such an entity.
 """
 
@@ -190,7 +190,7 @@ def _wider(kind: str, value: str, made: str, key: bytes, more: int) -> str:
 
 @lru_cache(20_000)
 def canonical_surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The surrogate of a canonical value; one-to-one for each attempt up to RETRIES among values of a kind and form."""
+    """The surrogate of a canonical value; one-to-one for each attempt up to RETRIES among values of a kind and form. Between forms, _moved() sees to it."""
     made = _permuted(kind, value, key, f"{kind}|{attempt}")
     return _wider(kind, value, made, key, attempt - RETRIES) if attempt > RETRIES and kind in ("name", "email", "phone") else made
 
@@ -332,10 +332,13 @@ def _attempt(key: bytes, attempt: int):
 
 
 def _moved(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, surrogate) of entities whose first surrogate is an original of the corpus, or stays itself."""
+    """(kind, value, surrogate) of entities whose first surrogate is an original of the corpus, stays itself, or is that of another entity too: of those the least keeps it."""
     known = written(found.select("kind", "value", "surrogate").distinct(), "entities")
     taken = known.select("kind", F.col("value").alias("s")).unionByName(known.select("kind", F.col("surrogate").alias("s"))).distinct()
-    open_ = known.join(known.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value")
+    met = known.join(known.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value")
+    keepers = known.groupBy("kind", "surrogate").agg(F.min("value").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = known.join(keepers, ["kind", "surrogate"]).filter("value <> keeper").select("kind", "value")
+    open_ = met.unionByName(shared).distinct()
     done = None
     for attempt in range(1, MOST_ATTEMPTS + 1):
         tried = written(open_.mapInArrow(_attempt(key, attempt), "kind string, value string, s string"), "surrogates")
