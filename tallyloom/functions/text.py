@@ -88,10 +88,16 @@ def redacted(x: Column) -> Column:
     return F.when(F.trim(x) != "", "[redacted]").otherwise("")
 
 
+#: The steps of a slug: patterns and what stands for them.
+SLUG = [("%", "_pct_"), ("[^a-z0-9]+", "_")]
+
+
 def slug(x: Column) -> Column:
     """Lower case; % becomes pct, all but letters and digits an underscore."""
-    t = F.regexp_replace(F.lower(F.trim(x)), "%", "_pct_")
-    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", "_"), F.lit("_"))
+    t = F.lower(F.trim(x))
+    for pattern, by in SLUG:
+        t = F.regexp_replace(t, pattern, by)
+    return F.trim(t, F.lit("_"))
 
 
 def tokens(x: Column) -> Column:

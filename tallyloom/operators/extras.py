@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ def slugs(headers: list[str]) -> dict[str, str]:
     out: dict[str, str] = {}
     used: dict[str, int] = {}
     for h in headers[:MOST_EXTRAS]:
-        s = "".join(c if c.isascii() and c.isalnum() else " " for c in h.replace("%", " pct ").lower())
-        s = "_".join(s.split()) or "col"
+        s = h.strip(" ").lower()
+        for pattern, by in text.SLUG:
+            s = re.sub(pattern, by, s)
+        s = s.strip("_") or "col"
         used[s] = used.get(s, 0) + 1
         out[h] = s if used[s] == 1 else f"{s}_{used[s]}"
     return out

@@ -51,7 +51,7 @@ def register(add: Callable, sheets: Callable, sheets_sql: Callable, guess: str)
     shapes = BASE + f", c AS ({cells}), sh AS (SELECT col, AVG({one.format(number)}) AS nr, AVG({one.format(day)}) AS dr FROM c GROUP BY 1)"
     shape = BASE + f", c AS ({cells}) SELECT col AS \"column\", AVG({one.format('t IS NULL')}) AS null_ratio, AVG({one.format(number)}) AS numeric_ratio, AVG({one.format(day)}) AS date_ratio, COUNT(DISTINCT t) / COUNT(t)::DOUBLE AS unique_ratio, AVG(length(t))::DOUBLE AS mean_length, bool_and(COALESCE(TRY_CAST(t AS DOUBLE) = round(TRY_CAST(t AS DOUBLE)), FALSE)) AS all_integer FROM c WHERE col <> 'sale_date' GROUP BY 1"
     add("map10_shape", whole(lambda r: evidence.shape(r.select(*SHAPED[:3]), SHAPED[:3])), shape)
-    labels = _rows([(k, *v) for k, v in u.EXPECTED_SHAPE.items()])
+    labels = _rows([(k, 0.0, 1.0) for k in ("date",)] + [(k, 1.0, 0.0) for k in ("quantity", "unit_price", "mrp", "cost", "revenue", "discount", "tax")] + [(k, 0.0, 0.0) for k in ("id", "product", "category", "customer", "region", "status", "notes", "other")])
     fit = shapes + f", lb AS (SELECT * FROM {labels} t(label, n, d)), fits AS (SELECT col, label, CASE WHEN n = 0 AND d = 0 THEN 1 - abs(nr - n) ELSE ((1 - abs(nr - n)) + (1 - abs(dr - d))) / 2 END AS fit FROM sh, lb)"
     fits = lambda r: u.shape_fit(evidence.shape(r.select(*SHAPED), SHAPED))
     add("map11_shape_fit", whole(fits), fit + ' SELECT col AS "column", label, fit FROM fits')
@@ -59,7 +59,8 @@ def register(add: Callable, sheets: Callable, sheets_sql: Callable, guess: str)
     add("map13_blend_and_route", lambda s, d: u.blended(s.createDataFrame(SCORES, "column string, label string, score double"), fits(star_register(s, d))), blend + " SELECT col AS \"column\", CASE WHEN known THEN label ELSE 'other' END AS label, CASE WHEN known THEN round(blend, 4) ELSE 0.0 END AS score, CASE WHEN known THEN round(blend - next, 4) ELSE 0.0 END AS margin, CASE WHEN NOT known THEN 'unknown' WHEN label IN ('currency', 'status', 'notes') THEN 'local' WHEN blend >= 0.8 AND blend - next >= 0.05 THEN 'local' ELSE 'ask' END AS route FROM b1 WHERE r = 1")
 
     # headers
-    by_field = " ".join(f"WHEN field = '{f}' THEN '{k}'" for k, f in u.LABEL_FIELD.items())
+    fields = {"date": "Date", "quantity": "Quantity", "unit_price": "Selling Price", "cost": "Cost Price", "revenue": "Line Total", "discount": "Discount", "tax": "Tax", "product": "Item", "category": "Category", "customer": "Customer", "region": "Branch", "mrp": "MRP"}
+    by_field = " ".join(f"WHEN field = '{f}' THEN '{k}'" for k, f in fields.items())
     unused = " ".join(f"WHEN lower(ltrim(trim(header), chr(65279))) IN ({', '.join(repr(n) for n in names)}) THEN '{label}'" for label, names in u.UNUSED_HEADERS.items())
     personal = f"regexp_matches(lower(header), '(^|[^a-z0-9])({'|'.join(headers.PERSONAL_TOKENS)})([^a-z0-9]|$)')"
     label = f"CASE {by_field} WHEN field = 'Invoice No' THEN 'id' ELSE 'other' END"
@@ -72,7 +73,7 @@ def register(add: Callable, sheets: Callable, sheets_sql: Callable, guess: str)
     labels_ = [*u.EXPECTED_SHAPE, "currency"]
     names_ = ["Bill No", "Customer Id", "Sr. No"]
     document = " OR ".join(f"contains(lower(header), '{w}')" for w in u.DOCUMENT_WORDS)
-    translate = f"SELECT sheet, label, header, CASE WHEN label = 'id' AND ({document}) THEN 'Invoice No' {' '.join(f'WHEN label = {k!r} THEN {f!r}' for k, f in u.LABEL_FIELD.items())} END AS field FROM (SELECT c_custkey AS sheet, ({_names(labels_)})[CAST(c_custkey % {len(labels_)} + 1 AS INTEGER)] AS label, ({_names(names_)})[CAST(c_custkey % 3 + 1 AS INTEGER)] || ' ' || c_mktsegment AS header FROM customer)"
+    translate = f"SELECT sheet, label, header, CASE WHEN label = 'id' AND ({document}) THEN 'Invoice No' {' '.join(f'WHEN label = {k!r} THEN {f!r}' for k, f in fields.items())} END AS field FROM (SELECT c_custkey AS sheet, ({_names(labels_)})[CAST(c_custkey % {len(labels_)} + 1 AS INTEGER)] AS label, ({_names(names_)})[CAST(c_custkey % 3 + 1 AS INTEGER)] || ' ' || c_mktsegment AS header FROM customer)"
     pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % len(names) + 1).cast("int"))
     labelled = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("sheet"), pick(labels_).alias("label"), F.concat_ws(" ", pick(names_), "c_mktsegment").alias("header"))
     add("map15_fields_of_labels", lambda s, d: labelled(s, d).withColumn("field", u.field_of(F.col("label"), F.col("header"))), translate)
@@ -103,8 +104,8 @@ def register(add: Callable, sheets: Callable, sheets_sql: Callable, guess: str)
 
     # evidence rules
     raw = BASE + ", raw AS (SELECT CASE WHEN k1 % 11 <> 0 AND k1 % 13 <> 0 THEN invoice_no END AS invoice_no, quantity, selling_price, line_total, (ARRAY[0.0, 5.0, 12.0, 18.0, 28.0]::DOUBLE[])[CAST(k1 % 5 + 1 AS INTEGER)] AS gst, round(discount / line_total * 100) AS disc, CASE WHEN k2 % 17 = 0 OR (k4 % 2 <> 0 AND k2 % 19 = 0) THEN NULL ELSE CAST(CAST(x_meas_order_total AS DECIMAL(20,2)) AS DOUBLE) END AS bill, selling_price AS rate FROM cur)"
-    slabs = ", ".join(f"{x}::DOUBLE" for x in u.SLABS_PERCENT)
-    fractions = ", ".join(f"{x}::DOUBLE" for x in u.SLABS_FRACTION)
+    slabs = ", ".join(f"{x}::DOUBLE" for x in (0.0, 5.0, 12.0, 18.0, 28.0))
+    fractions = ", ".join(f"{x}::DOUBLE" for x in (0.0, 0.05, 0.12, 0.18, 0.28))
     facts = lambda c: f"SELECT COUNT(*) AS n, GREATEST(AVG({one.format(f'{c} IN ({slabs})')}), AVG({one.format(f'{c} IN ({fractions})')})) AS slab, COUNT(DISTINCT {c}) AS k, AVG({one.format(f'{c} BETWEEN 0 AND 100')}) AS within FROM raw WHERE {c} IS NOT NULL"
     tax = "n >= 5 AND slab >= 0.9 AND k <= 6"
     percent = lambda h, c: f"SELECT '{h}' AS header, CASE WHEN {tax} THEN 'auto' ELSE 'ask' END AS decision, CASE WHEN {tax} THEN 'Tax' END AS field, CASE WHEN {tax} THEN 'tax' END AS semantic, CASE WHEN {tax} THEN round(slab, 4) ELSE 0.0 END AS confidence, CASE WHEN {tax} THEN {_names(['Tax'])} WHEN n >= 5 AND within >= 0.9 THEN {_names(['Discount', 'Tax'])} ELSE {_names([])} END AS candidates FROM ({facts(c)})"
@@ -130,7 +131,7 @@ def register(add: Callable, sheets: Callable, sheets_sql: Callable, guess: str)
     call = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("sheet"), F.concat_ws(" ", F.element_at(F.array(*[F.lit(h) for h in RAW]), (F.col("c_custkey") % len(RAW) + 1).cast("int")), F.col("c_mktsegment")).alias("header"))
     within = lambda ws: " OR ".join(f"contains(k, '{w}')" for w in ws)
     has = lambda ws: f"len(list_intersect(w, {_names(ws)})) > 0"
-    add("evd05_rules_of_headers", lambda s, d: call(s, d).withColumn("rule", u.rule_of(F.col("header"))), f"WITH c AS (SELECT c_custkey AS sheet, ({_names(RAW)})[CAST(c_custkey % {len(RAW)} + 1 AS INTEGER)] || ' ' || c_mktsegment AS header FROM customer), h AS (SELECT sheet, header, lower(trim(header)) AS k, list_filter(regexp_split_to_array(lower(trim(header)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM c) SELECT sheet, header, CASE WHEN contains(k, '%') OR {has(['pct', 'percent', 'percentage', 'gst', 'vat'])} THEN 'percentage' WHEN {within(['amount', 'amt', 'total', 'value', 'net', 'gross'])} THEN 'amount' WHEN {within(['rate', 'price', 'sp', 'cost', 'cp', 'mrp'])} THEN 'rate' WHEN {has(['name'])} AND NOT ({has(['product', 'item', 'brand', 'style', 'model', 'sku', 'article'])}) THEN 'name' WHEN {has(u.LATER_DATE_WORDS)} THEN 'later_date' END AS rule FROM h")
+    add("evd05_rules_of_headers", lambda s, d: call(s, d).withColumn("rule", u.rule_of(F.col("header"))), f"WITH c AS (SELECT c_custkey AS sheet, ({_names(RAW)})[CAST(c_custkey % {len(RAW)} + 1 AS INTEGER)] || ' ' || c_mktsegment AS header FROM customer), h AS (SELECT sheet, header, lower(trim(header)) AS k, list_filter(regexp_split_to_array(lower(trim(header)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM c) SELECT sheet, header, CASE WHEN contains(k, '%') OR {has(['pct', 'percent', 'percentage', 'gst', 'vat'])} THEN 'percentage' WHEN {within(['amount', 'amt', 'total', 'value', 'net', 'gross'])} THEN 'amount' WHEN {within(['rate', 'price', 'sp', 'cost', 'cp', 'mrp'])} THEN 'rate' WHEN {has(['name'])} AND NOT ({has(['product', 'item', 'brand', 'style', 'model', 'sku', 'article'])}) THEN 'name' WHEN {has(['due', 'delivery', 'delivered', 'ship', 'shipped', 'dispatch', 'eta', 'expiry', 'expiration', 'expected', 'promised', 'return', 'refund', 'manufacture', 'mfg', 'supplier'])} THEN 'later_date' END AS rule FROM h")
     guard = lambda s, d: u.line_total_guard(raw_columns(s, d), "Bill Amount", "invoice_no").withColumn("header", F.lit("Bill Amount")).unionByName(u.line_total_guard(raw_columns(s, d), "Line Amount", "invoice_no").withColumn("header", F.lit("Line Amount")))
     verdict = lambda h, c: f"SELECT '{h}' AS header, CASE WHEN groups >= 2 AND rep >= 0.9 THEN 'reject' WHEN groups = 1 AND rep = 1 THEN 'warn' ELSE 'ok' END AS verdict, groups FROM {repeat(c)}"
     add("evd06_line_total_guard", guard, raw + " " + verdict("Bill Amount", "bill") + " UNION ALL " + verdict("Line Amount", "line_total"))

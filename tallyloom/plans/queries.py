@@ -102,7 +102,11 @@ def _reports() -> None:
     gap, listed = sql.s("(mrp - selling_price) * quantity"), sql.s("mrp * quantity")
     add("agg16_discount_metrics", whole(reports.discount_metrics), BASE + f"SELECT COALESCE({sql.s(f'CASE WHEN {fine} THEN (mrp - selling_price) * quantity END')}, 0.0) AS given, COALESCE({sql.s(f'CASE WHEN {fine} THEN (mrp - selling_price) * quantity END')} / NULLIF({sql.s(f'CASE WHEN {fine} THEN mrp * quantity END')}, 0) * 100, 0.0) AS pct_of_mrp, COUNT(*) FILTER (WHERE {fine}) AS valid_rows, COUNT(*) FILTER (WHERE NOT ({usable})) AS missing_rows, COUNT(*) FILTER (WHERE {usable} AND selling_price > mrp) AS above_mrp_rows FROM cur")
     add("agg17_discount_by_item", whole(reports.discount_by_item), BASE + f", g AS (SELECT item, {gap} AS given, {listed} AS listed, {sql.s('row_revenue')} AS revenue, {sql.s('row_profit')} AS profit FROM p WHERE {fine} GROUP BY 1) SELECT item, given / NULLIF(listed, 0) * 100 AS discount_pct, profit / NULLIF(revenue, 0) * 100 AS margin_pct, revenue FROM g ORDER BY discount_pct DESC, item LIMIT 15")
-    add("agg29_reconciliation", sliced(reports.reconciliation, FILTERED), "SELECT 0.0::DOUBLE AS kpi_less_pnl, 0.0::DOUBLE AS kpi_less_categories, 0.0::DOUBLE AS kpi_less_days")
+    some = sql.base(f"{LAST30} AND branch IN ('NATION_9','NATION_6','NATION_11')")
+    part = lambda key: f"(SELECT {sql.s('v')} FROM (SELECT {sql.s('row_revenue')} AS v FROM p GROUP BY {key}))"
+    less = lambda x: f"CAST(CAST(COALESCE((SELECT {sql.s('row_revenue')} FROM p), 0.0) - COALESCE({x}, 0.0) AS DECIMAL(20,2)) AS DOUBLE)"
+    net = "(SELECT " + sql.s("COALESCE(quantity * selling_price, line_total) - discount") + " FROM cur)"
+    add("agg29_reconciliation", sliced(reports.reconciliation, FILTERED), some + f" SELECT {less(net)} AS kpi_less_pnl, {less(part('category'))} AS kpi_less_categories, {less(part('CAST(sale_date AS DATE)'))} AS kpi_less_days")
 
 
 def _deep_page(register: DataFrame) -> DataFrame:
@@ -248,6 +252,16 @@ def _functions() -> None:
     cells = " UNION ALL ".join(f"SELECT row_id, '{c}' AS \"column\", {x} AS cell FROM c" for c, x in DIRTY_CELLS.items())
     number = r"trim(regexp_replace(regexp_replace(cell, '(?i)\b(?:rs|inr|rupees?|usd|eur|gbp)\b\.?\s*', '', 'g'), '[₹$€£,\s%]', '', 'g'))"
     add("fn13_cell_kinds", lambda s, d: kinds(dirty_cells(s, d)).groupBy("column").agg(F.count_if(text.number_like(F.col("cell"))).alias("numbers"), F.count_if(text.date_like(F.col("cell"))).alias("dates")), f"WITH c AS ({DIRTY}), k AS ({cells}) SELECT \"column\", COUNT(*) FILTER (WHERE TRY_CAST({number} AS DOUBLE) IS NOT NULL) AS numbers, COUNT(*) FILTER (WHERE regexp_full_match(cell, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}|[0-9]{{8}}')) AS dates FROM k GROUP BY 1")
+    ratio = "CASE WHEN l_linenumber % 5 = 0 THEN 'NaN'::DOUBLE WHEN l_linenumber % 5 = 1 THEN 'Infinity'::DOUBLE WHEN l_linenumber % 5 = 2 THEN NULL ELSE l_extendedprice END"
+    lines = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet")
+    odd = lambda: F.when(F.col("l_linenumber") % 5 == 0, F.lit(float("nan"))).when(F.col("l_linenumber") % 5 == 1, F.lit(float("inf"))).when(F.col("l_linenumber") % 5 != 2, F.col("l_extendedprice"))
+    add("fn01_finite_numbers", lambda s, d: lines(s, d).select("l_linenumber", numbers.finite(odd()).alias("x")).groupBy("l_linenumber").agg(F.count("x").alias("n"), numbers.exact_sum(F.col("x")).alias("total")), f"WITH t AS (SELECT l_linenumber, {ratio} AS r FROM lineitem) SELECT l_linenumber, COUNT(*) FILTER (WHERE isfinite(r)) AS n, {sql.s('CASE WHEN isfinite(r) THEN r END')} AS total FROM t GROUP BY 1")
+    whole_text = "CAST(CAST(floor(o_totalprice) AS BIGINT) * 37 AS VARCHAR)"
+    pairs = f"CASE WHEN length(t) <= 3 THEN t ELSE reverse(rtrim(regexp_replace(reverse(t[:-4]), '([0-9][0-9])', '\\1,', 'g'), ',')) || ',' || t[-3:] END"
+    add("fn08_grouped_amounts", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", numbers.indian_grouping(F.floor("o_totalprice") * 37).alias("shown")), f"SELECT o_orderkey, {pairs} AS shown FROM (SELECT o_orderkey, {whole_text} AS t FROM orders)")
+    add("fn16_sanitised_notes", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.sanitised(F.col("text")).alias("note")), r"SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(text, '[\p{Cc}\p{Cf}]', ' ', 'g'), '\s+', ' ', 'g')), 200) AS note FROM conversations")
+    hidden = r"regexp_replace(regexp_replace(regexp_replace(x, '[\w.+-]+@[\w-]+\.[\w.-]+', '[email]', 'g'), '(^|[^0-9.])[6-9][0-9]{4}[- ]?[0-9]{5}($|[^0-9.])', '\1[phone]\2', 'g'), '[0-9]{9,}', '[number]', 'g')"
+    add("ing15_masked_customers", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", text.masked(F.concat_ws(" ", "c_name", F.concat(F.lit("c"), "c_custkey", F.lit("@mail.example.com")), F.concat(F.lit("9812"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")))).alias("shown"), text.redacted(F.col("c_name")).alias("redacted")), f"SELECT c_custkey, left({hidden}, 60) AS shown, '[redacted]' AS redacted FROM (SELECT c_custkey, c_name || ' c' || c_custkey || '@mail.example.com 9812' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS x FROM customer)")
     add("fn17_customer_keys", whole(lambda r: r.select("customer").distinct().select("customer", text.digest(F.col("customer")).alias("digest"))), BASE + "SELECT DISTINCT customer, sha256(customer) AS digest FROM cur")
 
 
@@ -294,7 +308,11 @@ def _headers() -> None:
     share = lambda k: f"AVG(CASE WHEN confidence = '{k}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {k}_share"
     right = "COALESCE(field, 'none') = expected"
     add("map20_header_evaluation", lambda s, d: headers.evaluation(headers.guessed(sheets(s, d)).withColumnRenamed("field", "predicted")), guess + f"SELECT COUNT(*) AS n, AVG(CASE WHEN expected <> 'ambiguous' THEN CASE WHEN {right} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END) AS accuracy, {share('exact')}, {share('fuzzy')}, {share('none')}, COUNT(*) FILTER (WHERE expected <> 'ambiguous' AND field IS NOT NULL AND NOT ({right})) AS false_mappings FROM q")
-    add("sch01_capabilities", whole(lambda r: extras.capabilities(r.drop("colour")).select("kind", "name", "available")), "SELECT * FROM (VALUES " + ", ".join([f"('measure', '{m}', TRUE)" for m in MEASURES] + [f"('dimension', '{x}', {x != 'colour'})".upper().replace("DIMENSION", "dimension").replace(x.upper(), x) for x in ("category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "colour", "invoice_no", "day", "weekday", "month")]) + ") t(kind, name, available)")
+    full = lambda *xs: "(SELECT COUNT(*) FILTER (WHERE " + " OR ".join(f"{x} IS NULL" for x in xs) + ") = 0 FROM cur)"
+    measured = {"revenue": "TRUE", "profit": full("quantity", "cost_price"), "cost": full("quantity", "cost_price"), "units": full("quantity"), "transactions": "TRUE", "discount": full("discount"), "margin_pct": full("quantity", "cost_price"), "avg_price": full("quantity")}
+    sides = {x: f"(SELECT COUNT(DISTINCT {x}) > 0 FROM cur)" for x in ("category", "item", "branch", "payment_mode", "customer", "salesperson", "brand", "size", "invoice_no")} | {"colour": "FALSE", "day": "TRUE", "weekday": "TRUE", "month": "TRUE"}
+    flags = [f"SELECT '{k}' AS kind, '{n}' AS name, {x} AS available" for k, names in (("measure", measured), ("dimension", sides)) for n, x in names.items()]
+    add("sch01_capabilities", whole(lambda r: extras.capabilities(r.drop("colour")).select("kind", "name", "available")), BASE + " " + " UNION ALL ".join(flags))
     column_queries.register(add, sheets, sheets_sql, guess)
     store_queries.register(add, sheets, sheets_sql)
     read = lambda s, d: s.read.parquet(f"{d}/events.parquet")
