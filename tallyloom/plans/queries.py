@@ -271,18 +271,26 @@ GOLDEN = [
 ]
 
 
+#: Exports that one task spells out: the table of owners is small beside its headers, so tasks are counted by exports, not by bytes.
+SHEETS_A_TASK = 10_000
+
+
+def spread(owners: DataFrame, key: str) -> DataFrame:
+    """A row an export, dealt to tasks of about SHEETS_A_TASK each: a scan deals by bytes, and each of these rows becomes many."""
+    tasks = max(owners.sparkSession.sparkContext.defaultParallelism, math.ceil(owners.count() / SHEETS_A_TASK))
+    return owners.repartition(tasks, key)
+
+
 def sheets(spark: SparkSession, d: str, table: str = "customer") -> DataFrame:
     """(sheet, ordinal, header, expected): the headers of one export for each customer (or supplier), the golden ones in a spelling that follows from the key, and two more from its own row."""
     key, more = ("c_custkey", "c_mktsegment") if table == "customer" else ("s_suppkey", "s_name")
-    owners = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("sheet"), F.col(more).alias("more"), F.col(f"{table[0]}_name").alias("name"))
-    golden = spark.createDataFrame([(i, h, e) for i, (h, e) in enumerate(GOLDEN)], "ordinal int, base string, expected string")
+    owners = spread(spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("sheet"), F.col(more).alias("more"), F.col(f"{table[0]}_name").alias("name")), "sheet")
+    n, ends = len(GOLDEN), ("none", "Customer") if table == "customer" else ("ambiguous", "ambiguous")
+    golden = spark.createDataFrame([(i, h, e) for i, (h, e) in enumerate(GOLDEN)] + [(n + i, None, e) for i, e in enumerate(ends)], "ordinal int, base string, expected string")
     k = (F.col("sheet") + F.col("ordinal")) % 4
     spelled = F.when(k == 0, F.col("base")).when(k == 1, F.upper("base")).when(k == 2, F.concat(F.lit("  "), "base")).otherwise(F.concat(F.lit("\ufeff"), "base"))
-    out = owners.crossJoin(F.broadcast(golden)).select("sheet", "ordinal", spelled.alias("header"), "expected")  # a fixed table
-    n = len(GOLDEN)
-    for i, (c, e) in enumerate((("more", "none" if table == "customer" else "ambiguous"), ("name", "Customer" if table == "customer" else "ambiguous"))):
-        out = out.unionByName(owners.select("sheet", F.lit(n + i).alias("ordinal"), F.col(c).alias("header"), F.lit(e).alias("expected")))
-    return out
+    header = F.when(F.col("ordinal") == n, F.col("more")).when(F.col("ordinal") == n + 1, F.col("name")).otherwise(spelled)
+    return owners.crossJoin(F.broadcast(golden)).select("sheet", "ordinal", header.alias("header"), "expected")  # a fixed table
 
 
 def sheets_sql(table: str = "customer") -> str:
