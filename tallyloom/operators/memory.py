@@ -42,7 +42,8 @@ def _escaped(x: Column) -> Column:
     code = lambda c: F.ascii(c)
     pair = lambda c: F.format_string("\\u%04x\\u%04x", (F.lit(0xD800) + F.shiftright(code(c) - 0x10000, 10)).cast("int"), (F.lit(0xDC00) + (code(c) - 0x10000).bitwiseAND(0x3FF)).cast("int"))
     one = lambda c: F.when(c == "\\", "\\\\").when(code(c) < 128, c).when(code(c) < 0x10000, F.format_string("\\u%04x", code(c))).otherwise(pair(c))
-    return F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), one), ""), F.lit('"'))
+    plain = x.rlike(r"^[\x00-\x5B\x5D-\x7F]*$")  # nearly all are: no need to go through their letters
+    return F.concat(F.lit('"'), F.when(plain, x).otherwise(F.array_join(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), one), "")), F.lit('"'))
 
 
 def signature_of(keys: Column) -> Column:
@@ -62,11 +63,15 @@ def signature(headers: list[str | None]) -> str:
 
 def templates(headers: DataFrame, *event: str) -> DataFrame:
     """(owner, sheet, header, ...) -> + raw (the header as given), header (its key), signature of its sheet, and whether it is alone there. `event` tells several uploads of a sheet apart. An export has at most a hundred columns."""
-    keyed = headers.withColumns({"raw": F.col("header"), "header": template_key(F.col("header")), "owner": owner_key(F.col("owner"))})
-    sheets = keyed.groupBy("owner", "sheet", *event).agg(F.collect_list("header").alias("keys")).withColumn("signature", signature_of(F.col("keys")))
-    joined = keyed.join(sheets, ["owner", "sheet", *event])
+    by = ["owner", "sheet", *event]
+    keyed = headers.withColumns({"raw": F.col("header"), "header": template_key(F.col("header")), "owner": F.lower(F.trim("owner"))}).dropna(subset=by)
+    own = [c for c in keyed.columns if c not in by]
+    sheets = keyed.groupBy(*by).agg(F.collect_list(F.struct(*own)).alias("columns"))
+    keys = F.transform("columns", lambda c: c["header"])
+    signed = sheets.withColumns({"owner": owner_key(F.col("owner")), "keys": keys, "signature": signature_of(keys)})
+    rows = signed.select(*by, "keys", "signature", F.explode("columns").alias("c")).select(*by, "keys", "signature", "c.*")
     alone = (F.size(F.filter("keys", lambda k: k == F.col("header"))) == 1) & (F.col("header") != EMPTY)
-    return joined.withColumn("alone", alone).drop("keys")
+    return rows.withColumn("alone", alone).drop("keys")
 
 
 def confirmations(confirmed: DataFrame) -> DataFrame:

@@ -22,3 +22,13 @@ def test_tasks_of_exports_grow_with_their_number(spark):
     owners = spark.range(3 * queries.SHEETS_A_TASK * spark.sparkContext.defaultParallelism).withColumnRenamed("id", "sheet")
     per = [r["count"] for r in queries.spread(owners, "sheet").groupBy(F.spark_partition_id()).count().collect()]
     assert len(per) == 3 * spark.sparkContext.defaultParallelism and max(per) < 1.5 * queries.SHEETS_A_TASK
+
+
+def test_templates_take_their_rows_once(spark):
+    at = datetime(2026, 1, 1)
+    rows = [(" Ann", 1, "Qty", at), ("ann ", 1, "Rate:", at), ("ann", 1, "qty", at), ("bob", 1, "é\\", at), (None, 1, "Qty", at)]
+    t = memory.templates(spark.createDataFrame(rows, "owner string, sheet int, header string, at timestamp"), "at")
+    assert "Join" not in plan(t)
+    got = {(r["raw"], r["header"], r["alone"], r["signature"]) for r in t.collect()}
+    ann, bob = memory.signature(["Qty", "Rate:", "qty"]), memory.signature(["é\\"])
+    assert got == {("Qty", "qty", False, ann), ("Rate:", "rate", True, ann), ("qty", "qty", False, ann), ("é\\", "é\\", True, bob)}
