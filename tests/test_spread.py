@@ -24,6 +24,18 @@ def test_tasks_of_exports_grow_with_their_number(spark):
     assert len(per) == 3 * spark.sparkContext.defaultParallelism and max(per) < 1.5 * queries.SHEETS_A_TASK
 
 
+def test_shapes_read_each_value_once(spark):
+    rows = [("5", "a"), ("5", "b"), ("x", "2024-01-02"), (" ", "3 May 2024"), (None, "May")] * 3
+    df = spark.createDataFrame(rows, "n string, t string")
+    shape = evidence.shape(df, ["n", "t"])
+    assert "Expand" not in plan(shape)
+    got = {r["column"]: r for r in shape.collect()}
+    assert [round(x, 6) for x in (got["n"]["null_ratio"], got["n"]["numeric_ratio"], got["n"]["unique_ratio"], got["n"]["mean_length"])] == [0.4, 0.666667, 0.222222, 1.0]
+    assert (got["t"]["null_ratio"], got["t"]["date_ratio"], got["t"]["numeric_ratio"], got["t"]["all_integer"]) == (0.0, 0.4, 0.0, False)
+    empty = evidence.shape(df.limit(0), ["n", "t"]).collect()
+    assert {tuple(r)[1:] for r in empty} == {(None, 0.0, 0.0, 0.0, None, False)} and len(empty) == 2
+
+
 def test_templates_take_their_rows_once(spark):
     at = datetime(2026, 1, 1)
     rows = [(" Ann", 1, "Qty", at), ("ann ", 1, "Rate:", at), ("ann", 1, "qty", at), ("bob", 1, "é\\", at), (None, 1, "Qty", at)]
