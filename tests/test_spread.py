@@ -36,6 +36,16 @@ def test_shapes_read_each_value_once(spark):
     assert {tuple(r)[1:] for r in empty} == {(None, 0.0, 0.0, 0.0, None, False)} and len(empty) == 2
 
 
+def test_rules_of_headers_are_no_work_for_each_row(spark):
+    df = spark.createDataFrame([("B1", 2.0, 3.0, 6.0, "₹ 6.00", 1.5)], "bill string, q double, p double, amount double, total string, notes double")
+    found = understanding.verdicts(df, ["amount", "total", "notes"], {"Invoice No": "bill", "Quantity": "q", "Selling Price": "p"})
+    scans = [line for line in plan(found).splitlines() if "explode" in line]
+    assert scans and not any("amt" in line or "split" in line for line in plan(found.drop("decision")).splitlines() if "Generate" in line or "bill" in line)
+    assert {r["header"] for r in found.collect()} == {"amount", "total", "notes"}
+    facts = understanding.column_facts(df, {"amount": "amount", "total": "amount", "notes": None}, {"Invoice No": "bill", "Quantity": "q", "Selling Price": "p"})
+    assert {(r["column"], r["n"], r["n_numbers"], r["match_share"]) for r in facts.collect()} == {("amount", 1, 1, 1.0), ("total", 1, 1, 1.0)}
+
+
 def test_templates_take_their_rows_once(spark):
     at = datetime(2026, 1, 1)
     rows = [(" Ann", 1, "Qty", at), ("ann ", 1, "Rate:", at), ("ann", 1, "qty", at), ("bob", 1, "é\\", at), (None, 1, "Qty", at)]
