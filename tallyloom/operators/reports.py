@@ -106,9 +106,15 @@ def ledger_page(df: DataFrame, order: list[str], page: int = 1, page_size: int =
     return derived(df).orderBy("sale_date", *order).offset((max(1, page) - 1) * size).limit(size)
 
 
-def ledger_index(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of a slice in the ledger's order, written once, and the table of their ranges: any page is then read without a sort."""
-    rows = in_order(derived(df), "sale_date", *order, name="ledger")
+def ledger_index(df: DataFrame, order: list[str], columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of a slice in the ledger's order, written once, and the table of their ranges: any page is then read without a sort.
+
+    columns: those that pages show beside the order, all if none are named; no others are moved and written.
+    """
+    rows = derived(df)
+    if columns is not None:
+        rows = rows.select(*dict.fromkeys(["sale_date", *columns, *order]))
+    rows = in_order(rows, "sale_date", *order, name="ledger")
     return rows, ranges(rows)
 
 

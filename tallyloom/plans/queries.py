@@ -111,7 +111,7 @@ def _reports() -> None:
 
 def _deep_page(register: DataFrame) -> DataFrame:
     """The page at 70 % of the ledger: it reads one range of the index, not the rows before it."""
-    rows, index = reports.ledger_index(register.select("sale_date", "item", "quantity", "selling_price", "line_total", "discount", "cost_price", "tax", *[c for c in ROW_ORDER if c != "line_total"]), ROW_ORDER)
+    rows, index = reports.ledger_index(register, ROW_ORDER, ["item", "row_revenue"])
     pages = -(-index.agg(F.sum("n")).first()[0] // 50)
     return reports.indexed_page(rows, index, math.ceil(pages * 0.7), 50).select("sale_date", "item", "row_revenue", *ROW_ORDER, "page")
 

@@ -106,3 +106,10 @@ def test_many_numbers_are_not_few(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4600, 18.0).otherwise(F.col("id") / 7).alias("Tax %"), F.when(F.col("id") < 4600, 18.0).otherwise(F.col("id") % 5 + 0.5).alias("GST %"), F.when(F.col("id") < 4600, 18.0).otherwise(F.col("id") % 6 + 0.5).alias("VAT %"))
     got = {r["header"]: r["field"] for r in understanding.verdicts(df, df.columns, {}).collect()}
     assert got == {"Tax %": None, "GST %": "Tax", "VAT %": None}  # 401, 6 and 7 different numbers
+
+
+def test_a_ledger_moves_only_what_its_pages_show(spark):
+    df = spark.range(200).select(F.lit("2024-01-01").cast("timestamp_ntz").alias("sale_date"), F.col("id").alias("k1"), F.lit(2.0).alias("quantity"), F.lit(3.0).alias("selling_price"), F.lit("x").alias("item"), F.lit(1.0).alias("cost_price"))
+    rows, index = reports.ledger_index(df, ["k1"], ["item", "row_revenue"])
+    assert rows.columns == ["sale_date", "item", "row_revenue", "k1", "at"]
+    assert {(r["k1"], r["row_revenue"], r["page"]) for r in reports.indexed_page(rows, index, 2, 3).collect()} == {(3, 6.0, 2), (4, 6.0, 2), (5, 6.0, 2)}
