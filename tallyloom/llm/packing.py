@@ -27,7 +27,8 @@ from .common import table, trimmed, written
 
 LIMIT = 2048
 END_ID = 0
-CACHED = 600_000
+#: Entries of a table of words at most; a task lets go of its tables at its end.
+CACHED = 200_000
 ROWS = 1024
 _MARKS = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: White space before a space (so is every character that some table of Unicode calls white space).
@@ -48,8 +49,8 @@ class CachedTokenizer:
     Such a tokenizer splits a text into words by a fixed pattern and encodes each word by itself. A word holds a space only
     at its start or among white space, so a text can be cut before each space that follows no white space: what lies
     between two such cuts is encoded alike wherever it stands. Arrow cuts a batch and finds the different cuts; only
-    these meet Python. Their ids are kept in tables that begin anew at CACHED entries. Texts that hold a special
-    token's string go to the tokenizer whole.
+    these meet Python. Their ids are kept in tables that begin anew at CACHED entries, until forget(): a worker lives on
+    when its task is over. Texts that hold a special token's string go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -69,6 +70,9 @@ class CachedTokenizer:
         self.words: dict[str, bytes] = {}
         self.cuts: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.words, self.cuts = {}, {}
+
     def _word(self, w: str) -> bytes:
         """Ids of a word as the vocabulary writes it."""
         known = self.words.get(w)
@@ -215,12 +219,12 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int, keep_ids: bool) ->
     schema = PIECES + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = tokenizer(path).encode, TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        known, part, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 texts = pc.fill_null(some.column(1), "")
-                ids, starts = encode(texts.cast(pa.string()))
+                ids, starts = known.encode(texts.cast(pa.string()))
                 rows: list[tuple] = []
                 for doc_id, a, b in zip(some.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     whole = ids[a:b].tobytes() + END_ID.to_bytes(4, "little")
@@ -231,6 +235,7 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int, keep_ids: bool) ->
                 types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.binary()] if keep_ids else [])]
                 names = [x.split()[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        known.forget()
 
     return docs.mapInArrow(trimmed(run), schema)
 
