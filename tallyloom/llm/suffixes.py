@@ -17,7 +17,8 @@ its context is what these cover.
 
 A gram with more than MOST_CONTEXTS different contexts would be one large group. Its contexts are cut into narrower ones,
 by the distance of their strings from the anchor, and grouped by all the bytes that these strings have in common instead
-of the gram: the same steps, with a longer gram. In the last of STEPS a context is one string, so equal ones are one row.
+of the gram: the same steps, with a longer gram. In the last of STEPS a context is one string, so equal ones are one row. Its contexts are
+dealt out by their digests with the runs of the others and come out as their own bytes, so no document is moved again for them.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ KEYS = ["key", "check"]
 #: Bytes of a gram's hash before its suffix.
 HEAD = 8
 CONTEXT = "h long, g binary, first int, width int, before int"
+#: What becomes of runs: ranges of contexts, or a context of a crowded gram whole (its text).
+SHARED = "h long, g binary, start int, end int, text binary, width int, before int, times long"
 #: A run is sent off when it holds so many bytes.
 RUN_BYTES = 16 << 20
 
@@ -228,6 +231,10 @@ def merged(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int
             node >>= 1
 
 
+def _bytes(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+
+
 def _with_text(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(key, check, text), contexts of documents -> (text, list of the contexts)."""
     listed = contexts.groupBy(*KEYS).agg(F.collect_list(F.struct(*[c for c in contexts.columns if c not in KEYS])).alias("list"))
@@ -235,31 +242,32 @@ def _with_text(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def _runs(docs: DataFrame, contexts: DataFrame, parts: int) -> DataFrame:
-    """Documents and their contexts -> front-coded sorted runs, dealt out by gram.
+    """Documents and their contexts -> front-coded sorted runs, dealt out by gram; those of crowded grams by their digests.
 
     A suffix is written after the hash of its gram, so a run, and what is merged of runs, is in order of grams.
     """
-    schema = "part int, lcp array<int>, rest array<binary>, lefts array<binary>, g array<binary>, width array<int>, times array<long>"
-    types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    schema = "part int, lcp array<int>, rest array<binary>, lefts array<binary>, g array<binary>, width array<int>, times array<long>, crowded array<boolean>"
+    types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def flush(held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
         for part, rows in held.items():
             rows.sort(key=lambda r: r[0])
             lcp, rest = front_coded([r[0] for r in rows])
-            _, lefts, g, width, times = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, lcp, rest, lefts, g, width, times), types, strict=True)], names)
+            _, lefts, g, width, times, crowded = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, lcp, rest, lefts, g, width, times, crowded), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         size = 0
         for batch in batches:
             for text, contexts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                data = _bytes(text)
                 for c in contexts:
                     first, at = c["first"], c["first"] + c["before"]
                     end = first + c["width"] - 1 + SPAN
-                    held.setdefault(c["h"] % parts, []).append((c["h"].to_bytes(HEAD, "big", signed=True) + data[at:end], data[first:at], c["g"], c["width"], c["times"]))
+                    part = (int.from_bytes(c["g"][:8], "big") if c["crowded"] else c["h"]) % parts
+                    held.setdefault(part, []).append((c["h"].to_bytes(HEAD, "big", signed=True) + data[at:end], data[first:at], c["g"], c["width"], c["times"], c["crowded"]))
                     size += end - first + 64
                 if size > RUN_BYTES:
                     yield from flush(held)
@@ -311,9 +319,10 @@ def shared_strings(suffixes: list[bytes], lefts: list[bytes], widths: list[int],
 
 
 def _merge_part(group: pa.Table) -> pa.Table:
-    """The runs of one part -> (h, g, start, end): byte ranges, from a context's start, of strings that occur again."""
+    """The runs of one part -> SHARED: byte ranges, from a context's start, of strings that occur again; contexts of crowded grams as they are."""
     columns = {n: group.column(n).to_pylist() for n in group.column_names}
     rows: list[tuple] = []
+    whole: dict[bytes, tuple] = {}
 
     def close(held: list[tuple]) -> None:
         suffixes, lcps, where = zip(*held, strict=True)
@@ -332,6 +341,10 @@ def _merge_part(group: pa.Table) -> pa.Table:
     for r, i, suffix, lcp in merged(list(zip(columns["lcp"], columns["rest"], strict=True))):
         g = columns["g"][r][i]
         pending = min(pending, lcp)
+        if columns["crowded"][r][i]:  # a gram of its own, so what comes next starts anew
+            left = columns["lefts"][r][i]
+            whole[suffix[:HEAD] + g] = (int.from_bytes(suffix[:HEAD], "big", signed=True), g, left + suffix[HEAD:], columns["width"][r][i], len(left), columns["times"][r][i])
+            continue
         if pending < HEAD:
             if held:
                 close(held)
@@ -343,8 +356,9 @@ def _merge_part(group: pa.Table) -> pa.Table:
         pending = len(suffix)
     if held:
         close(held)
-    h, g, s, e = zip(*rows, strict=True) if rows else ((),) * 4
-    return pa.table({"h": pa.array(h, pa.int64()), "g": pa.array(g, pa.binary()), "start": pa.array(s, pa.int32()), "end": pa.array(e, pa.int32())})
+    rows = [(h, g, s, e, None, None, None, None) for h, g, s, e in rows] + [(h, g, None, None, *rest) for h, g, *rest in whole.values()]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(types), types, strict=True)], [c.split()[0] for c in SHARED.split(", ")])
 
 
 def _narrowed(docs: DataFrame, contexts: DataFrame, step: int) -> DataFrame:
@@ -361,7 +375,7 @@ def _narrowed(docs: DataFrame, contexts: DataFrame, step: int) -> DataFrame:
         for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             rows = []
             for text, contexts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                data = _bytes(text)
                 for c in contexts:
                     at = c["first"] + c["before"]
                     high = c["before"]  # strings start at most so many bytes before the anchor, and at least low
@@ -387,11 +401,16 @@ def _shared(docs: DataFrame, contexts: DataFrame, steps: tuple[int, ...] = STEPS
     """Different contexts -> written (h, g, start, end): ranges, from a context's start, of strings that occur again."""
     spark = docs.sparkSession
     crowded = written(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_CONTEXTS).select("h"), "crowded") if steps else None
-    if crowded is None or crowded.isEmpty():
-        runs = _runs(docs, contexts, GROUPS * partitions(spark))
-        return written(runs.groupBy("part").applyInArrow(_merge_part, "h long, g binary, start int, end int"), "shared")
-    few = _shared(docs, contexts.join(crowded.hint("shuffle_hash"), "h", "left_anti"), ())
-    narrow = written(_narrowed(docs, contexts.join(crowded.hint("shuffle_hash"), "h", "left_semi"), steps[0]), "narrow")
+    some = crowded is not None and not crowded.isEmpty()
+    # at most a row for MOST_CONTEXTS contexts
+    flagged = contexts.join(F.broadcast(crowded.withColumn("met", F.lit(True))), "h", "left").withColumn("crowded", F.coalesce("met", F.lit(False))).drop("met") if some else contexts.withColumn("crowded", F.lit(False))
+    out = written(_runs(docs, flagged, GROUPS * partitions(spark)).groupBy("part").applyInArrow(_merge_part, SHARED), "shared")
+    few = out.filter("text is null").select("h", "g", "start", "end")
+    if not some:
+        return few
+    own = out.filter("text is not null").select("h", "g", "times", F.xxhash64("h", "g").alias("key"), F.hash("g", "h").alias("check"), F.lit(0).alias("first"), "width", "before", "text")
+    docs, contexts = own.select(*KEYS, "text"), own.drop("text")
+    narrow = written(_narrowed(docs, contexts, steps[0]), "narrow")
     found = _shared(docs, _different(narrow, F.col("times")), steps[1:])
     back = narrow.select("h0", "g0", "by", "h", "g").join(found, ["h", "g"])
     return few.unionByName(back.select(F.col("h0").alias("h"), F.col("g0").alias("g"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end")))
