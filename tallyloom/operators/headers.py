@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fields import BY_LABEL, QueryError
@@ -67,20 +67,34 @@ def known_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, f) for f, names in ALIASES.items() for a in names], "alias string, alias_field string")
 
 
+def is_personal(header: Column) -> Column:
+    """Whether a header has a word for contact or identity data."""
+    return F.arrays_overlap(text.tokens(header), F.array(*[F.lit(t) for t in PERSONAL_TOKENS]))
+
+
+def looked_up(headers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """guessed() with what it reads of a header: key_ (normalised) and personal_, which stand once in a plan, below all that asks for them.
+
+    ALIASES go to all tasks: headers that many exports share would else meet in one.
+    """
+    fixed = known_aliases(headers.sparkSession)
+    aliases = F.broadcast(fixed) if aliases is None else aliases.unionByName(fixed.join(aliases, "alias", "left_anti"))
+    own = [c for c in headers.columns if c not in ("field", "confidence", "key_", "personal_")]
+    read = headers.select(*own, text.header_key(F.col("header")).alias("key_"))
+    found = F.coalesce(*[F.when(F.contains("key_", F.lit(k)), F.lit(f)) for k, f in KEYWORDS])
+    read = read.select("*", is_personal(F.col("header")).alias("personal_"), found.alias("found_"))
+    out = read.join(aliases, F.col("key_") == F.col("alias"), "left")
+    field = F.when(F.col("personal_"), None).otherwise(F.coalesce("alias_field", "found_"))
+    confidence = F.when(field.isNull(), "none").when(F.col("alias_field").isNotNull(), "exact").otherwise("fuzzy")
+    return out.select(*own, "key_", "personal_", field.alias("field"), confidence.alias("confidence"))
+
+
 def guessed(headers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(ordinal, header, ...) -> + field, confidence: exact by alias, fuzzy by keyword, or none; personal headers have none.
 
     aliases: a dictionary of one's own (alias as header_key() makes it, alias_field), which comes before ALIASES.
     """
-    fixed = known_aliases(headers.sparkSession)
-    aliases = fixed if aliases is None else aliases.unionByName(fixed.join(aliases, "alias", "left_anti"))
-    key = text.header_key(F.col("header"))
-    found = F.coalesce(*[F.when(F.contains(key, F.lit(k)), F.lit(f)) for k, f in KEYWORDS])
-    personal = F.arrays_overlap(text.tokens(F.col("header")), F.array(*[F.lit(t) for t in PERSONAL_TOKENS]))
-    out = headers.join(aliases, key == F.col("alias"), "left")
-    field = F.when(personal, None).otherwise(F.coalesce("alias_field", found))
-    confidence = F.when(field.isNull(), "none").when(F.col("alias_field").isNotNull(), "exact").otherwise("fuzzy")
-    return out.select(*[c for c in headers.columns if c not in ("field", "confidence")], field.alias("field"), confidence.alias("confidence"))
+    return looked_up(headers, aliases).drop("key_", "personal_")
 
 
 def suggested(headers: DataFrame, *sheet: str) -> DataFrame:

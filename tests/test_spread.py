@@ -3,7 +3,7 @@
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from tallyloom.operators import evidence, memory, understanding
+from tallyloom.operators import evidence, headers, memory, understanding
 from tallyloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,14 @@ def test_templates_take_their_rows_once(spark):
     got = {(r["raw"], r["header"], r["alone"], r["signature"]) for r in t.collect()}
     ann, bob = memory.signature(["Qty", "Rate:", "qty"]), memory.signature(["é\\"])
     assert got == {("Qty", "qty", False, ann), ("Rate:", "rate", True, ann), ("qty", "qty", False, ann), ("é\\", "é\\", True, bob)}
+
+
+def test_headers_are_read_once_and_meet_no_shuffle_by_header(spark):
+    rows = [(0, "  \ufeffDATE"), (1, "Customer Phone"), (2, "Qty sold today"), (3, None), (4, "Remarks"), (5, "Zzz"), (6, "Invoice Date of item")]
+    df = spark.createDataFrame(rows, "ordinal int, header string")
+    g = understanding.classified_headers(df)
+    assert plan(g).count("ltrim") == 1 and plan(g).count("arrays_overlap") == 1
+    assert "broadcast" in plan(headers.guessed(df))
+    got = {r["ordinal"]: (r["label"], r["field"], r["score"]) for r in g.collect()}
+    assert got == {0: ("date", "Date", 1.0), 1: ("personal", None, 0.0), 2: ("quantity", "Quantity", 0.5), 3: ("other", None, 0.0), 4: ("notes", None, 1.0), 5: ("other", None, 0.0), 6: ("date", "Date", 0.5)}
+    assert [r["field"] for r in headers.guessed(df).orderBy("ordinal").collect()] == ["Date", None, "Quantity", None, None, None, "Date"]
