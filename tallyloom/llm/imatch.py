@@ -9,8 +9,8 @@ documents, the share of equal hashes among the sub-lexicons of such a rate follo
 Shape of the job: terms are counted exactly, by 64-bit hash, and the lexicon is one row with the band's terms in SLOTS slots. Its
 size doesn't grow with the corpus: a term in the band is in at least exp(-IDF_BAND[1]) N of N documents, so there are at most
 exp(IDF_BAND[1]), about 2,000, times as many as an average document has different terms. With it a text's fingerprint is an
-expression over its own row. Texts are shuffled once, by id and hash, to meet the head of the next one; nothing else of
-their size moves.
+expression over its own row. Texts are shuffled once, with their hashes, by id and hash, to meet the head of the next one;
+nothing else of their size moves.
 """
 
 from __future__ import annotations
@@ -65,10 +65,14 @@ def _thinned(terms: str, j: int, rate: int) -> Column:
     return F.filter(terms, lambda t: F.xxhash64(t, F.lit(j)).bitwiseAND(rate - 1) == 0)
 
 
-def _with_print(df: DataFrame, text: str, whole: str, parts: str, plain: str) -> DataFrame:
-    """df with the hashes of a text: whole (null if no term is in the lexicon), parts (for each rate and family, or null), plain (of all terms)."""
+def _with_print(df: DataFrame, slots: DataFrame, text: str, whole: str, parts: str, plain: str) -> DataFrame:
+    """df with the hashes of a text: whole (null if no term is in the lexicon), parts (for each rate and family, or null), plain (of all terms).
+
+    The lexicon (one row) meets a row when its terms are known and leaves it with the next step: it is far larger than the
+    row, and each step that carries it along copies it.
+    """
     columns = df.columns
-    df = df.withColumn("terms_", F.sort_array(term_hashes(F.col(text))))
+    df = df.withColumn("terms_", F.sort_array(term_hashes(F.col(text)))).crossJoin(F.broadcast(slots))
     df = df.select(*columns, F.xxhash64("terms_", F.lit(-1)).alias(plain), _kept(F.col("terms_")).alias("kept_"))
     df = df.select(*columns, plain, F.when(F.size("kept_") > 0, F.xxhash64("kept_")).alias(whole), "kept_")
     done: list[str] = []
@@ -101,8 +105,7 @@ def likeness(same: Column, a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", band: tuple[float, float] = IDF_BAND) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint. A null text is empty; equal texts have equal fingerprints; repeated rows stay."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.crossJoin(F.broadcast(lexicon(rows.select("text"), band)))  # one row
-    rows = _with_print(rows, "text", "whole", "parts", "plain")
+    rows = _with_print(rows, lexicon(rows.select("text"), band), "text", "whole", "parts", "plain")
     return rows.select("doc_id", fingerprint_string(F.col("whole"), _ints("parts"), F.col("plain")).alias("fingerprint"))
 
 
@@ -134,21 +137,19 @@ NO_ID = -(2**63)
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    slots = F.broadcast(lexicon(docs.select("text")))  # one row
-    # rows alike in id and text are numbered; one text stands for all of them. This deals the texts, once
+    slots = lexicon(docs.select("text"))
+    # rows alike in id and text are numbered; one text stands for all of them. This deals the texts, with their hashes, once
     copy = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))
-    texts = docs.withColumn("copy", copy).filter("copy = 1").drop("copy")
+    texts = _with_print(docs, slots, "text", "w0", "a0", "p0").withColumn("a0", _ints("a0")).withColumn("copy", copy).filter("copy = 1").drop("copy")
     ids = docs.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")).withColumn("copy", copy)
     order = written(following(ids, ["doc_id", "h", "copy"]).withColumn("need", F.floor(F.col("n_chars") / 4).cast("int")), "next")
     nexts = order.select(F.col("doc_id").alias("cur_id"), F.col("h").alias("cur_h"), "n_chars", F.col("next_doc_id").alias("next_id"), "next_h", "need")
-    heads = texts.join(nexts, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).crossJoin(slots)
-    heads = _with_print(heads.select("cur_id", "cur_h", "n_chars", "need", F.expr("substring(text, 1, need)").alias("head"), "text", "slots"), "text", "w2", "a2", "p2")
-    heads = heads.select("cur_id", "cur_h", "n_chars", "need", "head", "w2", _ints("a2").alias("a2"), "p2")
-    both = texts.join(heads, (F.col("doc_id") == F.col("cur_id")) & (F.col("h") == F.col("cur_h"))).crossJoin(slots)
-    both = both.select("doc_id", "n_chars", "text", F.concat(F.expr("substring(text, 1, n_chars - need)"), "head").alias("edited"), "slots", "w2", F.col("a2"), "p2")
+    heads = texts.join(nexts, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h")))
+    heads = heads.select("cur_id", "cur_h", "n_chars", "need", F.expr("substring(text, 1, need)").alias("head"), F.col("w0").alias("w2"), F.col("a0").alias("a2"), F.col("p0").alias("p2"))
+    both = texts.join(heads, (F.col("doc_id") == F.col("cur_id")) & (F.col("h") == F.col("cur_h")))
+    both = both.select("doc_id", "n_chars", F.concat(F.expr("substring(text, 1, n_chars - need)"), "head").alias("edited"), "w0", "a0", "p0", "w2", "a2", "p2")
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    both = _with_print(_with_print(both, "text", "w0", "a0", "p0").drop("text"), "edited", "w1", "a1", "p1").drop("edited", "slots")
-    both = both.withColumn("a0", _ints("a0")).withColumn("a1", _ints("a1"))
+    both = _with_print(both, slots, "edited", "w1", "a1", "p1").drop("edited").withColumn("a1", _ints("a1"))
     prints = [fingerprint_string(F.col(f"w{k}"), F.col(f"a{k}"), F.col(f"p{k}")) for k in (0, 1)]
     out = both.select("*", prints[0].alias("fingerprint"), prints[1].alias("edited_fingerprint"))
     same = [F.col("w0").eqNullSafe(F.col(f"w{k}")) & (F.col("w0").isNotNull() | (F.col("p0") == F.col(f"p{k}"))) for k in (1, 2)]
