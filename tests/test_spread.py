@@ -2,9 +2,11 @@
 
 from datetime import datetime
 
+import __spark_entry__
 from pyspark.sql import functions as F
 from tallyloom.operators import evidence, headers, memory, understanding
 from tallyloom.plans import queries
+from tallyloom.sources import register
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +67,22 @@ def test_headers_are_read_once_and_meet_no_shuffle_by_header(spark):
     got = {r["ordinal"]: (r["label"], r["field"], r["score"]) for r in g.collect()}
     assert got == {0: ("date", "Date", 1.0), 1: ("personal", None, 0.0), 2: ("quantity", "Quantity", 0.5), 3: ("other", None, 0.0), 4: ("notes", None, 1.0), 5: ("other", None, 0.0), 6: ("date", "Date", 0.5)}
     assert [r["field"] for r in headers.guessed(df).orderBy("ordinal").collect()] == ["Date", None, "Quantity", None, None, None, "Date"]
+
+
+def test_shapes_count_values_as_they_are(spark):
+    rows = [(0.0, 1, " a", None, True), (-0.0, 1, "a", "2.5", None), (float("nan"), -7, "", "2.50", False), (float("nan"), None, None, "x", True), (1e20, 2**40, "Ä", " ", True), (None, 1, "a ", "2.5", True)]
+    df = spark.createDataFrame(rows, "d double, `n.o` long, t string, i string, b boolean").withColumn("at", F.expr("timestamp_ntz'2024-01-02 03:04:05'")).withColumn("day", F.expr("date'2024-01-02'")).withColumn("m", F.expr("1.50BD"))
+    columns = df.columns
+    got = {(r["column"], r["t"]): r["k"] for r in evidence.value_counts(df, columns).collect()}
+    want = {(c, r["t"]): r["count"] for c in columns for r in df.groupBy(F.trim(F.col(f"`{c}`").cast("string")).alias("t")).count().collect()}
+    assert got == want and got["d", "-0.0"] == got["d", "0.0"] == 1 and got["d", "NaN"] == 2 and got["t", "a"] == 3
+    counted = plan(evidence.value_counts(df.select("at", "`n.o`"), ["at", "n.o"])).split("Generate")
+    assert len(counted) == 2 and "cast(" in counted[0] and "as string" not in counted[1] and "explode([0,1])" in counted[1]
+    assert "as string" not in counted[0].split("Aggregate")[1].split("\n", 1)[1]
+
+
+def test_shapes_join_orders_last(spark):
+    joins = {name: [line for line in plan(__spark_entry__.queries()[name](spark, SF)).splitlines() if "Join Inner" in line] for name in ("map11_shape_fit",)}
+    assert all("o_orderkey" in lines[0] and "l_orderkey" in lines[0] and len(lines) == 5 for lines in joins.values())
+    narrow, wide = (register.star_register(spark, SF, orders_last=last) for last in (True, False))
+    assert narrow.columns == wide.columns and narrow.exceptAll(wide).count() == wide.exceptAll(narrow).count() == 0
