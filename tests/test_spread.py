@@ -82,7 +82,7 @@ def test_shapes_count_values_as_they_are(spark):
 
 
 def test_shapes_join_orders_last(spark):
-    joins = {name: [line for line in plan(__spark_entry__.queries()[name](spark, SF)).splitlines() if "Join Inner" in line] for name in ("map11_shape_fit",)}
+    joins = {name: [line for line in plan(__spark_entry__.queries()[name](spark, SF)).splitlines() if "Join Inner" in line] for name in ("map10_shape", "map11_shape_fit")}
     assert all("o_orderkey" in lines[0] and "l_orderkey" in lines[0] and len(lines) == 5 for lines in joins.values())
     narrow, wide = (register.star_register(spark, SF, orders_last=last) for last in (True, False))
     assert narrow.columns == wide.columns and narrow.exceptAll(wide).count() == wide.exceptAll(narrow).count() == 0
